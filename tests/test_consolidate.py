@@ -1,0 +1,28 @@
+from ticketsift.operators.consolidate import apply_mapping, fold_merges
+
+
+def test_chained_merges_and_summaries():
+    plan = fold_merges({"A": 6, "B": 5, "C": 7}, [(["A", "B"], "D"), (["D", "C"], "E")], {"A": "a", "B": "b", "C": "c"})
+    assert plan.log == ["Merged: 'A' + 'B' → 'D' (11 tickets)", "Merged: 'D' + 'C' → 'E' (18 tickets)"]
+    assert plan.summaries == {"E": "a / b / c"}
+    assert plan.mapping == {"A": "E", "B": "E", "C": "E"}
+
+
+def test_merge_into_own_source_loses_summary():
+    plan = fold_merges({"A": 6, "B": 5}, [(["A", "B"], "A")], {"A": "a", "B": "b"})
+    assert plan.log == ["Merged: 'A' + 'B' → 'A' (11 tickets)"]
+    assert "A" not in plan.summaries
+    kept = fold_merges({"A": 6, "B": 5}, [(["A", "B"], "A")], {"A": "a", "B": "b"}, keep_target_summary=True)
+    assert kept.summaries == {"A": "a"}
+
+
+def test_unknown_sources_and_empty_target():
+    plan = fold_merges({"A": 6}, [(["X"], "Y"), (["A"], ""), ([], "Z")], {"A": "a"})
+    assert plan.log == [] and plan.mapping == {} and plan.summaries == {"A": "a"}
+
+
+def test_uncategorised_is_not_guarded(spark):
+    plan = fold_merges({"Uncategorised": 3, "A": 6}, [(["Uncategorised"], "A")])
+    assert plan.counts == {"A": 9}
+    df = spark.createDataFrame([("Uncategorised",), ("A",), (None,)], "new_category string")
+    assert sorted(str(r[0]) for r in apply_mapping(df, plan.mapping).collect()) == ["A", "A", "None"]

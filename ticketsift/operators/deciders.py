@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -92,7 +93,23 @@ def label_lexical(
     out = scored.withColumns(cols)
     if not keep_scores:
         out = out.drop("_m", "_best", *[f"_s{i}" for i in range(len(cats))])
-    return out
+    return observe_labels(out)
+
+
+def observe_labels(df: DataFrame, name: str | None = None) -> DataFrame:
+    """Attach label metrics (rows, Uncategorised, Low) to the labelled table.
+
+    Besides the metrics, the CollectMetrics node stops the optimizer from
+    pushing later filters on ``new_category`` below the scoring projection,
+    which would otherwise inline (and re-run) the tokeniser once per filter
+    reference.
+    """
+    return df.observe(
+        name or f"labels_{uuid.uuid4().hex[:12]}",
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("new_category") == UNCATEGORISED).alias("uncategorised"),
+        F.count_if(F.col("confidence") == "Low").alias("low"),
+    )
 
 
 # ---------------------------------------------------------------- DEC1 ------

@@ -105,18 +105,27 @@ def validate(df: DataFrame, max_rows: int | None = None) -> Validation:
     return v
 
 
-def normalise(df: DataFrame, pos_col: str | None = None) -> DataFrame:
+def normalise(df: DataFrame, order_key: str | None = None) -> DataFrame:
     """Full clean-up of a raw ticket table: NRM1, NRM2, NRM3, NRM6-8.
 
-    Row order is not touched; ``pos`` (if wanted for ``Row n`` ids) must be
-    assigned by the caller after ``drop_blank``.
+    When ``ticket_id`` is absent, rows are numbered ``Row 1..n`` after the
+    blank rows are dropped, in ``order_key`` order (default: the ``_row``
+    column the file reader adds, i.e. file order), via the distributed dense
+    position (ORD1); the position is kept as ``pos``.
     """
     df = normalise_columns(df)
     problems = check_required(df)
     if problems:
         raise TicketError(problems)
     df = drop_blank(df)
-    df = fill_defaults(df, pos_col)
+    if "ticket_id" not in df.columns:
+        key = order_key or ("_row" if "_row" in df.columns else None)
+        if key is None:
+            raise TicketError(["ticket_id absent: give an order key to number the rows"])
+        from .ordering import assign_positions
+
+        df = assign_positions(df, key)
+    df = fill_defaults(df, "pos")
     return clean_known(df)
 
 

@@ -270,7 +270,7 @@ def q_apply_responses(spark, d):
 
 
 def q_near_duplicate_categories(spark, d):
-    part = table(spark, d, "part").select(F.col("p_type").alias("name"))
+    part = table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("name"))
     return qlt.similar_names(part, "name", SIMILARITY)
 
 

@@ -196,16 +196,16 @@ def _replies() -> str:
 raw AS (
   SELECT batch_id, n_tickets,
     CASE first_lang
-      WHEN 'fr' THEN '```json' || chr(10) || to_json(full_l) || chr(10) || '```'
-      WHEN 'de' THEN '```' || chr(10) || to_json(noconf_l) || chr(10) || '```'
-      WHEN 'es' THEN to_json(list_slice(full_l, 1, len(full_l) - 1))
-      ELSE to_json(full_l) END AS raw
+      WHEN 'fr' THEN '```json' || chr(10) || CAST(to_json(full_l) AS VARCHAR) || chr(10) || '```'
+      WHEN 'de' THEN '```' || chr(10) || CAST(to_json(noconf_l) AS VARCHAR) || chr(10) || '```'
+      WHEN 'es' THEN CAST(to_json(list_slice(full_l, 1, len(full_l) - 1)) AS VARCHAR)
+      ELSE CAST(to_json(full_l) AS VARCHAR) END AS raw
   FROM rep
 ),
 parsed AS (
   SELECT batch_id, n_tickets, clean,
     coalesce(json_valid(clean) AND json_type(clean) = 'ARRAY' AND json_array_length(clean) = n_tickets
-             AND NOT list_contains(json_type(clean, '$[*]'), 'VARCHAR') AND list_bool_and(list_transform(json_type(clean, '$[*]'), lambda t: t = 'OBJECT')), false) AS ok
+             AND NOT list_contains(json_type(clean, '$[*]'), 'VARCHAR') AND NOT list_contains(list_transform(json_type(clean, '$[*]'), lambda t: t = 'OBJECT'), false), false) AS ok
   FROM (SELECT *, """ + strip("CASE WHEN starts_with(raw, '```') THEN regexp_replace(split_part(raw, '```', 2), '^json', '') ELSE raw END") + """ AS clean FROM raw)
 )"""
 
@@ -269,7 +269,7 @@ FROM terms ORDER BY df DESC, term LIMIT 10"""
 
 def _near_duplicates() -> str:
     return f"""
-WITH n AS (SELECT DISTINCT p_type AS name FROM part WHERE p_type IS NOT NULL),
+WITH n AS (SELECT DISTINCT concat_ws(' ', p_name, p_type) AS name FROM part),
 t AS (SELECT name, unnest(list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> ''))) AS tok FROM n),
 sz AS (SELECT name, count(*) AS s FROM t GROUP BY 1),
 pairs AS (SELECT a.name AS name_a, b.name AS name_b, count(*) AS shared FROM t a JOIN t b ON a.tok = b.tok AND a.name < b.name GROUP BY 1, 2)

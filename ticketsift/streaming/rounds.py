@@ -94,7 +94,8 @@ def stream_window_counts(spark: SparkSession, sf_dir: str, window: str = "1 day"
     schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counts = (
-        events.withWatermark("ts", watermark)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", watermark)
         .groupBy(F.window("ts", window).alias("w"), F.col("event_type").alias("category"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
