@@ -31,7 +31,7 @@ def test_tie_breaks_and_reasons(spark):
 
 
 def test_lexical_plan_has_no_exchange_and_no_python(spark):
-    plan = label_lexical(document_tickets(spark, SF_SMALL), Taxonomy.starter())._jdf.queryExecution().executedPlan().toString()
+    plan = label_lexical(document_tickets(spark, SF_SMALL, spread_scan=False), Taxonomy.starter())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "ArrowEval" not in plan
 
 

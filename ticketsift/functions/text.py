@@ -35,8 +35,14 @@ def ustrip(c: Column | str) -> Column:
     """Strip leading/trailing whitespace with Python ``str.strip`` semantics.
 
     ``trim`` removes only blanks; descriptions carry tabs, NBSP and newlines.
+    The regex runs only when the first or last character is whitespace: an
+    end-anchored pattern is tried at every position of a long text, which
+    made the strip cost more than the tokeniser.
     """
-    return F.regexp_replace(F.regexp_replace(_c(c), "^" + WS_CLASS + "+", ""), WS_CLASS + "+\\z", "")
+    c = _c(c)
+    edge = F.substring(c, 1, 1).rlike(WS_CLASS) | F.substring(c, -1, 1).rlike(WS_CLASS)
+    stripped = F.regexp_replace(F.regexp_replace(c, "^" + WS_CLASS + "+", ""), WS_CLASS + "+\\z", "")
+    return F.when(edge, stripped).otherwise(c)
 
 
 def is_blank(c: Column | str) -> Column:

@@ -49,8 +49,7 @@ def uncategorised_rate(labelled: DataFrame, col: str = "new_category", target_pc
 def confidence_mix(labelled: DataFrame) -> DataFrame:
     """QLT3: rows per confidence tier with share."""
     per = labelled.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
-    total = labelled.agg(F.count(F.lit(1))).scalar()
-    return per.withColumn("pct", pct_half_even(F.col("n"), total))
+    return per.withColumn("pct", pct_half_even(F.col("n"), F.sum("n").over(Window.partitionBy())))
 
 
 def name_tokens(col: str) -> F.Column:

@@ -21,9 +21,11 @@ def distribution(labelled: DataFrame, col: str = "new_category", order_col: str
     (null categories excluded); label ``"n (p%)"`` with half-even percent;
     rank by count desc, ties by first appearance (ORD4)."""
     c = category_counts(labelled, col, order_col)
-    total = c.agg(F.sum("n")).scalar()
-    ranked = c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first_pos")))
-    pct = pct_half_even(F.col("n"), total)
+    # both windows run on the aggregated table (one row per category)
+    ranked = c.withColumn("_total", F.sum("n").over(Window.partitionBy())).withColumn(
+        "rank", F.row_number().over(Window.orderBy(F.desc("n"), "first_pos"))
+    )
+    pct = pct_half_even(F.col("n"), F.col("_total"))
     return ranked.select(
         "rank", "category", "n", pct.alias("pct"),
         F.concat(F.col("n").cast("string"), F.lit(" ("), pct.cast("string"), F.lit("%)")).alias("label"),
@@ -72,11 +74,15 @@ def breakdown(summaries: DataFrame, labelled: DataFrame, col: str = "new_categor
     """JON6 / RPT4: one row per summarised category (Uncategorised skipped):
     tickets (0 when none), share of *all* rows, summary.  Categories without a
     summary are not listed.  Both sides have one row per category."""
-    counts = labelled.groupBy(F.col(col).alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    rows = labelled.agg(F.count(F.lit(1))).scalar()
-    j = summaries.filter(F.col("category") != UNCATEGORISED).join(F.broadcast(counts), "category", "left")
+    counts = labelled.groupBy(F.col(col).alias("_cat")).agg(F.count(F.lit(1)).alias("n"))
+    named = summaries.filter(F.col("category") != UNCATEGORISED)
+    # outer join of two one-row-per-category tables; the row total is a
+    # window over that small result, then only summarised categories stay
+    j = named.join(counts, named["category"] == counts["_cat"], "full").withColumn(
+        "_rows", F.sum("n").over(Window.partitionBy())
+    ).filter(F.col("summary").isNotNull() & F.col("category").isNotNull())
     n = F.coalesce(F.col("n"), F.lit(0))
-    return j.select("category", n.alias("tickets"), pct_half_even(n, rows).alias("pct"), "summary")
+    return j.select("category", n.alias("tickets"), pct_half_even(n, F.col("_rows")).alias("pct"), "summary")
 
 
 def results_table(labelled: DataFrame, low_only: bool = False) -> DataFrame:

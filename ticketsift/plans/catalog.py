@@ -59,28 +59,45 @@ def lexical(spark: SparkSession, d: str, tags: bool = False) -> DataFrame:
     return label_lexical(tickets(spark, d), taxonomy(), with_tags=tags)
 
 
-def folded_categories(spark: SparkSession, d: str) -> list[str]:
+def fold_list(lab: DataFrame) -> list[str]:
     """AGG2 decision on the count table: named categories below the threshold.
 
     The count table has at most |taxonomy| + 1 rows (the lexical decider only
     emits taxonomy names or Uncategorised), so it is safe on the driver.
     """
-    counts = lexical(spark, d).groupBy("new_category").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.collect()
+    rows = lab.groupBy("new_category").agg(F.count(F.lit(1)).alias("n")).collect()
     return sorted(r["new_category"] for r in rows if r["new_category"] != UNCATEGORISED and r["n"] < MIN_BUCKET)
 
 
+def fold(lab: DataFrame, small: list[str]) -> DataFrame:
+    """Apply the threshold decision through a literal list: no join, no shuffle."""
+    if not small:
+        return lab
+    return lab.withColumn(
+        "new_category", F.when(F.col("new_category").isin(small), F.lit(UNCATEGORISED)).otherwise(F.col("new_category"))
+    )
+
+
+def narrow(spark: SparkSession, d: str, tags: bool = False) -> DataFrame:
+    """Thresholded labels without the text: the texts are tokenised once, the
+    narrow result is written under the checkpoint folder and read back, and
+    the count table and the rows both come from that copy."""
+    cols = ["doc_id", "ticket_id", "current_label", "new_category", "confidence", "reasoning"] + (["tags"] if tags else [])
+    lab = materialize(lexical(spark, d, tags).select(*cols), "labels")
+    return fold(lab, fold_list(lab))
+
+
 def labelled(spark: SparkSession, d: str, tags: bool = False) -> DataFrame:
-    """Lexical labels with the threshold applied through a literal fold list:
-    no join and no row shuffle; the texts are tokenised again instead of
-    being written out."""
-    small = folded_categories(spark, d)
-    lab = lexical(spark, d, tags)
-    if small:
-        lab = lab.withColumn(
-            "new_category", F.when(F.col("new_category").isin(small), F.lit(UNCATEGORISED)).otherwise(F.col("new_category"))
-        )
-    return lab
+    """Thresholded labels with the text, for reports that read every text
+    (summaries, the low-confidence view): the fold list comes from a counting
+    pass and the texts are tokenised again, instead of shuffling them."""
+    return fold(lexical(spark, d, tags), fold_list(lexical(spark, d)))
+
+
+def with_text(spark: SparkSession, d: str, keys: DataFrame) -> DataFrame:
+    """Attach descriptions to a key set of bounded size (a few rows per
+    category) with a broadcast join against the ticket scan."""
+    return tickets(spark, d).select("doc_id", "issue_description").join(F.broadcast(keys), "doc_id")
 
 
 def batched(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +126,7 @@ def q_categorise_requests(spark, d):
 def q_tag_requests(spark, d):
     """PRM2: the final category list (first-seen order of the thresholded
     labels, one row per category) is the driver scalar of every request."""
-    lab = labelled(spark, d)
+    lab = narrow(spark, d)
     names = [r["category"] for r in first_seen(lab, order_col=ORDER).orderBy("ordinal").collect()]
     req = tag_requests(batched(spark, d), CONTEXT, names)
     return req.select("batch_id", "n_tickets", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
@@ -128,7 +145,7 @@ def q_threshold_labels(spark, d):
 
 
 def q_category_distribution(spark, d):
-    return rpt.distribution(labelled(spark, d), order_col=ORDER)
+    return rpt.distribution(narrow(spark, d), order_col=ORDER)
 
 
 def q_event_distribution(spark, d):
@@ -141,13 +158,15 @@ def q_low_confidence_view(spark, d):
 
 
 def q_category_samples(spark, d):
-    s = rpt.category_samples(labelled(spark, d), 3, order_col=ORDER)
+    lab = narrow(spark, d).withColumn("issue_description", F.lit(None).cast("string"))
+    keys = rpt.category_samples(lab, 3, order_col=ORDER).select("doc_id", "category", "rn", "ticket_id")
+    s = with_text(spark, d, keys)
     return s.select("category", "rn", "ticket_id", cut("issue_description", 80).alias("description"))
 
 
 def q_uncategorised_head(spark, d):
-    h = rpt.uncategorised_head(labelled(spark, d), 10, order_col=ORDER)
-    return h.select("ticket_id", cut("issue_description", 100).alias("description"))
+    keys = rpt.uncategorised_head(narrow(spark, d), 10, order_col=ORDER).select("doc_id", "ticket_id")
+    return with_text(spark, d, keys).select("ticket_id", cut("issue_description", 100).alias("description"))
 
 
 def _events_batched(spark, d):
@@ -167,7 +186,7 @@ def q_taxonomy_first_seen(spark, d):
 
 
 def _themed(spark, d):
-    return thm.join_tags(labelled(spark, d, tags=True))
+    return thm.join_tags(narrow(spark, d, tags=True))
 
 
 def q_multi_tags(spark, d):
@@ -183,7 +202,7 @@ def q_top_themes(spark, d):
 
 
 def _merge_plan(spark, d):
-    lab = labelled(spark, d)
+    lab = narrow(spark, d)
     counts = cns.collect_counts(lab)
     return lab, cns.fold_merges(counts, MERGES)
 
@@ -275,7 +294,7 @@ def q_near_duplicate_categories(spark, d):
 
 
 def q_grouping_accuracy(spark, d):
-    lab = labelled(spark, d).select("doc_id", "new_category")
+    lab = narrow(spark, d).select("doc_id", "new_category")
     gold = table(spark, d, "labels").select("doc_id", F.concat(F.lit("quality="), F.col("quality").cast("string")).alias("expected"))
     return qlt.grouping_purity(lab.join(gold, "doc_id"), "expected").select(
         "category", "tickets", "majority", "majority_n", "purity_pct"
@@ -283,15 +302,15 @@ def q_grouping_accuracy(spark, d):
 
 
 def q_run_facts(spark, d):
-    return cns.run_facts(labelled(spark, d), order_col=ORDER)
+    return cns.run_facts(narrow(spark, d), order_col=ORDER)
 
 
 def q_uncategorised_rate(spark, d):
-    return qlt.uncategorised_rate(labelled(spark, d)).select("rows", "uncategorised", "rate_pct", "meets_target")
+    return qlt.uncategorised_rate(narrow(spark, d)).select("rows", "uncategorised", "rate_pct", "meets_target")
 
 
 def q_confidence_mix(spark, d):
-    return qlt.confidence_mix(labelled(spark, d))
+    return qlt.confidence_mix(narrow(spark, d))
 
 
 def q_trend_by_day(spark, d):

@@ -19,6 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than task slots.
+
+    A text table stored as one big row group is read by a single task, which
+    then tokenises everything alone.  Only then is a shuffle worth it; a
+    large table already arrives in many splits and is left as it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def map_columns(df: DataFrame, mapping: dict[str, str | F.Column], keep: tuple[str, ...] = ()) -> DataFrame:
     """SRC10: any table as a ticket source through a column map
     ``{ticket column: source column or expression}``; ``keep`` passes extras."""
@@ -26,10 +39,12 @@ def map_columns(df: DataFrame, mapping: dict[str, str | F.Column], keep: tuple[s
     return df.select(*cols, *[F.col(k) for k in keep])
 
 
-def document_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_tickets(spark: SparkSession, sf_dir: str, spread_scan: bool = True) -> DataFrame:
     """``documents`` as tickets: id ``DOC-<doc_id>``, description = text,
     label = source, notes blank; extras doc_id/lang/n_chars; order key doc_id."""
     docs = table(spark, sf_dir, "documents")
+    if spread_scan:
+        docs = spread(docs)
     raw = map_columns(
         docs,
         {
