@@ -14,6 +14,7 @@ from ..functions.text import cut, pct_half_even
 from .normalise import UNCATEGORISED
 from .ordering import running_total
 from .taxonomy import category_counts
+from ..session import materialize
 
 
 def distribution(labelled: DataFrame, col: str = "new_category", order_col: str = "pos") -> DataFrame:
@@ -67,6 +68,9 @@ def running_categories(labelled: DataFrame, col: str = "new_category", batch: st
     per_batch = labelled.select(F.col(batch).alias("batch_id"), F.lit(0).alias("_v")).unionByName(
         firsts.select(F.col("_fb").alias("batch_id"), F.lit(1).alias("_v"))
     ).groupBy("batch_id").agg(F.sum("_v").alias("new_categories"))
+    # the prefix sum reads its input three times (bounds, bucket totals, rows):
+    # write the small per-batch table once instead of re-running the upstream
+    per_batch = materialize(per_batch, "per_batch")
     return running_total(per_batch, "batch_id", "new_categories", "categories_so_far")
 
 

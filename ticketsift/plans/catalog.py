@@ -330,6 +330,107 @@ def q_stream_event_windows(spark, d):
     return stream_window_counts(spark, d)
 
 
+def q_review_request(spark, d):
+    """PRM3: the one consolidation request over the thresholded labels."""
+    from ..operators.prompts import review_request
+
+    lab = narrow(spark, d)
+    counts = lab.filter(F.col("new_category").isNotNull()).groupBy(F.col("new_category").alias("category")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(ORDER).alias("first_pos"))
+    keys = rpt.category_samples(lab.withColumn("issue_description", F.lit(None).cast("string")), 2, order_col=ORDER)
+    samples = with_text(spark, d, keys.select("doc_id", "category", "rn"))
+    unc_keys = rpt.uncategorised_head(lab, 10, order_col=ORDER).select("doc_id")
+    unc = with_text(spark, d, unc_keys).select(F.col("doc_id").alias("pos"), "issue_description")
+    req = review_request(counts, samples, unc, CONTEXT)
+    return req.select(F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
+
+
+def q_suggest_request(spark, d):
+    """PRM4: the taxonomy-suggestion request built from the SMP1 sample."""
+    from ..operators.prompts import suggest_request
+
+    t = tickets(spark, d)
+    n = sample_size(t.count())
+    req = suggest_request(suggestion_sample(t, n), CONTEXT, n)
+    return req.select(F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
+
+
+def q_stratified_sample(spark, d):
+    """SMP2 (documented backlog): two tickets per current label."""
+    from ..operators.taxonomy import stratified_sample
+
+    return stratified_sample(tickets(spark, d), 2).select("ticket_id", "current_label", "sample_key")
+
+
+def q_batch_metrics(spark, d):
+    """RPT8: per batch tickets, failed rows and categories so far (before the threshold)."""
+    cols = ["batch_id", "ticket_id", "new_category", "reasoning"]
+    lab = materialize(label_lexical(batched(spark, d), taxonomy()).select(*cols), "batch_labels")
+    return rpt.batch_metrics(lab).select("batch_id", "tickets", "failed", "new_categories", "categories_so_far")
+
+
+def q_tag_total_check(spark, d):
+    return thm.tag_total_check(_themed(spark, d))
+
+
+def q_merge_safety(spark, d):
+    """QLT5: agreement of each merge target with the expected quality label."""
+    lab, plan = _merge_plan(spark, d)
+    gold = table(spark, d, "labels").select("doc_id", F.concat(F.lit("quality="), F.col("quality").cast("string")).alias("expected"))
+    return qlt.merge_safety(lab.join(gold, "doc_id"), plan.mapping, "expected")
+
+
+def q_drill_down(spark, d):
+    """FLT3 (documented backlog): the tickets of one category."""
+    from ..operators.normalise import drill_down
+
+    return drill_down(narrow(spark, d), "German Text").select("ticket_id", "confidence", "reasoning")
+
+
+def q_conversation_labels(spark, d):
+    """DEC2 over conversation tickets (descriptions plus resolution notes)."""
+    return label_lexical(conversation_tickets(spark, d), taxonomy()).select("ticket_id", "new_category", "confidence", "reasoning")
+
+
+def q_order_priority_distribution(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("new_category"), "o_orderkey")
+    return rpt.distribution(o, order_col="o_orderkey")
+
+
+def tag_replies(spark, d):
+    """Theme replies derived from the data: each batch's lexical tags, varied
+    by the first ticket's language: en plain, fr fenced, de tags as one string
+    (joined letter by letter), es a null ``tags`` on the first element (the
+    whole batch stays blank)."""
+    b = batched(spark, d)
+    lab = label_lexical(b, taxonomy(), with_tags=True)
+    per = lab.groupBy("batch_id").agg(
+        F.min_by("lang", "batch_pos").alias("first_lang"),
+        F.sort_array(F.collect_list(F.struct("batch_pos", "ticket_id", "tags"))).alias("_r"),
+    )
+    plain = F.transform("_r", lambda x: F.struct(x["ticket_id"].alias("ticket_id"), x["tags"].alias("tags")))
+    as_str = F.transform("_r", lambda x: F.struct(x["ticket_id"].alias("ticket_id"), F.array_join(x["tags"], "").alias("tags")))
+    nulled = F.transform("_r", lambda x: F.struct(
+        x["ticket_id"].alias("ticket_id"),
+        F.when(x["batch_pos"] == 0, F.lit(None).cast("array<string>")).otherwise(x["tags"]).alias("tags")))
+    keep_nulls = {"ignoreNullFields": "false"}
+    raw = (
+        F.when(F.col("first_lang") == "fr", F.concat(F.lit("```json\n"), F.to_json(plain), F.lit("\n```")))
+        .when(F.col("first_lang") == "de", F.to_json(as_str))
+        .when(F.col("first_lang") == "es", F.to_json(nulled, keep_nulls))
+        .otherwise(F.to_json(plain))
+    )
+    return b, per.select("batch_id", raw.alias("raw"), F.lit(None).cast("string").alias("error"))
+
+
+def q_apply_tag_responses(spark, d):
+    """MTG1 + PAR4 + MTG2 over replies derived from the data."""
+    from ..operators.responses import apply_tag_replies
+
+    b, rep = tag_replies(spark, d)
+    return apply_tag_replies(b, parse_replies(rep, _requests(b))).select("ticket_id", "multi_tags")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalise_tickets": q_normalise_tickets,
     "conversation_tickets": q_conversation_tickets,
@@ -364,4 +465,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trend_by_day": q_trend_by_day,
     "stream_rounds": q_stream_rounds,
     "stream_event_windows": q_stream_event_windows,
+    "review_request": q_review_request,
+    "suggest_request": q_suggest_request,
+    "stratified_sample": q_stratified_sample,
+    "batch_metrics": q_batch_metrics,
+    "tag_total_check": q_tag_total_check,
+    "merge_safety": q_merge_safety,
+    "drill_down": q_drill_down,
+    "conversation_labels": q_conversation_labels,
+    "order_priority_distribution": q_order_priority_distribution,
+    "apply_tag_responses": q_apply_tag_responses,
 }

@@ -391,3 +391,9 @@ SELECT confidence, n, {pct('n', 'total')} AS pct FROM per, t""",
         "stream_event_windows": """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS category, count(*) AS n FROM events GROUP BY 1, 2""",
     }
+
+
+def build_all() -> dict[str, str]:
+    from .oracle_extra import build as build_extra
+
+    return {**build(), **build_extra()}
