@@ -71,19 +71,23 @@ def apply_replies(batched: DataFrame, parsed: DataFrame, align: str = "position"
 
     ``align='ticket_id'`` matches by the reply's ticket id instead.  A failed
     call marks every row ``Processing error: ...``; an unusable reply marks
-    every row of the batch with the parse-failure reason.  Both joins are on
-    ``batch_id`` (at most ``BATCH_SIZE`` rows per key on either side).
+    every row of the batch with the parse-failure reason.  In position mode
+    the reply side is expanded to one row per ticket slot (element or batch
+    state), so a single join on ``(batch_id, batch_pos)`` attaches everything;
+    no key holds more than one row per side.
     """
-    status = parsed.select("batch_id", F.col("error").alias("_berr"), F.col("ok").alias("_bok"))
-    elems = parsed.filter(F.col("ok")).select("batch_id", F.posexplode("items").alias("_i", "_elem"))
     if align == "ticket_id":
+        status = parsed.select(F.col("batch_id").alias("_b2"), F.col("error").alias("_berr"), F.col("ok").alias("_bok"))
+        elems = parsed.filter(F.col("ok")).select(F.col("batch_id").alias("_b"), F.posexplode("items").alias("_i", "_elem"))
         elems = elems.withColumn("_rid", F.get_json_object("_elem", "$.ticket_id"))
-        keyed = batched.join(elems.withColumnRenamed("batch_id", "_b"),
-                             (F.col("batch_id") == F.col("_b")) & (F.col("ticket_id") == F.col("_rid")), "left")
+        keyed = batched.join(elems, (F.col("batch_id") == F.col("_b")) & (F.col("ticket_id") == F.col("_rid")), "left")
+        keyed = keyed.join(status, F.col("batch_id") == F.col("_b2"), "left")
     else:
-        keyed = batched.join(elems.withColumnRenamed("batch_id", "_b"),
-                             (F.col("batch_id") == F.col("_b")) & (F.col("batch_pos") == F.col("_i")), "left")
-    keyed = keyed.join(status, "batch_id", "left")
+        slots = parsed.select(
+            F.col("batch_id").alias("_b"), F.col("error").alias("_berr"), F.col("ok").alias("_bok"), "items",
+            F.explode(F.sequence(F.lit(0), F.col("n_tickets").cast("int") - 1)).alias("_i"),
+        ).withColumn("_elem", F.when(F.col("_bok"), F.element_at("items", F.col("_i") + 1))).drop("items")
+        keyed = batched.join(slots, (F.col("batch_id") == F.col("_b")) & (F.col("batch_pos") == F.col("_i")), "left")
     e, err = F.col("_elem"), F.col("_berr")
     cols = {}
     for k, d in DEFAULTS.items():
@@ -97,7 +101,7 @@ def apply_replies(batched: DataFrame, parsed: DataFrame, align: str = "position"
     out = out.withColumn(
         "reasoning", F.when(err.isNotNull(), F.concat(F.lit(ERROR_PREFIX), err)).otherwise(F.col("reasoning"))
     )
-    return out.drop("_b", "_i", "_elem", "_rid", "_berr", "_bok")
+    return out.drop("_b", "_b2", "_i", "_elem", "_rid", "_berr", "_bok")
 
 
 def _tags_variant(elem: Column) -> Column:
