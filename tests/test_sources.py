@@ -83,3 +83,14 @@ def test_row_ids_in_file_order(spark, tmp):
     df = normalise(read_files(spark, p))
     assert sorted((r.ticket_id, r.issue_description) for r in df.collect()) == [
         ("Row 1", "first"), ("Row 2", "second"), ("Row 3", "third")]
+
+
+def test_builtin_datasets(spark):
+    from conftest import SF_SMALL
+
+    from ticketsift.sources.tables import dataset, dataset_context
+
+    assert dataset(spark, SF_SMALL, "documents").count() == 200
+    assert len(dataset_context("conversations")) >= 10
+    with pytest.raises(ValueError, match="conversations, documents"):
+        dataset(spark, SF_SMALL, "nope")

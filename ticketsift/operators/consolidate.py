@@ -134,6 +134,46 @@ def term_summaries(labelled: DataFrame, k: int = 3, min_len: int = 4, col: str =
     )
 
 
+def term_table(labelled: DataFrame, min_len: int = 4, col: str = "new_category",
+               text: str = "issue_description", stop_words=STOP_WORDS) -> DataFrame:
+    """Per (category, term) the number of tickets containing the term, plus one
+    row per category with a null term holding its ticket count.
+
+    Tickets belong to exactly one category, so these counts add up when
+    categories are folded or merged afterwards: thresholds and merges can be
+    applied to this aggregated table instead of re-reading the texts.
+    """
+    terms = F.filter(F.array_distinct(tokens(text)), lambda t: (F.length(t) >= min_len) & ~t.isin(list(stop_words)))
+    with_marker = F.concat(terms, F.array(F.lit(None).cast("string")))
+    return (
+        labelled.filter(F.col(col).isNotNull())
+        .select(F.col(col).alias("category"), F.explode(with_marker).alias("term"))
+        .groupBy("category", "term")
+        .agg(F.count(F.lit(1)).alias("df"))
+    )
+
+
+def remap_terms(terms: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """Fold / merge categories on the aggregated term table (exact, see ``term_table``)."""
+    if not mapping:
+        return terms
+    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    return (
+        terms.withColumn("category", F.coalesce(F.element_at(m, F.col("category")), F.col("category")))
+        .groupBy("category", "term")
+        .agg(F.sum("df").alias("df"))
+    )
+
+
+def summaries_from_terms(terms: DataFrame, k: int = 3) -> DataFrame:
+    """DEC6 from the term table: the ``k`` most frequent terms per category."""
+    w = Window.partitionBy("category").orderBy(F.desc("df"), F.asc("term"))
+    top = terms.filter(F.col("term").isNotNull()).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+    return top.groupBy("category").agg(
+        F.concat(F.lit(SUMMARY_PREFIX), F.expr("listagg(term, ', ') WITHIN GROUP (ORDER BY rn)")).alias("summary")
+    )
+
+
 def run_facts(labelled: DataFrame, col: str = "new_category", order_col: str = "pos", merges: int = 0) -> DataFrame:
     """RPT9 / DEC7 facts: total, named categories, dominant named category and
     its share, Uncategorised and Low counts.  Category counts first (tiny),

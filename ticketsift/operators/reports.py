@@ -79,12 +79,21 @@ def breakdown(summaries: DataFrame, labelled: DataFrame, col: str = "new_categor
     tickets (0 when none), share of *all* rows, summary.  Categories without a
     summary are not listed.  Both sides have one row per category."""
     counts = labelled.groupBy(F.col(col).alias("_cat")).agg(F.count(F.lit(1)).alias("n"))
+    return breakdown_from_counts(summaries, counts)
+
+
+def breakdown_from_counts(summaries: DataFrame, counts: DataFrame) -> DataFrame:
+    """JON6 / RPT4 over a ``(_cat, n)`` count table (one row per category)."""
     named = summaries.filter(F.col("category") != UNCATEGORISED)
-    # outer join of two one-row-per-category tables; the row total is a
-    # window over that small result, then only summarised categories stay
-    j = named.join(counts, named["category"] == counts["_cat"], "full").withColumn(
-        "_rows", F.sum("n").over(Window.partitionBy())
-    ).filter(F.col("summary").isNotNull() & F.col("category").isNotNull())
+    # both inputs have one row per category: stack them and aggregate by
+    # category (no join); the row total is a window over that small result
+    stacked = named.select("category", "summary", F.lit(None).cast("long").alias("n"), F.lit(1).alias("_s")).unionByName(
+        counts.select(F.col("_cat").alias("category"), F.lit(None).cast("string").alias("summary"), "n", F.lit(0).alias("_s"))
+    )
+    per = stacked.groupBy("category").agg(
+        F.max("summary").alias("summary"), F.sum("n").alias("n"), F.max("_s").alias("_s")
+    ).withColumn("_rows", F.sum("n").over(Window.partitionBy()))
+    j = per.filter((F.col("_s") == 1) & F.col("category").isNotNull())
     n = F.coalesce(F.col("n"), F.lit(0))
     return j.select("category", n.alias("tickets"), pct_half_even(n, F.col("_rows")).alias("pct"), "summary")
 

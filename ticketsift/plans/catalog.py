@@ -221,8 +221,16 @@ def q_merge_log(spark, d):
 
 
 def q_category_breakdown(spark, d):
-    lab = labelled(spark, d)
-    return rpt.breakdown(cns.term_summaries(lab), lab)
+    """DEC6 + JON6/RPT4 in one tokenisation pass: terms are counted per raw
+    category (null term = ticket count), the small aggregated table is
+    written once, the threshold fold is decided on its counts and applied to
+    it, then summaries and the breakdown are read off it."""
+    terms = materialize(cns.term_table(lexical(spark, d)), "terms")
+    counts = {r["category"]: r["df"] for r in terms.filter(F.col("term").isNull()).collect()}
+    small = {c: UNCATEGORISED for c, n in counts.items() if c != UNCATEGORISED and n < MIN_BUCKET}
+    folded = cns.remap_terms(terms, small)
+    per_cat = folded.filter(F.col("term").isNull()).select(F.col("category").alias("_cat"), F.col("df").alias("n"))
+    return rpt.breakdown_from_counts(cns.summaries_from_terms(folded), per_cat)
 
 
 def q_suggest_sample(spark, d):

@@ -80,3 +80,27 @@ def conversation_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "turns",
     )
     return clean_known(drop_blank(raw))
+
+
+# --- fixed values -----------------------------------------------------------
+# Built-in data sets (SRC8/SRC9): key → (label, one-line context, builder).
+DATASETS = {
+    "documents": ("Crawled documents", "Invented multilingual documents from a synthetic crawl, read as support tickets"),
+    "conversations": ("Chat transcripts", "Assistant chat transcripts: first user turn as the issue, last reply as the resolution"),
+}
+# -----------------------------------------------------------------------------
+
+
+def dataset(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """SRC8: a built-in ticket table by key; an unknown key names the valid ones."""
+    builders = {"documents": document_tickets, "conversations": conversation_tickets}
+    if key not in builders:
+        raise ValueError(f"unknown data set '{key}'; choose one of: {', '.join(sorted(builders))}")
+    return builders[key](spark, sf_dir)
+
+
+def dataset_context(key: str) -> str:
+    """SRC9: the one-line context of a built-in data set."""
+    if key not in DATASETS:
+        raise ValueError(f"unknown data set '{key}'; choose one of: {', '.join(sorted(DATASETS))}")
+    return DATASETS[key][1]

@@ -20,6 +20,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from ..operators.deciders import label_lexical
 from ..operators.normalise import UNCATEGORISED, clean_known, drop_blank
@@ -43,9 +44,12 @@ def _tickets_from_docs(df: DataFrame) -> DataFrame:
 
 
 def _read_taxonomy(spark: SparkSession, path: str, seed: Taxonomy) -> Taxonomy:
-    if not os.path.exists(path):
+    """Seed plus the names appended by earlier rounds (a small table; the
+    folder may live on a shared file system, so it is probed through Spark)."""
+    try:
+        rows = spark.read.parquet(path).orderBy("round", "ordinal").collect()
+    except AnalysisException:  # no round has written names yet
         return seed
-    rows = spark.read.parquet(path).orderBy("round", "ordinal").collect()
     tax = Taxonomy(list(seed.categories))
     for r in rows:
         if r["category"] not in tax.names:
