@@ -48,3 +48,21 @@ def test_repartition_invariance_and_threshold(spark):
     assert all(n >= 5 for c, n in counts.items() if c != "Uncategorised")
     assert sum(counts.values()) == 200 and counts["Uncategorised"] == 14   # 11 + the folded 3
     assert "BroadcastHashJoin" in th._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_names_equals_brute_force(spark):
+    import itertools
+    import random
+    import re
+
+    from ticketsift.operators.quality import similar_names
+
+    rnd = random.Random(7)
+    words = ["standard", "tin", "copper", "brass", "steel", "nickel", "plated", "brushed", "burnished", "polished", "anodized"]
+    names = sorted({" ".join(rnd.sample(words, rnd.randint(1, 4)) + (["standard"] if rnd.random() < 0.4 else [])) for _ in range(150)})
+    toks = {n: set(t for t in re.split("[^a-z0-9]+", n.lower()) if t) for n in names}
+    for t in (0.3, 0.5, 0.8):
+        exp = {(a, b) for a, b in itertools.combinations(sorted(names), 2)
+               if len(toks[a] & toks[b]) >= t * len(toks[a] | toks[b]) - 1e-12}
+        got = {(r.name_a, r.name_b) for r in similar_names(spark.createDataFrame([(n,) for n in names], "name string"), "name", t).collect()}
+        assert got == exp

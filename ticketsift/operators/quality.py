@@ -59,13 +59,16 @@ def name_tokens(col: str) -> F.Column:
 def similar_names(names: DataFrame, col: str = "name", threshold: float = 0.5) -> DataFrame:
     """QLT4 / DEC5: pairs of names whose token sets have Jaccard ≥ ``threshold``.
 
-    Exact all-pairs similarity join with prefix filtering: tokens are ordered
-    rarest first; two sets can only reach the threshold if they share a token
-    among the first ``|s| - ceil(t·|s|) + 1`` of either set, so only those
-    prefix tokens are joined (hot, common tokens rarely sit in a prefix), then
-    the exact Jaccard is computed on the candidate pairs.  No pair is dropped
-    that meets the threshold.
+    Exact all-pairs similarity join with prefix filtering.  Tokens are
+    ordered rarest first.  If J(x, y) ≥ t with |x| ≤ |y|, the two sets share
+    at least a = t·|x ∪ y| tokens, so x's first |x| - ⌈2t/(1+t)·|x|⌉ + 1
+    tokens ("index prefix") and y's first |y| - ⌈t·|y|⌉ + 1 tokens ("probe
+    prefix") must intersect.  Only those prefix tokens are joined (index side
+    of the shorter set against probe side of the longer), so a very common
+    token, which sorts last, rarely produces candidates; the exact Jaccard is
+    then computed on the candidates.  No pair meeting the threshold is lost.
     """
+    t = float(threshold)
     sets = names.select(F.col(col).alias("name")).distinct().withColumn("toks", name_tokens("name")).filter(F.size("toks") > 0)
     freq = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
     freq = _bounded_broadcast(freq, None)
@@ -73,22 +76,31 @@ def similar_names(names: DataFrame, col: str = "name", threshold: float = 0.5) -
         sets.select("name", "toks", F.explode("toks").alias("tok"))
         .join(freq, "tok")
         .groupBy("name", "toks")
-        .agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("_o"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "tok"))), lambda x: x["tok"]).alias("_o"))
     )
-    s = F.size("toks")
-    plen = s - F.ceil(F.lit(threshold) * s) + 1
-    prefixed = ordered.select(
-        "name", "toks", F.explode(F.slice(F.transform("_o", lambda x: x["tok"]), 1, plen.cast("int"))).alias("tok")
+    s_ = F.size("toks")
+    index_len = (s_ - F.ceil(F.lit(2 * t / (1 + t)) * s_ - F.lit(1e-9)) + 1).cast("int")
+    probe_len = (s_ - F.ceil(F.lit(t) * s_ - F.lit(1e-9)) + 1).cast("int")
+    index = ordered.select(F.col("name").alias("name_x"), F.col("toks").alias("tx"),
+                           F.explode(F.slice("_o", 1, index_len)).alias("tok"))
+    probe = ordered.select(F.col("name").alias("name_y"), F.col("toks").alias("ty"),
+                           F.explode(F.slice("_o", 1, probe_len)).alias("tok"))
+    cand = (
+        index.join(probe, "tok")
+        .filter((F.col("name_x") != F.col("name_y")) & (F.size("tx") <= F.size("ty"))
+                & (F.size("tx") >= F.lit(t) * F.size("ty") - F.lit(1e-9)))
+        .select(
+            F.least("name_x", "name_y").alias("name_a"), F.greatest("name_x", "name_y").alias("name_b"),
+            F.col("tx").alias("ta"), F.col("ty").alias("tb"),
+        )
+        .dropDuplicates(["name_a", "name_b"])
     )
-    a = prefixed.select(F.col("name").alias("name_a"), F.col("toks").alias("ta"), "tok")
-    b = prefixed.select(F.col("name").alias("name_b"), F.col("toks").alias("tb"), "tok")
-    cand = a.join(b, "tok").filter(F.col("name_a") < F.col("name_b")).select("name_a", "name_b", "ta", "tb").dropDuplicates(["name_a", "name_b"])
     shared = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - shared
-    out = cand.select(
-        "name_a", "name_b", shared.alias("shared"), union.alias("union_size")
-    ).withColumn("jaccard", F.round(F.col("shared") / F.col("union_size"), 4))
-    return out.filter(F.col("shared") >= F.lit(threshold) * F.col("union_size") - F.lit(1e-12))
+    out = cand.select("name_a", "name_b", shared.alias("shared"), union.alias("union_size")).withColumn(
+        "jaccard", F.round(F.col("shared") / F.col("union_size"), 4)
+    )
+    return out.filter(F.col("shared") >= F.lit(t) * F.col("union_size") - F.lit(1e-12))
 
 
 def merge_decisions(similar: DataFrame, hi: float = 0.8, lo: float = 0.5, max_flags: int = 3) -> DataFrame:
