@@ -19,6 +19,7 @@ from ticketsift.plans.catalog import QUERIES  # noqa: E402
 from ticketsift.session import local_session  # noqa: E402
 
 HEADLINE = (
+    "run_primary",
     "lexical_primary",
     "threshold_labels",
     "category_distribution",

@@ -439,6 +439,27 @@ def q_apply_tag_responses(spark, d):
     return apply_tag_replies(b, parse_replies(rep, _requests(b))).select("ticket_id", "multi_tags")
 
 
+def q_run_primary(spark, d):
+    """The end-to-end ``run()`` at full depth with the lexical decider:
+    positions, labels, threshold, review (no name is similar enough to merge
+    among the starter categories), themes."""
+    from ..plans.run import run
+
+    res = run(assign_positions(tickets(spark, d), ORDER), CONTEXT, MODE, taxonomy=taxonomy(), depth="full")
+    return res.export.select("ticket_id", "new_category", "confidence", "reasoning", "multi_tags")
+
+
+def q_merged_facts(spark, d):
+    """RPT9 + AGG8 after consolidation: facts over the merged labels and the
+    number of merges applied (log lines)."""
+    lab, plan = _merge_plan(spark, d)
+    return cns.run_facts(cns.apply_mapping(lab, plan.mapping), order_col=ORDER, merges=len(plan.log))
+
+
+def q_uncategorised_panel(spark, d):
+    return rpt.uncategorised_panel(narrow(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalise_tickets": q_normalise_tickets,
     "conversation_tickets": q_conversation_tickets,
@@ -483,4 +504,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "conversation_labels": q_conversation_labels,
     "order_priority_distribution": q_order_priority_distribution,
     "apply_tag_responses": q_apply_tag_responses,
+    "run_primary": q_run_primary,
+    "merged_facts": q_merged_facts,
+    "uncategorised_panel": q_uncategorised_panel,
 }

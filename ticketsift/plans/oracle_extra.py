@@ -118,8 +118,49 @@ SELECT category AS target, sum(k) AS tickets, max(CASE WHEN rn = 1 THEN k END) A
 FROM r GROUP BY category"""
 
 
+def merged_facts() -> str:
+    steps = ["m0 AS (SELECT doc_id, confidence, new_category FROM labelled)"]
+    k = 0
+    for src, tgt in MERGES:
+        if not src or not tgt:
+            continue
+        inlist = ", ".join(q(x) for x in src)
+        steps.append(f"m{k + 1} AS (SELECT doc_id, confidence, CASE WHEN new_category IN ({inlist}) THEN {q(tgt)} "
+                     f"ELSE new_category END AS new_category FROM m{k})")
+        k += 1
+    logs = []
+    k = 0
+    for src, tgt in MERGES:
+        if not src or not tgt:
+            continue
+        inlist = ", ".join(q(x) for x in src)
+        logs.append(f"(SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM m{k} WHERE new_category IN ({inlist}))")
+        k += 1
+    merges = " + ".join(logs) if logs else "0"
+    return W(TICKETS, LEXICAL, LABELLED) + ", " + ", ".join(steps) + f"""
+, per AS (SELECT new_category AS category, count(*) AS n, min(doc_id) AS first_pos,
+                 count(*) FILTER (WHERE confidence = 'Low') AS low FROM m{k} GROUP BY 1),
+named AS (SELECT * FROM per WHERE category IS NOT NULL AND category <> 'Uncategorised'),
+dom AS (SELECT category, n FROM named ORDER BY n DESC, first_pos LIMIT 1)
+SELECT (SELECT sum(n) FROM per) AS total,
+       (SELECT count(*) FROM named) AS categories,
+       (SELECT category FROM dom) AS dominant,
+       (SELECT n FROM dom) AS dominant_n,
+       CAST(round_even(CAST((SELECT n FROM dom) AS DOUBLE) / CAST((SELECT sum(n) FROM per) AS DOUBLE) * 100.0, 0) AS BIGINT) AS dominant_pct,
+       coalesce((SELECT sum(n) FROM per WHERE category = 'Uncategorised'), 0) AS uncategorised,
+       (SELECT sum(low) FROM per) AS low_confidence,
+       {merges} AS merges"""
+
+
 def build() -> dict[str, str]:
     return {
+        "run_primary": W(TICKETS, LEXICAL, LABELLED) + """
+SELECT ticket_id, new_category, confidence, reasoning, array_to_string(tags, ' | ') AS multi_tags FROM labelled""",
+        "merged_facts": merged_facts(),
+        "uncategorised_panel": W(TICKETS, LEXICAL, LABELLED) + """
+SELECT count(*) FILTER (WHERE new_category = 'Uncategorised') AS uncategorised,
+       count(*) FILTER (WHERE new_category = 'Uncategorised') = 0 AS all_categorised
+FROM labelled""",
         "review_request": review_request(),
         "suggest_request": suggest_request(),
         "stratified_sample": W(TICKETS) + """

@@ -35,7 +35,6 @@ from ..operators.deciders import call_requests, label_lexical, replay_requests
 from ..operators.normalise import UNCATEGORISED, TicketError, check_context, check_manual_list, clean_category_list
 from ..operators.ordering import BATCH_SIZE, assign_batches, assign_positions
 from ..operators.prompts import categorise_requests, review_request, tag_requests
-from ..operators.quality import merge_decisions, similar_names
 from ..operators.reports import category_samples, uncategorised_head
 from ..operators.responses import (
     apply_replies, apply_tag_replies, parse_replies, parse_replies_strict, parse_review,
@@ -127,6 +126,20 @@ def name_words(name: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(w for w in re.split("[^a-z]+", name.lower()) if len(w) > 2 and w not in STOP_WORDS))
 
 
+def name_pairs(names, threshold: float) -> list[tuple[str, str, float]]:
+    """Token-set Jaccard ≥ threshold among a short, driver-held name list."""
+    import itertools
+    import re
+
+    toks = {n: {t for t in re.split("[^a-z0-9]+", n.lower()) if t} for n in names}
+    out = []
+    for a, b in itertools.combinations(sorted(names), 2):
+        inter, union = len(toks[a] & toks[b]), len(toks[a] | toks[b])
+        if union and inter >= threshold * union - 1e-12:
+            out.append((a, b, inter / union))
+    return out
+
+
 def _discover(tickets: DataFrame, taxonomy: Taxonomy, k: int) -> Taxonomy:
     """Lexical discovery (DEC4): one category per frequent sample term."""
     n = sample_size(tickets.count())
@@ -194,10 +207,10 @@ def run(
 
     themed = None
     if depth == "full":
-        names = [r["category"] for r in first_seen(labelled, order_col="pos").orderBy("ordinal").collect()]
         if decider == "lexical":
             themed = join_tags(labelled)
         else:
+            names = [r["category"] for r in first_seen(labelled, order_col="pos").orderBy("ordinal").collect()]
             req = tag_requests(labelled, context, names)
             resp = materialize(_decide(req, decider, tag_responses, call_factory), "tag_replies")
             parsed = (parse_replies_strict if cfg.strict_json else parse_replies)(resp, req)
@@ -229,12 +242,11 @@ def _consolidate(labelled: DataFrame, context: str, decider: str, review_respons
     counts = cns.collect_counts(labelled)
     if decider == "lexical":
         summaries = {r["category"]: r["summary"] for r in cns.term_summaries(labelled).collect()}
-        names = labelled.sparkSession.createDataFrame([(c,) for c in counts if c != UNCATEGORISED], "name string")
-        merges = [
-            ((r["name_a"], r["name_b"]), r["name_a"])
-            for r in merge_decisions(similar_names(names, "name", cfg.merge_similarity), hi=cfg.merge_similarity).filter(
-                F.col("action") == "merge").orderBy("name_a", "name_b").collect()
-        ]
+        # the category names are already on the driver (at most the taxonomy
+        # size): decide near-identical names there; ``similar_names`` is the
+        # Spark join for name tables of any size
+        names = sorted(c for c in counts if c and c != UNCATEGORISED)
+        merges = [((a, b), a) for a, b, _ in name_pairs(names, cfg.merge_similarity)]
         plan = cns.fold_merges(counts, merges, summaries, cfg.keep_target_summary)
         return {"category_summaries": plan.summaries, "merge_flags": [], "uncategorised_analysis": []}, plan
     cnt = cns_counts_df(labelled)
