@@ -26,3 +26,33 @@ def test_uncategorised_is_not_guarded(spark):
     assert plan.counts == {"A": 9}
     df = spark.createDataFrame([("Uncategorised",), ("A",), (None,)], "new_category string")
     assert sorted(str(r[0]) for r in apply_mapping(df, plan.mapping).collect()) == ["A", "A", "None"]
+
+
+def _labelled(spark):
+    rows = [(i, f"T{i}", f"desc {i}", c, "High", "r") for i, c in enumerate(["A"] * 6 + ["B"] * 5 + ["Uncategorised"] * 2)]
+    return spark.createDataFrame(rows, "pos long, ticket_id string, issue_description string, new_category string, confidence string, reasoning string")
+
+
+def test_review_failure_keeps_labels(spark):
+    from ticketsift.plans.run import RunConfig, _consolidate
+
+    review, plan = _consolidate(_labelled(spark), "ctx ctx ctx", "replay", None, None, RunConfig())
+    assert review["uncategorised_analysis"] == ["Analysis unavailable: no recorded response"]
+    assert review["category_summaries"] == {"A": "", "B": "", "Uncategorised": ""}
+    assert plan.mapping == {} and plan.log == []
+
+
+def test_review_reply_applies_merges_and_skips_malformed(spark):
+    import json
+
+    from ticketsift.plans.run import RunConfig, _consolidate
+
+    reply = "```json\n" + json.dumps({
+        "narrative": "two themes", "category_summaries": {"A": "a", "B": "b"},
+        "auto_merges": [{"merge_these": "A", "into": "X"}, {"merge_these": ["A", "B"], "into": "AB"}],
+        "merge_flags": ["maybe"], "uncategorised_analysis": ["short texts"],
+    }) + "\n```"
+    review, plan = _consolidate(_labelled(spark), "ctx ctx ctx", "replay", reply, None, RunConfig())
+    assert plan.log == ["Merged: 'A' + 'B' → 'AB' (11 tickets)"]
+    assert review["category_summaries"] == {"AB": "a / b"}
+    assert review["narrative"] == "two themes" and review["merge_flags"] == ["maybe"]

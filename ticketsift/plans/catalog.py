@@ -460,6 +460,26 @@ def q_uncategorised_panel(spark, d):
     return rpt.uncategorised_panel(narrow(spark, d))
 
 
+# --- fixed values -----------------------------------------------------------
+SEED_EVENT_CATEGORIES = ("click", "view")
+# -----------------------------------------------------------------------------
+
+
+def q_taxonomy_gaps(spark, d):
+    """JON5: categories seen in the data but missing from a seed taxonomy
+    (left anti join against the seed table, broadcast: its size is the seed
+    list's), in first-seen order."""
+    seed = Taxonomy.from_names(SEED_EVENT_CATEGORIES).to_df(spark).select(F.col("category").alias("new_category"))
+    seen = first_seen(_events_batched(spark, d), order_col="event_id").withColumnRenamed("category", "new_category")
+    gaps = seen.join(F.broadcast(seed), "new_category", "left_anti")
+    return gaps.select(F.col("new_category").alias("category"), "first_pos", "n")
+
+
+def q_run_narrative(spark, d):
+    """DEC7: the facts briefing line (extractive stand-in for the model's prose)."""
+    return cns.narrative(cns.run_facts(narrow(spark, d), order_col=ORDER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalise_tickets": q_normalise_tickets,
     "conversation_tickets": q_conversation_tickets,
@@ -507,4 +527,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_primary": q_run_primary,
     "merged_facts": q_merged_facts,
     "uncategorised_panel": q_uncategorised_panel,
+    "taxonomy_gaps": q_taxonomy_gaps,
+    "run_narrative": q_run_narrative,
 }

@@ -152,8 +152,24 @@ SELECT (SELECT sum(n) FROM per) AS total,
        {merges} AS merges"""
 
 
+def run_narrative() -> str:
+    from .oracle import _run_facts
+
+    facts = _run_facts()
+    return f"""
+WITH facts AS ({facts})
+SELECT printf('%d tickets were sorted into %d categories; the largest is ''%s'' with %d tickets (%d%%). %d tickets stayed Uncategorised.',
+              total, categories, coalesce(dominant, 'none'), coalesce(dominant_n, 0), coalesce(dominant_pct, 0), uncategorised) AS narrative
+FROM facts"""
+
+
 def build() -> dict[str, str]:
     return {
+        "taxonomy_gaps": """
+WITH f AS (SELECT event_type AS category, min(event_id) AS first_pos, count(*) AS n FROM events
+           WHERE event_type IS NOT NULL AND event_type <> '' AND event_type <> 'Uncategorised' GROUP BY 1)
+SELECT category, first_pos, n FROM f WHERE category NOT IN ('click', 'view')""",
+        "run_narrative": run_narrative(),
         "run_primary": W(TICKETS, LEXICAL, LABELLED) + """
 SELECT ticket_id, new_category, confidence, reasoning, array_to_string(tags, ' | ') AS multi_tags FROM labelled""",
         "merged_facts": merged_facts(),
