@@ -66,3 +66,22 @@ def test_similar_names_equals_brute_force(spark):
                if len(toks[a] & toks[b]) >= t * len(toks[a] | toks[b]) - 1e-12}
         got = {(r.name_a, r.name_b) for r in similar_names(spark.createDataFrame([(n,) for n in names], "name string"), "name", t).collect()}
         assert got == exp
+
+
+def test_wide_taxonomy_path_matches_literal_path(spark):
+    base = document_tickets(spark, SF_SMALL)
+    tax = Taxonomy.starter()
+    # the same starter plus unused categories, so the wide path is taken on its own
+    wide_tax = Taxonomy(tax.categories + [Category(f"Filler {i}", (f"zzfill{i}",), 1) for i in range(70)])
+    cols = ["ticket_id", "new_category", "confidence", "reasoning", "tags"]
+    def rows(df):
+        return {tuple(r[:4]) + (tuple(r[4]),) for r in df.select(*cols).collect()}
+
+    lit = rows(label_lexical(base, tax, with_tags=True))
+    wide = rows(label_lexical(base, wide_tax, with_tags=True))
+    forced = rows(label_lexical(base, tax, with_tags=True, wide=True))
+    assert len(lit) == 200 and lit == wide == forced
+    tie = Taxonomy([Category("A", ("alpha",), 1), Category("B", ("alpha", "beta"), 1)])
+    df = spark.createDataFrame([("alpha",), ("alpha beta",)], "issue_description string").withColumn("resolution_notes", F.lit(""))
+    got = [(r.new_category, r.confidence, r.reasoning) for r in label_lexical(df, tie, wide=True).collect()]
+    assert got == [("A", "Low", "Matched: alpha"), ("B", "High", "Matched: alpha, beta")]

@@ -52,6 +52,7 @@ def label_lexical(
     text: Column | None = None,
     with_tags: bool = False,
     keep_scores: bool = False,
+    wide: bool | None = None,
 ) -> DataFrame:
     """DEC2 (+ DEC3 when ``with_tags``): primary category, confidence, reason.
 
@@ -61,6 +62,10 @@ def label_lexical(
     * tags      all categories with score ≥ 1, by score desc then ordinal
     """
     cats = taxonomy.categories
+    if wide is None:
+        wide = len(cats) > LITERAL_CATEGORY_LIMIT
+    if cats and wide:
+        return observe_labels(_label_lexical_wide(df, taxonomy, text, with_tags))
     if not cats:
         out = df.withColumns(
             {"new_category": F.lit(UNCATEGORISED), "confidence": F.lit("Low"), "reasoning": F.lit(NO_MATCH_REASON)}
@@ -96,6 +101,51 @@ def label_lexical(
     return observe_labels(out)
 
 
+LITERAL_CATEGORY_LIMIT = 64
+
+
+def _label_lexical_wide(df: DataFrame, taxonomy: Taxonomy, text: Column | None, with_tags: bool) -> DataFrame:
+    """The same decision for a taxonomy of hundreds of categories.
+
+    Per-category ``CASE`` chains grow with the taxonomy and outgrow code
+    generation, so here the categories live in three literals (keyword →
+    category ordinals map, weights, names) and the scores are one array:
+    O(matched keywords × categories) per row, still one projection.
+    """
+    cats = taxonomy.categories
+    k = len(cats)
+    owners: dict[str, list[int]] = {}
+    for i, c in enumerate(cats):
+        for kw in c.keywords:
+            owners.setdefault(kw, []).append(i)
+    kw_map = F.create_map(*[x for kw, os_ in owners.items() for x in (F.lit(kw), F.array(*[F.lit(o) for o in os_]))]) \
+        if owners else F.create_map().cast("map<string,array<int>>")
+    weights = F.array(*[F.lit(c.weight) for c in cats])
+    names = F.array(*[F.lit(c.name) for c in cats])
+    text = lexical_text() if text is None else text
+    m = F.array_intersect(tokens(text), _arr(list(owners)))
+    df = df.withColumn("_m", m)
+    hits = F.flatten(F.transform(F.col("_m"), lambda w: F.element_at(kw_map, w)))
+    scores = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
+                         lambda i: F.size(F.filter(hits, lambda h: h == i)) * F.element_at(weights, i + 1))
+    df = df.withColumn("_sc", scores).withColumn("_best", F.array_max("_sc"))
+    b = F.col("_best")
+    win = F.array_position(F.col("_sc"), b) - 1
+    ntop = F.size(F.filter(F.col("_sc"), lambda x: x == b))
+    won = F.filter(F.col("_m"), lambda w: F.array_contains(F.element_at(kw_map, w), win.cast("int")))
+    cols = {
+        "new_category": F.when(b == 0, F.lit(UNCATEGORISED)).otherwise(F.element_at(names, win.cast("int") + 1)),
+        "confidence": F.when((b >= 2) & (ntop == 1), "High").when((b == 1) & (ntop == 1), "Medium").otherwise("Low"),
+        "reasoning": F.when(b == 0, F.lit(NO_MATCH_REASON)).otherwise(
+            F.concat(F.lit("Matched: "), F.array_join(F.sort_array(won), ", "))),
+    }
+    if with_tags:
+        ranked = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(
+            (-F.element_at(F.col("_sc"), i + 1)).alias("k"), i.alias("o"), F.element_at(names, i + 1).alias("c")))
+        cols["tags"] = F.transform(F.sort_array(F.filter(ranked, lambda x: x["k"] < 0)), lambda x: x["c"])
+    return df.withColumns(cols).drop("_m", "_sc", "_best")
+
+
 def observe_labels(df: DataFrame, name: str | None = None) -> DataFrame:
     """Attach label metrics (rows, Uncategorised, Low) to the labelled table.
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cut, is_blank, normalise_name, ustrip
+from ..functions.text import is_blank, normalise_name, ustrip
 
 KNOWN = ("ticket_id", "issue_description", "current_label", "resolution_notes")
 REQUIRED = "issue_description"
@@ -159,19 +159,6 @@ def check_auto_mode(rows: int, confirmed) -> list[str]:
     return out
 
 
-def display_view(labelled: DataFrame, low_only: bool = False) -> DataFrame:
-    """RPT1 = FLT1 + PRJ1: the results table as the page shows it."""
-    src = labelled.filter(F.col("confidence") == "Low") if low_only else labelled
-    return src.select(
-        F.col("ticket_id").alias("ticket"),
-        cut("issue_description", 80).alias("description"),
-        F.col("current_label").alias("old_label"),
-        F.col("new_category").alias("category"),
-        F.col("confidence"),
-        F.col("reasoning"),
-    )
-
-
 def named_only(df: DataFrame, col: str = "new_category") -> DataFrame:
     """FLT2."""
     return df.filter(F.col(col) != UNCATEGORISED)

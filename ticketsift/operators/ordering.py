@@ -17,8 +17,6 @@ executor loss lands every row in the same bucket again.
 
 from __future__ import annotations
 
-import bisect
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,15 +118,6 @@ def top_by_count(counts: DataFrame, n: int | None = None, count_col: str = "n",
     return out.limit(n) if n is not None else out
 
 
-def head_of(df: DataFrame, cond: Column, n: int, order: str = "pos") -> DataFrame:
-    """ORD5: first ``n`` rows of a subset in order (TakeOrderedAndProject)."""
-    return df.filter(cond).orderBy(order).limit(n)
-
-
 def batch_count(rows: int, size: int = BATCH_SIZE) -> int:
+    """Number of batches: ``ceil(rows / size)``."""
     return (rows + size - 1) // size
-
-
-def bisect_bucket(bounds: list, key) -> int:
-    """Driver-side twin of ``bucket_of`` (tests)."""
-    return bisect.bisect_right(bounds, key)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import pct_half_even
 from .normalise import UNCATEGORISED
-from .taxonomy import _bounded_broadcast
+from .taxonomy import bounded_broadcast
 
 
 def grouping_purity(labelled: DataFrame, expected: str, col: str = "new_category") -> DataFrame:
@@ -71,7 +69,7 @@ def similar_names(names: DataFrame, col: str = "name", threshold: float = 0.5) -
     t = float(threshold)
     sets = names.select(F.col(col).alias("name")).distinct().withColumn("toks", name_tokens("name")).filter(F.size("toks") > 0)
     freq = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
-    freq = _bounded_broadcast(freq, None)
+    freq = bounded_broadcast(freq, None)
     ordered = (
         sets.select("name", "toks", F.explode("toks").alias("tok"))
         .join(freq, "tok")
@@ -129,6 +127,3 @@ def merge_safety(labelled_before: DataFrame, mapping: dict, expected: str, col:
     return pur.select(F.col("category").alias("target"), "tickets", F.col("majority_n").alias("agree"),
                       (F.col("majority_n") * 2 >= F.col("tickets")).alias("safe"))
 
-
-def _ceil(x: float) -> int:
-    return int(math.ceil(x))

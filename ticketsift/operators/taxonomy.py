@@ -131,7 +131,7 @@ def apply_threshold(
     else:
         k = min_bucket
     small = counts.filter((F.col("_n") < k) & (F.col("_cat") != UNCATEGORISED)).select("_cat")
-    small = _bounded_broadcast(small, max_categories)
+    small = bounded_broadcast(small, max_categories)
     flagged = labelled.join(small.withColumn("_fold", F.lit(True)), F.col(cat) == F.col("_cat"), "left")
     return flagged.withColumn(
         cat, F.when(F.col("_fold"), F.lit(UNCATEGORISED)).otherwise(F.col(cat))
@@ -141,7 +141,7 @@ def apply_threshold(
 BROADCAST_ROWS = 100_000
 
 
-def _bounded_broadcast(df: DataFrame, bound: int | None) -> DataFrame:
+def bounded_broadcast(df: DataFrame, bound: int | None) -> DataFrame:
     """Broadcast a small side only when its row count is proven small."""
     if bound is not None and bound <= BROADCAST_ROWS:
         return F.broadcast(df)

@@ -46,7 +46,6 @@ from ..operators.themes import join_tags
 from ..session import materialize
 
 MODES = ("no_suggestions", "manual_list", "auto_suggest")
-UNAVAILABLE = "Analysis unavailable: {error}"
 
 
 @dataclass
@@ -263,7 +262,7 @@ def _consolidate(labelled: DataFrame, context: str, decider: str, review_respons
     row = resp.select("error", parse_review(F.coalesce(F.col("raw"), F.lit(""))).alias("v")).first()
     if row["error"] is not None:
         review = {"category_summaries": {c: "" for c in counts}, "merge_flags": [],
-                  "uncategorised_analysis": [UNAVAILABLE.format(error=row["error"])]}
+                  "uncategorised_analysis": [cns.UNAVAILABLE.format(error=row["error"])]}
         return review, cns.MergePlan(summaries=review["category_summaries"], counts=dict(counts))
     v = row["v"]
     merges = [(tuple(m["merge_these"] or ()), m["into"] or "") for m in (v["auto_merges"] or [])]
