@@ -76,6 +76,7 @@ def pct_half_even(part: Column | str, whole: Column | str) -> Column:
 
 
 def na_to_null(c: Column | str, na_tokens=NA_TOKENS) -> Column:
+    """SRC6: missing-value tokens of a default CSV read become null."""
     c = _c(c)
     if not na_tokens:
         return c

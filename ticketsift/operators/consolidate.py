@@ -89,7 +89,10 @@ def fold_merges(counts: dict[str, int], merges, summaries: dict[str, str] | None
 
 
 def apply_mapping(df: DataFrame, mapping: dict[str, str], col: str = "new_category") -> DataFrame:
-    """Apply a composed category map in one projection (no join, no shuffle)."""
+    """Apply a composed category map in one projection (no join, no shuffle).
+
+    The per-merge membership test of the sources (JON4, semi-membership) is
+    folded into the map, so rows are touched once whatever the merge count."""
     if not mapping:
         return df
     m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
@@ -106,6 +109,7 @@ def collect_counts(labelled: DataFrame, col: str = "new_category", limit: int =
 
 
 def merge_log_rows(plan: MergePlan) -> list[tuple[int, str, int]]:
+    """RPT5: the merge log as ``(merge_no, line, tickets)`` rows."""
     return [(no, line, n) for (no, n), line in zip(plan.applied, plan.log)]
 
 

@@ -39,7 +39,7 @@ def _has_key(elem: Column, key: str) -> Column:
 
 
 def _field(elem: Column, key: str, default: str) -> Column:
-    """Value of ``key``: absent → default, explicit JSON null → null."""
+    """JON2: value of ``key``: absent → default, explicit JSON null → null."""
     return F.when(_has_key(elem, key), F.get_json_object(elem, f"$.{key}")).otherwise(F.lit(default))
 
 

@@ -36,14 +36,14 @@ def _theme_groups(themed: DataFrame, col: str, order_col: str) -> DataFrame:
 
 
 def theme_counts(themed: DataFrame, col: str = "multi_tags", order_col: str = "pos") -> DataFrame:
-    """AGG5: ``(theme, n, first_pos, first_idx)``; a tag repeated within one
+    """AGG5 / RPT3: ``(theme, n, first_pos, first_idx)``; a tag repeated within one
     ticket counts twice.  Partial aggregation map-side, one row per theme out."""
     g = _theme_groups(themed, col, order_col).filter(F.col("theme").isNotNull())
     return g.select("theme", "n", F.col("_first._pos").alias("first_pos"), F.col("_first._idx").alias("first_idx"))
 
 
 def top_themes(themed: DataFrame, k: int = 3, col: str = "multi_tags", order_col: str = "pos") -> DataFrame:
-    """AGG6: top-k themes by count (ties: first appearance), with
+    """AGG6 / RPT7: top-k themes by count (ties: first appearance), with
     ``round(n / tickets * 100)`` where the denominator is the ticket count.
     One pass: the ticket count is summed over the per-theme groups."""
     g = _theme_groups(themed, col, order_col).withColumn("tickets", F.sum("_tickets").over(Window.partitionBy()))

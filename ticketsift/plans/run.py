@@ -168,7 +168,13 @@ def run(
     call_factory: Callable[[], Callable[[str], str]] | None = None,
     config: RunConfig | None = None,
 ) -> RunResult:
-    """Categorise a normalised ticket table (see ``operators.normalise``)."""
+    """Categorise a normalised ticket table (see ``operators.normalise``).
+
+    NRM12 mode dispatch: ``no_suggestions`` starts from an empty list (the
+    lexical decider discovers terms), ``manual_list`` / ``auto_suggest`` seed
+    the list with ``categories`` (or a keyword ``taxonomy``); the request
+    rule text differs only between ``no_suggestions`` and the rest.
+    """
     cfg = config or RunConfig()
     problems = check_context(context)
     if mode not in MODES:
@@ -238,6 +244,10 @@ def _model_rounds(batched, context, mode, seed, decider, responses, call_factory
 
 
 def _consolidate(labelled: DataFrame, context: str, decider: str, review_response, call_factory, cfg):
+    """CNS0: counts (CNS1), first samples per category and first Uncategorised
+    rows (CNS2), one review request, then the merge fold.  A failed call gives
+    no merges, empty summaries and one "unavailable" note (CNS3); malformed
+    merge entries parse to empty sources and are skipped (CNS4)."""
     counts = cns.collect_counts(labelled)
     if decider == "lexical":
         summaries = {r["category"]: r["summary"] for r in cns.term_summaries(labelled).collect()}

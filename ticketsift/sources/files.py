@@ -9,6 +9,11 @@
 * Missing-value tokens of a default CSV read become null (option).
 * Malformed rows: short rows are padded; rows with surplus fields land in a
   corrupt-record column and are counted (``strict=True`` raises instead).
+* SRC4 (first sheet of an .xlsx) is not built: no spreadsheet reader is
+  available, and spreadsheet exports arrive as windows-1252 CSV (SRC2).
+* ``multiline=True`` keeps newlines inside quoted fields but cannot split a
+  file (one task per file); for large files without embedded newlines pass
+  ``multiline=False`` so each file is read in many splits.
 """
 
 from __future__ import annotations
@@ -56,13 +61,13 @@ def non_utf8_files(spark: SparkSession, paths) -> list[str]:
     return [r["f"] for r in bad.collect()]
 
 
-def _reader(spark: SparkSession, sep: str, encoding: str, schema: T.StructType | None):
+def _reader(spark: SparkSession, sep: str, encoding: str, schema: T.StructType | None, multiline: bool = True):
     r = (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("inferSchema", False)
         .option("encoding", encoding)
         .option("mode", "PERMISSIVE")
@@ -77,7 +82,7 @@ def _header_schema(spark: SparkSession, paths, sep: str, encoding: str) -> T.Str
 
 
 def read_files(spark: SparkSession, paths, na_tokens=NA_TOKENS, strict: bool = False,
-               report: bool = False) -> DataFrame | tuple[DataFrame, ReadReport]:
+               report: bool = False, multiline: bool = True) -> DataFrame | tuple[DataFrame, ReadReport]:
     """SRC1-SRC3, SRC5-SRC7: read ticket files of one layout into one table.
 
     All files must share one header layout and one delimiter.
@@ -98,11 +103,11 @@ def read_files(spark: SparkSession, paths, na_tokens=NA_TOKENS, strict: bool = F
     parts = []
     if cp:
         schema = _header_schema(spark, cp, sep, "UTF-8")
-        parts.append(_reader(spark, sep, "UTF-8", schema).csv(cp))
+        parts.append(_reader(spark, sep, "UTF-8", schema, multiline).csv(cp))
     if wp:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         schema = _header_schema(spark, wp, sep, "windows-1252")
-        parts.append(_reader(spark, sep, "windows-1252", schema).csv(wp))
+        parts.append(_reader(spark, sep, "windows-1252", schema, multiline).csv(wp))
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p, allowMissingColumns=True)
