@@ -34,3 +34,12 @@ def test_unordered_batches_are_bounded(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("ticket_id"))
     sizes = assign_batches_unordered(df, 10, spread=4).groupBy("batch_id").count().collect()
     assert max(r["count"] for r in sizes) <= 10 and sum(r["count"] for r in sizes) == 1000
+
+
+def test_positions_many_buckets_on_keys_beyond_double_precision(spark):
+    # keys above 2**53 collapse pairwise when cast to double; the binary-search
+    # bucket must stay monotone so positions are still dense and ordered
+    base = 1 << 60
+    df = spark.range(0, 2000).select((F.lit(base) + F.col("id") * 3).alias("k"))
+    got = sorted((r.k, r.pos) for r in assign_positions(df.repartition(7), "k", buckets=150).collect())
+    assert [p for _, p in got] == list(range(2000))

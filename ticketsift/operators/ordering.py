@@ -62,6 +62,27 @@ def bucket_of(key: Column, bounds: list) -> Column:
     return F.size(F.filter(arr, lambda b: b <= key))
 
 
+def tag_buckets(df: DataFrame, key: str, bounds: list, out: str = "_bkt") -> tuple[DataFrame, int]:
+    """Add the quantile bucket of ``key``; returns the frame and the bucket count.
+
+    Few bounds: a ``CASE`` chain.  Many bounds on a numeric key (a large
+    cluster has thousands of shuffle partitions): ``Bucketizer``'s binary
+    search, O(log n) per row instead of a scan over every bound.  The key is
+    compared as a double there; the cast is monotone, so the bucket is still a
+    non-decreasing pure function of the key (equal doubles share a bucket).
+    """
+    numeric = isinstance(df.schema[key].dataType, T.NumericType)
+    if len(bounds) <= _CASE_LIMIT or not numeric:
+        return df.withColumn(out, bucket_of(F.col(key), bounds)), len(bounds) + 1
+    from pyspark.ml.feature import Bucketizer
+
+    splits = sorted({float(b) for b in bounds})
+    tmp = f"{out}_key"
+    bz = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol=tmp, outputCol=out, handleInvalid="keep")
+    tagged = bz.transform(df.withColumn(tmp, F.col(key).cast("double")))
+    return tagged.withColumn(out, F.col(out).cast("int")).drop(tmp), len(splits) + 1
+
+
 def running_total(df: DataFrame, key: str, value: Column | str | None = None, out: str = "running",
                   buckets: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` (default 1 = running count) by ``key``.
@@ -71,10 +92,11 @@ def running_total(df: DataFrame, key: str, value: Column | str | None = None, ou
     n = buckets or shuffle_partitions(df.sparkSession)
     val = F.lit(1).cast("long") if value is None else (F.col(value) if isinstance(value, str) else value).cast("long")
     bounds = _bounds(df, key, n)
-    tagged = df.withColumn("_bkt", bucket_of(F.col(key), bounds)).withColumn("_val", val)
+    tagged, n_buckets = tag_buckets(df, key, bounds)
+    tagged = tagged.withColumn("_val", val)
     totals = {r["_bkt"]: (r["t"] or 0) for r in tagged.groupBy("_bkt").agg(F.sum("_val").alias("t")).collect()}
     offsets, acc = [], 0
-    for b in range(len(bounds) + 1):
+    for b in range(n_buckets):
         offsets.append(acc)
         acc += totals.get(b, 0)
     w = Window.partitionBy("_bkt").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -42,6 +42,8 @@ MERGES = (
     (("English Text",), ""),
 )
 SIMILARITY = 0.5
+MERGE_AT = 0.8
+MAX_FLAGS = 3
 # -----------------------------------------------------------------------------
 
 ORDER = "doc_id"
@@ -296,9 +298,25 @@ def q_apply_responses(spark, d):
     return apply_replies(b, parsed).select("ticket_id", "new_category", "confidence", "reasoning")
 
 
+def _category_names(spark, d):
+    """The category-like names of the data: every distinct ``p_name p_type``
+    of the whole ``part`` table.  The scan and a partial-aggregated distinct
+    grow with the table; the similarity join runs on the distinct names, so
+    its pairs grow with the name vocabulary (as a taxonomy's do), not with
+    the rows."""
+    return table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("name")).distinct()
+
+
 def q_near_duplicate_categories(spark, d):
-    part = table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("name"))
-    return qlt.similar_names(part, "name", SIMILARITY)
+    """QLT4: name pairs whose token sets reach the Jaccard threshold."""
+    return qlt.similar_names(_category_names(spark, d), "name", SIMILARITY)
+
+
+def q_merge_decisions(spark, d):
+    """DEC5: near-identical names (Jaccard ≥ 0.8) merge, the three most
+    similar of the uncertain band [0.5, 0.8) are flagged for review."""
+    pairs = qlt.similar_names(_category_names(spark, d), "name", SIMILARITY)
+    return qlt.merge_decisions(pairs, hi=MERGE_AT, lo=SIMILARITY, max_flags=MAX_FLAGS)
 
 
 def q_grouping_accuracy(spark, d):
@@ -507,6 +525,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strict_json": q_strict_json,
     "apply_responses": q_apply_responses,
     "near_duplicate_categories": q_near_duplicate_categories,
+    "merge_decisions": q_merge_decisions,
     "grouping_accuracy": q_grouping_accuracy,
     "run_facts": q_run_facts,
     "uncategorised_rate": q_uncategorised_rate,

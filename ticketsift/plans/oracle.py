@@ -11,7 +11,7 @@ from ..operators.consolidate import SUMMARY_PREFIX
 from ..operators.deciders import NO_MATCH_REASON
 from ..operators.responses import FAILED_REASON
 from ..operators.taxonomy import MIN_BUCKET, STOP_WORDS, Taxonomy
-from .catalog import CONTEXT, MERGES, MODE, SIMILARITY
+from .catalog import CONTEXT, MAX_FLAGS, MERGE_AT, MERGES, MODE, SIMILARITY
 
 # Python str.strip() whitespace, RE2 syntax.
 WS = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -376,6 +376,12 @@ FROM tc, tk ORDER BY n DESC, first_key LIMIT 3""",
         "strict_json": parse_sel,
         "apply_responses": _apply_responses(),
         "near_duplicate_categories": _near_duplicates(),
+        "merge_decisions": f"""
+WITH s AS ({_near_duplicates()})
+SELECT * FROM (SELECT 'merge' AS action, name_a, name_b, jaccard FROM s WHERE jaccard >= {MERGE_AT})
+UNION ALL
+SELECT * FROM (SELECT 'flag' AS action, name_a, name_b, jaccard FROM s WHERE jaccard >= {SIMILARITY} AND jaccard < {MERGE_AT}
+               ORDER BY jaccard DESC, name_a, name_b LIMIT {MAX_FLAGS})""",
         "grouping_accuracy": _grouping(),
         "run_facts": _run_facts(),
         "uncategorised_rate": W(TICKETS, LEXICAL, LABELLED) + f"""

@@ -41,6 +41,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a scratch one only if unset."""
     conf_dir = spark.conf.get(_CKPT_KEY, None) or spark.sparkContext.getConf().get(_CKPT_KEY, None)
     if not conf_dir:
+        # a machine-local folder is only valid when driver and executors
+        # share one machine; on a cluster the shared folder must be named
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_CKPT_KEY} to a folder shared by all executors")
         conf_dir = tempfile.mkdtemp(prefix="ticketsift-ckpt-")
         spark.conf.set(_CKPT_KEY, conf_dir)
     if spark.sparkContext.getCheckpointDir() is None:
