@@ -79,3 +79,14 @@ def test_callable_decider_sees_accumulated_names(spark):
     assert rows["DOC-25"] == ("Group 2", "known=1")          # batch 1 failed, so only Group 0 was known
     assert rows["DOC-12"] == ("Uncategorised", "Processing error: model timeout")
     assert res.taxonomy.names == ["Group 0", "Group 2"]
+
+
+def test_round_column_matches_round_plan(spark):
+    from ticketsift.plans.run import _round_of, _rounds
+
+    ids = spark.range(0, 137).withColumnRenamed("id", "batch_id")
+    for rb in (None, 1, 4, 50):
+        plan = _rounds(137, rb)
+        got = {r.batch_id: r.k for r in ids.select("batch_id", _round_of(F.col("batch_id"), plan, rb).alias("k")).collect()}
+        exp = {b: i for i, (lo, hi) in enumerate(plan) for b in range(lo, hi)}
+        assert got == exp

@@ -138,6 +138,32 @@ def apply_threshold(
     ).drop("_cat", "_fold")
 
 
+def small_categories(counts: dict, min_bucket: int = MIN_BUCKET, min_fraction: float = 0.0) -> list[str]:
+    """AGG2 decision on a category → rows table already on the driver:
+    named categories below ``k = max(min_bucket, ceil(min_fraction * rows))``
+    (rows = tickets with a category); Uncategorised and null are exempt."""
+    total = sum(n for c, n in counts.items() if c is not None)
+    k = max(min_bucket, int(-(-min_fraction * total // 1))) if min_fraction else min_bucket
+    return sorted(c for c, n in counts.items() if c is not None and c != UNCATEGORISED and n < k)
+
+
+def fold_small(labelled: DataFrame, small: list[str], cat: str = "new_category") -> DataFrame:
+    """Apply the AGG2 decision with a literal ``isin``: one projection, no join,
+    no shuffle (the list is at most the category count table)."""
+    if not small:
+        return labelled
+    return labelled.withColumn(cat, F.when(F.col(cat).isin(small), F.lit(UNCATEGORISED)).otherwise(F.col(cat)))
+
+
+def fold_counts(counts: dict, small: list[str]) -> dict:
+    """The count table after ``fold_small`` (computed on the driver)."""
+    out: dict = {}
+    for c, n in counts.items():
+        key = UNCATEGORISED if c in small else c
+        out[key] = out.get(key, 0) + n
+    return out
+
+
 BROADCAST_ROWS = 100_000
 
 

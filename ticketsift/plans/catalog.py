@@ -24,7 +24,8 @@ from ..operators.ordering import assign_batches, assign_positions
 from ..operators.prompts import categorise_requests, tag_requests
 from ..operators.responses import apply_replies, parse_replies, parse_replies_strict
 from ..operators.taxonomy import (
-    MIN_BUCKET, Taxonomy, apply_threshold, first_seen, sample_size, suggest_terms, suggestion_sample,
+    MIN_BUCKET, Taxonomy, apply_threshold, first_seen, fold_small, sample_size, small_categories, suggest_terms,
+    suggestion_sample,
 )
 from ..session import materialize
 from ..sources.tables import conversation_tickets, document_tickets, table
@@ -67,17 +68,10 @@ def fold_list(lab: DataFrame) -> list[str]:
     The count table has at most |taxonomy| + 1 rows (the lexical decider only
     emits taxonomy names or Uncategorised), so it is safe on the driver.
     """
-    rows = lab.groupBy("new_category").agg(F.count(F.lit(1)).alias("n")).collect()
-    return sorted(r["new_category"] for r in rows if r["new_category"] != UNCATEGORISED and r["n"] < MIN_BUCKET)
+    return small_categories(cns.collect_counts(lab, limit=len(taxonomy().categories) + 1), MIN_BUCKET)
 
 
-def fold(lab: DataFrame, small: list[str]) -> DataFrame:
-    """Apply the threshold decision through a literal list: no join, no shuffle."""
-    if not small:
-        return lab
-    return lab.withColumn(
-        "new_category", F.when(F.col("new_category").isin(small), F.lit(UNCATEGORISED)).otherwise(F.col("new_category"))
-    )
+fold = fold_small
 
 
 def narrow(spark: SparkSession, d: str, tags: bool = False) -> DataFrame:

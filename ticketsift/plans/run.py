@@ -40,8 +40,10 @@ from ..operators.responses import (
     apply_replies, apply_tag_replies, parse_replies, parse_replies_strict, parse_review,
 )
 from ..operators.taxonomy import (
-    MIN_BUCKET, Category, Taxonomy, apply_threshold, first_seen, sample_size, suggest_terms, suggestion_sample,
+    MIN_BUCKET, Category, Taxonomy, first_seen, fold_counts, fold_small, sample_size, small_categories, suggest_terms,
+    suggestion_sample,
 )
+from ..operators.ordering import bucket_of
 from ..operators.themes import join_tags
 from ..session import materialize
 
@@ -203,11 +205,16 @@ def run(
     else:
         tax, labels = _model_rounds(batched, context, mode, seed, decider, responses, call_factory, cfg)
 
-    max_cats = len(tax.categories) + 1
-    labelled = apply_threshold(labels, cfg.min_bucket, cfg.min_fraction, order_col="pos", max_categories=max_cats)
-    labelled = materialize(labelled, "thresholded")
+    # AGG2 on the count table: every label is a taxonomy name, '' or
+    # Uncategorised (new names joined the taxonomy round by round), so the
+    # table is bounded by the taxonomy; the decision is applied as a literal
+    # fold over the written labels (no join, no second write of the texts)
+    raw_counts = cns.collect_counts(labels, limit=len(tax.categories) + 2)
+    small = small_categories(raw_counts, cfg.min_bucket, cfg.min_fraction)
+    labelled = fold_small(labels, small)
+    counts = fold_counts(raw_counts, small)
 
-    review, plan = _consolidate(labelled, context, decider, review_response, call_factory, cfg)
+    review, plan = _consolidate(labelled, context, decider, review_response, call_factory, cfg, counts)
     labelled = cns.apply_mapping(labelled, plan.mapping)
 
     themed = None
@@ -223,13 +230,30 @@ def run(
     return RunResult(labelled=labelled, taxonomy=tax, merges=plan, review=review, themed=themed)
 
 
+ROUND_COL = "acc_round"
+
+
+def _round_of(batch_id, rounds: list[tuple[int, int]], round_batches: int | None):
+    """Round index of a batch: ``batch_id div round_batches`` for fixed rounds,
+    else the bucket of the geometric round bounds (a few dozen at most)."""
+    if round_batches:
+        return F.floor(batch_id / F.lit(round_batches)).cast("int")
+    return bucket_of(batch_id, [lo for lo, _ in rounds[1:]])
+
+
 def _model_rounds(batched, context, mode, seed, decider, responses, call_factory, cfg):
     spark = batched.sparkSession
     n_batches = (batched.agg(F.max("batch_id")).first()[0] or -1) + 1
+    rounds = _rounds(n_batches, cfg.round_batches)
+    # the positioned tickets are written once, one folder per round: a round
+    # reads its own folder (partition pruning) instead of re-running the
+    # position window over the whole table
+    staged = materialize(batched.withColumn(ROUND_COL, _round_of(F.col("batch_id"), rounds, cfg.round_batches)),
+                         "batched", partition_by=ROUND_COL)
     tax = Taxonomy(list(seed.categories))
     parts = []
-    for lo, hi in _rounds(n_batches, cfg.round_batches):
-        part = batched.filter((F.col("batch_id") >= lo) & (F.col("batch_id") < hi))
+    for i, (lo, hi) in enumerate(rounds):
+        part = staged.filter(F.col(ROUND_COL) == i).drop(ROUND_COL)
         req = categorise_requests(part, context, mode, tax.names)
         resp = _decide(req, decider, responses.filter((F.col("batch_id") >= lo) & (F.col("batch_id") < hi)) if responses is not None else None, call_factory)
         resp = materialize(resp, "replies")          # the record: retries never re-call the model
@@ -243,12 +267,15 @@ def _model_rounds(batched, context, mode, seed, decider, responses, call_factory
     return tax, (labels if parts else spark.createDataFrame([], batched.schema))
 
 
-def _consolidate(labelled: DataFrame, context: str, decider: str, review_response, call_factory, cfg):
-    """CNS0: counts (CNS1), first samples per category and first Uncategorised
-    rows (CNS2), one review request, then the merge fold.  A failed call gives
-    no merges, empty summaries and one "unavailable" note (CNS3); malformed
-    merge entries parse to empty sources and are skipped (CNS4)."""
-    counts = cns.collect_counts(labelled)
+def _consolidate(labelled: DataFrame, context: str, decider: str, review_response, call_factory, cfg,
+                 counts: dict | None = None):
+    """CNS0: counts (CNS1; counted here unless passed in), first samples per
+    category and first Uncategorised rows (CNS2), one review request, then the
+    merge fold.  A failed call gives no merges, empty summaries and one
+    "unavailable" note (CNS3); malformed merge entries parse to empty sources
+    and are skipped (CNS4)."""
+    if counts is None:
+        counts = cns.collect_counts(labelled)
     if decider == "lexical":
         summaries = {r["category"]: r["summary"] for r in cns.term_summaries(labelled).collect()}
         # the category names are already on the driver (at most the taxonomy

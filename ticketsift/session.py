@@ -52,17 +52,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as parquet under the checkpoint folder and read it back.
 
     Used for narrow intermediate tables (labels, counts) that are read more
     than once, so the expensive upstream (tokenising whole texts) runs once and
     a lost executor re-reads files instead of recomputing the lineage.
+    With ``partition_by`` the table is written in one folder per value, so a
+    later filter on that column reads only the matching folders.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, "ticketsift", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
     return spark.read.parquet(path)
 
 
