@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import pct_half_even
 from .normalise import UNCATEGORISED
+from ..session import materialize
 from .taxonomy import bounded_broadcast
 
 
@@ -67,7 +68,12 @@ def similar_names(names: DataFrame, col: str = "name", threshold: float = 0.5) -
     then computed on the candidates.  No pair meeting the threshold is lost.
     """
     t = float(threshold)
-    sets = names.select(F.col(col).alias("name")).distinct().withColumn("toks", name_tokens("name")).filter(F.size("toks") > 0)
+    # the distinct names are read four times below (frequencies, their size
+    # check, index and probe sides): written once, the source is scanned once
+    sets = materialize(
+        names.select(F.col(col).alias("name")).distinct().withColumn("toks", name_tokens("name")).filter(F.size("toks") > 0),
+        "name_sets",
+    )
     freq = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
     freq = bounded_broadcast(freq, None)
     ordered = (

@@ -248,14 +248,25 @@ def _w_terms():
     return Window.orderBy(F.desc("df"), "term")
 
 
+def labelled_batches(spark: SparkSession, d: str, tags: bool = False) -> DataFrame:
+    """Lexical labels of every ticket with positions and batches, written once.
+
+    The texts are tokenised in one projection before anything is shuffled;
+    positions are then taken on the narrow label table, so no text crosses
+    the position window's exchange, and the replies, the request sizes and
+    the ticket side of the apply all read this one copy."""
+    cols = ["ticket_id", ORDER, "lang", "new_category", "confidence", "reasoning"] + (["tags"] if tags else [])
+    lab = label_lexical(tickets(spark, d), taxonomy(), with_tags=tags).select(*cols)
+    return materialize(assign_batches(assign_positions(lab, ORDER)), "batch_labels")
+
+
 def replies(spark, d):
     """Replies derived from the data: the lexical labels of each batch encoded
     as a JSON reply, varied by the language of the batch's first ticket:
     en plain, fr fenced with ``json``, de fenced without ``confidence`` keys,
     es one element short (a length mismatch)."""
-    b = batched(spark, d)
-    lab = label_lexical(b, taxonomy())
-    per = lab.groupBy("batch_id").agg(
+    b = labelled_batches(spark, d)
+    per = b.groupBy("batch_id").agg(
         F.min_by("lang", "batch_pos").alias("first_lang"),
         F.sort_array(F.collect_list(F.struct("batch_pos", "ticket_id", "new_category", "confidence", "reasoning"))).alias("_r"),
     )
@@ -309,7 +320,7 @@ def q_near_duplicate_categories(spark, d):
 def q_merge_decisions(spark, d):
     """DEC5: near-identical names (Jaccard ≥ 0.8) merge, the three most
     similar of the uncertain band [0.5, 0.8) are flagged for review."""
-    pairs = qlt.similar_names(_category_names(spark, d), "name", SIMILARITY)
+    pairs = materialize(qlt.similar_names(_category_names(spark, d), "name", SIMILARITY), "pairs")
     return qlt.merge_decisions(pairs, hi=MERGE_AT, lo=SIMILARITY, max_flags=MAX_FLAGS)
 
 
@@ -384,8 +395,7 @@ def q_stratified_sample(spark, d):
 
 def q_batch_metrics(spark, d):
     """RPT8: per batch tickets, failed rows and categories so far (before the threshold)."""
-    cols = ["batch_id", "ticket_id", "new_category", "reasoning"]
-    lab = materialize(label_lexical(batched(spark, d), taxonomy()).select(*cols), "batch_labels")
+    lab = labelled_batches(spark, d).select("batch_id", "ticket_id", "new_category", "reasoning")
     return rpt.batch_metrics(lab).select("batch_id", "tickets", "failed", "new_categories", "categories_so_far")
 
 
@@ -422,9 +432,8 @@ def tag_replies(spark, d):
     by the first ticket's language: en plain, fr fenced, de tags as one string
     (joined letter by letter), es a null ``tags`` on the first element (the
     whole batch stays blank)."""
-    b = batched(spark, d)
-    lab = label_lexical(b, taxonomy(), with_tags=True)
-    per = lab.groupBy("batch_id").agg(
+    b = labelled_batches(spark, d, tags=True)
+    per = b.groupBy("batch_id").agg(
         F.min_by("lang", "batch_pos").alias("first_lang"),
         F.sort_array(F.collect_list(F.struct("batch_pos", "ticket_id", "tags"))).alias("_r"),
     )
