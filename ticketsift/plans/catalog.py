@@ -256,7 +256,10 @@ def labelled_batches(spark: SparkSession, d: str, tags: bool = False) -> DataFra
     the position window's exchange, and the replies, the request sizes and
     the ticket side of the apply all read this one copy."""
     cols = ["ticket_id", ORDER, "lang", "new_category", "confidence", "reasoning"] + (["tags"] if tags else [])
-    lab = label_lexical(tickets(spark, d), taxonomy(), with_tags=tags).select(*cols)
+    # written before positioning: the label metrics node keeps the scorer
+    # alive in every job over it, so the quantile and bucket-total jobs of
+    # the positions read this narrow copy instead of re-tokenising the texts
+    lab = materialize(label_lexical(tickets(spark, d), taxonomy(), with_tags=tags).select(*cols), "labels")
     return materialize(assign_batches(assign_positions(lab, ORDER)), "batch_labels")
 
 
@@ -462,11 +465,13 @@ def q_apply_tag_responses(spark, d):
 
 def q_run_primary(spark, d):
     """The end-to-end ``run()`` at full depth with the lexical decider:
-    positions, labels, threshold, review (no name is similar enough to merge
-    among the starter categories), themes."""
-    from ..plans.run import run
+    labels, threshold, review (no name is similar enough to merge among the
+    starter categories), themes.  The declared order key serves as the
+    position (first-seen order and ties only need an order-preserving key),
+    so no window moves the texts."""
+    from ..plans.run import RunConfig, run
 
-    res = run(assign_positions(tickets(spark, d), ORDER), CONTEXT, MODE, taxonomy=taxonomy(), depth="full")
+    res = run(tickets(spark, d), CONTEXT, MODE, taxonomy=taxonomy(), depth="full", config=RunConfig(order_key=ORDER))
     return res.export.select("ticket_id", "new_category", "confidence", "reasoning", "multi_tags")
 
 
