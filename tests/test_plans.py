@@ -43,3 +43,30 @@ def test_reports_read_narrow_labels_and_aggregate_before_the_exchange(spark):
 def test_first_rows_per_category_limit_before_the_shuffle(spark):
     plan = _plan(QUERIES["category_samples"](spark, SF_SMALL))
     assert "WindowGroupLimit" in plan
+
+
+def test_bucketed_requests_equal_plain_requests(spark):
+    # batches crossing bucket borders are stitched from their parts; any
+    # bucket count (also buckets smaller than a batch) gives the same prompts
+    from ticketsift.operators.ordering import (
+        BUCKET, assign_batches, assign_positions, positions_by_bucket, straddling_batches,
+    )
+    from ticketsift.operators.prompts import categorise_requests
+    from ticketsift.sources.tables import document_tickets
+
+    t = document_tickets(spark, SF_SMALL)
+    plain = {r.batch_id: (r.n_tickets, r.prompt) for r in
+             categorise_requests(assign_batches(assign_positions(t, "doc_id")), "ctx", "manual_list", ["A"]).collect()}
+    for buckets in (3, 16, 64):
+        pos, offsets = positions_by_bucket(t, "doc_id", buckets=buckets)
+        req = categorise_requests(assign_batches(pos), "ctx", "manual_list", ["A"], part=BUCKET,
+                                  straddlers=straddling_batches(offsets))
+        assert {r.batch_id: (r.n_tickets, r.prompt) for r in req.collect()} == plain
+
+
+def test_requests_shuffle_texts_once(spark):
+    df = QUERIES["categorise_requests"](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    own = [line for line in plan.splitlines() if "Exchange hashpartitioning(_bkt" in line and "ReusedExchange" not in line]
+    assert len(own) == 1

@@ -89,6 +89,14 @@ def running_total(df: DataFrame, key: str, value: Column | str | None = None, ou
 
     ``key`` must be unique and non-null.
     """
+    return _running(df, key, value, out, buckets)[0].drop(BUCKET)
+
+
+BUCKET = "_bkt"
+
+
+def _running(df: DataFrame, key: str, value, out: str, buckets: int | None) -> tuple[DataFrame, list[int]]:
+    """The running total with the bucket column kept, and the bucket offsets."""
     n = buckets or shuffle_partitions(df.sparkSession)
     val = F.lit(1).cast("long") if value is None else (F.col(value) if isinstance(value, str) else value).cast("long")
     bounds = _bounds(df, key, n)
@@ -101,7 +109,7 @@ def running_total(df: DataFrame, key: str, value: Column | str | None = None, ou
         acc += totals.get(b, 0)
     w = Window.partitionBy("_bkt").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_bkt") + 1)
-    return tagged.withColumn(out, off + F.sum("_val").over(w)).drop("_bkt", "_val")
+    return tagged.withColumn(out, off + F.sum("_val").over(w)).drop("_val"), offsets
 
 
 def assign_positions(df: DataFrame, key: str, out: str = "pos", buckets: int | None = None) -> DataFrame:
@@ -109,6 +117,24 @@ def assign_positions(df: DataFrame, key: str, out: str = "pos", buckets: int | N
     return running_total(df, key, None, out, buckets).withColumn(out, F.col(out) - 1)
 
 
+def positions_by_bucket(df: DataFrame, key: str, out: str = "pos", buckets: int | None = None) -> tuple[DataFrame, list[int]]:
+    """ORD1 keeping the quantile bucket column ``_bkt``, plus the position at
+    which every bucket starts.
+
+    After the position window the rows stay hash-partitioned by ``_bkt``, so a
+    grouping on ``(_bkt, ...)`` needs no second exchange; the offsets tell
+    which batches cross a bucket border (see ``straddling_batches``).
+    """
+    pos, offsets = _running(df, key, None, out, buckets)
+    return pos.withColumn(out, F.col(out) - 1), offsets
+
+
+def straddling_batches(offsets: list[int], size: int = BATCH_SIZE) -> list[int]:
+    """Batches holding rows of two or more buckets: the batch of each bucket
+    start that is not a multiple of ``size`` (at most one per bucket)."""
+    return sorted({o // size for o in offsets[1:] if o % size})
+
+
 def assign_batches(df: DataFrame, size: int = BATCH_SIZE, pos: str = "pos") -> DataFrame:
     """ORD2: ``batch_id = pos div size``, ``batch_pos = pos mod size``."""
     return df.withColumns(

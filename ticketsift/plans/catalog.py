@@ -20,7 +20,7 @@ from ..operators import reports as rpt
 from ..operators import themes as thm
 from ..operators.deciders import label_lexical
 from ..operators.normalise import UNCATEGORISED
-from ..operators.ordering import assign_batches, assign_positions
+from ..operators.ordering import BUCKET, assign_batches, assign_positions, positions_by_bucket, straddling_batches
 from ..operators.prompts import categorise_requests, tag_requests
 from ..operators.responses import apply_replies, parse_replies, parse_replies_strict
 from ..operators.taxonomy import (
@@ -100,6 +100,14 @@ def batched(spark: SparkSession, d: str) -> DataFrame:
     return assign_batches(assign_positions(tickets(spark, d), ORDER))
 
 
+def bucketed_batches(spark: SparkSession, d: str) -> tuple[DataFrame, list[int]]:
+    """Batches that keep their position bucket, and the batches crossing a
+    bucket border: request texts are joined inside the position window's
+    partitioning, so the texts cross one exchange, not two."""
+    pos, offsets = positions_by_bucket(tickets(spark, d), ORDER)
+    return assign_batches(pos), straddling_batches(offsets)
+
+
 # ------------------------------------------------------------------ queries --
 
 def q_normalise_tickets(spark, d):
@@ -115,7 +123,8 @@ def q_batch_assignment(spark, d):
 
 
 def q_categorise_requests(spark, d):
-    req = categorise_requests(batched(spark, d), CONTEXT, MODE, taxonomy().names)
+    b, cross = bucketed_batches(spark, d)
+    req = categorise_requests(b, CONTEXT, MODE, taxonomy().names, part=BUCKET, straddlers=cross)
     return req.select("batch_id", "n_tickets", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
 
 
@@ -124,7 +133,8 @@ def q_tag_requests(spark, d):
     labels, one row per category) is the driver scalar of every request."""
     lab = narrow(spark, d)
     names = [r["category"] for r in first_seen(lab, order_col=ORDER).orderBy("ordinal").collect()]
-    req = tag_requests(batched(spark, d), CONTEXT, names)
+    b, cross = bucketed_batches(spark, d)
+    req = tag_requests(b, CONTEXT, names, part=BUCKET, straddlers=cross)
     return req.select("batch_id", "n_tickets", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
 
 
