@@ -142,13 +142,22 @@ def assign_batches(df: DataFrame, size: int = BATCH_SIZE, pos: str = "pos") -> D
     )
 
 
+def group_hash(key: Column) -> Column:
+    """A 32-bit hash of a key from its md5 (the first 8 hex digits), the same
+    in any SQL engine, so a batching built on it can be checked outside Spark."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
+
+
 def assign_batches_unordered(df: DataFrame, size: int = BATCH_SIZE, spread: int | None = None,
                              key: str = "ticket_id") -> DataFrame:
     """ORD3: order-free batching for scale.  Rows are spread over ``spread``
     hash groups; inside a group, ``size`` consecutive rows (by ``key``) form a
-    batch.  Nothing global is sorted; a group holds ``rows / spread`` rows."""
+    batch.  Nothing global is sorted; a group holds ``rows / spread`` rows
+    (the key is unique, so no group is hot), and a batch never spans two
+    groups, so grouping texts by ``batch_id`` afterwards can reuse the
+    window's partitioning.  ``batch_id = group * 2^32 + index in group``."""
     spread = spread or shuffle_partitions(df.sparkSession)
-    g = F.pmod(F.xxhash64(F.col(key)), F.lit(spread))
+    g = F.pmod(group_hash(F.col(key)), F.lit(spread))
     w = Window.partitionBy("_grp").orderBy(key)
     rn = F.row_number().over(w) - 1
     return (

@@ -122,6 +122,19 @@ def q_batch_assignment(spark, d):
     return batched(spark, d).select("ticket_id", "pos", "batch_id", "batch_pos")
 
 
+# --- fixed values -----------------------------------------------------------
+UNORDERED_GROUPS = 8      # hash groups of the order-free batching query
+# -----------------------------------------------------------------------------
+
+
+def q_unordered_batches(spark, d):
+    """ORD3: order-free batches over every ticket (hash group of the id, then
+    10 consecutive ids within the group); no global order, no hot group."""
+    from ..operators.ordering import assign_batches_unordered
+
+    return assign_batches_unordered(tickets(spark, d), spread=UNORDERED_GROUPS).select("ticket_id", "batch_id", "batch_pos")
+
+
 def q_categorise_requests(spark, d):
     b, cross = bucketed_batches(spark, d)
     req = categorise_requests(b, CONTEXT, MODE, taxonomy().names, part=BUCKET, straddlers=cross)
@@ -520,6 +533,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalise_tickets": q_normalise_tickets,
     "conversation_tickets": q_conversation_tickets,
     "batch_assignment": q_batch_assignment,
+    "unordered_batches": q_unordered_batches,
     "categorise_requests": q_categorise_requests,
     "tag_requests": q_tag_requests,
     "lexical_primary": q_lexical_primary,

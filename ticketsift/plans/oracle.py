@@ -11,7 +11,7 @@ from ..operators.consolidate import SUMMARY_PREFIX
 from ..operators.deciders import NO_MATCH_REASON
 from ..operators.responses import FAILED_REASON
 from ..operators.taxonomy import MIN_BUCKET, STOP_WORDS, Taxonomy
-from .catalog import CONTEXT, MAX_FLAGS, MERGE_AT, MERGES, MODE, SIMILARITY
+from .catalog import CONTEXT, MAX_FLAGS, MERGE_AT, MERGES, MODE, SIMILARITY, UNORDERED_GROUPS
 
 # Python str.strip() whitespace, RE2 syntax.
 WS = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -331,6 +331,10 @@ SELECT 'CONV-' || CAST(conv_id AS VARCHAR) AS ticket_id, {strip('d')} AS issue_d
        {strip("coalesce(r, '')")} AS resolution_notes, conv_id, turns
 FROM agg WHERE d IS NOT NULL AND regexp_matches(d, '[^{WS}]')""",
         "batch_assignment": W(TICKETS, BATCHED) + "\nSELECT ticket_id, pos, batch_id, batch_pos FROM batched",
+        "unordered_batches": W(TICKETS) + f"""
+, g AS (SELECT ticket_id, ('0x' || substr(md5(ticket_id), 1, 8))::BIGINT % {UNORDERED_GROUPS} AS grp FROM tickets),
+r AS (SELECT ticket_id, grp, row_number() OVER (PARTITION BY grp ORDER BY ticket_id) - 1 AS rn FROM g)
+SELECT ticket_id, grp * 4294967296 + rn // 10 AS batch_id, CAST(rn % 10 AS INTEGER) AS batch_pos FROM r""",
         "categorise_requests": _categorise_requests(),
         "tag_requests": _tag_requests(),
         "lexical_primary": lexical_sel,
