@@ -143,7 +143,9 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """SNK1: header, no index, UTF-8, all columns; ``multi_tags`` always present.
 
     ``escape='"'`` doubles quotes and ``emptyValue=''`` writes blanks as
-    nothing, which is what a default pandas export writes.
+    nothing, which is what a default pandas export writes.  ``single_file``
+    routes every row through one task: for small downloads only; large runs
+    write one file per partition.
     """
     if "multi_tags" not in df.columns:
         df = df.withColumn("multi_tags", F.lit(""))

@@ -28,6 +28,9 @@ from ..operators.taxonomy import Category, Taxonomy
 from ..session import ensure_checkpoint_dir
 
 
+MAX_NEW_NAMES = 100_000
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "ticketsift-stream", f"{name}-{uuid.uuid4().hex}")
 
@@ -74,12 +77,15 @@ def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_file
         lab = label_lexical(_tickets_from_docs(batch), tax)
         out = lab.select("ticket_id", "doc_id", "new_category", "confidence", "reasoning")
         out.write.mode("overwrite").parquet(os.path.join(labels_path, f"round={batch_id}"))
-        # new names in first-seen order (one row per category; tiny)
+        # new names in first-seen order (one row per category); a decider
+        # that invents a name per ticket is refused, not collected
         firsts = (
             out.filter(~F.col("new_category").isin(tax.names + [UNCATEGORISED, ""]))
             .groupBy("new_category").agg(F.min("doc_id").alias("first"))
-            .orderBy("first").collect()
+            .orderBy("first", "new_category").limit(MAX_NEW_NAMES + 1).collect()
         )
+        if len(firsts) > MAX_NEW_NAMES:
+            raise ValueError(f"more than {MAX_NEW_NAMES} new category names in one micro-batch")
         start = len(tax.categories)
         rows = [(start + i, r["new_category"], "discovered", [], 1) for i, r in enumerate(firsts)]
         batch.sparkSession.createDataFrame(
