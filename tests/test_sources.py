@@ -94,3 +94,39 @@ def test_builtin_datasets(spark):
     assert len(dataset_context("conversations")) >= 10
     with pytest.raises(ValueError, match="conversations, documents"):
         dataset(spark, SF_SMALL, "nope")
+
+
+def test_checkpoint_folder_is_read_from_the_session_and_never_local_on_a_cluster():
+    import pytest
+
+    from ticketsift.session import ensure_checkpoint_dir
+
+    class Conf(dict):
+        def get(self, k, d=None):
+            return dict.get(self, k, d)
+
+        def set(self, k, v):
+            self[k] = v
+
+    class Ctx:
+        def __init__(self, master):
+            self.master, self.dir = master, None
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class Session:
+        def __init__(self, master, conf):
+            self.conf, self.sparkContext = Conf(conf), Ctx(master)
+
+    shared = Session("yarn", {"spark.checkpoint.dir": "hdfs://shared/ckpt"})
+    assert ensure_checkpoint_dir(shared) == "hdfs://shared/ckpt" and shared.sparkContext.dir == "hdfs://shared/ckpt"
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session("spark://master:7077", {}))
+    assert ensure_checkpoint_dir(Session("local[8]", {}))
