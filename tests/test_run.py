@@ -90,3 +90,27 @@ def test_round_column_matches_round_plan(spark):
         got = {r.batch_id: r.k for r in ids.select("batch_id", _round_of(F.col("batch_id"), plan, rb).alias("k")).collect()}
         exp = {b: i for i, (lo, hi) in enumerate(plan) for b in range(lo, hi)}
         assert got == exp
+
+
+def test_name_pairs_prefix_filter_equals_brute_force():
+    import itertools
+    import random
+
+    from ticketsift.plans.run import name_pairs
+
+    def brute(names, t):
+        toks = {n: {x for x in re.split("[^a-z0-9]+", n.lower()) if x} for n in set(names)}
+        toks = {n: v for n, v in toks.items() if v}
+        out = []
+        for a, b in itertools.combinations(sorted(toks), 2):
+            i, u = len(toks[a] & toks[b]), len(toks[a] | toks[b])
+            if i >= t * u - 1e-12:
+                out.append((a, b, i / u))
+        return out
+
+    rnd = random.Random(3)
+    words = ["login", "payment", "refund", "delay", "failure", "error", "card", "app", "slow", "crash"]
+    for _ in range(200):
+        names = [" ".join(rnd.sample(words, rnd.randint(1, 5))) for _ in range(rnd.randint(2, 25))]
+        for t in (0.3, 0.5, 0.8, 1.0):
+            assert name_pairs(names, t) == brute(names, t)

@@ -128,15 +128,40 @@ def name_words(name: str) -> tuple[str, ...]:
 
 
 def name_pairs(names, threshold: float) -> list[tuple[str, str, float]]:
-    """Token-set Jaccard ≥ threshold among a short, driver-held name list."""
-    import itertools
-    import re
+    """Token-set Jaccard ≥ threshold among the driver-held category names.
 
-    toks = {n: {t for t in re.split("[^a-z0-9]+", n.lower()) if t} for n in names}
+    The same exact prefix filter as ``quality.similar_names`` (the Spark form
+    for name tables of any size): tokens ordered rarest first, and only names
+    sharing a token of their prefixes become candidates, so a common token
+    never pairs every name with every other.
+    """
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    toks = {n: {t for t in re.split("[^a-z0-9]+", n.lower()) if t} for n in set(names)}
+    toks = {n: t for n, t in toks.items() if t}
+    freq = Counter(t for ts in toks.values() for t in ts)
+    order = {n: sorted(ts, key=lambda t: (freq[t], t)) for n, ts in toks.items()}
+
+    def prefix(n: str, share: float) -> list[str]:
+        k = len(order[n])
+        return order[n][: k - math.ceil(share * k - 1e-9) + 1]
+
+    index = defaultdict(list)                       # prefix token -> names (index side)
+    for n in order:
+        for t in prefix(n, 2 * threshold / (1 + threshold)):
+            index[t].append(n)
+    cand = set()
+    for y in order:                                 # probe side: the longer (or equal) set
+        for t in prefix(y, threshold):
+            for x in index.get(t, ()):
+                if x != y and len(toks[x]) <= len(toks[y]) and len(toks[x]) >= threshold * len(toks[y]) - 1e-9:
+                    cand.add((min(x, y), max(x, y)))
     out = []
-    for a, b in itertools.combinations(sorted(names), 2):
+    for a, b in sorted(cand):
         inter, union = len(toks[a] & toks[b]), len(toks[a] | toks[b])
-        if union and inter >= threshold * union - 1e-12:
+        if inter >= threshold * union - 1e-12:
             out.append((a, b, inter / union))
     return out
 
