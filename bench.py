@@ -64,6 +64,9 @@ def main() -> None:
         "sf": sf,
         "documents": docs,
         "lexical_rows_per_sec": round(docs / times["lexical_primary"], 1) if times["lexical_primary"] else None,
+        # the end-to-end run at full depth (labels, threshold, review, themes):
+        # the counterpart of the reference's published rows/s for a full run
+        "run_full_rows_per_sec": round(docs / times["run_primary"], 1) if times["run_primary"] else None,
     }))
     spark.stop()
 
