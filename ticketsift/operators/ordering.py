@@ -4,8 +4,9 @@ Spark has no row order, so every "file order" rule of the reference needs a
 declared, unique order key.  Dense positions and running totals are computed
 without a single-partition window:
 
-1. cut the key range into ``n`` buckets at approximate quantiles (one
-   aggregate over the key column only, result = ``n-1`` numbers);
+0. write the narrow ``(key, value)`` table once (one pass over the upstream);
+1. cut the key range into ``n`` buckets at quantiles of a key sample (about
+   32 keys per bucket reach the driver, result = ``n-1`` numbers);
 2. total per bucket (partial + final hash aggregate, result = ``n`` rows);
 3. prefix offsets of those totals on the driver (``n`` numbers) as a literal;
 4. ``offset[bucket] + running sum within bucket`` with a window partitioned
@@ -21,30 +22,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shuffle_partitions
+from ..session import materialize, shuffle_partitions
 
 BATCH_SIZE = 10
 _CASE_LIMIT = 64
 
 
-def _bounds(df: DataFrame, key: str, n: int) -> list:
+SAMPLE_PER_BUCKET = 32
+SAMPLE_MAX = 1_000_000
+
+
+def _bounds(keys: DataFrame, key: str, n: int) -> list:
+    """``n - 1`` increasing bucket bounds from a key sample on the driver.
+
+    About ``SAMPLE_PER_BUCKET`` keys per bucket (at most ``SAMPLE_MAX``)
+    reach the driver, as in Spark's own range partitioning.  A global
+    ``percentile_approx`` is avoided on purpose: its per-task sketches all
+    merge in one task, and at the accuracy thousands of buckets need they
+    keep nearly every key.  Balanced buckets only matter for speed; the
+    positions are exact whatever the bounds.
+    """
     if n <= 1:
         return []
-    dtype = df.schema[key].dataType
-    probs = [i / n for i in range(1, n)]
-    if isinstance(dtype, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        row = df.agg(F.percentile_approx(key, probs, max(10_000, 100 * n)).alias("q")).first()
-        qs = row["q"] or []
-    else:
-        total = df.count()
-        if total == 0:
-            return []
-        frac = min(1.0, 100.0 * n / total)
-        keys = sorted(r[0] for r in df.select(key).sample(fraction=frac, seed=17).where(F.col(key).isNotNull()).collect())
-        qs = [keys[int(p * len(keys))] for p in probs] if keys else []
+    total = keys.count()
+    if total == 0:
+        return []
+    frac = min(1.0, min(SAMPLE_PER_BUCKET * n, SAMPLE_MAX) / total)
+    sample = sorted(r[0] for r in keys.select(key).sample(fraction=frac, seed=17).where(F.col(key).isNotNull()).collect())
     out = []
-    for q in qs:
-        if q is not None and (not out or q > out[-1]):
+    for q in (sample[int(i / n * len(sample))] for i in range(1, n)) if sample else ():
+        if not out or q > out[-1]:
             out.append(q)
     return out
 
@@ -84,25 +91,33 @@ def tag_buckets(df: DataFrame, key: str, bounds: list, out: str = "_bkt") -> tup
 
 
 def running_total(df: DataFrame, key: str, value: Column | str | None = None, out: str = "running",
-                  buckets: int | None = None) -> DataFrame:
+                  buckets: int | None = None, written: bool = False) -> DataFrame:
     """Inclusive running sum of ``value`` (default 1 = running count) by ``key``.
 
-    ``key`` must be unique and non-null.
+    ``key`` must be unique and non-null.  ``written``: ``df`` is already a
+    narrow table read from files, so its keys are not written again.
     """
-    return _running(df, key, value, out, buckets)[0].drop(BUCKET)
+    return _running(df, key, value, out, buckets, written)[0].drop(BUCKET)
 
 
 BUCKET = "_bkt"
 
 
-def _running(df: DataFrame, key: str, value, out: str, buckets: int | None) -> tuple[DataFrame, list[int]]:
+def _running(df: DataFrame, key: str, value, out: str, buckets: int | None,
+             written: bool = False) -> tuple[DataFrame, list[int]]:
     """The running total with the bucket column kept, and the bucket offsets."""
     n = buckets or shuffle_partitions(df.sparkSession)
     val = F.lit(1).cast("long") if value is None else (F.col(value) if isinstance(value, str) else value).cast("long")
-    bounds = _bounds(df, key, n)
-    tagged, n_buckets = tag_buckets(df, key, bounds)
-    tagged = tagged.withColumn("_val", val)
-    totals = {r["_bkt"]: (r["t"] or 0) for r in tagged.groupBy("_bkt").agg(F.sum("_val").alias("t")).collect()}
+    # the narrow (key, value) table is written once: the count, the key
+    # sample and the bucket totals read it instead of re-running the
+    # upstream (often a scan of whole texts) three more times
+    keys = df.select(F.col(key), val.alias("_val"))
+    if not written:
+        keys = materialize(keys, "order_keys")
+    bounds = _bounds(keys, key, n)
+    counted, n_buckets = tag_buckets(keys, key, bounds)
+    totals = {r["_bkt"]: (r["t"] or 0) for r in counted.groupBy("_bkt").agg(F.sum("_val").alias("t")).collect()}
+    tagged = tag_buckets(df, key, bounds)[0].withColumn("_val", val)
     offsets, acc = [], 0
     for b in range(n_buckets):
         offsets.append(acc)
@@ -112,9 +127,10 @@ def _running(df: DataFrame, key: str, value, out: str, buckets: int | None) -> t
     return tagged.withColumn(out, off + F.sum("_val").over(w)).drop("_val"), offsets
 
 
-def assign_positions(df: DataFrame, key: str, out: str = "pos", buckets: int | None = None) -> DataFrame:
-    """ORD1: dense 0-based position in ``key`` order."""
-    return running_total(df, key, None, out, buckets).withColumn(out, F.col(out) - 1)
+def assign_positions(df: DataFrame, key: str, out: str = "pos", buckets: int | None = None,
+                     written: bool = False) -> DataFrame:
+    """ORD1: dense 0-based position in ``key`` order (``written``: see ``running_total``)."""
+    return running_total(df, key, None, out, buckets, written).withColumn(out, F.col(out) - 1)
 
 
 def positions_by_bucket(df: DataFrame, key: str, out: str = "pos", buckets: int | None = None) -> tuple[DataFrame, list[int]]:

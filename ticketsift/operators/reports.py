@@ -71,7 +71,7 @@ def running_categories(labelled: DataFrame, col: str = "new_category", batch: st
     # the prefix sum reads its input three times (bounds, bucket totals, rows):
     # write the small per-batch table once instead of re-running the upstream
     per_batch = materialize(per_batch, "per_batch")
-    return running_total(per_batch, "batch_id", "new_categories", "categories_so_far")
+    return running_total(per_batch, "batch_id", "new_categories", "categories_so_far", written=True)
 
 
 def breakdown(summaries: DataFrame, labelled: DataFrame, col: str = "new_category") -> DataFrame:

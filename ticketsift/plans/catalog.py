@@ -283,7 +283,7 @@ def labelled_batches(spark: SparkSession, d: str, tags: bool = False) -> DataFra
     # alive in every job over it, so the quantile and bucket-total jobs of
     # the positions read this narrow copy instead of re-tokenising the texts
     lab = materialize(label_lexical(tickets(spark, d), taxonomy(), with_tags=tags).select(*cols), "labels")
-    return materialize(assign_batches(assign_positions(lab, ORDER)), "batch_labels")
+    return materialize(assign_batches(assign_positions(lab, ORDER, written=True)), "batch_labels")
 
 
 def replies(spark, d):
