@@ -94,3 +94,13 @@ def test_review_and_name_list(spark):
     assert rows[1].v.narrative is None and rows[1].v.auto_merges == [] and rows[1].v.merge_flags == []
     names = spark.createDataFrame([('["  A ", "", "B"]',), ('{"a": 1}',), ("```json\n[\"  \"]\n```",)], "r string")
     assert [r[0] for r in names.select(parse_name_list("r")).collect()] == [["A", "B"], [], [""]]
+
+
+def test_truncated_and_single_quoted_replies_fail_the_batch_on_both_paths(spark):
+    good = json.dumps(_items(2))
+    single = good.replace('"', "'")
+    resp = _resp(spark, [(0, good[:-5], None), (1, single, None), (2, good, None)])
+    req = _req(spark, {0: 2, 1: 2, 2: 2})
+    for parse in (parse_replies, parse_replies_strict):
+        ok = {r.batch_id: r.ok for r in parse(resp, req).collect()}
+        assert ok == {0: False, 1: False, 2: True}
