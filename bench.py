@@ -42,11 +42,11 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores=cpus, partitions=int(cpus) if cpus.isdigit() else 8, app="ticketsift-bench")
-    # warm the JVM (JIT of the scorer, JSON and window paths) on the smallest
-    # scale factor, outside the timings
+    # warm the JVM (JIT and generated code of every headline path) on the
+    # smallest scale factor, outside the timings
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm_dir):
-        for name in ("lexical_primary", "apply_responses", "category_distribution"):
+        for name in HEADLINE:
             QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in HEADLINE:
