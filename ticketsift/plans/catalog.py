@@ -381,6 +381,13 @@ def q_stream_rounds(spark, d):
     return stream_categorise(spark, d, taxonomy()).select("ticket_id", "new_category", "confidence", "reasoning")
 
 
+def q_stream_category_counts(spark, d):
+    """STR2: running category counts of the labelled document stream."""
+    from ..streaming.rounds import stream_category_counts
+
+    return stream_category_counts(spark, d, taxonomy())
+
+
 def q_stream_event_windows(spark, d):
     from ..streaming.rounds import stream_window_counts
 
@@ -565,6 +572,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trend_by_day": q_trend_by_day,
     "stream_rounds": q_stream_rounds,
     "stream_event_windows": q_stream_event_windows,
+    "stream_category_counts": q_stream_category_counts,
     "review_request": q_review_request,
     "suggest_request": q_suggest_request,
     "stratified_sample": q_stratified_sample,

@@ -398,6 +398,8 @@ FROM labelled""",
 SELECT confidence, n, {pct('n', 'total')} AS pct FROM per, t""",
         "trend_by_day": _trend(),
         "stream_rounds": lexical_sel,
+        "stream_category_counts": W(TICKETS, LEXICAL) + """
+SELECT new_category AS category, count(*) AS n FROM lexical GROUP BY 1""",
         "stream_event_windows": """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS category, count(*) AS n FROM events GROUP BY 1, 2""",
     }

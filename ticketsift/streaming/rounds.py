@@ -6,9 +6,13 @@
   partition ``round=b`` with overwrite, so a replayed batch after a failure
   rewrites the same files (idempotent); state lives in tables, so a restart
   resumes from the stream checkpoint.
-* STR2/STR3 ``stream_window_counts``: per-day category counts with a
-  watermark, update mode; each batch writes its updated rows, the reader keeps
-  the latest value per (day, category).
+* STR2 ``stream_category_counts``: running category counts of the labelled
+  ticket stream (stateful aggregate, update mode); each micro-batch writes
+  its changed counts to partition ``batch=<id>`` (overwrite, so a replay is
+  idempotent) and the reader keeps the latest count per category.
+* STR3 ``stream_window_counts``: per-day category counts with a watermark,
+  update mode; each batch writes its updated rows, the reader keeps the
+  latest value per (day, category).
 
 All paths live under the session's ``spark.checkpoint.dir``.
 """
@@ -60,14 +64,15 @@ def _read_taxonomy(spark: SparkSession, path: str, seed: Taxonomy) -> Taxonomy:
     return tax
 
 
-def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_files: int = 1) -> DataFrame:
-    """STR1 over the ``documents`` file of ``sf_dir`` as a file stream."""
+def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_files: int = 1,
+                      pattern: str = "documents.parquet") -> DataFrame:
+    """STR1 over the document files of ``sf_dir`` (``pattern``) as a file stream."""
     base = _scratch(spark, "categorise")
     labels_path, tax_path, ckpt = (os.path.join(base, p) for p in ("labels", "taxonomy", "_checkpoint"))
-    schema = spark.read.parquet(os.path.join(sf_dir, "documents.parquet")).schema
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(sf_dir).schema
     stream = (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
+        .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", max_files)
         .parquet(sf_dir)
     )
@@ -97,6 +102,34 @@ def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_file
     return spark.read.parquet(labels_path)
 
 
+def stream_category_counts(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_files: int = 1,
+                           pattern: str = "documents.parquet") -> DataFrame:
+    """STR2 over the document files of ``sf_dir`` (``pattern``) as a file stream."""
+    base = _scratch(spark, "counts")
+    out_path, ckpt = os.path.join(base, "updates"), os.path.join(base, "_checkpoint")
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(sf_dir).schema
+    stream = (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", pattern)
+        .option("maxFilesPerTrigger", max_files)
+        .parquet(sf_dir)
+    )
+    counts = (
+        label_lexical(_tickets_from_docs(stream), seed)
+        .groupBy(F.col("new_category").alias("category"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
+
+    q = counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination()
+    ups = spark.read.parquet(out_path)
+    w = Window.partitionBy("category").orderBy(F.desc("batch"))
+    return ups.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).select("category", "n")
+
+
 def stream_window_counts(spark: SparkSession, sf_dir: str, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """STR2/STR3 over the ``events`` file: per-window category counts."""
     base = _scratch(spark, "windows")
