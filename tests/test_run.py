@@ -114,3 +114,35 @@ def test_name_pairs_prefix_filter_equals_brute_force():
         names = [" ".join(rnd.sample(words, rnd.randint(1, 5))) for _ in range(rnd.randint(2, 25))]
         for t in (0.3, 0.5, 0.8, 1.0):
             assert name_pairs(names, t) == brute(names, t)
+
+
+def test_collapse_copies_equals_full_run_with_a_hot_copy_group(spark):
+    from ticketsift.operators import copies as cp
+
+    base = document_tickets(spark, SF_SMALL)
+    first = base.agg(F.min("doc_id")).first()[0]
+    one = base.filter(F.col("doc_id") == first)
+    extra = one.select(F.explode(F.sequence(F.lit(0), F.lit(149))).alias("i"), *[c for c in base.columns]).select(
+        *[F.concat(F.lit("COPY-"), F.col("i").cast("string")).alias(c) if c == "ticket_id"
+          else (F.lit(100000) + F.col("i")).alias(c) if c == "doc_id" else F.col(c) for c in base.columns])
+    t = assign_positions(base.unionByName(extra), "doc_id")       # one group holds 150 of ~350 rows
+
+    keyed = t.withColumn(cp.COPY_KEY, cp.copy_key())
+    assert len(cp.hot_keys(cp.first_copies(keyed), 8)) >= 1     # the salted join path is taken
+
+    def factory():
+        def call(prompt):
+            out = []
+            for tid, text in re.findall(r"^id: (.+?)\n  text: (.*?)\n  label: ", prompt, re.M | re.S):
+                out.append({"ticket_id": tid, "new_category": "Short" if len(text) < 2000 else "Long",
+                            "confidence": "High", "reasoning": f"{len(text)} chars"})
+            return json.dumps(out)
+        return call
+
+    got = []
+    for collapse in (False, True):
+        res = run(t, CTX, "no_suggestions", decider="callable", call_factory=factory,
+                  config=RunConfig(min_bucket=0, collapse_copies=collapse))
+        got.append({r.ticket_id: (r.new_category, r.confidence, r.reasoning) for r in res.labelled.collect()})
+    assert got[0] == got[1] and len(got[1]) == t.count()
+    assert len({v for k, v in got[1].items() if k.startswith("COPY-")}) == 1

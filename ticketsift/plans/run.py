@@ -62,6 +62,7 @@ class RunConfig:
     order_key: str = "pos"
     discover_terms: int = 10              # lexical discovery: categories from top terms
     merge_similarity: float = 0.8         # lexical review: auto-merge names at this Jaccard
+    collapse_copies: bool = False         # model deciders: one request slot per exact copy group
 
 
 @dataclass
@@ -227,6 +228,8 @@ def run(
         else:
             tax = Taxonomy([Category(c.name, name_words(c.name), 1, c.source) for c in seed.categories])
         labels = materialize(label_lexical(batched, tax, with_tags=(depth == "full")), "labels")
+    elif cfg.collapse_copies:
+        tax, labels = _collapsed_rounds(batched, context, mode, seed, decider, responses, call_factory, cfg)
     else:
         tax, labels = _model_rounds(batched, context, mode, seed, decider, responses, call_factory, cfg)
 
@@ -292,6 +295,26 @@ def _model_rounds(batched, context, mode, seed, decider, responses, call_factory
     return tax, (labels if parts else spark.createDataFrame([], batched.schema))
 
 
+def _collapsed_rounds(batched, context, mode, seed, decider, responses, call_factory, cfg):
+    """The model rounds over the first copy of every exact-copy group; the
+    decisions are joined back onto all copies (``operators.copies``).
+    Batches are formed over the representatives in first-copy order, so
+    ``responses`` of a replay run refer to those batches."""
+    from ..operators import copies as cp
+
+    parts = cp.collapse_parts(batched.sparkSession)
+    keyed = batched.drop("batch_id", "batch_pos").withColumn(cp.COPY_KEY, cp.copy_key())
+    reps = materialize(cp.first_copies(keyed, "pos"), "first_copies")
+    hot = cp.hot_keys(reps, parts)
+    rep_batches = assign_batches(
+        assign_positions(reps.withColumnRenamed("pos", "_first_pos"), "_first_pos", "pos", written=True), cfg.batch_size
+    )
+    tax, rep_labels = _model_rounds(rep_batches, context, mode, seed, decider, responses, call_factory, cfg)
+    decided = rep_labels.select(cp.COPY_KEY, "new_category", "confidence", "reasoning")
+    rows = assign_batches(keyed, cfg.batch_size)
+    return tax, materialize(cp.spread_back(rows, decided, hot, parts).drop(cp.COPY_KEY), "labels")
+
+
 def _consolidate(labelled: DataFrame, context: str, decider: str, review_response, call_factory, cfg,
                  counts: dict | None = None):
     """CNS0: counts (CNS1; counted here unless passed in), first samples per
