@@ -71,3 +71,17 @@ def test_ustrip_matches_python(spark):
     samples = ["\x1c a \x1f", " x ", " \n tab\t", "\u0085y ", "none"]
     df = spark.createDataFrame([(s,) for s in samples], "s string")
     assert [r[0] for r in df.select(ustrip("s")).collect()] == [s.strip() for s in samples]
+
+
+def test_display_cuts_from_the_description_head_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    from ticketsift.functions.text import cut, head_chars
+    from ticketsift.plans.catalog import DISPLAY_HEAD
+
+    texts = [("é" if i % 7 == 0 else "x") * i for i in range(0, 251)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("h", F.substring("t", 1, DISPLAY_HEAD))
+    pairs = [(cut("t", 80), cut("h", 80)), (cut("t", 100), cut("h", 100)),
+             (F.substring("t", 1, 80), F.substring("h", 1, 80)), (head_chars("t", 100), head_chars("h", 100))]
+    rows = df.select(*[(a == b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).collect()
+    assert all(all(r) for r in rows)

@@ -43,6 +43,7 @@ MERGES = (
     (("English Text",), ""),
 )
 SIMILARITY = 0.5
+DISPLAY_HEAD = 101        # longest description cut shown or sent (100) plus one
 MERGE_AT = 0.8
 MAX_FLAGS = 3
 # -----------------------------------------------------------------------------
@@ -77,23 +78,22 @@ fold = fold_small
 def narrow(spark: SparkSession, d: str, tags: bool = False) -> DataFrame:
     """Thresholded labels without the text: the texts are tokenised once, the
     narrow result is written under the checkpoint folder and read back, and
-    the count table and the rows both come from that copy."""
+    the count table and the rows both come from that copy.
+
+    ``desc_head`` keeps the first ``DISPLAY_HEAD`` characters of the
+    description: every display or prompt cut of the reports (80 or 100
+    characters, with ``...`` when longer) is taken exactly from it, so no
+    report scans the texts a second time.  Labels use the whole texts."""
     cols = ["doc_id", "ticket_id", "current_label", "new_category", "confidence", "reasoning"] + (["tags"] if tags else [])
-    lab = materialize(lexical(spark, d, tags).select(*cols), "labels")
+    head = F.substring("issue_description", 1, DISPLAY_HEAD).alias("desc_head")
+    lab = materialize(lexical(spark, d, tags).select(*cols, head), "labels")
     return fold(lab, fold_list(lab))
 
 
-def labelled(spark: SparkSession, d: str, tags: bool = False) -> DataFrame:
-    """Thresholded labels with the text, for reports that read every text
-    (summaries, the low-confidence view): the fold list comes from a counting
-    pass and the texts are tokenised again, instead of shuffling them."""
-    return fold(lexical(spark, d, tags), fold_list(lexical(spark, d)))
-
-
-def with_text(spark: SparkSession, d: str, keys: DataFrame) -> DataFrame:
-    """Attach descriptions to a key set of bounded size (a few rows per
-    category) with a broadcast join against the ticket scan."""
-    return tickets(spark, d).select("doc_id", "issue_description").join(F.broadcast(keys), "doc_id")
+def shown(lab: DataFrame) -> DataFrame:
+    """The narrow labels with the description head in the description's place
+    (for the display and prompt cuts only)."""
+    return lab.withColumnRenamed("desc_head", "issue_description")
 
 
 def batched(spark: SparkSession, d: str) -> DataFrame:
@@ -173,19 +173,17 @@ def q_event_distribution(spark, d):
 
 
 def q_low_confidence_view(spark, d):
-    return rpt.results_table(labelled(spark, d), low_only=True)
+    return rpt.results_table(shown(narrow(spark, d)), low_only=True)
 
 
 def q_category_samples(spark, d):
-    lab = narrow(spark, d).withColumn("issue_description", F.lit(None).cast("string"))
-    keys = rpt.category_samples(lab, 3, order_col=ORDER).select("doc_id", "category", "rn", "ticket_id")
-    s = with_text(spark, d, keys)
+    s = rpt.category_samples(shown(narrow(spark, d)), 3, order_col=ORDER)
     return s.select("category", "rn", "ticket_id", cut("issue_description", 80).alias("description"))
 
 
 def q_uncategorised_head(spark, d):
-    keys = rpt.uncategorised_head(narrow(spark, d), 10, order_col=ORDER).select("doc_id", "ticket_id")
-    return with_text(spark, d, keys).select("ticket_id", cut("issue_description", 100).alias("description"))
+    h = rpt.uncategorised_head(shown(narrow(spark, d)), 10, order_col=ORDER)
+    return h.select("ticket_id", cut("issue_description", 100).alias("description"))
 
 
 def _events_batched(spark, d):
@@ -398,13 +396,11 @@ def q_review_request(spark, d):
     """PRM3: the one consolidation request over the thresholded labels."""
     from ..operators.prompts import review_request
 
-    lab = narrow(spark, d)
+    lab = shown(narrow(spark, d))
     counts = lab.filter(F.col("new_category").isNotNull()).groupBy(F.col("new_category").alias("category")).agg(
         F.count(F.lit(1)).alias("n"), F.min(ORDER).alias("first_pos"))
-    keys = rpt.category_samples(lab.withColumn("issue_description", F.lit(None).cast("string")), 2, order_col=ORDER)
-    samples = with_text(spark, d, keys.select("doc_id", "category", "rn"))
-    unc_keys = rpt.uncategorised_head(lab, 10, order_col=ORDER).select("doc_id")
-    unc = with_text(spark, d, unc_keys).select(F.col("doc_id").alias("pos"), "issue_description")
+    samples = rpt.category_samples(lab, 2, order_col=ORDER).select("category", "rn", "issue_description")
+    unc = rpt.uncategorised_head(lab, 10, order_col=ORDER).select(F.col(ORDER).alias("pos"), "issue_description")
     req = review_request(counts, samples, unc, CONTEXT)
     return req.select(F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
 
