@@ -133,6 +133,10 @@ def test_collapse_copies_equals_full_run_with_a_hot_copy_group(spark):
     def factory():
         def call(prompt):
             out = []
+            if prompt.startswith("You map tickets"):          # theme request: id and text blocks
+                blocks = re.findall(r"^id: (.+?)\n  text: (.*?)(?=\n\nid: |\Z)", prompt.split("Tickets:\n", 1)[1], re.M | re.S)
+                return json.dumps([{"ticket_id": tid, "tags": ["Words"] + (["Many"] if len(text) > 5000 else [])}
+                                   for tid, text in blocks])
             for tid, text in re.findall(r"^id: (.+?)\n  text: (.*?)\n  label: ", prompt, re.M | re.S):
                 out.append({"ticket_id": tid, "new_category": "Short" if len(text) < 2000 else "Long",
                             "confidence": "High", "reasoning": f"{len(text)} chars"})
@@ -141,8 +145,9 @@ def test_collapse_copies_equals_full_run_with_a_hot_copy_group(spark):
 
     got = []
     for collapse in (False, True):
-        res = run(t, CTX, "no_suggestions", decider="callable", call_factory=factory,
+        res = run(t, CTX, "no_suggestions", decider="callable", call_factory=factory, depth="full",
                   config=RunConfig(min_bucket=0, collapse_copies=collapse))
-        got.append({r.ticket_id: (r.new_category, r.confidence, r.reasoning) for r in res.labelled.collect()})
+        got.append({r.ticket_id: (r.new_category, r.confidence, r.reasoning, r.multi_tags) for r in res.export.collect()})
     assert got[0] == got[1] and len(got[1]) == t.count()
     assert len({v for k, v in got[1].items() if k.startswith("COPY-")}) == 1
+    assert {v[3] for v in got[1].values()} >= {"Words"}

@@ -251,10 +251,13 @@ def run(
             themed = join_tags(labelled)
         else:
             names = [r["category"] for r in first_seen(labelled, order_col="pos").orderBy("ordinal").collect()]
-            req = tag_requests(labelled, context, names)
-            resp = materialize(_decide(req, decider, tag_responses, call_factory), "tag_replies")
-            parsed = (parse_replies_strict if cfg.strict_json else parse_replies)(resp, req)
-            themed = apply_tag_replies(labelled, parsed)
+            if cfg.collapse_copies:
+                themed = _collapsed_tags(labelled, context, names, decider, tag_responses, call_factory, cfg)
+            else:
+                req = tag_requests(labelled, context, names)
+                resp = materialize(_decide(req, decider, tag_responses, call_factory), "tag_replies")
+                parsed = (parse_replies_strict if cfg.strict_json else parse_replies)(resp, req)
+                themed = apply_tag_replies(labelled, parsed)
     return RunResult(labelled=labelled, taxonomy=tax, merges=plan, review=review, themed=themed)
 
 
@@ -315,6 +318,26 @@ def _collapsed_rounds(batched, context, mode, seed, decider, responses, call_fac
     return tax, materialize(cp.spread_back(rows, decided, hot, parts).drop(cp.COPY_KEY), "labels")
 
 
+def _collapsed_tags(labelled, context, names, decider, tag_responses, call_factory, cfg):
+    """MTG1 over the first copy of every exact-copy group; the tags are joined
+    back onto all copies (same key and salting as the primary pass)."""
+    from ..operators import copies as cp
+
+    parts = cp.collapse_parts(labelled.sparkSession)
+    keyed = labelled.withColumn(cp.COPY_KEY, cp.copy_key())
+    reps = materialize(cp.first_copies(keyed.select(cp.COPY_KEY, "pos", "ticket_id", "issue_description"), "pos"),
+                       "first_copies")
+    hot = cp.hot_keys(reps, parts)
+    rep_batches = assign_batches(
+        assign_positions(reps.withColumnRenamed("pos", "_first_pos"), "_first_pos", "pos", written=True), cfg.batch_size
+    )
+    req = tag_requests(rep_batches, context, names)
+    resp = materialize(_decide(req, decider, tag_responses, call_factory), "tag_replies")
+    parsed = (parse_replies_strict if cfg.strict_json else parse_replies)(resp, req)
+    tags = apply_tag_replies(rep_batches, parsed).select(cp.COPY_KEY, "multi_tags")
+    return cp.spread_back(keyed, tags, hot, parts).drop(cp.COPY_KEY)
+
+
 def _consolidate(labelled: DataFrame, context: str, decider: str, review_response, call_factory, cfg,
                  counts: dict | None = None):
     """CNS0: counts (CNS1; counted here unless passed in), first samples per
