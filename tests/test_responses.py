@@ -104,3 +104,15 @@ def test_truncated_and_single_quoted_replies_fail_the_batch_on_both_paths(spark)
     for parse in (parse_replies, parse_replies_strict):
         ok = {r.batch_id: r.ok for r in parse(resp, req).collect()}
         assert ok == {0: False, 1: False, 2: True}
+
+
+def test_model_calls_are_spread_over_the_task_slots(spark):
+    from ticketsift.operators.deciders import call_requests
+
+    # a grouped request table of small prompts: adaptive execution alone would
+    # coalesce it into one partition and the calls would run one by one
+    req = spark.range(300).select((F.col("id") % 100).alias("batch_id"), F.lit("p").alias("prompt")).groupBy(
+        "batch_id").agg(F.first("prompt").alias("prompt"))
+    out = call_requests(req, lambda: (lambda p: "[]"))
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert out.count() == 100 and out.filter(F.col("error").isNotNull()).count() == 0

@@ -167,7 +167,8 @@ def observe_labels(df: DataFrame, name: str | None = None) -> DataFrame:
 RESPONSE_SCHEMA = "batch_id long, raw string, error string"
 
 
-def call_requests(requests: DataFrame, call_factory: Callable[[], Callable[[str], str]]) -> DataFrame:
+def call_requests(requests: DataFrame, call_factory: Callable[[], Callable[[str], str]],
+                  concurrency: int | None = None) -> DataFrame:
     """DEC1: run a model client over a ``requests(batch_id, prompt)`` table.
 
     ``call_factory`` builds one client per task (connection reuse); the client
@@ -175,7 +176,17 @@ def call_requests(requests: DataFrame, call_factory: Callable[[], Callable[[str]
     ``error`` column of that one request; the task itself never fails, so a
     Spark retry never re-calls the model for requests already answered in a
     materialised round.
+
+    The requests are dealt round-robin over ``concurrency`` tasks (default:
+    the cluster's parallelism): prompts are small, so adaptive execution
+    would otherwise coalesce them into a few partitions and the calls would
+    run nearly one after another.  A hash repartition on ``batch_id`` would be
+    dropped as redundant after the grouping that built the requests; the
+    round-robin one is kept, balances the calls, and is deterministic under
+    retries (Spark sorts the rows before dealing them).
     """
+    n = concurrency or requests.sparkSession.sparkContext.defaultParallelism
+    requests = requests.repartition(max(1, n))
 
     def run(batches):
         call = call_factory()
