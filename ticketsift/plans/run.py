@@ -63,6 +63,7 @@ class RunConfig:
     discover_terms: int = 10              # lexical discovery: categories from top terms
     merge_similarity: float = 0.8         # lexical review: auto-merge names at this Jaccard
     collapse_copies: bool = False         # model deciders: one request slot per exact copy group
+    concurrency: int | None = None        # model deciders: parallel calls (default: cluster parallelism)
 
 
 @dataclass
@@ -91,7 +92,8 @@ def _rounds(n_batches: int, round_batches: int | None) -> list[tuple[int, int]]:
     return out
 
 
-def _decide(requests: DataFrame, decider: str, responses: DataFrame | None, call_factory) -> DataFrame:
+def _decide(requests: DataFrame, decider: str, responses: DataFrame | None, call_factory,
+            concurrency: int | None = None) -> DataFrame:
     if decider == "replay":
         if responses is None:
             raise TicketError(["replay decider needs a responses table"])
@@ -99,7 +101,7 @@ def _decide(requests: DataFrame, decider: str, responses: DataFrame | None, call
     if decider == "callable":
         if call_factory is None:
             raise TicketError(["callable decider needs call_factory"])
-        return call_requests(requests, call_factory)
+        return call_requests(requests, call_factory, concurrency)
     raise TicketError([f"unknown decider: {decider}"])
 
 
@@ -255,7 +257,7 @@ def run(
                 themed = _collapsed_tags(labelled, context, names, decider, tag_responses, call_factory, cfg)
             else:
                 req = tag_requests(labelled, context, names)
-                resp = materialize(_decide(req, decider, tag_responses, call_factory), "tag_replies")
+                resp = materialize(_decide(req, decider, tag_responses, call_factory, cfg.concurrency), "tag_replies")
                 parsed = (parse_replies_strict if cfg.strict_json else parse_replies)(resp, req)
                 themed = apply_tag_replies(labelled, parsed)
     return RunResult(labelled=labelled, taxonomy=tax, merges=plan, review=review, themed=themed)
@@ -286,7 +288,8 @@ def _model_rounds(batched, context, mode, seed, decider, responses, call_factory
     for i, (lo, hi) in enumerate(rounds):
         part = staged.filter(F.col(ROUND_COL) == i).drop(ROUND_COL)
         req = categorise_requests(part, context, mode, tax.names)
-        resp = _decide(req, decider, responses.filter((F.col("batch_id") >= lo) & (F.col("batch_id") < hi)) if responses is not None else None, call_factory)
+        resp = _decide(req, decider, responses.filter((F.col("batch_id") >= lo) & (F.col("batch_id") < hi)) if responses is not None else None, call_factory,
+                       cfg.concurrency)
         resp = materialize(resp, "replies")          # the record: retries never re-call the model
         parsed = (parse_replies_strict if cfg.strict_json else parse_replies)(resp, req)
         applied = materialize(apply_replies(part, parsed, cfg.align), "round")
@@ -332,7 +335,7 @@ def _collapsed_tags(labelled, context, names, decider, tag_responses, call_facto
         assign_positions(reps.withColumnRenamed("pos", "_first_pos"), "_first_pos", "pos", written=True), cfg.batch_size
     )
     req = tag_requests(rep_batches, context, names)
-    resp = materialize(_decide(req, decider, tag_responses, call_factory), "tag_replies")
+    resp = materialize(_decide(req, decider, tag_responses, call_factory, cfg.concurrency), "tag_replies")
     parsed = (parse_replies_strict if cfg.strict_json else parse_replies)(resp, req)
     tags = apply_tag_replies(rep_batches, parsed).select(cp.COPY_KEY, "multi_tags")
     return cp.spread_back(keyed, tags, hot, parts).drop(cp.COPY_KEY)
@@ -366,7 +369,7 @@ def _consolidate(labelled: DataFrame, context: str, decider: str, review_respons
         else:
             resp = req.select("batch_id", F.lit(review_response).alias("raw"), F.lit(None).cast("string").alias("error"))
     else:
-        resp = call_requests(req, call_factory)
+        resp = call_requests(req, call_factory, cfg.concurrency)
     row = resp.select("error", parse_review(F.coalesce(F.col("raw"), F.lit(""))).alias("v")).first()
     if row["error"] is not None:
         review = {"category_summaries": {c: "" for c in counts}, "merge_flags": [],
