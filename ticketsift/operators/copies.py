@@ -7,7 +7,7 @@ joined back onto every copy.
 
 * The copy key is a 128-bit md5 of the three texts, so distinct tickets do
   not collide at any realistic row count.
-* Representatives come from ``min(struct(pos, ...))`` per key: a partial
+* Representatives come from ``min_by(struct(...), pos)`` per key: a partial
   aggregate, so a group holding a large share of the rows is combined
   map-side and never reaches one task whole.
 * The join back salts the hot keys only: a key with more than
@@ -38,9 +38,9 @@ def copy_key(cols=("issue_description", "current_label", "resolution_notes")) ->
 def first_copies(keyed: DataFrame, order_col: str = "pos", key: str = COPY_KEY) -> DataFrame:
     """One row per copy key: the columns of its first copy plus ``_copies``."""
     others = [c for c in keyed.columns if c not in (key, order_col)]
-    first = F.min(F.struct(F.col(order_col), *[F.col(c) for c in others])).alias("_r")
-    agg = keyed.groupBy(key).agg(first, F.count(F.lit(1)).alias(COPIES))
-    return agg.select(key, COPIES, *[F.col(f"_r.{c}").alias(c) for c in [order_col] + others])
+    first = F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order_col)).alias("_r")
+    agg = keyed.groupBy(key).agg(F.min(order_col).alias(order_col), first, F.count(F.lit(1)).alias(COPIES))
+    return agg.select(key, COPIES, order_col, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
 def hot_keys(reps: DataFrame, parts: int, key: str = COPY_KEY) -> list[str]:
