@@ -43,3 +43,27 @@ def test_positions_many_buckets_on_keys_beyond_double_precision(spark):
     df = spark.range(0, 2000).select((F.lit(base) + F.col("id") * 3).alias("k"))
     got = sorted((r.k, r.pos) for r in assign_positions(df.repartition(7), "k", buckets=150).collect())
     assert [p for _, p in got] == list(range(2000))
+
+
+def test_positions_many_buckets_on_string_keys(spark):
+    # more than 64 bounds on a string key: the two-level bound lookup
+    df = spark.createDataFrame([(f"id{(i * 7919) % 5000:05d}",) for i in range(5000)], "k string").distinct()
+    n = df.count()
+    for buckets in (65, 150, 400):
+        got = sorted((r.k, r.pos) for r in assign_positions(df.repartition(6), "k", buckets=buckets).collect())
+        assert [p for _, p in got] == list(range(n))
+
+
+def test_bucket_of_equals_the_number_of_bounds_not_above_the_key(spark):
+    import bisect
+    import random
+
+    from ticketsift.operators.ordering import bucket_of
+
+    rnd = random.Random(5)
+    for m in (3, 64, 65, 200, 1000):
+        bounds = sorted({f"k{rnd.randrange(100000):06d}" for _ in range(m * 2)})[:m]
+        keys = [f"k{rnd.randrange(100000):06d}" for _ in range(300)] + bounds[:5] + ["a", "z"]
+        df = spark.createDataFrame([(k,) for k in keys], "k string")
+        got = [(r.k, r.b) for r in df.select("k", bucket_of(F.col("k"), bounds).alias("b")).collect()]
+        assert all(b == bisect.bisect_right(bounds, k) for k, b in got)

@@ -18,6 +18,8 @@ executor loss lands every row in the same bucket again.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,8 +67,16 @@ def bucket_of(key: Column, bounds: list) -> Column:
         for i, b in enumerate(bounds):
             expr = F.when(key < F.lit(b), F.lit(i)) if expr is None else expr.when(key < F.lit(b), F.lit(i))
         return expr.otherwise(F.lit(len(bounds)))
-    arr = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b <= key))
+    # many bounds on a non-numeric key: two levels of about sqrt(n) bounds.
+    # The key's chunk is the number of chunk heads <= key; every bound of the
+    # earlier chunks is <= key and none of the later ones, so the bucket is
+    # chunk * size + the bounds <= key inside that chunk: O(sqrt n) per row.
+    size = math.isqrt(len(bounds) - 1) + 1
+    chunks = [bounds[i:i + size] for i in range(0, len(bounds), size)]
+    heads = F.array(*[F.lit(c[0]) for c in chunks[1:]])
+    chunk = F.size(F.filter(heads, lambda h: h <= key))
+    inner = F.element_at(F.array(*[F.array(*[F.lit(b) for b in c]) for c in chunks]), chunk + 1)
+    return chunk * F.lit(size) + F.size(F.filter(inner, lambda b: b <= key))
 
 
 def tag_buckets(df: DataFrame, key: str, bounds: list, out: str = "_bkt") -> tuple[DataFrame, int]:
