@@ -67,13 +67,34 @@ def similar_names(names: DataFrame, col: str = "name", threshold: float = 0.5) -
     token, which sorts last, rarely produces candidates; the exact Jaccard is
     then computed on the candidates.  No pair meeting the threshold is lost.
     """
-    t = float(threshold)
     # the distinct names are read four times below (frequencies, their size
     # check, index and probe sides): written once, the source is scanned once
     sets = materialize(
         names.select(F.col(col).alias("name")).distinct().withColumn("toks", name_tokens("name")).filter(F.size("toks") > 0),
         "name_sets",
     )
+    return similar_token_sets(sets, threshold)
+
+
+def term_profiles(terms: DataFrame, k: int = 20, col: str = "category") -> DataFrame:
+    """QLT4 by content: every named category's ``k`` most frequent terms
+    (ticket counts, ties by term) as ``(name, toks)``.  The top-k is a
+    ``WindowGroupLimit`` before the exchange, so a category with a huge
+    vocabulary ships only ``k`` terms per task."""
+    w = Window.partitionBy(col).orderBy(F.desc("df"), F.asc("term"))
+    top = (
+        terms.filter(F.col("term").isNotNull() & F.col(col).isNotNull() & (F.col(col) != UNCATEGORISED))
+        .withColumn("_rn", F.row_number().over(w))
+        .filter(F.col("_rn") <= k)
+    )
+    return top.groupBy(F.col(col).alias("name")).agg(F.array_distinct(F.collect_list("term")).alias("toks"))
+
+
+def similar_token_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Exact all-pairs Jaccard ≥ ``threshold`` over ``(name, toks)`` rows (one
+    row per name, ``toks`` distinct and non-empty), by prefix filtering (see
+    ``similar_names``)."""
+    t = float(threshold)
     freq = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
     freq = bounded_broadcast(freq, None)
     ordered = (

@@ -46,6 +46,8 @@ SIMILARITY = 0.5
 DISPLAY_HEAD = 101        # longest description cut shown or sent (100) plus one
 MERGE_AT = 0.8
 MAX_FLAGS = 3
+PROFILE_TERMS = 20        # terms in a category's content profile
+PROFILE_OVERLAP = 0.1     # Jaccard of two profiles reported as an overlap
 # -----------------------------------------------------------------------------
 
 ORDER = "doc_id"
@@ -237,15 +239,32 @@ def q_merge_log(spark, d):
     return spark.createDataFrame(rows, "merge_no int, log string, tickets long")
 
 
+def folded_terms(spark, d):
+    """Per (thresholded category, term) the number of tickets holding the term,
+    from one tokenisation pass: the term table of the raw labels is written
+    once, the threshold is decided on its per-category rows and applied to
+    the aggregated table (exact, tickets belong to one category)."""
+    terms = materialize(cns.term_table(lexical(spark, d)), "terms")
+    counts = {r["category"]: r["df"] for r in terms.filter(F.col("term").isNull()).collect()}
+    small = {c: UNCATEGORISED for c, n in counts.items() if c != UNCATEGORISED and n < MIN_BUCKET}
+    return cns.remap_terms(terms, small)
+
+
+def q_category_overlap(spark, d):
+    """QLT4 / DEC5 by content: pairs of named categories whose top-term
+    profiles (most frequent terms over all their tickets) overlap."""
+    prof = qlt.term_profiles(folded_terms(spark, d), PROFILE_TERMS)
+    pairs = qlt.similar_token_sets(prof, PROFILE_OVERLAP)
+    return pairs.select(F.col("name_a").alias("category_a"), F.col("name_b").alias("category_b"),
+                        "shared", "union_size", "jaccard")
+
+
 def q_category_breakdown(spark, d):
     """DEC6 + JON6/RPT4 in one tokenisation pass: terms are counted per raw
     category (null term = ticket count), the small aggregated table is
     written once, the threshold fold is decided on its counts and applied to
     it, then summaries and the breakdown are read off it."""
-    terms = materialize(cns.term_table(lexical(spark, d)), "terms")
-    counts = {r["category"]: r["df"] for r in terms.filter(F.col("term").isNull()).collect()}
-    small = {c: UNCATEGORISED for c, n in counts.items() if c != UNCATEGORISED and n < MIN_BUCKET}
-    folded = cns.remap_terms(terms, small)
+    folded = folded_terms(spark, d)
     per_cat = folded.filter(F.col("term").isNull()).select(F.col("category").alias("_cat"), F.col("df").alias("n"))
     return rpt.breakdown_from_counts(cns.summaries_from_terms(folded), per_cat)
 
@@ -561,6 +580,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "apply_responses": q_apply_responses,
     "near_duplicate_categories": q_near_duplicate_categories,
     "merge_decisions": q_merge_decisions,
+    "category_overlap": q_category_overlap,
     "grouping_accuracy": q_grouping_accuracy,
     "run_facts": q_run_facts,
     "uncategorised_rate": q_uncategorised_rate,

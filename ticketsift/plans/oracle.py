@@ -11,7 +11,9 @@ from ..operators.consolidate import SUMMARY_PREFIX
 from ..operators.deciders import NO_MATCH_REASON
 from ..operators.responses import FAILED_REASON
 from ..operators.taxonomy import MIN_BUCKET, STOP_WORDS, Taxonomy
-from .catalog import CONTEXT, MAX_FLAGS, MERGE_AT, MERGES, MODE, SIMILARITY, UNORDERED_GROUPS
+from .catalog import (
+    CONTEXT, MAX_FLAGS, MERGE_AT, MERGES, MODE, PROFILE_OVERLAP, PROFILE_TERMS, SIMILARITY, UNORDERED_GROUPS,
+)
 
 # Python str.strip() whitespace, RE2 syntax.
 WS = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -242,6 +244,27 @@ FROM summ s LEFT JOIN counts c ON s.category = c.category, rows_
 WHERE s.category <> 'Uncategorised'"""
 
 
+def _overlap() -> str:
+    stops = ", ".join(q(s) for s in STOP_WORDS)
+    return W(TICKETS, LEXICAL, LABELLED) + f"""
+, terms AS (
+  SELECT new_category AS category, term, count(*) AS df FROM (
+    SELECT new_category, unnest(list_distinct(regexp_split_to_array(lower(issue_description), '[^a-z]+'))) AS term
+    FROM labelled WHERE new_category IS NOT NULL AND new_category <> 'Uncategorised')
+  WHERE length(term) >= 4 AND term NOT IN ({stops})
+  GROUP BY 1, 2
+),
+top AS (SELECT category, term FROM terms
+        QUALIFY row_number() OVER (PARTITION BY category ORDER BY df DESC, term) <= {PROFILE_TERMS}),
+sz AS (SELECT category, count(*) AS s FROM top GROUP BY 1),
+pairs AS (SELECT a.category AS ca, b.category AS cb, count(*) AS shared
+          FROM top a JOIN top b ON a.term = b.term AND a.category < b.category GROUP BY 1, 2)
+SELECT ca AS category_a, cb AS category_b, CAST(shared AS INTEGER) AS shared,
+       CAST(sa.s + sb.s - shared AS INTEGER) AS union_size, round(shared / (sa.s + sb.s - shared), 4) AS jaccard
+FROM pairs JOIN sz sa ON sa.category = ca JOIN sz sb ON sb.category = cb
+WHERE shared >= {PROFILE_OVERLAP} * (sa.s + sb.s - shared) - 1e-12"""
+
+
 def _sample(n_expr: str = "greatest(13, least(25, CAST(floor(count(*) OVER () * 0.25) AS BIGINT)))") -> str:
     return f"""
 sample AS (
@@ -380,6 +403,7 @@ FROM tc, tk ORDER BY n DESC, first_key LIMIT 3""",
         "strict_json": parse_sel,
         "apply_responses": _apply_responses(),
         "near_duplicate_categories": _near_duplicates(),
+        "category_overlap": _overlap(),
         "merge_decisions": f"""
 WITH s AS ({_near_duplicates()})
 SELECT * FROM (SELECT 'merge' AS action, name_a, name_b, jaccard FROM s WHERE jaccard >= {MERGE_AT})
