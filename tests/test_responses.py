@@ -96,14 +96,16 @@ def test_review_and_name_list(spark):
     assert [r[0] for r in names.select(parse_name_list("r")).collect()] == [["A", "B"], [], [""]]
 
 
-def test_truncated_and_single_quoted_replies_fail_the_batch_on_both_paths(spark):
+def test_truncated_single_quoted_object_and_string_replies_fail_the_batch_on_both_paths(spark):
     good = json.dumps(_items(2))
     single = good.replace('"', "'")
-    resp = _resp(spark, [(0, good[:-5], None), (1, single, None), (2, good, None)])
-    req = _req(spark, {0: 2, 1: 2, 2: 2})
+    obj = json.dumps(_items(1)[0])                       # an object where a one-element array is due
+    strings = json.dumps(["a", "b"])
+    resp = _resp(spark, [(0, good[:-5], None), (1, single, None), (2, good, None), (3, obj, None), (4, strings, None)])
+    req = _req(spark, {0: 2, 1: 2, 2: 2, 3: 1, 4: 2})
     for parse in (parse_replies, parse_replies_strict):
         ok = {r.batch_id: r.ok for r in parse(resp, req).collect()}
-        assert ok == {0: False, 1: False, 2: True}
+        assert ok == {0: False, 1: False, 2: True, 3: False, 4: False}
 
 
 def test_model_calls_are_spread_over_the_task_slots(spark):
