@@ -97,3 +97,36 @@ def test_fold_on_counts_equals_merging_rows_one_by_one():
         assert plan.log == log and plan.summaries == summ
 
     check()
+
+
+def test_threshold_decision_on_counts_equals_the_row_rule():
+    # AGG2: named categories under k = max(min_bucket, ceil(min_fraction * rows))
+    # become Uncategorised; Uncategorised and null rows are untouched
+    import math
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from ticketsift.operators.normalise import UNCATEGORISED
+    from ticketsift.operators.taxonomy import fold_counts, small_categories
+
+    label = st.one_of(st.none(), st.sampled_from(["A", "B", "C", "", UNCATEGORISED]))
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(label, max_size=60), st.integers(0, 8), st.sampled_from([0.0, 0.05, 0.2]))
+    def check(rows, min_bucket, frac):
+        named = [c for c in rows if c is not None]
+        k = max(min_bucket, math.ceil(frac * len(named))) if frac else min_bucket
+        expected = [c if c is None or c == UNCATEGORISED or named.count(c) >= k else UNCATEGORISED for c in rows]
+        counts = {}
+        for c in named:
+            counts[c] = counts.get(c, 0) + 1
+        small = small_categories(counts, min_bucket, frac)
+        assert [UNCATEGORISED if c in small else c for c in rows] == expected
+        after = {}
+        for c in expected:
+            if c is not None:
+                after[c] = after.get(c, 0) + 1
+        assert fold_counts(counts, small) == after
+
+    check()
