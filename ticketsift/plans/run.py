@@ -283,13 +283,19 @@ def _model_rounds(batched, context, mode, seed, decider, responses, call_factory
     # position window over the whole table
     staged = materialize(batched.withColumn(ROUND_COL, _round_of(F.col("batch_id"), rounds, cfg.round_batches)),
                          "batched", partition_by=ROUND_COL)
+    # recorded replies (replay) are staged the same way, so a round reads
+    # only its own replies instead of scanning the whole log again
+    recorded = None
+    if responses is not None:
+        recorded = materialize(responses.withColumn(ROUND_COL, _round_of(F.col("batch_id"), rounds, cfg.round_batches)),
+                               "recorded", partition_by=ROUND_COL)
     tax = Taxonomy(list(seed.categories))
     parts = []
     for i, (lo, hi) in enumerate(rounds):
         part = staged.filter(F.col(ROUND_COL) == i).drop(ROUND_COL)
         req = categorise_requests(part, context, mode, tax.names)
-        resp = _decide(req, decider, responses.filter((F.col("batch_id") >= lo) & (F.col("batch_id") < hi)) if responses is not None else None, call_factory,
-                       cfg.concurrency)
+        mine = recorded.filter(F.col(ROUND_COL) == i).drop(ROUND_COL) if recorded is not None else None
+        resp = _decide(req, decider, mine, call_factory, cfg.concurrency)
         resp = materialize(resp, "replies")          # the record: retries never re-call the model
         parsed = (parse_replies_strict if cfg.strict_json else parse_replies)(resp, req)
         applied = materialize(apply_replies(part, parsed, cfg.align), "round")
