@@ -27,3 +27,27 @@ def test_stream_counts_and_labels_carry_over_micro_batches(spark, tmp):
     assert labels.select("round").distinct().count() == 3          # one round per file
     assert {r.ticket_id: r.new_category for r in labels.collect()} == expected
     assert labels.groupBy("ticket_id").count().filter(F.col("count") > 1).count() == 0
+
+
+def test_stream_rounds_with_a_model_decider_accumulate_names(spark, tmp):
+    import json
+    import re
+
+    src = _split_documents(spark, tmp)
+
+    def factory():
+        def call(prompt):
+            known = len(re.findall(r"^  \* ", prompt, re.M))
+            ids = re.findall(r"^id: (.+)$", prompt, re.M)
+            return json.dumps([{"ticket_id": i, "new_category": f"Group {int(i[4:]) % 3}", "confidence": "High",
+                                "reasoning": f"known={known}"} for i in ids])
+        return call
+
+    labels = stream_categorise(spark, src, Taxonomy([]), pattern="part-*.parquet", decider="callable",
+                               context="Invented documents read as tickets", mode="no_suggestions", call_factory=factory)
+    rows = labels.select("round", "ticket_id", "new_category", "reasoning").collect()
+    assert len(rows) == document_tickets(spark, SF_SMALL).count()
+    first = min(r["round"] for r in rows)
+    assert {r.reasoning for r in rows if r["round"] == first} == {"known=0"}
+    assert all(r.reasoning == "known=3" for r in rows if r["round"] != first)   # all three names seen in round one
+    assert all(r.new_category == f"Group {int(r.ticket_id[4:]) % 3}" for r in rows)

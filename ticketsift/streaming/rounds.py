@@ -50,11 +50,16 @@ def _tickets_from_docs(df: DataFrame) -> DataFrame:
     return clean_known(drop_blank(raw))
 
 
-def _read_taxonomy(spark: SparkSession, path: str, seed: Taxonomy) -> Taxonomy:
+def _read_taxonomy(spark: SparkSession, path: str, seed: Taxonomy, before: int | None = None) -> Taxonomy:
     """Seed plus the names appended by earlier rounds (a small table; the
-    folder may live on a shared file system, so it is probed through Spark)."""
+    folder may live on a shared file system, so it is probed through Spark).
+    Only rounds below ``before`` count, so a replayed micro-batch sees exactly
+    the taxonomy its first attempt saw, not the names it appended itself."""
     try:
-        rows = spark.read.parquet(path).orderBy("round", "ordinal").collect()
+        tab = spark.read.parquet(path)
+        if before is not None:
+            tab = tab.filter(F.col("round") < before)
+        rows = tab.orderBy("round", "ordinal").collect()
     except AnalysisException:  # no round has written names yet
         return seed
     tax = Taxonomy(list(seed.categories))
@@ -65,8 +70,15 @@ def _read_taxonomy(spark: SparkSession, path: str, seed: Taxonomy) -> Taxonomy:
 
 
 def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_files: int = 1,
-                      pattern: str = "documents.parquet") -> DataFrame:
-    """STR1 over the document files of ``sf_dir`` (``pattern``) as a file stream."""
+                      pattern: str = "documents.parquet", decider: str = "lexical", context: str = "",
+                      mode: str = "manual_list", call_factory=None, concurrency: int | None = None) -> DataFrame:
+    """STR1 over the document files of ``sf_dir`` (``pattern``) as a file stream.
+
+    Every micro-batch is one accumulation round.  ``decider='callable'``
+    numbers and batches the micro-batch's tickets, sends one request per
+    batch listing the names known before the round (``call_factory`` as in
+    ``run``), parses and applies the replies, and appends the new names.
+    """
     base = _scratch(spark, "categorise")
     labels_path, tax_path, ckpt = (os.path.join(base, p) for p in ("labels", "taxonomy", "_checkpoint"))
     schema = spark.read.option("pathGlobFilter", pattern).parquet(sf_dir).schema
@@ -77,15 +89,34 @@ def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_file
         .parquet(sf_dir)
     )
 
+    def decide(tickets: DataFrame, tax: Taxonomy) -> DataFrame:
+        if decider == "lexical":
+            return label_lexical(tickets, tax)
+        if decider != "callable" or call_factory is None:
+            raise ValueError("streaming rounds take decider='lexical' or 'callable' with call_factory")
+        from ..operators.deciders import call_requests
+        from ..operators.ordering import assign_batches, assign_positions
+        from ..operators.prompts import categorise_requests
+        from ..operators.responses import apply_replies, parse_replies
+        from ..session import materialize
+
+        b = assign_batches(assign_positions(tickets, "doc_id"))
+        req = categorise_requests(b, context, mode, tax.names)
+        resp = materialize(call_requests(req, call_factory, concurrency), "stream_replies")
+        return apply_replies(b, parse_replies(resp, req))
+
     def round_(batch: DataFrame, batch_id: int) -> None:
-        tax = _read_taxonomy(batch.sparkSession, tax_path, seed)
-        lab = label_lexical(_tickets_from_docs(batch), tax)
-        out = lab.select("ticket_id", "doc_id", "new_category", "confidence", "reasoning")
-        out.write.mode("overwrite").parquet(os.path.join(labels_path, f"round={batch_id}"))
-        # new names in first-seen order (one row per category); a decider
-        # that invents a name per ticket is refused, not collected
+        session = batch.sparkSession
+        tax = _read_taxonomy(session, tax_path, seed, before=batch_id)
+        out = decide(_tickets_from_docs(batch), tax).select("ticket_id", "doc_id", "new_category", "confidence", "reasoning")
+        here = os.path.join(labels_path, f"round={batch_id}")
+        out.write.mode("overwrite").parquet(here)
+        # new names in first-seen order (one row per category), read from the
+        # labels just written; a decider that invents a name per ticket is
+        # refused, not collected
         firsts = (
-            out.filter(~F.col("new_category").isin(tax.names + [UNCATEGORISED, ""]))
+            session.read.parquet(here)
+            .filter(~F.col("new_category").isin(tax.names + [UNCATEGORISED, ""]))
             .groupBy("new_category").agg(F.min("doc_id").alias("first"))
             .orderBy("first", "new_category").limit(MAX_NEW_NAMES + 1).collect()
         )
@@ -93,7 +124,7 @@ def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_file
             raise ValueError(f"more than {MAX_NEW_NAMES} new category names in one micro-batch")
         start = len(tax.categories)
         rows = [(start + i, r["new_category"], "discovered", [], 1) for i, r in enumerate(firsts)]
-        batch.sparkSession.createDataFrame(
+        session.createDataFrame(
             rows, "ordinal int, category string, source string, keywords array<string>, weight int"
         ).write.mode("overwrite").parquet(os.path.join(tax_path, f"round={batch_id}"))
 
