@@ -29,8 +29,12 @@ def test_reply_apply_shuffles_no_text_and_positions_once(spark):
 
 
 def test_run_threshold_is_a_projection(spark):
+    # the labelled rows are a projection of the source (only the round-robin
+    # spread of a single-split test file may appear); the threshold, the
+    # merges and the tags add no shuffle and no join
     plan = _plan(QUERIES["run_primary"](spark, SF_SMALL))
-    assert "Exchange" not in plan and "Join" not in plan
+    assert not re.search(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition)", plan)
+    assert "Join" not in plan
 
 
 def test_reports_read_narrow_labels_and_aggregate_before_the_exchange(spark):

@@ -151,3 +151,12 @@ def test_collapse_copies_equals_full_run_with_a_hot_copy_group(spark):
     assert got[0] == got[1] and len(got[1]) == t.count()
     assert len({v for k, v in got[1].items() if k.startswith("COPY-")}) == 1
     assert {v[3] for v in got[1].values()} >= {"Words"}
+
+
+def test_lexical_summaries_from_the_term_table_equal_summaries_of_the_labels(spark):
+    from ticketsift.operators import consolidate as cns
+
+    res = run(document_tickets(spark, SF_SMALL), CTX, "manual_list", taxonomy=Taxonomy.starter(), depth="full",
+              config=RunConfig(order_key="doc_id"))
+    direct = {r["category"]: r["summary"] for r in cns.term_summaries(res.labelled).collect()}
+    assert res.merges.summaries == direct and direct

@@ -229,22 +229,40 @@ def run(
             tax = _discover(batched, Taxonomy([]), cfg.discover_terms)
         else:
             tax = Taxonomy([Category(c.name, name_words(c.name), 1, c.source) for c in seed.categories])
-        labels = materialize(label_lexical(batched, tax, with_tags=(depth == "full")), "labels")
+        # the lexical labels are a projection of each row: only the category
+        # column is written (for the count table); the labelled rows stay a
+        # projection of the source, recomputed by each reader or retried task
+        # instead of writing a second copy of every text
+        labels = label_lexical(batched, tax, with_tags=(depth == "full"))
+        # one pass over the texts gives the aggregated (category, term) table
+        # with one null-term row per category holding its ticket count: the
+        # threshold is decided on those rows and the summaries come from the
+        # folded table (exact: a ticket has one category, so counts add)
+        terms = materialize(cns.term_table(labels), "terms")
+        rows = terms.filter(F.col("term").isNull()).limit(len(tax.categories) + 3).collect()
+        if len(rows) > len(tax.categories) + 2:
+            raise TicketError(["the lexical decider produced names outside its taxonomy"])
+        raw_counts = {r["category"]: r["df"] for r in rows}
     elif cfg.collapse_copies:
         tax, labels = _collapsed_rounds(batched, context, mode, seed, decider, responses, call_factory, cfg)
+        raw_counts = cns.collect_counts(labels, limit=len(tax.categories) + 2)
     else:
         tax, labels = _model_rounds(batched, context, mode, seed, decider, responses, call_factory, cfg)
+        raw_counts = cns.collect_counts(labels, limit=len(tax.categories) + 2)
 
     # AGG2 on the count table: every label is a taxonomy name, '' or
     # Uncategorised (new names joined the taxonomy round by round), so the
     # table is bounded by the taxonomy; the decision is applied as a literal
-    # fold over the written labels (no join, no second write of the texts)
-    raw_counts = cns.collect_counts(labels, limit=len(tax.categories) + 2)
+    # fold over the labels (no join, no second write of the texts)
     small = small_categories(raw_counts, cfg.min_bucket, cfg.min_fraction)
     labelled = fold_small(labels, small)
     counts = fold_counts(raw_counts, small)
+    summaries = None
+    if decider == "lexical":
+        folded = cns.remap_terms(terms, {c: UNCATEGORISED for c in small})
+        summaries = {r["category"]: r["summary"] for r in cns.summaries_from_terms(folded).collect()}
 
-    review, plan = _consolidate(labelled, context, decider, review_response, call_factory, cfg, counts)
+    review, plan = _consolidate(labelled, context, decider, review_response, call_factory, cfg, counts, summaries)
     labelled = cns.apply_mapping(labelled, plan.mapping)
 
     themed = None
@@ -348,7 +366,7 @@ def _collapsed_tags(labelled, context, names, decider, tag_responses, call_facto
 
 
 def _consolidate(labelled: DataFrame, context: str, decider: str, review_response, call_factory, cfg,
-                 counts: dict | None = None):
+                 counts: dict | None = None, summaries: dict | None = None):
     """CNS0: counts (CNS1; counted here unless passed in), first samples per
     category and first Uncategorised rows (CNS2), one review request, then the
     merge fold.  A failed call gives no merges, empty summaries and one
@@ -357,7 +375,8 @@ def _consolidate(labelled: DataFrame, context: str, decider: str, review_respons
     if counts is None:
         counts = cns.collect_counts(labelled)
     if decider == "lexical":
-        summaries = {r["category"]: r["summary"] for r in cns.term_summaries(labelled).collect()}
+        if summaries is None:
+            summaries = {r["category"]: r["summary"] for r in cns.term_summaries(labelled).collect()}
         # the category names are already on the driver (at most the taxonomy
         # size): decide near-identical names there; ``similar_names`` is the
         # Spark join for name tables of any size
