@@ -85,3 +85,18 @@ def test_wide_taxonomy_path_matches_literal_path(spark):
     df = spark.createDataFrame([("alpha",), ("alpha beta",)], "issue_description string").withColumn("resolution_notes", F.lit(""))
     got = [(r.new_category, r.confidence, r.reasoning) for r in label_lexical(df, tie, wide=True).collect()]
     assert got == [("A", "Low", "Matched: alpha"), ("B", "High", "Matched: alpha, beta")]
+
+
+def test_similar_names_with_one_hot_token_in_every_prefix(spark):
+    # every name is "common <own word>": the hot token is in every prefix, the
+    # answer at 0.3 is every pair; salting spreads those pairs over the tasks
+    import itertools
+
+    from ticketsift.operators.quality import similar_names
+
+    names = [f"common w{i:03d}" for i in range(60)] + ["w001 w002 extra"]
+    got = {(r.name_a, r.name_b) for r in similar_names(spark.createDataFrame([(n,) for n in names], "name string"), "name", 0.3).collect()}
+    toks = {n: set(n.split()) for n in names}
+    exp = {(a, b) for a, b in itertools.combinations(sorted(names), 2)
+           if len(toks[a] & toks[b]) >= 0.3 * len(toks[a] | toks[b]) - 1e-12}
+    assert got == exp and len(got) >= 60 * 59 // 2

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import pct_half_even
 from .normalise import UNCATEGORISED
-from ..session import materialize
+from ..session import materialize, shuffle_partitions
 from .taxonomy import bounded_broadcast
 
 
@@ -90,6 +90,10 @@ def term_profiles(terms: DataFrame, k: int = 20, col: str = "category") -> DataF
     return top.groupBy(F.col(col).alias("name")).agg(F.array_distinct(F.collect_list("term")).alias("toks"))
 
 
+HOT_TOKENS = 100_000
+SALT = "_salt"
+
+
 def similar_token_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Exact all-pairs Jaccard ≥ ``threshold`` over ``(name, toks)`` rows (one
     row per name, ``toks`` distinct and non-empty), by prefix filtering (see
@@ -110,8 +114,22 @@ def similar_token_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
                            F.explode(F.slice("_o", 1, index_len)).alias("tok"))
     probe = ordered.select(F.col("name").alias("name_y"), F.col("toks").alias("ty"),
                            F.explode(F.slice("_o", 1, probe_len)).alias("tok"))
+    # a token held by more than 1/parts of the names is a hot join key: its
+    # index rows are spread over ``parts`` salts and its probe rows repeated
+    # once per salt, so the pairs it must produce are spread over all tasks
+    # (the hot list only routes work; the result does not depend on it)
+    parts = shuffle_partitions(sets.sparkSession)
+    n_sets = sets.count()
+    hot = [r["tok"] for r in freq.filter(F.col("f") * parts > n_sets).select("tok").limit(HOT_TOKENS).collect()]
+    keys = ["tok"]
+    if hot and parts > 1:
+        is_hot = F.col("tok").isin(hot)
+        index = index.withColumn(SALT, F.when(is_hot, F.pmod(F.xxhash64("name_x"), F.lit(parts))).otherwise(F.lit(0)))
+        probe = probe.withColumn(
+            SALT, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+        keys = ["tok", SALT]
     cand = (
-        index.join(probe, "tok")
+        index.join(probe, keys)
         .filter((F.col("name_x") != F.col("name_y")) & (F.size("tx") <= F.size("ty"))
                 & (F.size("tx") >= F.lit(t) * F.size("ty") - F.lit(1e-9)))
         .select(
