@@ -100,3 +100,13 @@ def test_similar_names_with_one_hot_token_in_every_prefix(spark):
     exp = {(a, b) for a, b in itertools.combinations(sorted(names), 2)
            if len(toks[a] & toks[b]) >= 0.3 * len(toks[a] | toks[b]) - 1e-12}
     assert got == exp and len(got) >= 60 * 59 // 2
+
+
+def test_term_profiles_take_the_top_terms_with_ties_by_term(spark):
+    from ticketsift.operators.quality import term_profiles
+
+    rows = [("A", "zeta", 5), ("A", "alpha", 5), ("A", "beta", 4), ("A", "gamma", 1), ("A", None, 9),
+            ("Uncategorised", "alpha", 7), ("B", "beta", 2), (None, "x", 3)]
+    terms = spark.createDataFrame(rows, "category string, term string, df long")
+    got = {r.name: r.toks for r in term_profiles(terms, 3).collect()}
+    assert got == {"A": ["alpha", "beta", "zeta"], "B": ["beta"]}

@@ -87,7 +87,7 @@ def term_profiles(terms: DataFrame, k: int = 20, col: str = "category") -> DataF
         .withColumn("_rn", F.row_number().over(w))
         .filter(F.col("_rn") <= k)
     )
-    return top.groupBy(F.col(col).alias("name")).agg(F.array_distinct(F.collect_list("term")).alias("toks"))
+    return top.groupBy(F.col(col).alias("name")).agg(F.array_sort(F.array_distinct(F.collect_list("term"))).alias("toks"))
 
 
 HOT_TOKENS = 100_000
