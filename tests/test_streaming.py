@@ -51,3 +51,27 @@ def test_stream_rounds_with_a_model_decider_accumulate_names(spark, tmp):
     assert {r.reasoning for r in rows if r["round"] == first} == {"known=0"}
     assert all(r.reasoning == "known=3" for r in rows if r["round"] != first)   # all three names seen in round one
     assert all(r.new_category == f"Group {int(r.ticket_id[4:]) % 3}" for r in rows)
+
+
+def test_stream_rounds_replay_their_recorded_replies(spark, tmp):
+    import json
+    import re
+
+    src = _split_documents(spark, tmp)
+
+    def factory():
+        def call(prompt):
+            known = len(re.findall(r"^  \* ", prompt, re.M))
+            ids = re.findall(r"^id: (.+)$", prompt, re.M)
+            return json.dumps([{"ticket_id": i, "new_category": f"Group {int(i[4:]) % 2}", "confidence": "Low",
+                                "reasoning": f"known={known}"} for i in ids])
+        return call
+
+    common = dict(pattern="part-*.parquet", context="Invented documents read as tickets", mode="no_suggestions")
+    first = stream_categorise(spark, src, Taxonomy([]), decider="callable", call_factory=factory,
+                              out_dir=f"{tmp}/run1", **common)
+    record = spark.read.parquet(f"{tmp}/run1/replies")
+    again = stream_categorise(spark, src, Taxonomy([]), decider="replay", responses=record,
+                              out_dir=f"{tmp}/run2", **common)
+    key = lambda df: {(r.ticket_id, r.new_category, r.reasoning) for r in df.collect()}
+    assert key(first) == key(again) and len(key(first)) == document_tickets(spark, SF_SMALL).count()

@@ -71,16 +71,23 @@ def _read_taxonomy(spark: SparkSession, path: str, seed: Taxonomy, before: int |
 
 def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_files: int = 1,
                       pattern: str = "documents.parquet", decider: str = "lexical", context: str = "",
-                      mode: str = "manual_list", call_factory=None, concurrency: int | None = None) -> DataFrame:
+                      mode: str = "manual_list", call_factory=None, concurrency: int | None = None,
+                      responses: DataFrame | None = None, out_dir: str | None = None) -> DataFrame:
     """STR1 over the document files of ``sf_dir`` (``pattern``) as a file stream.
 
     Every micro-batch is one accumulation round.  ``decider='callable'``
     numbers and batches the micro-batch's tickets, sends one request per
     batch listing the names known before the round (``call_factory`` as in
-    ``run``), parses and applies the replies, and appends the new names.
+    ``run``), parses and applies the replies, and appends the new names.  The
+    replies are the record: written to ``<out_dir>/replies/round=<id>``
+    (overwrite, so a replayed micro-batch rewrites them).  ``decider='replay'``
+    reads them back from ``responses(round, batch_id, raw, error)`` instead of
+    calling the model.  ``out_dir`` defaults to a fresh folder under the
+    checkpoint folder.
     """
-    base = _scratch(spark, "categorise")
-    labels_path, tax_path, ckpt = (os.path.join(base, p) for p in ("labels", "taxonomy", "_checkpoint"))
+    base = out_dir or _scratch(spark, "categorise")
+    labels_path, tax_path, replies_path, ckpt = (
+        os.path.join(base, p) for p in ("labels", "taxonomy", "replies", "_checkpoint"))
     schema = spark.read.option("pathGlobFilter", pattern).parquet(sf_dir).schema
     stream = (
         spark.readStream.schema(schema)
@@ -89,26 +96,33 @@ def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_file
         .parquet(sf_dir)
     )
 
-    def decide(tickets: DataFrame, tax: Taxonomy) -> DataFrame:
+    def decide(tickets: DataFrame, tax: Taxonomy, round_id: int) -> DataFrame:
         if decider == "lexical":
             return label_lexical(tickets, tax)
-        if decider != "callable" or call_factory is None:
-            raise ValueError("streaming rounds take decider='lexical' or 'callable' with call_factory")
-        from ..operators.deciders import call_requests
+        if not ((decider == "callable" and call_factory is not None) or (decider == "replay" and responses is not None)):
+            raise ValueError("streaming rounds take decider='lexical', 'callable' with call_factory, "
+                             "or 'replay' with responses")
+        from ..operators.deciders import call_requests, replay_requests
         from ..operators.ordering import assign_batches, assign_positions
         from ..operators.prompts import categorise_requests
         from ..operators.responses import apply_replies, parse_replies
-        from ..session import materialize
 
         b = assign_batches(assign_positions(tickets, "doc_id"))
         req = categorise_requests(b, context, mode, tax.names)
-        resp = materialize(call_requests(req, call_factory, concurrency), "stream_replies")
+        if decider == "callable":
+            got = call_requests(req, call_factory, concurrency)
+        else:
+            got = replay_requests(req, responses.filter(F.col("round") == round_id).drop("round"))
+        here = os.path.join(replies_path, f"round={round_id}")
+        got.write.mode("overwrite").parquet(here)
+        resp = tickets.sparkSession.read.parquet(here)
         return apply_replies(b, parse_replies(resp, req))
 
     def round_(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         tax = _read_taxonomy(session, tax_path, seed, before=batch_id)
-        out = decide(_tickets_from_docs(batch), tax).select("ticket_id", "doc_id", "new_category", "confidence", "reasoning")
+        out = decide(_tickets_from_docs(batch), tax, batch_id).select(
+            "ticket_id", "doc_id", "new_category", "confidence", "reasoning")
         here = os.path.join(labels_path, f"round={batch_id}")
         out.write.mode("overwrite").parquet(here)
         # new names in first-seen order (one row per category), read from the
