@@ -110,3 +110,12 @@ def test_term_profiles_take_the_top_terms_with_ties_by_term(spark):
     terms = spark.createDataFrame(rows, "category string, term string, df long")
     got = {r.name: r.toks for r in term_profiles(terms, 3).collect()}
     assert got == {"A": ["alpha", "beta", "zeta"], "B": ["beta"]}
+
+
+def test_suggestion_sample_size_rule_and_partition_invariance(spark):
+    from ticketsift.operators.taxonomy import sample_size, suggestion_sample
+
+    assert [sample_size(n) for n in (51, 60, 100, 1000)] == [13, 15, 25, 25]
+    t = document_tickets(spark, SF_SMALL)
+    picks = [{r.ticket_id for r in suggestion_sample(t.repartition(p), 25).collect()} for p in (1, 3, 8)]
+    assert all(len(x) == 25 for x in picks) and picks[0] == picks[1] == picks[2]
