@@ -130,3 +130,22 @@ def test_threshold_decision_on_counts_equals_the_row_rule():
         assert fold_counts(counts, small) == after
 
     check()
+
+
+def test_theme_counts_and_top_themes_follow_the_row_rules(spark):
+    # empty strings skipped, split on '|', pieces stripped, a repeat counts twice,
+    # an inner empty piece counts as '', ties by first appearance, share over all rows
+    from collections import Counter
+
+    from ticketsift.operators.themes import theme_counts, top_themes
+
+    tags = ["B | A", "A | A", "", "C|B", "B |  | C", "", "D"]
+    df = spark.createDataFrame(list(enumerate(tags)), "pos long, multi_tags string")
+    seen = Counter()
+    for s in tags:
+        if s:
+            seen.update(t.strip() for t in s.split("|"))
+    assert {r.theme: r.n for r in theme_counts(df).collect()} == dict(seen)
+    expected = sorted(seen.items(), key=lambda kv: -kv[1])[:3]              # stable: first appearance
+    got = [(r.theme, r.n, r.pct) for r in top_themes(df, 3).orderBy("rank").collect()]
+    assert got == [(t, n, round(n / len(tags) * 100)) for t, n in expected]
