@@ -149,3 +149,13 @@ def test_theme_counts_and_top_themes_follow_the_row_rules(spark):
     expected = sorted(seen.items(), key=lambda kv: -kv[1])[:3]              # stable: first appearance
     got = [(r.theme, r.n, r.pct) for r in top_themes(df, 3).orderBy("rank").collect()]
     assert got == [(t, n, round(n / len(tags) * 100)) for t, n in expected]
+
+
+def test_threshold_join_form_folds_small_named_categories_only(spark):
+    from ticketsift.operators.taxonomy import apply_threshold
+
+    cats = ["A"] * 4 + ["B"] * 5 + ["Uncategorised"] + [None] * 2
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cats)], "pos long, new_category string")
+    for bound in (10, None):                       # proven bound, or counted first
+        out = [r.new_category for r in apply_threshold(df, 5, max_categories=bound).orderBy("pos").collect()]
+        assert out == ["Uncategorised"] * 4 + ["B"] * 5 + ["Uncategorised"] + [None] * 2
