@@ -33,6 +33,7 @@ from ..session import ensure_checkpoint_dir
 
 
 MAX_NEW_NAMES = 100_000
+TAXONOMY_SCHEMA = "ordinal int, category string, source string, keywords array<string>, weight int"
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -95,6 +96,9 @@ def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_file
         .option("maxFilesPerTrigger", max_files)
         .parquet(sf_dir)
     )
+    # an empty round below every micro-batch id, so the taxonomy table
+    # exists before the first round appends to it
+    spark.createDataFrame([], TAXONOMY_SCHEMA).write.mode("overwrite").parquet(os.path.join(tax_path, "round=-1"))
 
     def decide(tickets: DataFrame, tax: Taxonomy, round_id: int) -> DataFrame:
         if decider == "lexical":
@@ -138,9 +142,7 @@ def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_file
             raise ValueError(f"more than {MAX_NEW_NAMES} new category names in one micro-batch")
         start = len(tax.categories)
         rows = [(start + i, r["new_category"], "discovered", [], 1) for i, r in enumerate(firsts)]
-        session.createDataFrame(
-            rows, "ordinal int, category string, source string, keywords array<string>, weight int"
-        ).write.mode("overwrite").parquet(os.path.join(tax_path, f"round={batch_id}"))
+        session.createDataFrame(rows, TAXONOMY_SCHEMA).write.mode("overwrite").parquet(os.path.join(tax_path, f"round={batch_id}"))
 
     q = stream.writeStream.foreachBatch(round_).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
