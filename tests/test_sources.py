@@ -130,3 +130,15 @@ def test_checkpoint_folder_is_read_from_the_session_and_never_local_on_a_cluster
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session("spark://master:7077", {}))
     assert ensure_checkpoint_dir(Session("local[8]", {}))
+
+
+def test_spread_only_touches_scans_with_fewer_splits_than_slots(spark, tmp):
+    from ticketsift.sources.tables import spread
+
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(1000).repartition(1).write.parquet(f"{tmp}/one")
+    spark.range(1000).repartition(slots * 2).write.parquet(f"{tmp}/many")
+    one, many = spark.read.parquet(f"{tmp}/one"), spark.read.parquet(f"{tmp}/many")
+    assert spread(one).rdd.getNumPartitions() == slots
+    kept = spread(many)
+    assert "RoundRobinPartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
