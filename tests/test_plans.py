@@ -74,3 +74,19 @@ def test_requests_shuffle_texts_once(spark):
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     own = [line for line in plan.splitlines() if "Exchange hashpartitioning(_bkt" in line and "ReusedExchange" not in line]
     assert len(own) == 1
+
+
+def test_copy_join_back_salts_hot_keys_only(spark):
+    from pyspark.sql import functions as F
+
+    from ticketsift.operators import copies as cp
+
+    rows = spark.range(400).select(F.col("id").alias("pos"), F.when(F.col("id") < 200, F.lit("hot"))
+                                   .otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias(cp.COPY_KEY))
+    reps = rows.groupBy(cp.COPY_KEY).agg(F.count(F.lit(1)).alias(cp.COPIES))
+    hot = cp.hot_keys(reps, 8)
+    assert hot == ["hot"]
+    decided = reps.select(cp.COPY_KEY, F.lit("X").alias("new_category"))
+    joined = cp.spread_back(rows, decided, hot, 8)
+    assert "_salt" in _plan(joined)
+    assert joined.count() == 400 and joined.filter(F.col("new_category") == "X").count() == 400
