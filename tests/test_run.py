@@ -160,3 +160,18 @@ def test_lexical_summaries_from_the_term_table_equal_summaries_of_the_labels(spa
               config=RunConfig(order_key="doc_id"))
     direct = {r["category"]: r["summary"] for r in cns.term_summaries(res.labelled).collect()}
     assert res.merges.summaries == direct and direct
+
+
+def test_a_run_writes_its_intermediate_tables_below_one_folder(spark):
+    t = _tickets(spark).filter(F.col("pos") < 30)
+
+    def factory():
+        def call(prompt):
+            ids = re.findall(r"^id: (.+)$", prompt, re.M)
+            return json.dumps([{"ticket_id": i, "new_category": "G", "confidence": "High", "reasoning": "r"} for i in ids])
+        return call
+
+    res = run(t, CTX, "no_suggestions", decider="callable", call_factory=factory, config=RunConfig(min_bucket=0))
+    files = res.labelled.inputFiles()
+    assert res.scratch and files and all(f.split(":", 1)[-1].lstrip("/").startswith(res.scratch.lstrip("/")) for f in files)
+    assert spark.conf.get("ticketsift.scratch.scope", None) is None

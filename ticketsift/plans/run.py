@@ -45,7 +45,7 @@ from ..operators.taxonomy import (
 )
 from ..operators.ordering import bucket_of
 from ..operators.themes import join_tags
-from ..session import materialize
+from ..session import materialize, scratch_scope
 
 MODES = ("no_suggestions", "manual_list", "auto_suggest")
 
@@ -73,6 +73,7 @@ class RunResult:
     merges: cns.MergePlan
     review: dict = field(default_factory=dict)
     themed: DataFrame | None = None
+    scratch: str | None = None            # folder of the run's written intermediate tables
 
     @property
     def export(self) -> DataFrame:
@@ -184,7 +185,20 @@ def _discover(tickets: DataFrame, taxonomy: Taxonomy, k: int) -> Taxonomy:
 
 # --------------------------------------------------------------------- run --
 
-def run(
+def run(tickets: DataFrame, *args, **kwargs) -> RunResult:
+    """Categorise a normalised ticket table; see ``_run`` for the arguments.
+
+    Every intermediate table of the run is written below one folder of the
+    checkpoint folder (``RunResult.scratch``); drop it once the results are
+    exported.
+    """
+    with scratch_scope(tickets.sparkSession, "run") as folder:
+        res = _run(tickets, *args, **kwargs)
+    res.scratch = folder
+    return res
+
+
+def _run(
     tickets: DataFrame,
     context: str,
     mode: str = "manual_list",

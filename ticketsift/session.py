@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
+_SCOPE_KEY = "ticketsift.scratch.scope"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str) -> Iterator[str]:
+    """Every table ``materialize`` writes inside the block goes to one folder
+    (yielded), so the intermediate tables of one run can be dropped together
+    once its results are exported.  Nothing is deleted here."""
+    prev = spark.conf.get(_SCOPE_KEY, None)
+    folder = os.path.join(ensure_checkpoint_dir(spark), "ticketsift", f"{name}-{uuid.uuid4().hex}")
+    spark.conf.set(_SCOPE_KEY, folder)
+    try:
+        yield folder
+    finally:
+        if prev:
+            spark.conf.set(_SCOPE_KEY, prev)
+        else:
+            spark.conf.unset(_SCOPE_KEY)
+
+
 def materialize(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as parquet under the checkpoint folder and read it back.
 
@@ -62,8 +84,8 @@ def materialize(df: DataFrame, name: str = "stage", partition_by: str | None = N
     later filter on that column reads only the matching folders.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "ticketsift", f"{name}-{uuid.uuid4().hex}")
+    base = spark.conf.get(_SCOPE_KEY, None) or os.path.join(ensure_checkpoint_dir(spark), "ticketsift")
+    path = os.path.join(base, f"{name}-{uuid.uuid4().hex}")
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
