@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_counts
+from . import embedding_dedup, token_counts, warc
 from .common import rows_of
 
 #: Token limit that op3 reports on.
@@ -21,6 +21,52 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "cut_chars")
 
 
-QUERIES = {"op3_token_counts": op3_token_counts}
+def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page as a WARC record and read the archives back."""
+    folder = warc.archive_folder(spark)
+    warc.write_archives(rows_of(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, payload=False).drop("url")
 
-ORACLE: dict[str, str] = {}
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link count and component of every embedding, within its label."""
+    return embedding_dedup.near_duplicates(rows_of(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    "op3_token_counts": op3_token_counts,
+    "op8_warc_zstd": op8_warc_zstd,
+    "op9_embedding_dedup": op9_embedding_dedup,
+}
+
+# base32 of a SHA-1: the 160 bits in groups of five
+_BASE32 = """array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + list_sum(list_transform(range(5), lambda b: (1 << (4 - b)) * (substr(bits, k * 5 + b + 1, 1) = '1')::INT))::INT, 1)), '')"""
+
+ORACLE: dict[str, str] = {
+    "op8_warc_zstd": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, unhex(sha1(body))::BIT::VARCHAR AS bits,
+             min(page_id) OVER (PARTITION BY sha1(body)) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM d""",
+    "op9_embedding_dedup": """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+    ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(node, seen) AS (
+  SELECT DISTINCT a, a FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+root AS (SELECT node, min(seen) AS root FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(root.root, e.vec_id) AS component_id,
+       coalesce(root.root, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN root ON root.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+}

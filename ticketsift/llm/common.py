@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sources.tables import table
 
-#: Rows of one Arrow batch at most: a batch of documents of 100 kB each is then 25 MB.
-BATCH_ROWS = 256
+#: An Arrow batch holds at most so many rows and, beyond its first row, so many bytes.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, so a Python worker's memory does not
-    depend on how long the texts of a run of rows are."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound the Arrow batches of the session by rows and bytes (never raising
+    a smaller bound), so a Python worker's memory does not depend on how long
+    the texts of a run of rows are.  Workers are also told where this package
+    lies on the driver, for sessions that were not started with ``--py-files``."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
