@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, token_counts, warc
+from . import embedding_dedup, secret_scan, token_counts, warc
 from .common import rows_of
 
 #: Token limit that op3 reports on.
@@ -33,10 +33,21 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(rows_of(spark, sf_dir, "embeddings"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document: the base kinds and what the models add."""
+    docs = rows_of(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secret_scan.train(secret_scan.labelled_samples(docs))
+    found = secret_scan.scan(docs, model)
+    counts = [secret_scan.count_kind(F.col("_spans"), k).alias(f"n_{k}") for k in secret_scan.KINDS]
+    digest = F.sha2(secret_scan.written(F.col("_base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secret_scan.written(F.col("_spans")).alias("spans"))
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op8_warc_zstd": op8_warc_zstd,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 # base32 of a SHA-1: the 160 bits in groups of five
