@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, secret_scan, token_counts, warc
+from . import embedding_dedup, minhash, secret_scan, token_counts, warc
 from .common import rows_of
 
 #: Token limit that op3 reports on.
@@ -21,6 +21,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "cut_chars")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return minhash.near_duplicates(rows_of(spark, sf_dir, "documents"))
+
+
 def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page as a WARC record and read the archives back."""
     folder = warc.archive_folder(spark)
@@ -45,6 +50,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op4_minhash": op4_minhash,
     "op8_warc_zstd": op8_warc_zstd,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_secret_scan": op10_secret_scan,
