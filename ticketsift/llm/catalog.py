@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, minhash, secret_scan, token_counts, warc
+from . import embedding_dedup, minhash, secret_scan, token_counts, toxicity, warc
 from .common import rows_of
 
 #: Token limit that op3 reports on.
@@ -26,6 +26,15 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(rows_of(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document and its offending spans."""
+    docs = rows_of(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, rows_of(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    predicted = (F.col("_score") >= 0.5).cast("int")
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("_score").alias("score"), predicted.alias("predicted"), F.to_json("_spans").alias("spans"))
+
+
 def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page as a WARC record and read the archives back."""
     folder = warc.archive_folder(spark)
@@ -51,6 +60,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_minhash": op4_minhash,
+    "op5_toxicity": op5_toxicity,
     "op8_warc_zstd": op8_warc_zstd,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_secret_scan": op10_secret_scan,
