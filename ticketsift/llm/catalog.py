@@ -7,11 +7,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, minhash, secret_scan, token_counts, toxicity, warc
+from . import embedding_dedup, minhash, packing, secret_scan, token_counts, toxicity, warc
 from .common import rows_of
 
 #: Token limit that op3 reports on.
 TOKEN_LIMIT = 1024
+#: What op1 puts after each document.
+END_ID = 2
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows with their lexical neighbours."""
+    docs = rows_of(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, with_ids=False)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +66,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_token_counts": op3_token_counts,
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
