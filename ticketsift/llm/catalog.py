@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, minhash, packing, secret_scan, token_counts, toxicity, warc
+from . import chunk_dedup, decontaminate, embedding_dedup, minhash, packing, secret_scan, token_counts, toxicity, warc
 from .common import rows_of
 
 #: Token limit that op3 reports on.
@@ -43,6 +43,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("_score").alias("score"), predicted.alias("predicted"), F.to_json("_spans").alias("spans"))
 
 
+def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that other documents hold as well."""
+    return chunk_dedup.repeated_passages(rows_of(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item, and which."""
     return decontaminate.contaminated(rows_of(spark, sf_dir, "documents"), rows_of(spark, sf_dir, "benchmark"))
@@ -75,6 +80,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
+    "op6_chunk_dedup": op6_chunk_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_warc_zstd": op8_warc_zstd,
     "op9_embedding_dedup": op9_embedding_dedup,
