@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, embedding_dedup, minhash, packing, secret_scan, token_counts, toxicity, warc
+from . import chunk_dedup, decontaminate, embedding_dedup, license_scan, minhash, packing, secret_scan, token_counts, toxicity, warc
 from .common import rows_of
 
 #: Token limit that op3 reports on.
@@ -22,6 +22,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, with_ids=False)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of all documents and their families."""
+    docs = rows_of(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs, license_scan.train(docs))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document, read off its stored prefix counts."""
     docs = rows_of(spark, sf_dir, "documents")
@@ -77,6 +83,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_license_scan": op2_license_scan,
     "op3_token_counts": op3_token_counts,
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
