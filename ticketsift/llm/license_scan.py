@@ -4,7 +4,8 @@ A sparse (L1) softmax regression over word n-grams separates licence families
 and ordinary text.  It is fitted on the driver from variants of the templates
 below and a bounded sample of the corpus' own paragraphs; its few weights are
 constants of the scan.  A family needs a calibrated probability, else the
-paragraph is ``unknown``; and its templates must be met in the paragraph, else
+paragraph is ``unknown`` (a class of its own, trained on licences of other
+names); and its templates must be met in the paragraph, else
 it is ``unknown`` as well.  A paragraph is a line.  Paragraphs without any word
 that speaks for a family cannot win against ordinary text, so one pattern search
 leaves nearly all of the text unsplit without changing the result.
@@ -59,6 +60,9 @@ TEMPLATES: dict[str, list[str]] = {
 }
 OPENINGS = ("", "This work is ", "This software is ", "The source code is ", "The contents of this page are ", "Copyright (c) 2021 The Authors. ", "Unless noted otherwise, text is ")
 ENDINGS = ("", ".", ", see the file for details.", ". See www.example.com for the full text.", ". It comes without warranty.")
+#: Announcements of licences without a family of their own, and names to put into them.
+OTHER = ("licensed under the {} License", "released under the {} license, version 2", "distributed under the terms of the {} Public License", "licensed under the {}", "the license is the {} License 1.1")
+OTHER_NAMES = ("Example", "Artistic", "EUPL", "Open Data", "Eclipse", "Acme Community", "WTFPL", "Zlib", "Sample")
 #: Ordinary sentences that use the same words.
 ORDINARY = (
     "He lost his driving license in the city", "The doctor is licensed to work in this state", "They asked for permission to enter the house",
@@ -100,7 +104,7 @@ class LicenseModel:
         # words of n-grams that speak for some family against ordinary text
         gain = (weights[:, :-1] - weights[:, -1:]).max(axis=1) if len(grams) else np.zeros(0)
         self.cues = sorted({w for g, x in zip(grams, gain, strict=True) if x > 0 for w in g.split(" ") if w not in common})
-        self.templates = [(k, sorted({g for g in grams_of(words_of(t)) if not common.issuperset(g.split(" "))})) for k, f in enumerate(families) for t in TEMPLATES[f]]
+        self.templates = [(k, sorted({g for g in grams_of(words_of(t)) if not common.issuperset(g.split(" "))})) for k, f in enumerate(families) for t in TEMPLATES.get(f, ())]
 
     def pattern(self) -> str:
         """A search for the cue words, grouped by their first letter."""
@@ -120,13 +124,16 @@ def variants(seed: int = 2) -> list[tuple[str, str]]:
                 out.append((family, " ".join(words) + rng.choice(ENDINGS)))
                 if len(words) > 8:
                     out.append((family, " ".join(w for w in words if rng.random() > 0.1)))
+    for t in OTHER:
+        for name in OTHER_NAMES:
+            out.append((UNKNOWN, rng.choice(OPENINGS) + t.format(name) + rng.choice(ENDINGS)))
     return out
 
 
 def fit(ordinary: list[str]) -> LicenseModel:
     """Sparse softmax regression by proximal gradient steps; the least probability
     of a family is what no held-out ordinary paragraph reaches."""
-    families = list(TEMPLATES)
+    families = [*TEMPLATES, UNKNOWN]
     plain = [*ORDINARY, *ordinary]
     told = [(families.index(f), words_of(t)) for f, t in variants()]
     held = [words_of(t) for t in plain[::5]]
@@ -230,6 +237,6 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
     templates = _constant([{"f": k + 1, "g": g} for k, g in model.templates], "array<struct<f:int,g:array<string>>>")
     shares = F.transform(F.filter(templates, lambda t: t["f"] == F.col("_best")), lambda t: F.size(F.array_intersect(t["g"], F.col("_grams"))) / F.size(t["g"]))
     lines = lines.withColumns({"probability": 1 / total, "template_share": F.array_max(shares), "best_family": F.element_at(_constant(model.families, "array<string>"), F.col("_best"))})
-    confirmed = F.col("template_share") >= CONFIRM
+    confirmed = F.coalesce(F.col("template_share") >= CONFIRM, F.lit(False))
     family = F.when((F.col("probability") >= model.least) & confirmed, F.col("best_family")).otherwise(UNKNOWN)
     return lines.select(id_col, "line", family.alias("family"), "best_family", "probability", "template_share", confirmed.alias("confirmed"), "paragraph")
