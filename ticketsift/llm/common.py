@@ -33,6 +33,16 @@ def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
+#: Rows of an id or digest list (some 40 bytes each) that a join may broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def join_list(df: DataFrame, short: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a written list of ids or digests: broadcast after counting it,
+    so that texts stay where they are, else an ordinary join."""
+    return df.join(F.broadcast(short) if short.count() <= BROADCAST_ROWS else short, on, how)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of an undirected link table.
 

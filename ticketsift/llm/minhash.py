@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import components, small_batches
+from .common import components, join_list, small_batches
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 26 bands of 5 registers: a pair at the threshold is found with probability 0.99997.
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
-#: Pairs whose registers agree less are not verified: five standard deviations below the threshold.
-LIKELY = 0.62
+#: Pairs whose registers agree less are not verified: four standard deviations below the threshold.
+LIKELY = 0.66
 #: Documents of one band are compared in squares of this side.
 BLOCK = 400
 WORDS = re.compile(r"[^\W_]+").findall
@@ -69,7 +69,8 @@ def shingles(word_lists: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]
     rolled = np.zeros(len(hashed), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(SHINGLE):  # position i: the words from i on, as far as the table goes
-            rolled[: len(hashed) - k] = rolled[: len(hashed) - k] * _MIX[0] + mix(hashed[k:])
+            m = max(len(hashed) - k, 0)
+            rolled[:m] = rolled[:m] * _MIX[0] + mix(hashed[k:])
         out, at = [], 0
         for ws in word_lists:
             n = len(ws)
@@ -113,17 +114,35 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         return (mix(winner) >> np.uint64(48)).astype("<u2").reshape(docs, REGISTERS)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Exact probability Jaccard similarity of two weighted shingle sets."""
+Weighted = tuple[np.ndarray, np.ndarray]
+
+
+def similarity(a: Weighted, b: Weighted) -> float:
+    """Exact probability Jaccard similarity of two weighted shingle sets
+    (ascending hashes and counts; no counts: all are one)."""
     if not len(a[0]) or not len(b[0]):
         return 0.0
-    both = np.union1d(a[0], b[0])
-    w = np.zeros((2, len(both)))
-    w[0, np.searchsorted(both, a[0])] = weights(a[1])
-    w[1, np.searchsorted(both, b[0])] = weights(b[1])
-    shared = w[:, (w > 0).all(axis=0)]
-    kinds, n = np.unique(shared, axis=1, return_counts=True)
-    return float(sum(c / np.maximum(w[0] / p, w[1] / q).sum() for (p, q), c in zip(kinds.T, n, strict=True)))
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    shared = b[0][at] == a[0]
+    n = int(shared.sum())
+    if not len(a[1]) and not len(b[1]):
+        return n / (len(a[0]) + len(b[0]) - n)
+    wa, wb = (weights(x[1]) if len(x[1]) else np.ones(len(x[0])) for x in (a, b))
+    pairs = np.column_stack([wa[shared], wb[at[shared]]])
+    alone_b = np.ones(len(wb), dtype=bool)
+    alone_b[at[shared]] = False
+    rest_a, rest_b = wa[~shared].sum(), wb[alone_b].sum()
+    kinds, times = np.unique(pairs, axis=0, return_counts=True)
+    return float(sum(c / (np.maximum(pairs[:, 0] / p, pairs[:, 1] / q).sum() + rest_a / p + rest_b / q) for (p, q), c in zip(kinds, times, strict=True)))
+
+
+def stored(s: Weighted) -> tuple[bytes, bytes]:
+    """A shingle set as bytes, without counts where all are one."""
+    return s[0].astype("<u8").tobytes(), s[1].astype("<u4").tobytes() if (s[1] > 1).any() else b""
+
+
+def restored(h: bytes, c: bytes) -> Weighted:
+    return np.frombuffer(h, dtype="<u8"), np.frombuffer(c, dtype="<u4")
 
 
 def sign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -157,54 +176,70 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return with_sigs.mapInPandas(keep, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of ``(a, b)`` those whose exact similarity reaches the threshold.  Only
-    documents that stand in a pair are cut into shingles again."""
-    pairs = materialize(pairs, "minhash_pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = materialize(nodes.select("node", F.col("rep").alias("i")).join(ends, "node"), "minhash_ends")
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(ends, "i")
+def shingle_sets(ends: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``node, h, c`` of the listed nodes, from their smallest id's text."""
+    listed = materialize(nodes.select("node", F.col("rep").alias("i")).join(ends.distinct(), "node"), "minhash_ends")
+    texts = join_list(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), listed, ["i"])
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             lists = [words_of(t) for t in b["t"]]
             # of rows that share an id, those of this text
-            rows = [(n, s[0].astype("<u8").tobytes(), s[1].astype("<u4").tobytes()) for n, ws, s in zip(b["node"], lists, shingles(lists), strict=True) if digest(ws) == n]
+            rows = [(n, *stored(s)) for n, ws, s in zip(b["node"], lists, shingles(lists), strict=True) if digest(ws) == n]
             yield pd.DataFrame(rows, columns=["node", "h", "c"])
 
-    vec = materialize(texts.mapInPandas(sets, "node binary, h binary, c binary").dropDuplicates(["node"]), "minhash_sets")
-    left = vec.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("c").alias("ca"))
-    right = vec.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("c").alias("cb"))
+    return materialize(texts.mapInPandas(sets, "node binary, h binary, c binary").dropDuplicates(["node"]), "minhash_sets")
 
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(h: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
-            return np.frombuffer(h, dtype="<u8"), np.frombuffer(c, dtype="<u4")
 
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of ``(a, b)`` those whose exact similarity reaches the threshold."""
+    left = sets.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("c").alias("ca"))
+    right = sets.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("c").alias("cb"))
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            ok = [similarity(one(ha, ca), one(hb, cb)) >= THRESHOLD for ha, ca, hb, cb in zip(p["ha"], p["ca"], p["hb"], p["cb"], strict=True)]
+            ok = [similarity(restored(ha, ca), restored(hb, cb)) >= THRESHOLD for ha, ca, hb, cb in zip(p["ha"], p["ca"], p["hb"], p["cb"], strict=True)]
             yield p.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
-    found = pairs.join(left, "a").join(right, "b").mapInPandas(reach, "a binary, b binary")
-    return materialize(found, "minhash_links")
+    return materialize(pairs.join(left, "a").join(right, "b").mapInPandas(reach, "a binary, b binary"), "minhash_links")
 
 
 def across_classes(g: pd.DataFrame) -> pd.DataFrame:
-    """One square of a band: for each document and each other class, the member
-    whose registers agree most, if they agree often enough."""
-    sig, root = _registers(g["sig"]), pd.factorize(g["root"])[0]
-    agree = np.zeros((len(g), len(g)), dtype=np.uint8)
-    for r in range(REGISTERS):
-        agree += sig[:, r][:, None] == sig[:, r][None, :]
-    may = (agree >= LIKELY * REGISTERS) & (root[:, None] != root[None, :])
+    """Links across the classes of one square of a band, verified here: of the
+    likely pairs whose first shared band this is, most likely first, those that
+    join two classes.  Gives a spanning forest, fewer rows than documents."""
+    g = g.sort_values("node", ignore_index=True)
+    sig, band = _registers(g["sig"]), int(g["band"].iat[0])
+    group, names = pd.factorize(g["root"])
+    may = group[:, None] != group[None, :]
     if g["bi"].iat[0] != g["bj"].iat[0]:
         own = g["block"].to_numpy()
         may &= own[:, None] != own[None, :]
-    x, y = np.nonzero(may)
-    best = pd.DataFrame({"x": x, "y": y, "other": root[y], "agree": agree[x, y]}).sort_values("agree", ascending=False, kind="stable").drop_duplicates(["x", "other"])
-    node = g["node"].to_numpy(dtype=object)
-    out = pd.DataFrame({"a": node[best["x"]], "b": node[best["y"]]})
-    swap = out["a"] < out["b"]
-    return pd.DataFrame({"a": out["a"].where(~swap, out["b"]), "b": out["b"].where(~swap, out["a"])}).drop_duplicates()
+    agree = np.zeros((len(g), len(g)), dtype=np.uint8)
+    for b in range(BANDS):
+        same = np.zeros_like(agree)
+        for r in range(b * ROWS, (b + 1) * ROWS):
+            same += sig[:, r][:, None] == sig[:, r][None, :]
+        agree += same
+        if b < band:  # pairs that share an earlier band are compared there
+            may &= same < ROWS
+    x, y = np.nonzero(np.triu(may & (agree >= LIKELY * REGISTERS), 1))
+    order = np.argsort(-agree[x, y].astype(int), kind="stable")
+    sets = [restored(h, c) for h, c in zip(g["h"], g["c"], strict=True)]
+    parent = list(range(len(names)))
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    links = []
+    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        p, q = find(group[i]), find(group[j])
+        if p != q and similarity(sets[i], sets[j]) >= THRESHOLD:
+            parent[p] = q
+            links.append((g["node"].iat[j], g["node"].iat[i]))
+    return pd.DataFrame(links, columns=["a", "b"])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -215,27 +250,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nodes = materialize(members.where("node is not null").groupBy("node").agg(F.min("i").alias("rep"), F.max("sig").alias("sig")), "minhash_nodes")
     width = 2 * ROWS
     band = [F.xxhash64(F.lit(k), F.substring("sig", k * width + 1, width)) for k in range(BANDS)]
-    bands = nodes.select("node", F.explode(F.array(*band)).alias("key"))
+    bands = nodes.select("node", F.posexplode(F.array(*band)).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1")
     buckets = materialize(bands.join(shared, "key"), "minhash_bands")
     pairs = buckets.where(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    links = verified(likely_pairs(pairs, nodes), nodes, docs, id_col, text_col)
+    pairs = materialize(likely_pairs(pairs, nodes), "minhash_pairs")
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+    links = verified(pairs, shingle_sets(ends, nodes, docs, id_col, text_col))
     roots = materialize(components(links, "minhash_components"), "minhash_roots")
-    while True:
-        # bands whose members (three or more) are still in several classes
-        now = buckets.where("n > 2").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        now = materialize(now, "minhash_open")
-        mixed = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        open_ = now.join(mixed, "key").withColumn("cuts", F.ceil(F.col("n") / BLOCK).cast("int"))
-        open_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-        open_ = open_.join(nodes.select("node", "sig"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        open_ = open_.select("key", "node", "root", "sig", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-        more = open_.groupBy("key", "bi", "bj").applyInPandas(across_classes, "a binary, b binary").distinct()
-        new = verified(more, nodes, docs, id_col, text_col)
-        if new.isEmpty():
-            return members, roots
-        links = links.unionAll(new)
-        roots = materialize(components(links, "minhash_components"), "minhash_roots")
+    # bands whose members (three or more: two were compared) are still in several classes
+    now = buckets.where("n > 2").join(roots, "node", "left").select("key", "band", "node", "n", F.coalesce("root", "node").alias("root"))
+    now = materialize(now, "minhash_classes")
+    mixed = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    left = materialize(now.join(mixed, "key").withColumn("cuts", F.ceil(F.col("n") / BLOCK).cast("int")), "minhash_open")
+    left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    sets = shingle_sets(left.select("node"), nodes, docs, id_col, text_col).join(nodes.select("node", "sig"), "node")
+    left = left.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    left = left.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("other", "cuts", "n")
+    more = left.groupBy("key", "bi", "bj").applyInPandas(across_classes, "a binary, b binary")
+    links = links.unionAll(materialize(more, "minhash_links"))
+    return members, materialize(components(links, "minhash_components"), "minhash_roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,6 +299,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return pd.Series([digest(words_of(t)) for t in texts], dtype=object)
 
     marked = docs.withColumn("_node", node_of(F.col(text_col)))
-    first = marked.join(winners, (F.col("_low").eqNullSafe(F.col(id_col))) & (marked["_node"] == winners["_node"]), "inner").drop(winners["_node"])
-    first = first.dropDuplicates(["_node"]).drop("_low", "_node")
-    return first.unionByName(marked.where("_node is null").drop("_node"))
+    named = winners.where("_low is not null").withColumnRenamed("_low", id_col)
+    first = join_list(marked.where(F.col(id_col).isNotNull()), named, [id_col, "_node"])
+    if not members.where("i is not null and node is not null").groupBy("i", "node").count().where("count > 1").isEmpty():
+        first = first.dropDuplicates([id_col, "_node"])
+    nameless = marked.where(F.col(id_col).isNull()).join(winners.where("_low is null").select("_node"), "_node").dropDuplicates(["_node"])
+    # texts without words: only those without a plain letter or digit can be
+    alone = docs.where(F.col(text_col).isNull() | ~F.col(text_col).rlike("[A-Za-z0-9]")).withColumn("_node", node_of(F.col(text_col))).where("_node is null")
+    parts = [p.select(*docs.columns) for p in (first, nameless, alone)]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
