@@ -1,4 +1,5 @@
 import glob
+import json
 import os
 
 import pytest
@@ -50,15 +51,44 @@ def test_na_tokens_dropped(spark, tmp):
 
 
 def test_malformed_rows(spark, tmp):
-    p = _write(os.path.join(tmp, "m.csv"), "ticket_id,issue_description,current_label\n1,short\n2,ok,l\n3,long,l,surplus\n")
+    body = "ticket_id,issue_description,current_label\n1,short\n2,ok,l\n3,long,l,surplus\n4,long,,extra\n5,blank end,\n"
+    p = _write(os.path.join(tmp, "m.csv"), body)
     df, rep = read_files(spark, p, report=True)
-    got = sorted((r.ticket_id, r.current_label) for r in df.collect())
-    assert ("1", None) in got and ("2", "l") in got
-    with pytest.raises(TicketError):
-        if rep.corrupt_rows:
-            read_files(spark, p, strict=True)
-        else:
-            raise TicketError(["no corrupt rows detected"])
+    assert sorted((r.ticket_id, r.current_label) for r in df.collect()) == [("1", None), ("2", "l"), ("5", None)]
+    assert rep.corrupt_rows == 2
+    assert sorted(r.line for r in rep.quarantine.collect()) == ["3,long,l,surplus", "4,long,,extra"]
+    with pytest.raises(TicketError, match="2 rows"):
+        read_files(spark, p)
+
+
+def test_encoding_is_found_behind_globs_uris_and_folders(spark, tmp):
+    os.makedirs(os.path.join(tmp, "in dir"))
+    _write(os.path.join(tmp, "in dir", "b.csv"), "ticket_id,issue_description\n1,plain é\n")
+    with open(os.path.join(tmp, "in dir", "a.csv"), "wb") as f:
+        f.write("ticket_id,issue_description\n2,caf\xe9 \x80 5\n".encode("latin-1"))
+    want = [("1", "plain é"), ("2", "café € 5")]
+    folder = os.path.join(tmp, "in dir")
+    for paths in (f"{folder}/*.csv", folder, f"file://{folder}/*.csv", [f"{folder}/b.csv", f"file://{folder}/a.csv"]):
+        got = read_files(spark, paths)
+        assert sorted((r.ticket_id, r.issue_description) for r in got.collect()) == want
+    ordered = read_files(spark, [f"{folder}/b.csv", f"{folder}/a.csv"]).orderBy("_row").collect()
+    assert [r.ticket_id for r in ordered] == ["1", "2"]
+
+
+def test_file_order_reaches_the_run_and_the_export_has_no_internal_columns(spark, tmp):
+    from ticketsift.plans.run import run
+
+    rows = "".join(f"T-{k},login fails {k},x\n" for k in range(1, 13))
+    p = _write(os.path.join(tmp, "t.csv"), "ticket_id,issue_description,team\n" + rows)
+    tickets = normalise(read_files(spark, p))
+    replies = [(0, json.dumps([{"ticket_id": f"T-{k}", "new_category": f"C{k}", "confidence": "High", "reasoning": "r"} for k in range(1, 11)]), None),
+               (1, json.dumps([{"ticket_id": f"T-{k}", "new_category": f"C{k}", "confidence": "High", "reasoning": "r"} for k in (11, 12)]), None)]
+    res = run(tickets, "Support tickets of a shop", mode="no_suggestions", decider="replay",
+              responses=spark.createDataFrame(replies, "batch_id long, raw string, error string"))
+    assert [r.ticket_id for r in res.labelled.orderBy("pos").collect()] == [f"T-{k}" for k in range(1, 13)]
+    assert not any("parse" in r.reasoning for r in res.labelled.collect())
+    assert res.export.columns == ["ticket_id", "issue_description", "team", "current_label", "resolution_notes",
+                                  "new_category", "confidence", "reasoning", "multi_tags"]
 
 
 def test_export_round_trip_and_template(spark, tmp):

@@ -23,6 +23,12 @@ LOG_FORMAT = "Merged: {labels} → '{target}' ({n} tickets)"
 SUMMARY_JOIN = " / "
 UNAVAILABLE = "Analysis unavailable: {error}"
 SUMMARY_PREFIX = "Common terms: "
+# lines of the model-free review
+FLAG_FORMAT = "'{a}' and '{b}' may overlap ({pct}% of their words)"
+THEME_FORMAT = "Tickets that mention '{term}'"
+NARRATIVE = (
+    "%d tickets were sorted into %d categories; the largest is '%s' with %d tickets (%d%%). %d tickets stayed Uncategorised."
+)
 # -----------------------------------------------------------------------------
 
 
@@ -54,40 +60,32 @@ def fold_merges(counts: dict[str, int], merges, summaries: dict[str, str] | None
     also drops the target's own when the target is a source (parity), unless
     ``keep_target_summary``.
     """
-    cur = {k: v for k, v in counts.items() if k is not None}
-    final = {k: k for k in cur}
-    summ = dict(summaries or {})
-    plan = MergePlan()
-    for no, m in enumerate(merges, start=1):
-        src = list(m.merge_these if isinstance(m, Merge) else m[0])
-        tgt = m.into if isinstance(m, Merge) else m[1]
-        if not src or not tgt:
+    steps = [(no, *((m.merge_these, m.into) if isinstance(m, Merge) else m)) for no, m in enumerate(merges, start=1)]
+    members = {c: (c,) for c in counts if c is not None}     # current name → original names now in it
+    plan = MergePlan(summaries=dict(summaries or {}))
+    for no, sources, target in steps:
+        hit = [c for c in dict.fromkeys(sources) if c in members] if target else []
+        moved = [o for c in hit for o in members.pop(c)]
+        n = sum(counts[o] for o in moved)
+        if not n:
+            members.update({c: (c,) for c in hit if c in counts and counts[c] == 0})
             continue
-        srcset = set(src)
-        n = sum(cur.get(s, 0) for s in srcset)
-        if n <= 0:
-            continue
-        for orig, now in final.items():
-            if now in srcset:
-                final[orig] = tgt
-        moved = sum(cur.pop(s, 0) for s in srcset)
-        cur[tgt] = cur.get(tgt, 0) + moved
-        plan.log.append(LOG_FORMAT.format(labels=" + ".join(f"'{c}'" for c in src), target=tgt, n=n))
+        members[target] = (*members.get(target, ()), *moved)
         plan.applied.append((no, n))
-        if tgt not in summ:
-            parts = [summ[c] for c in src if c in summ]
-            if parts:
-                summ[tgt] = SUMMARY_JOIN.join(parts)
-        for c in src:
-            if keep_target_summary and c == tgt:
-                continue
-            summ.pop(c, None)
-    plan.mapping = {k: v for k, v in final.items() if k != v}
-    plan.summaries = summ
-    plan.counts = cur
+        plan.log.append(LOG_FORMAT.format(labels=" + ".join(f"'{c}'" for c in sources), target=target, n=n))
+        plan.summaries = _summaries_after(plan.summaries, sources, target, keep_target_summary)
+    plan.mapping = {o: c for c, os_ in members.items() for o in os_ if o != c}
+    plan.counts = {c: sum(counts[o] for o in os_) for c, os_ in members.items()}
     return plan
 
 
+def _summaries_after(before: dict[str, str], sources, target: str, keep_target: bool) -> dict[str, str]:
+    """CNS7 as one expression: what stays, and the target's own or joined text."""
+    gone = set(sources) - ({target} if keep_target else set())
+    joined = before.get(target, SUMMARY_JOIN.join(before[c] for c in sources if c in before))
+    return {c: t for c, t in {**before, target: joined}.items() if c not in gone and (t or c in before)}
+
+
 def apply_mapping(df: DataFrame, mapping: dict[str, str], col: str = "new_category") -> DataFrame:
     """Apply a composed category map in one projection (no join, no shuffle).
 
@@ -205,11 +203,20 @@ def run_facts(labelled: DataFrame, col: str = "new_category", order_col: str = "
     )
 
 
+def narrative_line(counts: dict[str, int]) -> str:
+    """DEC7 from the (driver-held) category counts."""
+    named = {c: n for c, n in counts.items() if c and c != UNCATEGORISED}
+    total = sum(counts.values())
+    best = min(named, key=lambda c: (-named[c], c), default=None)
+    n = named.get(best, 0)
+    return NARRATIVE % (total, len(named), best or "none", n, round(100 * n / total) if total else 0, counts.get(UNCATEGORISED, 0))
+
+
 def narrative(facts: DataFrame) -> DataFrame:
     """DEC7: a plain briefing line from the facts row."""
     return facts.select(
         F.format_string(
-            "%d tickets were sorted into %d categories; the largest is '%s' with %d tickets (%d%%). %d tickets stayed Uncategorised.",
+            NARRATIVE,
             "total", "categories", F.coalesce(F.col("dominant"), F.lit("none")), F.coalesce(F.col("dominant_n"), F.lit(0)),
             F.coalesce(F.col("dominant_pct"), F.lit(0)), "uncategorised",
         ).alias("narrative")

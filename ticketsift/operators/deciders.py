@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import tokens, ustrip
 from .normalise import UNCATEGORISED
 from .taxonomy import Taxonomy
 
@@ -116,7 +116,7 @@ def _label_lexical_wide(df: DataFrame, taxonomy: Taxonomy, text: Column | None,
     k = len(cats)
     owners: dict[str, list[int]] = {}
     for i, c in enumerate(cats):
-        for kw in c.keywords:
+        for kw in dict.fromkeys(c.keywords):     # a repeated keyword counts once, as in the narrow form
             owners.setdefault(kw, []).append(i)
     kw_map = F.create_map(*[x for kw, os_ in owners.items() for x in (F.lit(kw), F.array(*[F.lit(o) for o in os_]))]) \
         if owners else F.create_map().cast("map<string,array<int>>")
@@ -164,6 +164,7 @@ def observe_labels(df: DataFrame, name: str | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- DEC1 ------
 
+PROMPT_BATCH_KEY, PROMPT_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 RESPONSE_SCHEMA = "batch_id long, raw string, error string"
 
 
@@ -174,8 +175,8 @@ def call_requests(requests: DataFrame, call_factory: Callable[[], Callable[[str]
     ``call_factory`` builds one client per task (connection reuse); the client
     maps a prompt to the stripped reply text.  An exception becomes the
     ``error`` column of that one request; the task itself never fails, so a
-    Spark retry never re-calls the model for requests already answered in a
-    materialised round.
+    requests answered in a finished (written) round are never sent again; a task
+    that is retried inside a running round repeats its own calls.
 
     The requests are dealt round-robin over ``concurrency`` tasks (default:
     the cluster's parallelism): prompts are small, so adaptive execution
@@ -187,6 +188,10 @@ def call_requests(requests: DataFrame, call_factory: Callable[[], Callable[[str]
     """
     n = concurrency or requests.sparkSession.sparkContext.defaultParallelism
     requests = requests.repartition(max(1, n))
+    # a prompt holds whole texts: an Arrow batch takes a few of them, bounded by bytes
+    conf = requests.sparkSession.conf
+    if conf.get(PROMPT_BATCH_KEY, None) in (None, "-1") or int(conf.get(PROMPT_BATCH_KEY)) > PROMPT_BATCH_BYTES:
+        conf.set(PROMPT_BATCH_KEY, str(PROMPT_BATCH_BYTES))
 
     def run(batches):
         call = call_factory()
@@ -211,6 +216,6 @@ def replay_requests(requests: DataFrame, responses: DataFrame) -> DataFrame:
     j = requests.select("batch_id").join(rec, "batch_id", "left")
     return j.select(
         "batch_id",
-        "raw",
+        ustrip("raw").alias("raw"),
         F.when(F.col("raw").isNull() & F.col("_err").isNull(), F.lit("no recorded response")).otherwise(F.col("_err")).alias("error"),
     )

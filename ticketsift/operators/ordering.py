@@ -164,7 +164,7 @@ def straddling_batches(offsets: list[int], size: int = BATCH_SIZE) -> list[int]:
 def assign_batches(df: DataFrame, size: int = BATCH_SIZE, pos: str = "pos") -> DataFrame:
     """ORD2: ``batch_id = pos div size``, ``batch_pos = pos mod size``."""
     return df.withColumns(
-        {"batch_id": F.floor(F.col(pos) / size).cast("long"), "batch_pos": (F.col(pos) % size).cast("int")}
+        {"batch_id": F.expr(f"`{pos}` div {int(size)}").cast("long"), "batch_pos": (F.col(pos) % size).cast("int")}
     )
 
 

@@ -142,7 +142,9 @@ def parse_review(raw: Column | str) -> Column:
         "auto_merges array<struct<merge_these:array<string>, into:string>>, "
         "merge_flags array<string>, uncategorised_analysis array<string>"
     )
-    parsed = F.from_json(strip_fences(raw), schema)
+    clean = strip_fences(raw)
+    # the variant parser takes exactly one JSON value: no trailing text, no single quotes
+    parsed = F.from_json(F.when(F.schema_of_variant(F.try_parse_json(clean)).startswith("OBJECT"), clean), schema)
     return F.struct(
         parsed["narrative"].alias("narrative"),
         F.coalesce(parsed["category_summaries"], F.create_map().cast("map<string,string>")).alias("category_summaries"),
@@ -153,47 +155,46 @@ def parse_review(raw: Column | str) -> Column:
 
 
 def parse_name_list(raw: Column | str) -> Column:
-    """PAR5: a JSON array of names; non-list → []; falsy dropped *before* the
-    strip (so ``"  "`` survives as ``""``)."""
-    arr = F.from_json(strip_fences(raw), "array<string>")
-    kept = F.filter(arr, lambda x: x.isNotNull() & (x != "") & (x != "0") & (x != "false"))
-    return F.coalesce(F.transform(kept, lambda x: ustrip(x)), F.array().cast("array<string>"))
+    """PAR5: a JSON array of names; anything else → [].  Falsy *values* (null,
+    false, 0, "", [] and {}) go before the strip, so ``"0"`` stays and ``"  "``
+    survives as ``""``; other values keep their JSON text."""
+    items = F.try_variant_get(F.try_parse_json(strip_fences(raw)), "$", "array<variant>")
 
+    def text(v: Column) -> Column:
+        return F.variant_get(v, "$", "string")
 
-# ----------------------------------------------------------- strict path ----
+    def truthy(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.variant_get(v, "$", "double") != 0)
+        return F.coalesce(
+            F.when(kind == "VOID", F.lit(False)).when(kind == "STRING", text(v) != "").when(kind == "BOOLEAN", text(v) == "true"),
+            number, ~text(v).isin("[]", "{}"))
 
-def _strict_items(raw: str | None, n: int) -> str | None:
-    """Exact ``json.loads`` semantics; returns the items re-encoded or None."""
-    if raw is None:
-        return None
-    text = raw
-    if text.startswith("```"):
-        parts = text.split("```")
-        text = parts[1]
-        if text.startswith("json"):
-            text = text[4:]
-    text = text.strip()
-    try:
-        val = json.loads(text)
-        if len(val) != n:
-            return None
-        if not isinstance(val, list) or not all(isinstance(v, dict) for v in val):
-            return None
-        return json.dumps([json.dumps(v) for v in val])
-    except Exception:  # noqa: BLE001 - any failure means an unusable reply
-        return None
+    return F.coalesce(F.transform(F.filter(items, truthy), lambda v: ustrip(text(v))), F.array().cast("array<string>"))
 
 
+# ----------------------------------------------------------- strict path ----
+
 @F.pandas_udf(T.StringType())
-def strict_items(raw: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([_strict_items(r, int(k)) for r, k in zip(raw, n)])
+def strict_items(clean: pd.Series, n: pd.Series) -> pd.Series:
+    """The objects of an unfenced reply that is exactly a JSON array of ``n``
+    objects, each encoded again as a string; null for any other reply."""
+    def objects(text, size):
+        try:
+            value = json.loads(text)
+        except (TypeError, ValueError, RecursionError):
+            return None
+        fits = isinstance(value, list) and len(value) == size and all(isinstance(v, dict) for v in value)
+        return json.dumps([json.dumps(v) for v in value]) if fits else None
+
+    return pd.Series([objects(t, int(k)) for t, k in zip(clean, n)], dtype=object)
 
 
 def parse_replies_strict(responses: DataFrame, requests: DataFrame) -> DataFrame:
     """PAR2 with exact JSON strictness (trailing text, single quotes and the
     like fail, as in Python); same output shape as ``parse_replies``."""
     j = requests.select("batch_id", "n_tickets").join(responses, "batch_id", "left")
-    enc = strict_items(F.col("raw"), F.col("n_tickets"))
+    enc = strict_items(strip_fences(F.col("raw")), F.col("n_tickets"))
     j = j.withColumn("_enc", F.when(F.col("error").isNull(), enc))
     j = j.withColumn("items", F.from_json(F.col("_enc"), "array<string>")).drop("_enc")
     return j.withColumn("ok", F.col("error").isNull() & F.col("items").isNotNull())

@@ -24,20 +24,22 @@ model and later rounds read files instead of recomputing lineage.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..operators import consolidate as cns
 from ..operators.deciders import call_requests, label_lexical, replay_requests
-from ..operators.normalise import UNCATEGORISED, TicketError, check_context, check_manual_list, clean_category_list
+from ..operators.normalise import UNCATEGORISED, TicketError, check_auto_mode, check_context, check_manual_list, clean_category_list
 from ..operators.ordering import BATCH_SIZE, assign_batches, assign_positions
-from ..operators.prompts import categorise_requests, review_request, tag_requests
+from ..operators.prompts import categorise_requests, review_request, suggest_request, tag_requests
 from ..operators.reports import category_samples, uncategorised_head
 from ..operators.responses import (
-    apply_replies, apply_tag_replies, parse_replies, parse_replies_strict, parse_review,
+    apply_replies, apply_tag_replies, parse_name_list, parse_replies, parse_replies_strict, parse_review,
 )
 from ..operators.taxonomy import (
     MIN_BUCKET, Category, Taxonomy, first_seen, fold_counts, fold_small, sample_size, small_categories, suggest_terms,
@@ -47,6 +49,8 @@ from ..operators.ordering import bucket_of
 from ..operators.themes import join_tags
 from ..session import materialize, scratch_scope
 
+RESULT_COLUMNS = ("new_category", "confidence", "reasoning", "multi_tags")
+INTERNAL_COLUMNS = ("_row", "pos")        # order keys added by the reader and by normalise
 MODES = ("no_suggestions", "manual_list", "auto_suggest")
 
 
@@ -62,6 +66,8 @@ class RunConfig:
     order_key: str = "pos"
     discover_terms: int = 10              # lexical discovery: categories from top terms
     merge_similarity: float = 0.8         # lexical review: auto-merge names at this Jaccard
+    flag_similarity: float = 0.5          # lexical review: flag names at this Jaccard
+    uncategorised_terms: int = 3          # lexical review: terms named for the Uncategorised rows
     collapse_copies: bool = False         # model deciders: one request slot per exact copy group
     concurrency: int | None = None        # model deciders: parallel calls (default: cluster parallelism)
 
@@ -74,11 +80,14 @@ class RunResult:
     review: dict = field(default_factory=dict)
     themed: DataFrame | None = None
     scratch: str | None = None            # folder of the run's written intermediate tables
+    columns: list[str] = field(default_factory=list)   # the caller's columns, in order
 
     @property
     def export(self) -> DataFrame:
+        """The caller's columns and the four result columns, nothing internal."""
         out = self.themed if self.themed is not None else self.labelled.withColumn("multi_tags", F.lit(""))
-        return out.drop("tags", "batch_id", "batch_pos")
+        results = [c for c in RESULT_COLUMNS if c not in self.columns]
+        return out.select(*[F.col(f"`{c}`") for c in [*self.columns, *results]])
 
 
 # ----------------------------------------------------------------- helpers --
@@ -171,9 +180,9 @@ def name_pairs(names, threshold: float) -> list[tuple[str, str, float]]:
 
 
 def _discover(tickets: DataFrame, taxonomy: Taxonomy, k: int) -> Taxonomy:
-    """Lexical discovery (DEC4): one category per frequent sample term."""
-    n = sample_size(tickets.count())
-    terms = suggest_terms(suggestion_sample(tickets, n), k=k).collect()
+    """Lexical discovery (DEC4): one category per frequent term, by document
+    frequency over all tickets (the sample belongs to auto-suggest only)."""
+    terms = suggest_terms(tickets, k=k).collect()
     cats = list(taxonomy.categories)
     have = {c.name for c in cats}
     for r in terms:
@@ -183,6 +192,20 @@ def _discover(tickets: DataFrame, taxonomy: Taxonomy, k: int) -> Taxonomy:
     return Taxonomy(cats)
 
 
+def _positioned(tickets: DataFrame, order_key: str, dense: bool) -> DataFrame:
+    """Tickets with their order in ``pos``: by the order key, else in file order
+    (``_row``).  Model replies are matched by slot, so their deciders need dense
+    positions whatever the key's gaps; the lexical one only needs the order."""
+    key = order_key if order_key in tickets.columns else "_row"
+    if key not in tickets.columns:
+        raise TicketError([f"no order key: the table has neither '{order_key}' nor the reader's '_row'"])
+    if not dense and isinstance(tickets.schema[key].dataType, IntegralType):
+        return tickets if key == "pos" else tickets.withColumn("pos", F.col(key).cast("long"))
+    if key == "pos":
+        tickets, key = tickets.withColumnRenamed("pos", "_key"), "_key"
+    return assign_positions(tickets, key, "pos").drop("_key")
+
+
 # --------------------------------------------------------------------- run --
 
 def run(tickets: DataFrame, *args, **kwargs) -> RunResult:
@@ -227,14 +250,14 @@ def _run(
         problems += check_manual_list(categories)
     if depth not in ("primary", "full"):
         problems.append(f"unknown depth: {depth}")
+    if mode == "auto_suggest" and taxonomy is None:
+        problems += check_auto_mode(tickets.count(), categories)
     if problems:
         raise TicketError(problems)
 
     seed = taxonomy or Taxonomy.from_names(clean_category_list(categories) if mode != "no_suggestions" else [])
-    base = tickets if cfg.order_key in tickets.columns else assign_positions(tickets, "ticket_id", cfg.order_key)
-    if cfg.order_key != "pos":
-        base = base.withColumn("pos", F.col(cfg.order_key))
-    batched = assign_batches(base, cfg.batch_size)
+    columns = [c for c in tickets.columns if c not in INTERNAL_COLUMNS or c == cfg.order_key != "pos"]
+    batched = assign_batches(_positioned(tickets, cfg.order_key, dense=decider != "lexical"), cfg.batch_size)
 
     if decider == "lexical":
         if taxonomy is not None:
@@ -271,12 +294,10 @@ def _run(
     small = small_categories(raw_counts, cfg.min_bucket, cfg.min_fraction)
     labelled = fold_small(labels, small)
     counts = fold_counts(raw_counts, small)
-    summaries = None
     if decider == "lexical":
-        folded = cns.remap_terms(terms, {c: UNCATEGORISED for c in small})
-        summaries = {r["category"]: r["summary"] for r in cns.summaries_from_terms(folded).collect()}
-
-    review, plan = _consolidate(labelled, context, decider, review_response, call_factory, cfg, counts, summaries)
+        review, plan = _lexical_review(terms, small, counts, cfg)
+    else:
+        review, plan = _consolidate(labelled, context, decider, review_response, call_factory, cfg, counts)
     labelled = cns.apply_mapping(labelled, plan.mapping)
 
     themed = None
@@ -292,7 +313,7 @@ def _run(
                 resp = materialize(_decide(req, decider, tag_responses, call_factory, cfg.concurrency), "tag_replies")
                 parsed = (parse_replies_strict if cfg.strict_json else parse_replies)(resp, req)
                 themed = apply_tag_replies(labelled, parsed)
-    return RunResult(labelled=labelled, taxonomy=tax, merges=plan, review=review, themed=themed)
+    return RunResult(labelled=labelled, taxonomy=tax, merges=plan, review=review, themed=themed, columns=columns)
 
 
 ROUND_COL = "acc_round"
@@ -307,8 +328,11 @@ def _round_of(batch_id, rounds: list[tuple[int, int]], round_batches: int | None
 
 
 def _model_rounds(batched, context, mode, seed, decider, responses, call_factory, cfg):
-    spark = batched.sparkSession
-    n_batches = (batched.agg(F.max("batch_id")).first()[0] or -1) + 1
+    last = batched.agg(F.max("batch_id")).first()[0]
+    n_batches = 0 if last is None else last + 1
+    if not n_batches:
+        return Taxonomy(list(seed.categories)), batched.withColumns(
+            {c: F.lit(None).cast("string") for c in ("new_category", "confidence", "reasoning")})
     rounds = _rounds(n_batches, cfg.round_batches)
     # the positioned tickets are written once, one folder per round: a round
     # reads its own folder (partition pruning) instead of re-running the
@@ -336,7 +360,7 @@ def _model_rounds(batched, context, mode, seed, decider, responses, call_factory
     labels = parts[0]
     for p in parts[1:]:
         labels = labels.unionByName(p)
-    return tax, (labels if parts else spark.createDataFrame([], batched.schema))
+    return tax, labels
 
 
 def _collapsed_rounds(batched, context, mode, seed, decider, responses, call_factory, cfg):
@@ -379,8 +403,66 @@ def _collapsed_tags(labelled, context, names, decider, tag_responses, call_facto
     return cp.spread_back(keyed, tags, hot, parts).drop(cp.COPY_KEY)
 
 
+def name_groups(pairs) -> list[tuple[str, ...]]:
+    """Connected groups of the paired names, each sorted, in order of their first name."""
+    group: dict[str, set] = {}
+    for a, b, *_ in pairs:
+        both = group.get(a, {a}) | group.get(b, {b})
+        group.update(dict.fromkeys(both, both))
+    return sorted({tuple(sorted(g)) for g in group.values()})
+
+
+def _lexical_review(terms: DataFrame, small: list[str], counts: dict, cfg: RunConfig):
+    """DEC5-DEC7 without a model, all from the aggregated (category, term) table.
+
+    Names in one similarity group merge into the group's first name, in one
+    step, so a chain of similar names ends in one category.  Summaries are
+    taken from the term table after the final mapping.  Pairs that are similar
+    but below the merge threshold are flagged."""
+    names = sorted(c for c in counts if c and c != UNCATEGORISED)
+    merged = name_groups(name_pairs(names, cfg.merge_similarity))
+    plan = cns.fold_merges(counts, [(g, g[0]) for g in merged])
+    folded = cns.remap_terms(cns.remap_terms(terms, {c: UNCATEGORISED for c in small}), plan.mapping)
+    summaries = {r["category"]: r["summary"] for r in cns.summaries_from_terms(folded).collect()}
+    top = [r["term"] for r in folded.where((F.col("category") == UNCATEGORISED) & F.col("term").isNotNull())
+           .orderBy(F.desc("df"), "term").limit(cfg.uncategorised_terms).collect()]
+    plan.summaries = summaries
+    done = {frozenset(p) for g in merged for p in itertools.combinations(g, 2)}
+    flags = [cns.FLAG_FORMAT.format(a=a, b=b, pct=round(100 * j)) for a, b, j in name_pairs(names, cfg.flag_similarity)
+             if frozenset((a, b)) not in done]
+    return {
+        "narrative": cns.narrative_line(plan.counts),
+        "category_summaries": plan.summaries,
+        "merge_flags": flags,
+        "uncategorised_analysis": [cns.THEME_FORMAT.format(term=t) for t in top],
+        "transparency_log": plan.log,
+    }, plan
+
+
+def suggest_categories(tickets: DataFrame, context: str, decider: str = "lexical", response: str | None = None,
+                       call_factory=None, k: int = 10, id_col: str = "ticket_id") -> list[str]:
+    """Auto-suggest: sample the tickets (SMP1), ask the decider for a starting
+    list (PRM4, or the sample's most frequent terms), parse it (PAR5).  A failed
+    or unusable reply gives no names."""
+    problems = check_context(context)
+    if problems:
+        raise TicketError(problems)
+    n = sample_size(tickets.count())
+    sample = suggestion_sample(tickets, n, id_col)
+    if decider == "lexical":
+        return [f"Term: {r['term']}" for r in suggest_terms(sample, k=k).collect()]
+    request = suggest_request(sample, context, n).withColumn("batch_id", F.lit(0).cast("long"))
+    if decider == "callable":
+        got = call_requests(request, call_factory, 1).select("raw")
+    elif decider == "replay":
+        got = request.select(F.lit(response).cast("string").alias("raw"))
+    else:
+        raise TicketError([f"unknown decider: {decider}"])
+    return list(got.select(parse_name_list(F.coalesce("raw", F.lit(""))).alias("names")).first()["names"])
+
+
 def _consolidate(labelled: DataFrame, context: str, decider: str, review_response, call_factory, cfg,
-                 counts: dict | None = None, summaries: dict | None = None):
+                 counts: dict | None = None):
     """CNS0: counts (CNS1; counted here unless passed in), first samples per
     category and first Uncategorised rows (CNS2), one review request, then the
     merge fold.  A failed call gives no merges, empty summaries and one
@@ -388,16 +470,6 @@ def _consolidate(labelled: DataFrame, context: str, decider: str, review_respons
     and are skipped (CNS4)."""
     if counts is None:
         counts = cns.collect_counts(labelled)
-    if decider == "lexical":
-        if summaries is None:
-            summaries = {r["category"]: r["summary"] for r in cns.term_summaries(labelled).collect()}
-        # the category names are already on the driver (at most the taxonomy
-        # size): decide near-identical names there; ``similar_names`` is the
-        # Spark join for name tables of any size
-        names = sorted(c for c in counts if c and c != UNCATEGORISED)
-        merges = [((a, b), a) for a, b, _ in name_pairs(names, cfg.merge_similarity)]
-        plan = cns.fold_merges(counts, merges, summaries, cfg.keep_target_summary)
-        return {"category_summaries": plan.summaries, "merge_flags": [], "uncategorised_analysis": []}, plan
     cnt = cns_counts_df(labelled)
     samples = category_samples(labelled, 3, order_col="pos")
     unc = uncategorised_head(labelled, 10, order_col="pos").select("pos", "issue_description")

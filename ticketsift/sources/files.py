@@ -5,10 +5,10 @@
   survive).
 * Encoding: each CSV file is checked as a whole for valid UTF-8 (one
   aggregate over its lines, one row per file back); the other files are read
-  as windows-1252.  Pipe-delimited ``.txt`` files are read as UTF-8 only.
+  as windows-1252 (Latin-1 with its own characters translated).  Pipe-delimited ``.txt`` files are read as UTF-8 only.
 * Missing-value tokens of a default CSV read become null (option).
-* Malformed rows: short rows are padded; rows with surplus fields land in a
-  corrupt-record column and are counted (``strict=True`` raises instead).
+* Malformed rows: short rows are padded; rows with surplus fields refuse the
+  read, or with ``report=True`` are counted and handed back apart.
 * SRC4 (first sheet of an .xlsx) is not built: no spreadsheet reader is
   available, and spreadsheet exports arrive as windows-1252 CSV (SRC2).
 * ``multiline=True`` keeps newlines inside quoted fields but cannot split a
@@ -19,8 +19,9 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass
-from urllib.parse import unquote, urlparse
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,11 @@ from pyspark.sql import types as T
 
 from ..functions.text import NA_TOKENS, na_to_null
 from ..operators.normalise import KNOWN, TicketError
+from ..session import materialize
 
 CORRUPT = "_corrupt_record"
+#: The characters in which windows-1252 differs from Latin-1 (by code; five codes have none).
+WINDOWS = {b: c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
 SUFFIXES = {".csv": ",", ".txt": "|"}
 
 
@@ -38,6 +42,7 @@ class ReadReport:
     files: int
     windows_1252: list[str]
     corrupt_rows: int | None = None
+    quarantine: DataFrame | None = None   # the rows with surplus fields: line, _row
 
 
 def _suffix(path: str) -> str:
@@ -51,14 +56,35 @@ def check_suffixes(paths) -> None:
         raise TicketError([f"unsupported file format: '{os.path.basename(p)}' (use .csv or pipe-delimited .txt)" for p in bad])
 
 
-def non_utf8_files(spark: SparkSession, paths) -> list[str]:
+def listed_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files behind the caller's paths (folders, globs and URIs of any file
+    system), as Spark lists them, in the order of the paths, then by name."""
+    out: list[str] = []
+    for p in paths:
+        names = spark.read.format("binaryFile").load(p).select("path").collect()
+        out += [f for f in sorted(r["path"] for r in names) if f not in out]
+    return out
+
+
+def non_utf8_files(spark: SparkSession, files: list[str]) -> list[str]:
     """SRC2 detection: files with any line that is not valid UTF-8.
 
     The lines are spread over tasks; the aggregate returns one row per file.
     """
-    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("f"), "value")
+    lines = spark.read.text([_literal(f) for f in files]).select(F.col("_metadata.file_path").alias("f"), "value")
     bad = lines.groupBy("f").agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).filter(~F.col("ok"))
-    return [r["f"] for r in bad.collect()]
+    names = {_plain(r["f"]) for r in bad.collect()}
+    return [f for f in files if _plain(f) in names]
+
+
+def _plain(uri: str) -> str:
+    """A file name without scheme, host slashes and percent codes, for comparison."""
+    return re.sub("^[a-z]+:/+", "/", unquote(uri))
+
+
+def _literal(name: str) -> str:
+    """A listed file name as a path of its own: nothing in it is a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", name)
 
 
 def _reader(spark: SparkSession, sep: str, encoding: str, schema: T.StructType | None, multiline: bool = True):
@@ -88,48 +114,65 @@ def read_files(spark: SparkSession, paths, na_tokens=NA_TOKENS, strict: bool = F
     All files must share one header layout and one delimiter.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    check_suffixes(paths)
-    seps = {SUFFIXES[_suffix(p)] for p in paths}
+    if any(_suffix(p) for p in paths):
+        check_suffixes([p for p in paths if _suffix(p)])
+    files = listed_files(spark, paths)
+    check_suffixes(files)
+    seps = {SUFFIXES[_suffix(f)] for f in files}
     if len(seps) != 1:
-        raise TicketError(["mixing .csv and .txt files in one read is not supported"])
+        raise TicketError(["one read takes files of one kind: .csv or .txt"])
     sep = seps.pop()
-    if sep == ",":
-        legacy = non_utf8_files(spark, paths)
-        legacy_set = {os.path.abspath(unquote(urlparse(p).path)) for p in legacy}
-        cp = [p for p in paths if os.path.abspath(p) not in legacy_set]
-        wp = [p for p in paths if os.path.abspath(p) in legacy_set]
-    else:
-        cp, wp, legacy = paths, [], []
+    legacy = non_utf8_files(spark, files) if sep == "," else []
     parts = []
-    if cp:
-        schema = _header_schema(spark, cp, sep, "UTF-8")
-        parts.append(_reader(spark, sep, "UTF-8", schema, multiline).csv(cp))
-    if wp:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        schema = _header_schema(spark, wp, sep, "windows-1252")
-        parts.append(_reader(spark, sep, "windows-1252", schema, multiline).csv(wp))
+    for own, encoding in (([f for f in files if f not in legacy], "UTF-8"), (legacy, "ISO-8859-1")):
+        if own:
+            names = [_literal(f) for f in own]
+            part = _strip_bom(_reader(spark, sep, encoding, _header_schema(spark, names, sep, encoding), multiline).csv(names))
+            columns = [c for c in part.columns if c != CORRUPT]
+            row = part.select("*", _row_key(files).alias("_row"), _surplus(len(columns), sep).alias("_long"))
+            if encoding != "UTF-8":
+                row = row.withColumns({c: _windows(F.col(f"`{c}`")) for c in [*columns, CORRUPT]})
+            parts.append(row.toDF(*[_windows_text(c) if encoding != "UTF-8" else c for c in row.columns]))
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p, allowMissingColumns=True)
-    df = _strip_bom(df)
-    data_cols = [c for c in df.columns if c != CORRUPT]
-    # file order: a multi-line CSV file is read by one task in order, so the
-    # generated id increases with the row within each file
-    df = df.withColumn("_row", F.monotonically_increasing_id())
-    corrupt = None
-    # Spark flags short and long rows alike; a short row has its trailing
-    # fields null (padded, kept), a long row fills every field (corrupt).
-    long_row = F.col(CORRUPT).isNotNull() & F.col(f"`{data_cols[-1]}`").isNotNull()
-    if strict or report:
-        corrupt = df.agg(F.count_if(long_row).alias("c")).first()["c"]
-        if strict and corrupt:
-            raise TicketError([f"{corrupt} malformed rows"])
-    df = df.filter(~long_row).select(
-        *[na_to_null(F.col(f"`{c}`"), na_tokens).alias(c) for c in data_cols], "_row"
-    )
+    data_cols = [c for c in df.columns if c not in (CORRUPT, "_row", "_long")]
+    # counted together with a data column: Spark refuses scans of the raw record alone
+    n = df.agg(F.count_if("_long").alias("n"), F.count(F.col(f"`{data_cols[0]}`"))).first()["n"]
+    if n and (strict or not report):
+        raise TicketError([f"{n} rows have more fields than the header; report=True hands them back apart"])
+    out = df.filter("NOT _long").select(*[na_to_null(F.col(f"`{c}`"), na_tokens).alias(c) for c in data_cols], "_row")
     if report:
-        return df, ReadReport(len(paths), legacy, corrupt)
-    return df
+        apart = df.filter("_long").select(F.col(CORRUPT).alias("line"), "_row", F.col(f"`{data_cols[0]}`").alias("_first"))
+        return out, ReadReport(len(files), legacy, n, materialize(apart, "long_rows").drop("_first"))
+    return out
+
+
+def _row_key(files: list[str]):
+    """File order as a sortable text: place of the file in the caller's list,
+    start of the block, row inside the task (which reads a block in order)."""
+    name = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-z]+:/+", "/")
+    place = F.array_position(F.array(*[F.lit(_plain(f)) for f in files]), name)
+    return F.concat_ws("-", F.lpad(place.cast("string"), 10, "0"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0"),
+                       F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0"))
+
+
+def _surplus(fields: int, sep: str):
+    """Whether a record that Spark could not fit into the header has more fields
+    than it (a short one only lacks some and is padded)."""
+    schema = ", ".join(f"c{k} string" for k in range(fields + 1))
+    options = {"sep": sep, "quote": '"', "escape": '"', "nullValue": "\u0001", "emptyValue": "", "multiLine": "true"}
+    last = F.from_csv(F.col(CORRUPT), F.lit(schema), options)[f"c{fields}"]
+    return F.coalesce(F.col(CORRUPT).isNotNull() & last.isNotNull(), F.lit(False))
+
+
+def _windows_text(text: str) -> str:
+    """Text read as Latin-1, with windows-1252's own characters in the C1 range."""
+    return text.translate(WINDOWS)
+
+
+def _windows(col):
+    return F.translate(col, "".join(map(chr, WINDOWS)), "".join(WINDOWS.values()))
 
 
 def _strip_bom(df: DataFrame) -> DataFrame:

@@ -70,6 +70,20 @@ def _read_taxonomy(spark: SparkSession, path: str, seed: Taxonomy, before: int |
     return tax
 
 
+def _file_stream(spark: SparkSession, folder: str, pattern: str, max_files: int | None = None) -> DataFrame:
+    """A table below ``folder`` as a file stream: one file or a folder of part
+    files of that name, or the folder's own files that match the pattern."""
+    try:
+        schema = spark.read.parquet(os.path.join(folder, pattern)).schema
+    except AnalysisException:
+        schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    # one file and a folder of part files both match: the source globs the path
+    return reader.parquet(os.path.join(folder, pattern))
+
+
 def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_files: int = 1,
                       pattern: str = "documents.parquet", decider: str = "lexical", context: str = "",
                       mode: str = "manual_list", call_factory=None, concurrency: int | None = None,
@@ -89,13 +103,7 @@ def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_file
     base = out_dir or _scratch(spark, "categorise")
     labels_path, tax_path, replies_path, ckpt = (
         os.path.join(base, p) for p in ("labels", "taxonomy", "replies", "_checkpoint"))
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(sf_dir).schema
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(sf_dir)
-    )
+    stream = _file_stream(spark, sf_dir, pattern, max_files)
     # an empty round below every micro-batch id, so the taxonomy table
     # exists before the first round appends to it
     spark.createDataFrame([], TAXONOMY_SCHEMA).write.mode("overwrite").parquet(os.path.join(tax_path, "round=-1"))
@@ -154,13 +162,7 @@ def stream_category_counts(spark: SparkSession, sf_dir: str, seed: Taxonomy, max
     """STR2 over the document files of ``sf_dir`` (``pattern``) as a file stream."""
     base = _scratch(spark, "counts")
     out_path, ckpt = os.path.join(base, "updates"), os.path.join(base, "_checkpoint")
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(sf_dir).schema
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(sf_dir)
-    )
+    stream = _file_stream(spark, sf_dir, pattern, max_files)
     counts = (
         label_lexical(_tickets_from_docs(stream), seed)
         .groupBy(F.col("new_category").alias("category"))
@@ -181,8 +183,7 @@ def stream_window_counts(spark: SparkSession, sf_dir: str, window: str = "1 day"
     """STR2/STR3 over the ``events`` file: per-window category counts."""
     base = _scratch(spark, "windows")
     out_path, ckpt = os.path.join(base, "updates"), os.path.join(base, "_checkpoint")
-    schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = _file_stream(spark, sf_dir, "events.parquet")
     counts = (
         events.withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", watermark)
