@@ -90,10 +90,32 @@ def term_profiles(terms: DataFrame, k: int = 20, col: str = "category") -> DataF
     return top.groupBy(F.col(col).alias("name")).agg(F.array_sort(F.array_distinct(F.collect_list("term"))).alias("toks"))
 
 
-HOT_TOKENS = 100_000
 SALT = "_salt"
 
 
+def content_overlap(terms: DataFrame, threshold: float, col: str = "category") -> DataFrame:
+    """QLT4 by content over whole vocabularies: pairs of named categories whose
+    term sets have Jaccard ≥ ``threshold``.
+
+    ``terms`` has one row per (category, term), so the join on the term makes
+    at most categories² / 2 rows per term, and a term's rows are never more
+    than the categories; sizes and shared counts are plain aggregates."""
+    rows = materialize(
+        terms.filter(F.col("term").isNotNull() & F.col(col).isNotNull() & (F.col(col) != UNCATEGORISED))
+        .select(F.col(col).alias("name"), "term").distinct(),
+        "category_terms",
+    )
+    sizes = rows.groupBy("name").agg(F.count(F.lit(1)).alias("s"))
+    a, b = rows.withColumnRenamed("name", "name_a"), rows.withColumnRenamed("name", "name_b")
+    pairs = a.join(b, "term").filter(F.col("name_a") < F.col("name_b")).groupBy("name_a", "name_b").agg(
+        F.count(F.lit(1)).cast("int").alias("shared"))
+    both = pairs.join(sizes.select(F.col("name").alias("name_a"), F.col("s").alias("sa")), "name_a").join(
+        sizes.select(F.col("name").alias("name_b"), F.col("s").alias("sb")), "name_b")
+    union = (F.col("sa") + F.col("sb") - F.col("shared")).cast("int")
+    out = both.select("name_a", "name_b", "shared", union.alias("union_size"), F.round(F.col("shared") / union, 4).alias("jaccard"))
+    return out.filter(F.col("shared") >= F.lit(float(threshold)) * F.col("union_size") - F.lit(1e-12))
+
+
 def similar_token_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Exact all-pairs Jaccard ≥ ``threshold`` over ``(name, toks)`` rows (one
     row per name, ``toks`` distinct and non-empty), by prefix filtering (see
@@ -120,13 +142,14 @@ def similar_token_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     # (the hot list only routes work; the result does not depend on it)
     parts = shuffle_partitions(sets.sparkSession)
     n_sets = sets.count()
-    hot = [r["tok"] for r in freq.filter(F.col("f") * parts > n_sets).select("tok").limit(HOT_TOKENS).collect()]
     keys = ["tok"]
-    if hot and parts > 1:
-        is_hot = F.col("tok").isin(hot)
-        index = index.withColumn(SALT, F.when(is_hot, F.pmod(F.xxhash64("name_x"), F.lit(parts))).otherwise(F.lit(0)))
+    if parts > 1:
+        # whether a token is hot comes with its frequency, whatever their number
+        heat = freq.select("tok", (F.col("f") * parts > n_sets).alias("_hot"))
+        index, probe = index.join(heat, "tok"), probe.join(heat, "tok")
+        index = index.withColumn(SALT, F.when(F.col("_hot"), F.pmod(F.xxhash64("name_x"), F.lit(parts))).otherwise(F.lit(0))).drop("_hot")
         probe = probe.withColumn(
-            SALT, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+            SALT, F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
         keys = ["tok", SALT]
     cand = (
         index.join(probe, keys)

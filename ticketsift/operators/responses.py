@@ -48,6 +48,16 @@ def _json_type(text: Column) -> Column:
     return F.schema_of_variant(F.try_parse_json(text))
 
 
+def _one_json(text: Column) -> Column:
+    """The text as a variant if it is exactly one JSON value, else null.  The
+    parser itself ignores what follows a value, so the text must also be valid
+    as the only element of an array and as the value of an object."""
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    inside = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    one = F.size(F.try_variant_get(alone, "$", "array<variant>")) == 1
+    return F.when(one & inside.isNotNull(), F.try_variant_get(alone, "$[0]", "variant"))
+
+
 def parse_replies(responses: DataFrame, requests: DataFrame) -> DataFrame:
     """PAR1+PAR2 per batch: ``(batch_id, n_tickets, raw, error, items, ok)``.
 
@@ -143,8 +153,7 @@ def parse_review(raw: Column | str) -> Column:
         "merge_flags array<string>, uncategorised_analysis array<string>"
     )
     clean = strip_fences(raw)
-    # the variant parser takes exactly one JSON value: no trailing text, no single quotes
-    parsed = F.from_json(F.when(F.schema_of_variant(F.try_parse_json(clean)).startswith("OBJECT"), clean), schema)
+    parsed = F.from_json(F.when(F.schema_of_variant(_one_json(clean)).startswith("OBJECT"), clean), schema)
     return F.struct(
         parsed["narrative"].alias("narrative"),
         F.coalesce(parsed["category_summaries"], F.create_map().cast("map<string,string>")).alias("category_summaries"),
@@ -158,7 +167,7 @@ def parse_name_list(raw: Column | str) -> Column:
     """PAR5: a JSON array of names; anything else → [].  Falsy *values* (null,
     false, 0, "", [] and {}) go before the strip, so ``"0"`` stays and ``"  "``
     survives as ``""``; other values keep their JSON text."""
-    items = F.try_variant_get(F.try_parse_json(strip_fences(raw)), "$", "array<variant>")
+    items = F.try_variant_get(_one_json(strip_fences(raw)), "$", "array<variant>")
 
     def text(v: Column) -> Column:
         return F.variant_get(v, "$", "string")

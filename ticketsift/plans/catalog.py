@@ -46,8 +46,7 @@ SIMILARITY = 0.5
 DISPLAY_HEAD = 101        # longest description cut shown or sent (100) plus one
 MERGE_AT = 0.8
 MAX_FLAGS = 3
-PROFILE_TERMS = 20        # terms in a category's content profile
-PROFILE_OVERLAP = 0.1     # Jaccard of two profiles reported as an overlap
+PROFILE_OVERLAP = 0.1     # Jaccard of two vocabularies reported as an overlap
 # -----------------------------------------------------------------------------
 
 ORDER = "doc_id"
@@ -125,7 +124,7 @@ def q_batch_assignment(spark, d):
 
 
 # --- fixed values -----------------------------------------------------------
-UNORDERED_GROUPS = 8      # hash groups of the order-free batching query
+GROUP_ROWS = 1000         # rows of a hash group of the order-free batching query (about)
 # -----------------------------------------------------------------------------
 
 
@@ -134,7 +133,8 @@ def q_unordered_batches(spark, d):
     10 consecutive ids within the group); no global order, no hot group."""
     from ..operators.ordering import assign_batches_unordered
 
-    return assign_batches_unordered(tickets(spark, d), spread=UNORDERED_GROUPS).select("ticket_id", "batch_id", "batch_pos")
+    t = tickets(spark, d)
+    return assign_batches_unordered(t, spread=max(1, -(-t.count() // GROUP_ROWS))).select("ticket_id", "batch_id", "batch_pos")
 
 
 def q_categorise_requests(spark, d):
@@ -251,10 +251,9 @@ def folded_terms(spark, d):
 
 
 def q_category_overlap(spark, d):
-    """QLT4 / DEC5 by content: pairs of named categories whose top-term
-    profiles (most frequent terms over all their tickets) overlap."""
-    prof = qlt.term_profiles(folded_terms(spark, d), PROFILE_TERMS)
-    pairs = qlt.similar_token_sets(prof, PROFILE_OVERLAP)
+    """QLT4 / DEC5 by content: pairs of named categories whose vocabularies
+    (all terms of all their tickets) overlap."""
+    pairs = qlt.content_overlap(folded_terms(spark, d), PROFILE_OVERLAP)
     return pairs.select(F.col("name_a").alias("category_a"), F.col("name_b").alias("category_b"),
                         "shared", "union_size", "jaccard")
 
@@ -326,6 +325,56 @@ def replies(spark, d):
     return b, per.select("batch_id", raw.alias("raw"), F.lit(None).cast("string").alias("error"))
 
 
+# --- fixed values -----------------------------------------------------------
+REPLAY_FAILED = "time out"
+NAME_ITEMS = '"0", "", null, 0, 0.0, false, true, [], {}, "  ", 7'
+# -----------------------------------------------------------------------------
+
+
+def _replay_run(spark, d, key: str):
+    """``run()`` with recorded replies over every ticket: new names are
+    discovered (``From <source>``), every seventh batch failed, and every fifth
+    one gives its first ticket an explicit null."""
+    from .run import RunConfig, run
+
+    # the run's own batches: ten tickets in the order of the key
+    narrow_ = materialize(tickets(spark, d).select("ticket_id", ORDER, "current_label"), "replay_tickets")
+    b = assign_batches(assign_positions(narrow_, ORDER, written=True))
+    name = F.when((F.col("batch_id") % 5 == 2) & (F.col("batch_pos") == 0), F.lit(None)).otherwise(F.concat(F.lit("From "), "current_label"))
+    obj = F.struct("batch_pos", F.col("ticket_id").alias("ticket_id"), name.alias("new_category"), F.lit("High").alias("confidence"), F.lit("r").alias("reasoning"))
+    per = b.groupBy("batch_id").agg(F.sort_array(F.collect_list(obj)).alias("_r"))
+    failed = F.col("batch_id") % 7 == 3
+    raw = F.to_json(F.transform("_r", lambda x: x.dropFields("batch_pos")), {"ignoreNullFields": "false"})
+    log = per.select("batch_id", F.when(~failed, raw).alias("raw"), F.when(failed, F.lit(REPLAY_FAILED)).alias("error"))
+    t = tickets(spark, d)
+    t = t.withColumn("gap_key", F.col(ORDER) * 7 + 3)
+    res = run(t, CONTEXT, mode="no_suggestions", decider="replay", responses=log, config=RunConfig(order_key=key))
+    return res.export.select("ticket_id", "new_category", "confidence", "reasoning")
+
+
+def q_run_replay(spark, d):
+    return _replay_run(spark, d, ORDER)
+
+
+def q_run_sparse_key(spark, d):
+    """The same run ordered by a key with gaps: replies still meet their slots."""
+    return _replay_run(spark, d, "gap_key")
+
+
+def q_parse_name_list(spark, d):
+    """PAR5 over one reply per ticket: plain (en), fenced (de), with text after
+    the list (fr), with single quotes (es)."""
+    from ..operators.responses import parse_name_list
+
+    body = F.concat(F.lit('["'), "ticket_id", F.lit(f'", {NAME_ITEMS}]'))
+    raw = (F.when(F.col("lang") == "de", F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+           .when(F.col("lang") == "fr", F.concat(body, F.lit(" as asked")))
+           .when(F.col("lang") == "es", F.replace(body, F.lit('"'), F.lit("'")))
+           .otherwise(body))
+    names = parse_name_list(raw)
+    return tickets(spark, d).select("ticket_id", F.size(names).alias("n_names"), F.array_join(names, "|").alias("names"))
+
+
 def _requests(b):
     return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_tickets"))
 
@@ -586,6 +635,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "uncategorised_rate": q_uncategorised_rate,
     "confidence_mix": q_confidence_mix,
     "trend_by_day": q_trend_by_day,
+    "run_replay": q_run_replay,
+    "run_sparse_key": q_run_sparse_key,
+    "parse_name_list": q_parse_name_list,
     "stream_rounds": q_stream_rounds,
     "stream_event_windows": q_stream_event_windows,
     "stream_category_counts": q_stream_category_counts,

@@ -12,7 +12,7 @@ from ..operators.deciders import NO_MATCH_REASON
 from ..operators.responses import FAILED_REASON
 from ..operators.taxonomy import MIN_BUCKET, STOP_WORDS, Taxonomy
 from .catalog import (
-    CONTEXT, MAX_FLAGS, MERGE_AT, MERGES, MODE, PROFILE_OVERLAP, PROFILE_TERMS, SIMILARITY, UNORDERED_GROUPS,
+    CONTEXT, GROUP_ROWS, MAX_FLAGS, MERGE_AT, MERGES, MODE, PROFILE_OVERLAP, REPLAY_FAILED, SIMILARITY,
 )
 
 # Python str.strip() whitespace, RE2 syntax.
@@ -254,8 +254,7 @@ def _overlap() -> str:
   WHERE length(term) >= 4 AND term NOT IN ({stops})
   GROUP BY 1, 2
 ),
-top AS (SELECT category, term FROM terms
-        QUALIFY row_number() OVER (PARTITION BY category ORDER BY df DESC, term) <= {PROFILE_TERMS}),
+top AS (SELECT category, term FROM terms),
 sz AS (SELECT category, count(*) AS s FROM top GROUP BY 1),
 pairs AS (SELECT a.category AS ca, b.category AS cb, count(*) AS shared
           FROM top a JOIN top b ON a.term = b.term AND a.category < b.category GROUP BY 1, 2)
@@ -355,7 +354,7 @@ SELECT 'CONV-' || CAST(conv_id AS VARCHAR) AS ticket_id, {strip('d')} AS issue_d
 FROM agg WHERE d IS NOT NULL AND regexp_matches(d, '[^{WS}]')""",
         "batch_assignment": W(TICKETS, BATCHED) + "\nSELECT ticket_id, pos, batch_id, batch_pos FROM batched",
         "unordered_batches": W(TICKETS) + f"""
-, g AS (SELECT ticket_id, ('0x' || substr(md5(ticket_id), 1, 8))::BIGINT % {UNORDERED_GROUPS} AS grp FROM tickets),
+, g AS (SELECT ticket_id, ('0x' || substr(md5(ticket_id), 1, 8))::BIGINT % (SELECT greatest(1, (count(*) + {GROUP_ROWS} - 1) // {GROUP_ROWS}) FROM tickets) AS grp FROM tickets),
 r AS (SELECT ticket_id, grp, row_number() OVER (PARTITION BY grp ORDER BY ticket_id) - 1 AS rn FROM g)
 SELECT ticket_id, grp * 4294967296 + rn // 10 AS batch_id, CAST(rn % 10 AS INTEGER) AS batch_pos FROM r""",
         "categorise_requests": _categorise_requests(),
@@ -421,6 +420,9 @@ FROM labelled""",
 , per AS (SELECT confidence, count(*) AS n FROM labelled GROUP BY 1), t AS (SELECT count(*) AS total FROM labelled)
 SELECT confidence, n, {pct('n', 'total')} AS pct FROM per, t""",
         "trend_by_day": _trend(),
+        "run_replay": _run_replay(),
+        "run_sparse_key": _run_replay(),
+        "parse_name_list": _name_list(),
         "stream_rounds": lexical_sel,
         "stream_category_counts": W(TICKETS, LEXICAL) + """
 SELECT new_category AS category, count(*) AS n FROM lexical GROUP BY 1""",
@@ -429,6 +431,27 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS categor
     }
 
 
+def _run_replay() -> str:
+    return W(TICKETS, BATCHED) + f"""
+, said AS (
+  SELECT ticket_id, batch_id % 7 = 3 AS failed,
+         CASE WHEN batch_id % 7 = 3 THEN 'Uncategorised' WHEN batch_id % 5 = 2 AND batch_pos = 0 THEN NULL
+              ELSE 'From ' || current_label END AS c
+  FROM batched),
+n AS (SELECT c, count(*) AS n FROM said GROUP BY 1)
+SELECT ticket_id, CASE WHEN n.n < {MIN_BUCKET} AND said.c <> 'Uncategorised' THEN 'Uncategorised' ELSE said.c END AS new_category,
+       CASE WHEN failed THEN 'Low' ELSE 'High' END AS confidence,
+       CASE WHEN failed THEN 'Processing error: {REPLAY_FAILED}' ELSE 'r' END AS reasoning
+FROM said LEFT JOIN n ON said.c = n.c"""
+
+
+def _name_list() -> str:
+    return W(TICKETS) + """
+SELECT ticket_id, CASE WHEN lang IN ('fr', 'es') THEN 0 ELSE 5 END AS n_names,
+       CASE WHEN lang IN ('fr', 'es') THEN '' ELSE ticket_id || '|0|true||7' END AS names
+FROM tickets"""
+
+
 def build_all() -> dict[str, str]:
     from .oracle_extra import build as build_extra
 

@@ -73,15 +73,15 @@ def _read_taxonomy(spark: SparkSession, path: str, seed: Taxonomy, before: int |
 def _file_stream(spark: SparkSession, folder: str, pattern: str, max_files: int | None = None) -> DataFrame:
     """A table below ``folder`` as a file stream: one file or a folder of part
     files of that name, or the folder's own files that match the pattern."""
+    path, options = folder, {"pathGlobFilter": pattern}
     try:
-        schema = spark.read.parquet(os.path.join(folder, pattern)).schema
-    except AnalysisException:
-        schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    reader = spark.readStream.schema(schema)
+        schema = spark.read.options(**options).parquet(path).schema
+    except AnalysisException:  # no file of that name: the table is a folder
+        path, options = os.path.join(folder, pattern), {}
+        schema = spark.read.parquet(path).schema
     if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    # one file and a folder of part files both match: the source globs the path
-    return reader.parquet(os.path.join(folder, pattern))
+        options["maxFilesPerTrigger"] = max_files
+    return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
 def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_files: int = 1,
