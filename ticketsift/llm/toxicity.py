@@ -22,6 +22,7 @@ rows and extra columns pass through.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,11 +37,11 @@ from . import minhash
 from .common import small_batches
 
 #: Bounds of the rows that the model is fitted on.
-TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 2500, 5000, 30_000
+TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 1500, 3000, 20_000
 PREFIXES = (3, 4, 5, 6)
 #: A feature is kept from this association on; a token is tagged from that precision on.
 LEAST_DOCS, LEAST_LOG_ODDS, LEAST_Z, TAG_PRECISION, TAG_Z = 5, 1.0, 3.0, 0.7, 4.0
-EPOCHS, RATE, RIDGE, CHUNK, MAX_CHUNKS = 60, 0.4, 1e-3, 64, 20_000
+EPOCHS, RATE, RIDGE, CHUNK, MAX_CHUNKS = 40, 0.4, 1e-3, 64, 6000
 FOLDS = 5
 CACHE_WORDS = 300_000
 #: Longest run of featureless tokens with a power of its own; longer ones have converged.
@@ -75,6 +76,14 @@ class ToxicModel:
                 powers.append(nxt / nxt.max())
         self._before, self._after = np.array(self._before), np.array(after)
 
+    def to_json(self) -> str:
+        return json.dumps({"weights": self.weights, "bias": self.bias, "moves": self.moves.tolist(), "start": self.start.tolist(), "calibration": self.calibration})
+
+    @classmethod
+    def from_json(cls, text: str) -> ToxicModel:
+        m = json.loads(text)
+        return cls(m["weights"], m["bias"], np.array(m["moves"]), np.array(m["start"]), tuple(m["calibration"]))
+
     def weight(self, word: str) -> float:
         """Sum of a word's feature weights; 0 where it has none."""
         known = self._cache.get(word)
@@ -161,9 +170,13 @@ def distinct_documents(lists: list[list[str]], labels: list[int]) -> list[int]:
 
 def choose_features(lists: list[list[str]], labels: list[int]) -> tuple[set[str], set[str]]:
     """``(features, tagging)``: those associated with the label, and those that tag a token."""
-    df = (Counter(), Counter())
-    for ws, y in zip(lists, labels, strict=True):
-        df[y].update({f for w in set(ws) for f in features_of(w)})
+    df: tuple[Counter, Counter] = (Counter(), Counter())
+    for kind in (1, 0):  # other documents: only what enough toxic ones have
+        often = {f for f, n in df[1].items() if n >= LEAST_DOCS}
+        for ws, y in zip(lists, labels, strict=True):
+            if y == kind:
+                found = {f for w in set(ws) for f in features_of(w)}
+                df[y].update(found if kind else found & often)
     n0, n1 = labels.count(0), labels.count(1)
     features, tagging = set(), set()
     for f, a in df[1].items():
@@ -284,6 +297,7 @@ def held_out(id_col: str) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
     """Fit on a bounded sample of the labelled rows that are not held out."""
+    small_batches(docs.sparkSession)
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     marks = marks.where(~held_out(id_col)).withColumn("_h", F.xxhash64(F.lit(5), F.col(id_col)))
     counts = {r["_y"]: r["n"] for r in marks.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -291,9 +305,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = [marks.where(F.col("_y") == y).orderBy("_h", id_col).limit(most) for y, most in bounds.items()]
     sample = F.broadcast(picked[0].unionAll(picked[1]).select(F.col(id_col).alias("_id"), "_y"))  # at most the bounds
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).where(F.length("_t") <= TRAIN_CHARS)
-    got = rows.join(sample, "_id").orderBy("_id", "_t").toPandas()
     shares = tuple(min(1.0, bounds[y] / max(counts.get(y, 0), 1)) for y in (0, 1))
-    return fit(got["_t"].tolist(), got["_y"].astype(int).tolist(), shares)
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat([pd.DataFrame({"_id": [], "_t": [], "_y": []}), *batches]).sort_values(["_id", "_t"])
+        yield pd.DataFrame({"model": [fit(got["_t"].tolist(), got["_y"].astype(int).tolist(), shares).to_json()]})
+
+    # the bounded sample is fitted in one task, away from the driver's memory
+    model = rows.join(sample, "_id").repartition(1).mapInPandas(fitted, "model string").collect()
+    return ToxicModel.from_json(model[0]["model"]) if model else fit([], [], shares)
 
 
 def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", spans: bool = True) -> DataFrame:
