@@ -37,7 +37,7 @@ WINDOW = 4096
 #: Tokens of a shard (one index), and of a partition of shards.
 SHARD_TOKENS, PARTITION_TOKENS = 1 << 19, 1 << 22
 K1, B = 1.2, 0.75
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 #: Characters that Python and the library treat alike in case, class and composition.
 PLAIN = r"[^\x00-\x7e¡-©«-±¶-¸»¿-ÿ]"
 #: The vocabulary's words (a fixed value of the file) in such a text, in lower case.
@@ -64,17 +64,17 @@ class WordEncoder:
         """Ids of each text, as little-endian numbers of ``kind``."""
         cut, whole, new = {}, [], set()
         for k, t in enumerate(texts):
-            if self.rare(t) or any(s in t for s in self.specials):
+            if not t.isascii() and self.rare(t) or any(s in t for s in self.specials):
                 whole.append(k)
             else:
                 cut[k] = ws = self.words(t.lower())
-                new.update(w for w in ws if w not in self.cache)
+                new |= set(ws).difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
             new = {w for ws in cut.values() for w in ws}
-        new = sorted(new)
+        new = list(new)
         # the new words as one text: each ends with the one token that ends a word
-        ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, dtype=self.kind)
+        ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype=self.kind)
         cuts = np.flatnonzero(self.ends_word[ids]) + 1
         if len(cuts) != len(new):
             raise ValueError("the vocabulary's word ends don't match its words")
@@ -84,7 +84,7 @@ class WordEncoder:
         out = [b""] * len(texts)
         for k, ws in cut.items():
             out[k] = b"".join(map(self.cache.__getitem__, ws))
-        for k, e in zip(whole, self.library.encode_batch([texts[k] for k in whole], add_special_tokens=False), strict=True):
+        for k, e in zip(whole, self.library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, dtype=self.kind).tobytes()
         return out
 
