@@ -17,6 +17,7 @@ an empty result.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,7 +25,6 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -32,17 +32,18 @@ from tokenizers import Tokenizer
 from .common import small_batches
 
 #: Pre-tokens whose steps a worker remembers at most; beyond it the memory starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Word beginnings whose last token and count a worker remembers at most.
-STATES = 400_000
+STATES = 800_000
 
 # --- fixed values: the pre-token rule of byte-level vocabularies ---------------
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PRETOKEN = r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^ \t-\rA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
 # ------------------------------------------------------------------------------
-#: Characters whose class every Unicode version agrees on: a text that has others is cut into pre-tokens by the library.
-FAMILIAR = r"[^\x00-\u024f\u2010-\u2027\u20ac\u3040-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
-BLANK = regex.compile(r"\s+").fullmatch
+#: Texts with characters beyond these (ASCII and Latin-1 letters and signs) are cut into pre-tokens by the library.
+FAMILIAR = r"[^\x00-\x7e¡-©«-±¶-¸»¿-ÿ]"
+BLANK = re.compile(r"[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").fullmatch
+TWO_BLANKS = re.compile(r"[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}").search
 #: Rank of a merge that never comes.
 NEVER = 1 << 40
 
@@ -72,9 +73,9 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocab))
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.findall = regex.compile(PRETOKEN).findall
-        self.foreign = regex.compile(FAMILIAR).search
-        self.special_split = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
+        self.findall = re.compile(PRETOKEN).findall
+        self.foreign = re.compile(FAMILIAR).search
+        self.special_split = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.pre_tokenizer = Tokenizer.from_file(path).pre_tokenizer
         self.spine: dict[str, tuple[list, list] | None] = {}
         self.states: dict[str, tuple[int, str]] = {}
@@ -109,7 +110,7 @@ class PrefixCounter:
         key = (left, right)
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > 4 * CACHE_WORDS:
+            if len(self.apart) > 2 * CACHE_WORDS:
                 self.apart.clear()
             known = self.apart[key] = self._border_holds(left, right)
         return known
@@ -189,7 +190,7 @@ class PrefixCounter:
     def _segment(self, text: str) -> tuple[bytes, list[str]]:
         words, known, steps = self.words(text), self.cache.get, self._steps
         out = b"".join([known(w) or steps(w) for w in words])
-        if regex.search(r"\s\s", text):
+        if TWO_BLANKS(text):
             out = self._space_runs(out, words)
         return out, words
 
