@@ -116,7 +116,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     each = cuts.select("i", F.posexplode("d").alias("k", "d")).join(shared, "d")
     # a document's shared chunks meet its own chunk table again
     hits = each.groupBy("i").agg(F.collect_list(F.struct("k", "first")).alias("hits"))
-    with_ends = hits.join(cuts.select("i", "e", "w").distinct(), "i")
+    with_ends = hits.join(cuts.select("i", "e", "w").dropDuplicates(["i"]), "i")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -11,7 +11,7 @@ from ..session import materialize
 from ..sources.tables import table
 
 #: An Arrow batch holds at most so many rows and, beyond its first row, so many bytes.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
