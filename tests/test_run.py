@@ -175,3 +175,39 @@ def test_a_run_writes_its_intermediate_tables_below_one_folder(spark):
     files = res.labelled.inputFiles()
     assert res.scratch and files and all(f.split(":", 1)[-1].lstrip("/").startswith(res.scratch.lstrip("/")) for f in files)
     assert spark.conf.get("ticketsift.scratch.scope", None) is None
+
+
+def test_chains_of_similar_names_end_in_one_category():
+    from ticketsift.operators.consolidate import fold_merges
+    from ticketsift.plans.run import name_groups
+
+    groups = name_groups([("a", "b", 0.8), ("b", "c", 0.8), ("x", "y", 0.9)])
+    assert groups == [("a", "b", "c"), ("x", "y")]
+    plan = fold_merges({"a": 3, "b": 4, "c": 5, "x": 1, "y": 1, "z": 2}, [(g, g[0]) for g in groups])
+    assert plan.mapping == {"b": "a", "c": "a", "y": "x"} and plan.counts == {"a": 12, "x": 2, "z": 2}
+
+
+def test_run_of_few_tickets_and_sparse_keys(spark):
+    import json
+
+    import pytest
+
+    from ticketsift.operators.normalise import TicketError
+    from ticketsift.plans.run import RunConfig, run, suggest_categories
+
+    t = spark.createDataFrame([(7 * k + 2, f"T{k}", f"printer jam {k}", "", "") for k in range(5)],
+                              "key long, ticket_id string, issue_description string, current_label string, resolution_notes string")
+    reply = json.dumps([{"ticket_id": f"T{k}", "new_category": "Jam", "confidence": "High", "reasoning": "r"} for k in range(5)])
+    log = spark.createDataFrame([(0, "\n```json\n" + reply + "\n```", None)], "batch_id long, raw string, error string")
+    res = run(t, "Support tickets of a shop", mode="no_suggestions", decider="replay", responses=log, config=RunConfig(order_key="key"))
+    assert {r.new_category for r in res.labelled.collect()} == {"Jam"}
+    assert res.export.columns == [*t.columns, "new_category", "confidence", "reasoning", "multi_tags"]
+    empty = run(t.where("false"), "Support tickets of a shop", mode="no_suggestions", decider="replay", responses=log, config=RunConfig(order_key="key"))
+    assert empty.export.count() == 0
+    with pytest.raises(TicketError, match="order key"):
+        run(t, "Support tickets of a shop", mode="no_suggestions")
+    with pytest.raises(TicketError, match="more than 50 rows"):
+        run(t, "Support tickets of a shop", mode="auto_suggest", config=RunConfig(order_key="key"))
+    assert suggest_categories(t, "Support tickets of a shop", "replay", '["Jam", "", null, "Toner "]') == ["Jam", "Toner"]
+    assert suggest_categories(t, "Support tickets of a shop", "callable", call_factory=lambda: lambda prompt: '["Jam"] and more') == []
+    assert "Term: printer" in suggest_categories(t, "Support tickets of a shop")
