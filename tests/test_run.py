@@ -5,6 +5,7 @@ from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
 from ticketsift.operators.deciders import label_lexical
+from ticketsift.operators.prompts import TAG_INTRO
 from ticketsift.operators.ordering import assign_batches, assign_positions
 from ticketsift.operators.taxonomy import Taxonomy
 from ticketsift.plans.run import RunConfig, _rounds, run
@@ -133,7 +134,7 @@ def test_collapse_copies_equals_full_run_with_a_hot_copy_group(spark):
     def factory():
         def call(prompt):
             out = []
-            if prompt.startswith("You map tickets"):          # theme request: id and text blocks
+            if prompt.startswith(TAG_INTRO):          # theme request: id and text blocks
                 blocks = re.findall(r"^id: (.+?)\n  text: (.*?)(?=\n\nid: |\Z)", prompt.split("Tickets:\n", 1)[1], re.M | re.S)
                 return json.dumps([{"ticket_id": tid, "tags": ["Words"] + (["Many"] if len(text) > 5000 else [])}
                                    for tid, text in blocks])

@@ -46,10 +46,7 @@ SELECT md5(p) AS prompt_md5, length(p) AS prompt_chars FROM pr"""
 
 
 def suggest_request() -> str:
-    head_a = P.SUGGEST_INTRO + CONTEXT + NL + NL + "Here are "
-    head_b = (" sampled tickets. Propose 5-10 distinct, non-overlapping category names of 3-6 words that would "
-              "cover the whole table." + NL + NL + "Sample:" + NL)
-    tail = NL + NL + 'Reply with a JSON array of names only, no code fences: ["Name one", "Name two"]'
+    head_a, head_b, tail = P.SUGGEST_INTRO + CONTEXT + P.SUGGEST_SIZE[0], P.SUGGEST_SIZE[1], P.SUGGEST_CONTRACT
     return W(TICKETS, _sample()) + f"""
 , pr AS (SELECT {q(head_a)} || CAST(max(_n) AS VARCHAR) || {q(head_b)}
                 || string_agg('- ' || issue_description || ' [label: ' || current_label || ']', chr(10) ORDER BY sample_key, ticket_id)
