@@ -65,3 +65,13 @@ def test_labels_are_no_inputs_and_empty_tables(spark):
     assert len({r["_score"] for r in tx.score(docs, tx.train(docs, one)).collect()}) == 1
     empty = docs.where("false")
     assert tx.score(empty, tx.train(empty, none)).count() == 0
+
+
+def test_every_chunk_trains_the_field(monkeypatch):
+    lists = [["so", "bad"]] * 200 + [["so", "fine"]] * 8000
+    tags = [[0, 1]] * 200 + [[0, 0]] * 8000
+    few, more = (tx.train_crf(lists + [["quite", "bad"]] * n, tags + [[0, 0]] * n, {"bad"}) for n in (0, 150))
+    assert more.weights["bad"] < few.weights["bad"] - 0.1
+    monkeypatch.setattr(tx, "BLOCK_CHUNKS", 999)
+    small = tx.train_crf(lists, tags, {"bad"})
+    assert np.isclose(small.weights["bad"], few.weights["bad"]) and np.allclose(small.moves, few.moves)

@@ -10,7 +10,8 @@ tokens have no feature, and a run of them is one precomputed power of the same
 give the offending spans and, through a calibrated logistic map, the score.
 
 Fitted on at most ``TRAIN_TOXIC + TRAIN_OTHER`` labelled rows (those smallest by
-a hash of the id) of at most ``TRAIN_CHARS`` characters each.  A text is scored
+a hash of the id) of at most ``TRAIN_CHARS`` characters each; all their tokens
+train the field.  A text is scored
 from its words alone.
 
 Rows: a null text counts as empty, a text without words gets the score of no
@@ -27,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -41,7 +43,9 @@ TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 1500, 3000, 20_000
 PREFIXES = (3, 4, 5, 6)
 #: A feature is kept from this association on; a token is tagged from that precision on.
 LEAST_DOCS, LEAST_LOG_ODDS, LEAST_Z, TAG_PRECISION, TAG_Z = 5, 1.0, 3.0, 0.7, 4.0
-EPOCHS, RATE, RIDGE, CHUNK, MAX_CHUNKS = 40, 0.4, 1e-3, 64, 6000
+EPOCHS, RATE, RIDGE, CHUNK = 40, 0.4, 1e-3, 64
+#: Chunks whose part of the gradient is taken at once, which bounds its memory.
+BLOCK_CHUNKS = 4000
 FOLDS = 5
 CACHE_WORDS = 300_000
 #: Longest run of featureless tokens with a power of its own; longer ones have converged.
@@ -192,62 +196,82 @@ def choose_features(lists: list[list[str]], labels: list[int]) -> tuple[set[str]
     return features, tagging
 
 
+@dataclass
+class Block:
+    """Some chunks: which places hold tokens, their tags, and the features of their tokens."""
+
+    real: np.ndarray
+    y: np.ndarray
+    tok: np.ndarray
+    feat: np.ndarray
+
+
+def blocks_of(lists: list[list[str]], tags: list[list[int]], at: dict[str, int]) -> Iterator[Block]:
+    """All chunks of CHUNK tokens, BLOCK_CHUNKS at a time."""
+    chunks = ((ws[i : i + CHUNK], ys[i : i + CHUNK]) for ws, ys in zip(lists, tags, strict=True) for i in range(0, len(ws), CHUNK))
+    known: dict[str, list[int]] = {}
+    while part := list(islice(chunks, BLOCK_CHUNKS)):
+        n = len(part)
+        real, y = np.zeros((CHUNK, n), dtype=bool), np.zeros((CHUNK, n), dtype=bool)
+        tok, feat = [], []
+        for k, (ws, ys) in enumerate(part):
+            real[: len(ws), k] = True
+            y[: len(ws), k] = ys
+            for t, w in enumerate(ws):
+                ids = known.get(w)
+                if ids is None:
+                    ids = known[w] = [at[f] for f in features_of(w) if f in at]
+                if ids:
+                    tok.extend([t * n + k] * len(ids))
+                    feat.extend(ids)
+        yield Block(real, y, np.array(tok, dtype=np.int32), np.array(feat, dtype=np.int32))
+
+
+def block_gradient(theta: np.ndarray, size: int, block: Block) -> np.ndarray:
+    """Gradient of the negative log-likelihood of a block's chunks (forward-backward)."""
+    real, y, tok, feat = block.real, block.y, block.tok, block.feat
+    n, pair = real.shape[1], real[1:]
+    truth_pairs = np.array([[(pair & (y[:-1] == i) & (y[1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
+    e = theta[size] + np.bincount(tok, theta[feat], minlength=CHUNK * n).reshape(CHUNK, n)
+    psi, m, s = np.exp(np.clip(e, -30, 30)), np.exp(theta[size + 1 : size + 5].reshape(2, 2)), np.exp(theta[size + 5 :])
+    a = np.empty((CHUNK, n, 2))
+    b = np.ones((CHUNK, n, 2))
+    for t in range(CHUNK):
+        x = np.tile(s, (n, 1)) if not t else a[t - 1] @ m
+        x[:, 1] *= psi[t]
+        a[t] = x / x.sum(axis=1, keepdims=True)
+    for t in range(CHUNK - 2, -1, -1):
+        x = b[t + 1].copy()
+        x[:, 1] *= psi[t + 1]
+        x = x @ m.T
+        x /= x.sum(axis=1, keepdims=True)
+        b[t] = np.where(real[t + 1][:, None], x, 1.0)
+    both = a * b
+    p = np.where(real, both[:, :, 1] / both.sum(axis=2), 0.0)
+    grad = np.zeros_like(theta)
+    off = (p - y) * real
+    grad[:size] = np.bincount(feat, off.ravel()[tok], minlength=size)
+    grad[size] = off.sum()
+    ahead = b[1:].copy()
+    ahead[:, :, 1] *= psi[1:]
+    xi = a[:-1, :, :, None] * m * ahead[:, :, None, :]
+    xi /= xi.sum(axis=(2, 3), keepdims=True)
+    grad[size + 1 : size + 5] = (xi[pair].sum(axis=0) - truth_pairs).ravel()
+    grad[size + 5 :] = [(1 - p[0]).sum() - (1 - y[0]).sum(), off[0].sum()]
+    return grad
+
+
 def train_crf(lists: list[list[str]], tags: list[list[int]], features: set[str]) -> ToxicModel:
-    """Maximum likelihood by AdaGrad over chunks of CHUNK tokens."""
+    """Maximum likelihood by AdaGrad over all chunks of CHUNK tokens."""
     names = sorted(features)
-    at = {f: k for k, f in enumerate(names)}
-    chunks = [(ws[i : i + CHUNK], ys[i : i + CHUNK]) for ws, ys in zip(lists, tags, strict=True) for i in range(0, len(ws), CHUNK)]
-    chunks.sort(key=lambda c: -sum(c[1]))  # stable: tagged chunks first, then the documents' order
-    chunks = chunks[:MAX_CHUNKS]
-    n = len(chunks)
-    real, y = np.zeros((CHUNK, n), dtype=bool), np.zeros((CHUNK, n))
-    tok, feat = [], []
-    known: dict[str, list[int]] = {}
-    for k, (ws, ys) in enumerate(chunks):
-        real[: len(ws), k] = True
-        y[: len(ws), k] = ys
-        for t, w in enumerate(ws):
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = [at[f] for f in features_of(w) if f in at]
-            if ids:
-                tok.extend([t * n + k] * len(ids))
-                feat.extend(ids)
-    tok, feat = np.array(tok, dtype=np.int64), np.array(feat, dtype=np.int64)
     size = len(names)
+    blocks = list(blocks_of(lists, tags, {f: k for k, f in enumerate(names)}))
+    n = max(1, sum(b.real.shape[1] for b in blocks))
     theta = np.zeros(size + 1 + 4 + 2)  # features, bias, moves, start
     theta[size] = -3.0
     total = np.full_like(theta, 1e-6)
-    pair = real[1:]
-    truth_pairs = np.array([[(pair & (y[:-1] == i) & (y[1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
     for _ in range(EPOCHS):
-        e = theta[size] + np.bincount(tok, theta[feat], minlength=CHUNK * n).reshape(CHUNK, n)
-        psi, m, s = np.exp(np.clip(e, -30, 30)), np.exp(theta[size + 1 : size + 5].reshape(2, 2)), np.exp(theta[size + 5 :])
-        a = np.empty((CHUNK, n, 2))
-        b = np.ones((CHUNK, n, 2))
-        for t in range(CHUNK):
-            x = np.tile(s, (n, 1)) if not t else a[t - 1] @ m
-            x[:, 1] *= psi[t]
-            a[t] = x / x.sum(axis=1, keepdims=True)
-        for t in range(CHUNK - 2, -1, -1):
-            x = b[t + 1].copy()
-            x[:, 1] *= psi[t + 1]
-            x = x @ m.T
-            x /= x.sum(axis=1, keepdims=True)
-            b[t] = np.where(real[t + 1][:, None], x, 1.0)
-        both = a * b
-        p = np.where(real, both[:, :, 1] / both.sum(axis=2), 0.0)
-        grad = np.zeros_like(theta)
-        off = (p - y) * real
-        grad[:size] = np.bincount(feat, off.ravel()[tok], minlength=size)
-        grad[size] = off.sum()
-        ahead = b[1:].copy()
-        ahead[:, :, 1] *= psi[1:]
-        xi = a[:-1, :, :, None] * m * ahead[:, :, None, :]
-        xi /= xi.sum(axis=(2, 3), keepdims=True)
-        grad[size + 1 : size + 5] = (xi[pair].sum(axis=0) - truth_pairs).ravel()
-        grad[size + 5 :] = [(1 - p[0]).sum() - (1 - y[0]).sum(), off[0].sum()]
-        grad = grad / n + RIDGE * theta
+        grad = sum((block_gradient(theta, size, b) for b in blocks), np.zeros_like(theta)) / n + RIDGE * theta
         total += grad**2
         theta -= RATE * grad / np.sqrt(total)
     return ToxicModel(dict(zip(names, theta[:size].tolist(), strict=True)), float(theta[size]), np.exp(theta[size + 1 : size + 5].reshape(2, 2)), np.exp(theta[size + 5 :]))
