@@ -57,3 +57,36 @@ def test_prefilter_words_cover_every_winning_paragraph(model):
     for family, text in ls.variants():
         if plain_scan(text, model):
             assert search.search(text), (family, text)
+
+
+def test_wrapped_notices_are_seen_whole(spark, model):
+    mit = """Permission is hereby granted, free of charge, to any
+person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the
+Software without restriction, including without limitation the rights"""
+    bsd = """ * Redistribution and use in source and binary
+ * forms, with or without modification, are
+ * permitted provided that the following
+ * conditions are met:"""
+    gpl = """# This program is free software: you can redistribute it and/or
+# modify it under the terms of the GNU General
+# Public License as published by the Free
+# Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+    apache = """// Licensed under the Apache
+// License, Version
+// 2.0 (the "License"); you may not use this file"""
+    texts = {
+        1: (f"The train was late.\n\n{mit}\n\nRain fell over the hills.", [(2, "MIT")]),
+        2: (f"/*\n{bsd}\n */\nint main;", [(1, "BSD")]),
+        3: (f"#!/bin/sh\n#\n{gpl}\n#\n# Rain fell.\n", [(2, "GPL")]),
+        4: (f"x\r\n\r\n{apache}".replace("\n//", "\r\n//"), [(2, "Apache-2.0")]),
+        5: ("MIT License\n\nCopyright (c) 2020 Foo. All rights reserved.\n", [(0, "MIT"), (2, "proprietary")]),
+        6: ("The train was late.\nRain fell over\nthe hills.", []),
+        7: ("The train was late.\nReleased under the MIT License\nlicensed under the Apache License, Version 2.0", [(1, "MIT"), (2, "Apache-2.0")]),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")
+    got = {k: [] for k in texts}
+    for r in ls.scan(df, model).collect():
+        got[r["doc_id"]].append((r["line"], r["family"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: want for k, (_, want) in texts.items()}

@@ -6,9 +6,14 @@ below and a bounded sample of the corpus' own paragraphs; its few weights are
 constants of the scan.  A family needs a calibrated probability, else the
 paragraph is ``unknown`` (a class of its own, trained on licences of other
 names); and its templates must be met in the paragraph, else
-it is ``unknown`` as well.  A paragraph is a line.  Paragraphs without any word
-that speaks for a family cannot win against ordinary text, so one pattern search
-leaves nearly all of the text unsplit without changing the result.
+it is ``unknown`` as well.  Paragraphs lie between blank lines (lines of comment
+marks alone are blank, too).  Each line is judged by itself, and a paragraph of
+several lines as a whole with line breaks and comment marks folded to blanks, so
+wrapped notices are seen whole; a whole paragraph counts where it names a licence
+that none of its lines names alone, and then stands for its doubtful lines.
+Texts without any word that speaks for a family cannot win against ordinary
+text, so one pattern search leaves nearly all of the text unsplit without
+changing the result.
 
 Rows: null and empty texts have no paragraphs; null ids, repeated rows and ids
 keep their rows; extra columns are not read; empty tables give no rows (the
@@ -29,15 +34,18 @@ from pyspark.sql import functions as F
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
         "released under the MIT License",
+        "MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     ],
     "Apache-2.0": [
         "licensed under the Apache License, Version 2.0",
+        "Apache License Version 2.0",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ],
     "GPL": [
         "licensed under the GNU General Public License, version 3",
         "licensed under the GPLv3",
+        "GNU General Public License Version 3",
         "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     ],
     "LGPL": ["licensed under the GNU Lesser General Public License", "licensed under the LGPL"],
@@ -45,10 +53,12 @@ TEMPLATES: dict[str, list[str]] = {
     "BSD": [
         "licensed under the BSD 3-Clause License",
         "licensed under the BSD 2-Clause License",
+        "BSD 3-Clause License",
+        "BSD 2-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ],
-    "MPL-2.0": ["subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the MPL 2.0"],
-    "ISC": ["released under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "MPL-2.0": ["subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the MPL 2.0", "Mozilla Public License Version 2.0"],
+    "ISC": ["released under the ISC License", "ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "Unlicense": ["This is free and unencumbered software released into the public domain", "released under the Unlicense"],
     "CC0": ["dedicated to the public domain under CC0 1.0", "licensed under CC0 1.0 Universal"],
     "CC-BY": ["licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"],
@@ -78,12 +88,19 @@ SAMPLE_LINES, SAMPLE_CHARS, SAMPLE_DOCS = 1500, 400, 2000
 #: What may be a licence line in that sample and is left out of it.
 SUSPECT = "(?i)licen[cs]|copyright|rights reserved|public domain|creative commons|\\bgpl|\\bcc0|\\bcc by"
 GRAMS = (1, 2, 3)
+#: Templates of so few words stand alone as titles: so many training paragraphs are nothing else.
+TITLE_WORDS, TITLE_TIMES = 3, 10
 ROUNDS, RATE, L1 = 400, 0.5, 4e-4
 #: A word of more ordinary paragraphs than this share is common: n-grams of such words alone are no features.
 COMMON = 0.02
 #: Share of a template's n-grams that a paragraph must hold.
 CONFIRM = 0.6
 UNKNOWN = "unknown"
+#: A line that ends a paragraph, and what comments put before and behind a line.
+BLANK = r"^[^\p{L}\p{N}]*$"
+MARKS = r"^\s*(?:(?i:dnl|rem)\s+|[^\p{L}\p{N}(\[\"'<]*)|[\s*/]+$"
+#: Stands between the number and the text of a line, and for words that the model does not know.
+CUT = "\u0001"
 
 
 def words_of(text: str) -> list[str]:
@@ -107,11 +124,21 @@ class LicenseModel:
         self.templates = [(k, sorted({g for g in grams_of(words_of(t)) if not common.issuperset(g.split(" "))})) for k, f in enumerate(families) for t in TEMPLATES.get(f, ())]
 
     def pattern(self) -> str:
-        """A search for the cue words, grouped by their first letter."""
-        by: dict[str, list[str]] = {}
-        for w in self.cues:
-            by.setdefault(w[0], []).append(re.escape(w[1:]))
-        return "(?i)(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(ws)})" for c, ws in by.items()) + ")(?![a-z0-9])"
+        """A search for the cue words."""
+        return f"(?i)(?<![a-z0-9]){one_of(self.cues)}(?![a-z0-9])"
+
+    def strange(self) -> str:
+        """A search for words (in lower case) that are in no n-gram of the model."""
+        known = {w for g in self.grams for w in g.split(" ")} | {w for _, t in self.templates for g in t for w in g.split(" ")}
+        return f"(?<![a-z0-9])(?!{one_of(sorted(known))}(?![a-z0-9]))[a-z0-9]+"
+
+
+def one_of(words: list[str]) -> str:
+    """A pattern of words, grouped by their first letter."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(re.escape(w[1:]))
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(ws)})" for c, ws in by.items()) + ")"
 
 
 def variants(seed: int = 2) -> list[tuple[str, str]]:
@@ -119,6 +146,8 @@ def variants(seed: int = 2) -> list[tuple[str, str]]:
     rng, out = random.Random(seed), []
     for family, templates in TEMPLATES.items():
         for t in templates:
+            if len(t.split(" ")) <= TITLE_WORDS:
+                out += [(family, t)] * TITLE_TIMES
             for opening in OPENINGS:
                 words = (opening + t).split(" ")
                 out.append((family, " ".join(words) + rng.choice(ENDINGS)))
@@ -211,6 +240,10 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(F.concat(*[run(n) for n in GRAMS]))
 
 
+def _run_grams(run: Column) -> Column:
+    return _grams(F.filter(F.split(run, "[^a-z0-9]+"), lambda w: w != ""))
+
+
 def _computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a column that is computed here, once: a filter on it is not
     pushed below a generator, which would repeat the expression in the filter."""
@@ -224,19 +257,37 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
     if not model.cues:
         return docs.select(F.col(id_col), *[F.lit(None).cast(t).alias(c) for c, t in (("line", "int"), ("family", "string"), ("best_family", "string"), ("probability", "double"), ("template_share", "double"), ("confirmed", "boolean"), ("paragraph", "string"))]).where(F.lit(False))
     pattern, n = model.pattern(), len(model.families) + 1
-    lines = docs.where(F.col(text_col).rlike(pattern)).select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "paragraph"))
-    lines = lines.where(F.col("paragraph").rlike(pattern))
-    words = F.filter(F.split(F.lower("paragraph"), "[^a-z0-9]+"), lambda w: w != "")
-    lines = _computed(_computed(lines, "_words", words), "_grams", _grams(F.col("_words")))
+    numbered = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.when(x.rlike(BLANK), F.lit("")).otherwise(F.concat(i.cast("string"), F.lit(CUT), x)))
+    found = docs.where(F.col(text_col).rlike(pattern)).select(F.col(id_col), F.explode(F.split(F.array_join(numbered, "\n"), "\n\n+")).alias("_text"))
+    found = found.where(F.col("_text").rlike(pattern))
+    lines = F.transform(F.filter(F.split("_text", "\n"), lambda x: x != ""), lambda x: F.struct(F.substring_index(x, CUT, 1).cast("int").alias("line"), F.substr(x, F.instr(x, CUT) + 1).alias("paragraph"), F.lit(False).alias("whole")))
+    found = _computed(found, "_lines", lines).drop("_text")
+    folded = F.array_join(F.transform("_lines", lambda x: F.regexp_replace(x["paragraph"], MARKS, "")), " ")
+    whole = F.when(F.size("_lines") > 1, F.array(F.struct(F.col("_lines")[0]["line"].alias("line"), folded.alias("paragraph"), F.lit(True).alias("whole")))).otherwise(F.filter("_lines", lambda x: F.lit(False)))
+    found = _computed(found, "_seen", F.concat(F.filter("_lines", lambda x: x["paragraph"].rlike(pattern)), whole)).drop("_lines")
+    # n-grams that hold a word the model does not know are none of its own: only the runs between such words are cut
+    found = _computed(found, "_grams", F.transform("_seen", lambda x: F.array_distinct(F.flatten(F.transform(F.split(F.regexp_replace(F.lower(x["paragraph"]), model.strange(), CUT), CUT), _run_grams)))))
     names, weights, bias = _constant(model.grams, "array<string>"), _constant(model.weights, "array<double>"), _constant(model.bias, "array<double>")
-    lines = _computed(lines, "_at", F.filter(F.transform("_grams", lambda g: F.array_position(names, g)), lambda p: p > 0))
-    score = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda c: F.element_at(bias, c) + F.aggregate("_at", F.lit(0.0), lambda a, p: a + F.element_at(weights, ((p - 1) * n).cast("int") + c)))
-    lines = _computed(lines, "_score", score)
-    lines = _computed(lines, "_best", F.array_position("_score", F.array_max("_score")).cast("int")).where(F.col("_best") < n)
-    total = F.aggregate("_score", F.lit(0.0), lambda a, s: a + F.exp(s - F.array_max("_score")))
+    found = _computed(found, "_at", F.transform("_grams", lambda gs: F.filter(F.transform(gs, lambda g: F.array_position(names, g)), lambda p: p > 0)))
+    score = lambda at: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda c: F.element_at(bias, c) + F.aggregate(at, F.lit(0.0), lambda a, p: a + F.element_at(weights, ((p - 1) * n).cast("int") + c)))
+    found = _computed(found, "_score", F.transform("_at", score))
+    found = _computed(found, "_best", F.transform("_score", lambda z: F.struct(F.array_position(z, F.array_max(z)).cast("int").alias("k"), F.array_max(z).alias("top"))))
     templates = _constant([{"f": k + 1, "g": g} for k, g in model.templates], "array<struct<f:int,g:array<string>>>")
-    shares = F.transform(F.filter(templates, lambda t: t["f"] == F.col("_best")), lambda t: F.size(F.array_intersect(t["g"], F.col("_grams"))) / F.size(t["g"]))
-    lines = lines.withColumns({"probability": 1 / total, "template_share": F.array_max(shares), "best_family": F.element_at(_constant(model.families, "array<string>"), F.col("_best"))})
-    confirmed = F.coalesce(F.col("template_share") >= CONFIRM, F.lit(False))
-    family = F.when((F.col("probability") >= model.least) & confirmed, F.col("best_family")).otherwise(UNKNOWN)
-    return lines.select(id_col, "line", family.alias("family"), "best_family", "probability", "template_share", confirmed.alias("confirmed"), "paragraph")
+    share = lambda x: F.array_max(F.transform(F.filter(templates, lambda t: t["f"] == x["_best"]["k"]), lambda t: F.size(F.array_intersect(t["g"], x["_grams"])) / F.size(t["g"])))
+    verdict = lambda x: F.struct(
+        x["_seen"]["line"].alias("line"), x["_seen"]["paragraph"].alias("paragraph"), x["_seen"]["whole"].alias("whole"), F.element_at(_constant(model.families, "array<string>"), x["_best"]["k"]).alias("best_family"),
+        (1 / F.aggregate(x["_score"], F.lit(0.0), lambda a, z: a + F.exp(z - x["_best"]["top"]))).alias("probability"), share(x).alias("template_share"),
+    )
+    found = _computed(found, "_verdicts", F.transform(F.filter(F.arrays_zip("_seen", "_grams", "_score", "_best"), lambda x: x["_best"]["k"] < n), verdict))
+    found = found.select(id_col, "_verdicts").where(F.size("_verdicts") > 0)
+    sure = lambda v: v["probability"] >= model.least
+    named = lambda v: sure(v) & F.coalesce(v["template_share"] >= CONFIRM, F.lit(False))
+    single, folded = F.filter("_verdicts", lambda v: ~v["whole"]), F.filter("_verdicts", lambda v: v["whole"])
+    new = F.filter(folded, lambda w: named(w) & ~F.exists("_verdicts", lambda v: ~v["whole"] & named(v) & (v["best_family"] == w["best_family"])))
+    # doubtful lines are parts of the new notice, unless they tell of a licence of another name
+    other = F.filter(single, lambda v: named(v) | (sure(v) & (v["best_family"] == UNKNOWN)))
+    doubtful = F.when(F.size(single) > 0, single).otherwise(F.filter(folded, lambda w: sure(w) & (w["best_family"] == UNKNOWN)))
+    rows = found.select(id_col, F.explode(F.when(F.size(new) > 0, F.concat(new, other)).otherwise(doubtful)).alias("_v"))
+    confirmed = F.coalesce(F.col("_v.template_share") >= CONFIRM, F.lit(False))
+    family = F.when(named(F.col("_v")), F.col("_v.best_family")).otherwise(UNKNOWN)
+    return rows.select(id_col, "_v.line", family.alias("family"), "_v.best_family", "_v.probability", "_v.template_share", confirmed.alias("confirmed"), "_v.paragraph")
