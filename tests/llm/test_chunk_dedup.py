@@ -60,3 +60,31 @@ def test_passages_match_brute_force(spark):
         assert len(part.split()) >= cd.RUN_WORDS - 1 and r["kept"] == (r["first_doc"] == r["doc_id"])
         assert any(part[5:60] in (texts[o] or "") for o in texts if o != r["doc_id"])
     assert cd.repeated_passages(df.where("false")).count() == 0
+
+
+def phrases(seed):
+    rng = random.Random(seed)
+    return lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.choice((1, 2, 3, 3, 4, 5, 6, 8)))) for _ in range(n))
+
+
+def test_planted_passages_are_always_met():
+    text = phrases(5)
+    for _ in range(1500):
+        passage = text(51)
+        a, b = (set(cd.sequences(f"{text(30)} {passage} {text(30)}")[0]) for _ in range(2))
+        assert a & b
+
+
+def test_stock_phrases_are_no_passage_and_each_passage_is_kept_once(spark):
+    text = phrases(6)
+    stock = [text(12) for _ in range(8)]
+    docs = [(k, f"{text(40)} {s} {text(40)}") for k, s in enumerate(stock)]
+    docs.append((20, f"{text(30)} {' '.join(stock)} {text(30)}"))
+    boiler, other = text(80), text(80)
+    docs += [(30, f"{text(30)} {boiler} {text(30)}"), (31, f"{text(30)} {boiler} {other}"), (32, f"{text(30)} {boiler} {other}"), (33, other)]
+    got = cd.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {30, 31, 32, 33}
+    texts = dict(docs)
+    assert {r["doc_id"] for r in got if r["kept"]} == {30, 31}
+    for r in got:
+        assert texts[r["doc_id"]][r["start"] : r["end"]] in texts[r["first_doc"]]

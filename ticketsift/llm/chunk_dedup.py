@@ -3,10 +3,14 @@
 A gear rolling hash over the bytes of a text puts a chunk border where the hash
 of the last 16 bytes has its top bits zero (never closer than ``LEAST`` bytes
 and never further than ``MOST``), so borders depend on the content around them
-and an insertion moves only the chunks that it touches.  Chunks are compared by
-digest over all documents; runs of neighbouring chunks that other documents
-hold as well are repeated passages.  A passage loses up to a chunk at each end,
-so runs of ``RUN_WORDS`` words stand for passages of about twice that.
+and an insertion moves only the chunks that it touches.  From every chunk on, the
+shortest sequence of chunks of ``RUN_WORDS`` words is compared by digest over all
+documents, so what counts as repeated lies whole in one other document, however
+many documents share single phrases.  Neighbouring sequences of the same first
+document are one passage; where another document is the first to hold what
+follows, a passage of its own begins (the two may overlap).  A passage loses up
+to some chunks at each end, so sequences of ``RUN_WORDS`` words stand for passages
+of about twice that.
 
 Rows: null and empty texts have no chunks; rows with a null id are left out, as
 a passage needs documents to repeat across.  An id names one document: chunks of
@@ -30,8 +34,11 @@ from .common import small_batches
 #: Border where the top bits of the 16-bit gear hash are zero; bounds of a chunk in
 #: bytes.  The upper one is a prime, so cuts in a text that repeats one word come
 #: at all its phases, and such texts still share chunks.
-TOP_BITS, LEAST, MOST = 4, 16, 61
+TOP_BITS, LEAST, MOST = 3, 8, 61
 RUN_WORDS = 25
+#: Odd base of the sequences' digests and its inverse (modulo 2 to the power of 64).
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 GEAR = np.random.default_rng(6).integers(0, 1 << 16, 256).astype(np.uint16)
 
 
@@ -71,59 +78,82 @@ def chunks(text: str) -> tuple[list[int], list[int], list[int]]:
     ends = chunk_ends(data)
     if not ends:
         return [], [], []
+    return digests(raw, [0, *ends[:-1]], ends), *points_and_words(data, ends)
+
+
+def digests(raw: bytes, starts: list[int], ends: list[int]) -> list[int]:
+    digest = xxhash.xxh3_64_intdigest
+    return [digest(raw[a:b]) - (1 << 63) for a, b in zip(starts, ends, strict=True)]
+
+
+def points_and_words(data: np.ndarray, ends: list[int]) -> tuple[list[int], list[int]]:
     at = np.array(ends) - 1
-    points = np.cumsum(data & 0xC0 != 0x80)[at]
     blank = data <= 32
     closes = np.append(blank[1:], True) & ~blank
-    words = np.diff(np.cumsum(closes)[at], prepend=0)
-    digest = xxhash.xxh3_64_intdigest
-    digests = [digest(raw[a:b]) - (1 << 63) for a, b in zip([0, *ends], ends, strict=False)]
-    return digests, points.tolist(), words.tolist()
-
-
-def runs(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Start, end, words and first document of the runs of neighbouring chunks
-    ``(number, start, end, words, first document)`` of RUN_WORDS words or more."""
-    out, last = [], None
-    for number, start, end, words, first in sorted(set(found)):
-        if last is not None and number in (last, last + 1):
-            if number > last:
-                out[-1][1], out[-1][2] = end, out[-1][2] + words
-            out[-1][3] = min(out[-1][3], first)
+    return np.cumsum(data & 0xC0 != 0x80)[at].tolist(), np.diff(np.cumsum(closes)[at], prepend=0).tolist()
+
+
+def sequences(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Digest and number of chunks of the shortest sequence of RUN_WORDS words from each
+    chunk on (as long as there is one); ends and words of the chunks as in ``chunks``.
+    Where a sequence ends depends on its own bytes alone."""
+    raw = text.encode("utf-8", "replace")
+    data = np.frombuffer(raw, dtype=np.uint8)
+    ends = chunk_ends(data)
+    if not ends:
+        return [], [], [], []
+    blank = data <= 32
+    opened = np.cumsum(np.append(False, blank[:-1]) & ~blank)  # words that begin at a byte or before, but for the text's first
+    starts, last = np.array([0, *ends[:-1]]), np.array(ends) - 1
+    stop = np.searchsorted(opened[last], opened[starts] + RUN_WORDS - 1)
+    stop = stop[stop < len(ends)]
+    n = len(stop)
+    # a polynomial of the chunks' digests, from its sums over the chunks before
+    power = lambda x, m: np.cumprod(np.append(np.uint64(1), np.full(m - 1, x, dtype=np.uint64)))
+    sums = np.append(np.uint64(0), np.cumsum(np.array(digests(raw, starts.tolist(), ends), dtype=np.int64).view(np.uint64) * power(BASE, len(ends))))
+    own = (sums[stop + 1] - sums[:n]) * power(INVERSE, len(ends))[:n]
+    return own.view(np.int64).tolist(), (stop - np.arange(n) + 1).tolist(), *points_and_words(data, ends)
+
+
+def runs(found: list[tuple[int, int, int]], ends: list[int], words: list[int]) -> list[tuple[int, int, int, int]]:
+    """Start, end, words and first document of the passages that the repeated
+    sequences ``(first chunk, number of chunks, first document)`` make up."""
+    out: list[list[int]] = []
+    for k, n, first in sorted(set(found)):
+        if out and out[-1][2] == first and k <= out[-1][3] + 1:
+            out[-1][1], out[-1][3] = max(out[-1][1], k + n), k
         else:
-            out.append([start, end, words, first])
-        last = number
-    return [tuple(r) for r in out if r[2] >= RUN_WORDS]
+            out.append([k, k + n, first, k])
+    return [(ends[a - 1] if a else 0, ends[b - 1], sum(words[a:b]), first) for a, b, first, _ in out]
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per repeated passage of a document: id, ``start, end`` (code points,
-    end exclusive), ``n_words``, ``first_doc`` (smallest id that holds a chunk of
-    it) and ``kept`` (this document is it)."""
+    end exclusive), ``n_words``, ``first_doc`` (smallest id that holds it) and ``kept`` (this document is it)."""
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [chunks(t) for t in b["t"]]
-            yield pd.DataFrame({"i": b["i"], "d": [r[0] for r in rows], "e": [r[1] for r in rows], "w": [r[2] for r in rows]})
+            rows = [(i, *r) for i, t in zip(b["i"], b["t"], strict=True) if (r := sequences(t))[0]]
+            yield pd.DataFrame(rows, columns=["i", "d", "n", "e", "w"])
 
     texts = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    cuts = materialize(texts.mapInPandas(cut, f"i {id_type}, d array<long>, e array<int>, w array<int>"), "chunks")
-    digests = cuts.select("i", F.explode(F.array_distinct("d")).alias("d"))
-    shared = digests.groupBy("d").agg(F.min("i").alias("first"), F.max("i").alias("last")).where("first <> last").select("d", "first")
+    cuts = materialize(texts.mapInPandas(cut, f"i {id_type}, d array<long>, n array<int>, e array<int>, w array<int>"), "chunks")
+    each = cuts.select("i", F.explode(F.array_distinct("d")).alias("d"))
+    shared = each.groupBy("d").agg(F.min("i").alias("first"), F.max("i").alias("last")).where("first <> last").select("d", "first")
     shared = materialize(shared, "shared_chunks")
     each = cuts.select("i", F.posexplode("d").alias("k", "d")).join(shared, "d")
-    # a document's shared chunks meet its own chunk table again
+    # a document's shared sequences meet its own chunk table again
     hits = each.groupBy("i").agg(F.collect_list(F.struct("k", "first")).alias("hits"))
-    with_ends = hits.join(cuts.select("i", "e", "w").dropDuplicates(["i"]), "i")
+    with_ends = hits.join(cuts.select("i", "n", "e", "w").dropDuplicates(["i"]), "i")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, hit, e, w in zip(b["i"], b["hits"], b["e"], b["w"], strict=True):
-                found = [(h["k"], int(e[h["k"] - 1]) if h["k"] else 0, int(e[h["k"]]), int(w[h["k"]]), h["first"]) for h in hit if h["k"] < len(e)]
-                rows += [(i, *r) for r in runs(found)]
+            for i, hit, n, e, w in zip(b["i"], b["hits"], b["n"], b["e"], b["w"], strict=True):
+                found = [(h["k"], int(n[h["k"]]), h["first"]) for h in hit if h["k"] < len(n)]
+                rows += [(i, *r) for r in runs(found, e.tolist(), w.tolist())]
             if rows:
                 yield pd.DataFrame(rows, columns=["i", "start", "end", "n_words", "first_doc"])
 
