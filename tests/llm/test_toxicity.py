@@ -75,3 +75,14 @@ def test_every_chunk_trains_the_field(monkeypatch):
     monkeypatch.setattr(tx, "BLOCK_CHUNKS", 999)
     small = tx.train_crf(lists, tags, {"bad"})
     assert np.isclose(small.weights["bad"], few.weights["bad"]) and np.allclose(small.moves, few.moves)
+
+
+def test_spans_beside_a_dotted_capital_i(spark):
+    model = tx.ToxicModel({"bad": 12.0, "i\u0307stanbul": 12.0}, -3.0)
+    texts = ["\u0130stanbul is bad", "x \u0130zmir bad y", "Bad"]
+    got = tx.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: [r["text"][a:b] for a, b in r["_spans"]] for r in got} == {0: ["\u0130stanbul", "bad"], 1: ["bad"], 2: ["Bad"]}
+    every = " ".join(f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    assert len(tx.words_of(every)) == len(tx.WORD.findall(every))
+    plain = every.replace("\u0130", "")
+    assert len(tx.words_of(plain)) == len(tx.WORD.findall(plain))

@@ -53,6 +53,12 @@ LONGEST_RUN = 512
 WORD = re.compile(r"[^\W_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """The words at the places of WORD, in lower case.  Only a dotted capital I makes
+    other words of a text put in lower case as a whole."""
+    return [w.lower() for w in WORD.findall(text)] if "\u0130" in text else minhash.words_of(text)
+
+
 def features_of(word: str) -> list[str]:
     """The word itself and its beginnings (``^abc``)."""
     return [word, *(f"^{word[:k]}" for k in PREFIXES if len(word) > k)]
@@ -292,7 +298,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 def fit(texts: list[str], labels: list[int], shares: tuple[float, float] = (1.0, 1.0)) -> ToxicModel:
     """A model from labelled texts; ``shares``: which part of the rows of each
     label the sample holds (the calibration undoes it)."""
-    lists = [minhash.words_of(t) for t in texts]
+    lists = [words_of(t) for t in texts]
     n0, n1 = labels.count(0) / shares[0], labels.count(1) / shares[1]
     if not n0 or not n1:
         rate = (n1 + 0.5) / (n0 + n1 + 1) if n0 + n1 else 1e-9
@@ -350,15 +356,14 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", spans: boo
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             texts = [t or "" for t in texts]
-            lists = [minhash.words_of(t) for t in texts]
+            lists = [words_of(t) for t in texts]
             out = pd.DataFrame({"score": model.scores(lists)})
             if spans:
                 found = []
-                for t, ws, (at, p) in zip(texts, lists, model.marginals(lists), strict=True):
+                for t, (at, p) in zip(texts, model.marginals(lists), strict=True):
                     bad = set(at[p >= 0.5].tolist())
                     places = [m.span() for m in WORD.finditer(t)] if bad else []
-                    # lower case can change the number of words only in rare scripts
-                    found.append([list(places[k]) for k in sorted(bad)] if len(places) == len(ws) else [])
+                    found.append([list(places[k]) for k in sorted(bad)])
                 out["spans"] = found
             yield out
 
