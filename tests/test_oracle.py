@@ -9,12 +9,13 @@ import pytest
 from conftest import SF_SMALL
 
 from __spark_entry__ import entry, oracle_sql, queries
-from ticketsift.plans import catalog
+from ticketsift.plans import catalog, catalog_more
 from ticketsift.sources.tables import TABLES
 
 # the library's own queries; those of the optional subpackage have tests of their own
-QUERIES = {k: v for k, v in queries().items() if k in catalog.QUERIES}
-SQL = {k: v for k, v in oracle_sql().items() if k in catalog.QUERIES}
+OWN = {**catalog.QUERIES, **catalog_more.QUERIES}
+QUERIES = {k: v for k, v in queries().items() if k in OWN}
+SQL = {k: v for k, v in oracle_sql().items() if k in OWN}
 
 
 def _norm(v):

@@ -1,9 +1,10 @@
 """Consolidation (CNS0-CNS8) and the lexical review deciders (DEC5-DEC7).
 
 Merges are decided on the per-category count table (one row per category),
-never by passes over the rows: the merge list is folded on the driver over
-those counts into one composed ``old → final`` map plus the merge log and the
-summary upkeep, then applied to the rows with a single literal map lookup.
+never by passes over the rows.  A small taxonomy's merge list is folded on the
+driver over those counts into one composed ``old → final`` map plus the merge
+log and the summary upkeep, then applied to the rows with a single literal map
+lookup; ``operators.merges`` does the same with tables for any number of names.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ class MergePlan:
     applied: list[tuple[int, int]] = field(default_factory=list)  # (merge_no, tickets)
     summaries: dict[str, str] = field(default_factory=dict)
     counts: dict[str, int] = field(default_factory=dict)        # final counts
+    table: object = None                                        # the mapping as a table (see operators.merges)
 
 
 def fold_merges(counts: dict[str, int], merges, summaries: dict[str, str] | None = None,
@@ -73,13 +75,13 @@ def fold_merges(counts: dict[str, int], merges, summaries: dict[str, str] | None
         members[target] = (*members.get(target, ()), *moved)
         plan.applied.append((no, n))
         plan.log.append(LOG_FORMAT.format(labels=" + ".join(f"'{c}'" for c in sources), target=target, n=n))
-        plan.summaries = _summaries_after(plan.summaries, sources, target, keep_target_summary)
+        plan.summaries = summaries_after(plan.summaries, sources, target, keep_target_summary)
     plan.mapping = {o: c for c, os_ in members.items() for o in os_ if o != c}
     plan.counts = {c: sum(counts[o] for o in os_) for c, os_ in members.items()}
     return plan
 
 
-def _summaries_after(before: dict[str, str], sources, target: str, keep_target: bool) -> dict[str, str]:
+def summaries_after(before: dict[str, str], sources, target: str, keep_target: bool) -> dict[str, str]:
     """CNS7 as one expression: what stays, and the target's own or joined text."""
     gone = set(sources) - ({target} if keep_target else set())
     joined = before.get(target, SUMMARY_JOIN.join(before[c] for c in sources if c in before))

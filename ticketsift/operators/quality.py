@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import pct_half_even
@@ -29,12 +29,46 @@ def grouping_purity(labelled: DataFrame, expected: str, col: str = "new_category
     return per.withColumn("purity_pct", pct_half_even("majority_n", "tickets"))
 
 
-def overall_purity(purity: DataFrame) -> DataFrame:
-    return purity.agg(
-        F.sum("majority_n").alias("matched"), F.sum("tickets").alias("tickets")
-    ).withColumn("accuracy_pct", pct_half_even("matched", "tickets")).withColumn(
-        "meets_target", F.col("accuracy_pct") >= 80
-    )
+def accuracy_summary(labelled: DataFrame, expected: str, col: str = "new_category", target_pct: int = 80) -> DataFrame:
+    """QLT1 whole: agreement of the categories with the expected labels, both ways.
+
+    Rows ``(side, name, majority, tickets, matched, pct, rand_index, meets_target)``:
+    side ``predicted`` (a category, the expected label that most of its tickets have),
+    ``expected`` (an expected label, the category that most of its tickets are in) and
+    one row ``overall`` (matched by the predicted side, and the adjusted Rand index:
+    pairs of tickets that both partitions put together, less what chance gives).
+    All of it comes from the contingency table, which is written once; tickets
+    without category or expected label do not count."""
+    cont = labelled.where(F.col(col).isNotNull() & F.col(expected).isNotNull()).groupBy(
+        F.col(col).alias("category"), F.col(expected).cast("string").alias("expected")).agg(F.count(F.lit(1)).alias("k"))
+    cont = materialize(cont, "contingency")
+
+    def side(name: str, own: str, other: str) -> DataFrame:
+        best = F.max_by(F.col(other), F.struct("k", F.col("_rank"))).alias("majority")
+        # ties go to the name that sorts first
+        ranked = cont.withColumn("_rank", F.row_number().over(Window.partitionBy(own).orderBy(F.desc(other))))
+        per = ranked.groupBy(F.col(own).alias("name")).agg(best, F.sum("k").alias("tickets"), F.max("k").alias("matched"))
+        return per.select(F.lit(name).alias("side"), "name", "majority", "tickets", "matched")
+
+    sides = materialize(side("predicted", "category", "expected").unionByName(side("expected", "expected", "category")), "agreement")
+
+    def pairs(n: str) -> Column:
+        return F.col(n).cast("double") * (F.col(n) - 1).cast("double") / 2
+
+    none = F.lit(0.0)
+    cells = cont.select(pairs("k").alias("c"), none.alias("a"), none.alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"))
+    predicted = F.col("side") == "predicted"
+    margins = sides.select(none.alias("c"), F.when(predicted, pairs("tickets")).otherwise(0.0).alias("a"), F.when(predicted, 0.0).otherwise(pairs("tickets")).alias("b"),
+                           F.when(predicted, F.col("tickets")).otherwise(0).alias("n"), F.when(predicted, F.col("matched")).otherwise(0).alias("m"))
+    t = cells.unionByName(margins).agg(*[F.sum(c).alias(c) for c in ("c", "a", "b", "n", "m")])
+    chance = F.when(F.col("n") > 1, F.col("a") * F.col("b") / pairs("n")).otherwise(0.0)
+    most = (F.col("a") + F.col("b")) / 2
+    rand = F.when(most == chance, F.lit(1.0)).otherwise((F.col("c") - chance) / (most - chance))
+    overall = t.where(F.col("n") > 0).select(
+        F.lit("overall").alias("side"), F.lit("").alias("name"), F.lit("").alias("majority"), F.col("n").alias("tickets"), F.col("m").alias("matched"),
+        pct_half_even("m", "n").alias("pct"), F.round(rand, 6).alias("rand_index"), (F.col("m") * 100 >= F.col("n") * target_pct).alias("meets_target"))
+    per_name = sides.withColumns({"pct": pct_half_even("matched", "tickets"), "rand_index": F.lit(None).cast("double"), "meets_target": F.lit(None).cast("boolean")})
+    return per_name.unionByName(overall)
 
 
 def uncategorised_rate(labelled: DataFrame, col: str = "new_category", target_pct: int = 15) -> DataFrame:

@@ -33,6 +33,19 @@ def distribution(labelled: DataFrame, col: str = "new_category", order_col: str
     )
 
 
+def keep_zero(dist: DataFrame, names: list[str] | DataFrame) -> DataFrame:
+    """A distribution with the categories of the caller's list that no ticket has, as
+    rows of 0 (0%) after the others, in list order.  ``names``: a list, or a table
+    ``(ordinal, category)``; both sides have one row per category."""
+    if not isinstance(names, DataFrame):
+        names = dist.sparkSession.createDataFrame(list(enumerate(dict.fromkeys(names))), "ordinal long, category string")
+    empty = names.join(dist.select("category"), "category", "left_anti")
+    after = F.row_number().over(Window.orderBy("ordinal"))
+    ranked = dist.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("r")).scalar()
+    zero = empty.select((after + ranked).cast("int").alias("rank"), "category", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("pct"), F.lit("0 (0%)").alias("label"))
+    return dist.unionByName(zero)
+
+
 def named_count(labelled: DataFrame, col: str = "new_category") -> Column:
     """AGG4: distinct named categories (Uncategorised and null excluded)."""
     return F.count_distinct(F.when(F.col(col) != UNCATEGORISED, F.col(col)))

@@ -1,10 +1,10 @@
 """Reply parsing (PAR1-PAR5) and applying replies to rows (JON1-JON3, MTG2).
 
-The native path parses with ``from_json`` into ``array<string>`` (one raw
-JSON text per element) and reads fields with ``get_json_object``; absent and
-null keys are told apart with ``json_object_keys``.  ``strict_parse`` is the
-optional exact-``json.loads`` path as an Arrow-batched pandas UDF (one call
-per reply, i.e. per batch of tickets, never per row).
+A list reply is parsed once, by ``json.loads`` in an Arrow-batched pandas UDF (one
+call per reply, i.e. per batch of tickets, never per row), into the few fields that
+are read later: trailing text, single quotes and cut-off replies fail, of repeated
+keys the last one counts, ``NaN`` and ``Infinity`` are nulls.  The two object replies
+(review, name list) are parsed with variants in the JVM.
 """
 
 from __future__ import annotations
@@ -34,21 +34,7 @@ def strip_fences(raw: Column | str) -> Column:
     return ustrip(F.when(raw.startswith("```"), inner).otherwise(raw))
 
 
-def _has_key(elem: Column, key: str) -> Column:
-    return F.array_contains(F.json_object_keys(elem), key)
-
-
-def _field(elem: Column, key: str, default: str) -> Column:
-    """JON2: value of ``key``: absent → default, explicit JSON null → null."""
-    return F.when(_has_key(elem, key), F.get_json_object(elem, f"$.{key}")).otherwise(F.lit(default))
-
-
-def _json_type(text: Column) -> Column:
-    """Exact JSON type of a text (``ARRAY<OBJECT<...>>``, ``STRING``, ``VOID``...)."""
-    return F.schema_of_variant(F.try_parse_json(text))
-
-
-def _one_json(text: Column) -> Column:
+def one_json(text: Column) -> Column:
     """The text as a variant if it is exactly one JSON value, else null.  The
     parser itself ignores what follows a value, so the text must also be valid
     as the only element of an array and as the value of an object."""
@@ -58,22 +44,80 @@ def _one_json(text: Column) -> Column:
     return F.when(one & inside.isNotNull(), F.try_variant_get(alone, "$[0]", "variant"))
 
 
+ITEM = T.StructType([T.StructField(c, T.StringType()) for c in ("ticket_id", "new_category", "confidence", "reasoning", "multi_tags")])
+
+
+class RawNumber(str):
+    """A JSON number as it was written."""
+
+
+def _text(value) -> str | None:
+    """A JSON value as text: strings as they are, others as JSON."""
+    if value is None or isinstance(value, str):
+        return None if value is None else value.encode("utf-8", "replace").decode()
+    return json.dumps(_plain(value), separators=(",", ":"))
+
+
+def _plain(value):
+    """Nested numbers back to numbers, so that they are not quoted."""
+    if isinstance(value, RawNumber):
+        return json.loads(value)
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return [_plain(v) for v in value] if isinstance(value, list) else value
+
+
+def _joined_tags(value) -> str | None:
+    """``tags`` joined by `` | `` (a string letter by letter), None for a value that
+    cannot be joined."""
+    letters_or_list = list(value) if isinstance(value, (str, list)) and not isinstance(value, RawNumber) else None
+    if letters_or_list is None or any(not isinstance(t, str) or isinstance(t, RawNumber) for t in letters_or_list):
+        return None
+    return _text(" | ".join(letters_or_list))
+
+
+def _read_item(element: dict) -> dict:
+    """JON2: an element's fields: an absent key gives the default, a null stays null."""
+    own = {k: _text(element.get(k, d)) for k, d in DEFAULTS.items()}
+    return {"ticket_id": _text(element.get("ticket_id")), **own, "multi_tags": _joined_tags(element.get("tags", ""))}
+
+
+@F.pandas_udf(T.ArrayType(ITEM))
+def reply_items(clean: pd.Series, n: pd.Series) -> pd.Series:
+    """The items of an unfenced reply that is exactly a JSON array of ``n`` objects;
+    null for any other reply."""
+    decoder = json.JSONDecoder(parse_float=RawNumber, parse_int=RawNumber, parse_constant=lambda _: None)
+
+    def items(text, size):
+        try:
+            value = decoder.decode(text)
+            fits = isinstance(value, list) and len(value) == size and all(isinstance(v, dict) for v in value)
+            return [_read_item(v) for v in value] if fits else None
+        except (TypeError, ValueError, RecursionError):
+            return None
+
+    return pd.Series([items(t, int(k)) for t, k in zip(clean, n)], dtype=object)
+
+
 def parse_replies(responses: DataFrame, requests: DataFrame) -> DataFrame:
-    """PAR1+PAR2 per batch: ``(batch_id, n_tickets, raw, error, items, ok)``.
+    """PAR1+PAR2+PAR4 per batch: ``(batch_id, n_tickets, raw, error, items, ok)``.
 
-    ``ok`` requires a JSON array of objects whose length equals the batch
-    size (a non-object element fails the whole batch, as a ``.get`` on it would).
-    """
+    ``ok`` requires a reply that is exactly one JSON array of objects whose length
+    equals the batch size (a non-object element fails the whole batch, as a ``.get``
+    on it would).  ``items`` holds the fields of each element (``ITEM``)."""
     j = requests.select("batch_id", "n_tickets").join(responses, "batch_id", "left")
-    clean = strip_fences(F.coalesce(F.col("raw"), F.lit("")))
-    j = j.withColumn("_clean", F.when(F.col("error").isNull(), clean))
-    j = j.withColumn("items", F.from_json(F.col("_clean"), "array<string>"))
-    ok = (
-        F.col("error").isNull()
-        & (F.size("items") == F.col("n_tickets"))
-        & _json_type(F.col("_clean")).startswith("ARRAY<OBJECT")
-    )
-    return j.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("_clean")
+    j = j.withColumn("items", reply_items(F.when(F.col("error").isNull(), strip_fences(F.coalesce(F.col("raw"), F.lit("")))), "n_tickets"))
+    return j.withColumn("ok", F.col("items").isNotNull())
+
+
+#: There is one strictness; the name is kept for callers of the former lenient path.
+parse_replies_strict = parse_replies
+
+
+def _slots(parsed: DataFrame, items: Column, *more: Column) -> DataFrame:
+    """A row per ticket slot of each batch: its element, or null in a failed batch."""
+    blank = F.array_repeat(F.lit(None).cast(ITEM), F.col("n_tickets").cast("int"))
+    return parsed.select(F.col("batch_id").alias("_b"), *more, F.posexplode(F.coalesce(items, blank)).alias("_i", "_elem"))
 
 
 def apply_replies(batched: DataFrame, parsed: DataFrame, align: str = "position") -> DataFrame:
@@ -87,35 +131,21 @@ def apply_replies(batched: DataFrame, parsed: DataFrame, align: str = "position"
     no key holds more than one row per side.
     """
     if align == "ticket_id":
-        status = parsed.select(F.col("batch_id").alias("_b2"), F.col("error").alias("_berr"), F.col("ok").alias("_bok"))
-        elems = parsed.filter(F.col("ok")).select(F.col("batch_id").alias("_b"), F.posexplode("items").alias("_i", "_elem"))
-        elems = elems.withColumn("_rid", F.get_json_object("_elem", "$.ticket_id"))
-        keyed = batched.join(elems, (F.col("batch_id") == F.col("_b")) & (F.col("ticket_id") == F.col("_rid")), "left")
+        status = parsed.select(F.col("batch_id").alias("_b2"), F.col("error").alias("_berr"))
+        elems = parsed.filter(F.col("ok")).select(F.col("batch_id").alias("_b"), F.explode("items").alias("_elem"))
+        keyed = batched.join(elems, (F.col("batch_id") == F.col("_b")) & (F.col("ticket_id") == F.col("_elem.ticket_id")), "left")
         keyed = keyed.join(status, F.col("batch_id") == F.col("_b2"), "left")
     else:
-        slots = parsed.select(
-            F.col("batch_id").alias("_b"), F.col("error").alias("_berr"), F.col("ok").alias("_bok"), "items",
-            F.explode(F.sequence(F.lit(0), F.col("n_tickets").cast("int") - 1)).alias("_i"),
-        ).withColumn("_elem", F.when(F.col("_bok"), F.element_at("items", F.col("_i") + 1))).drop("items")
+        slots = _slots(parsed, F.col("items"), F.col("error").alias("_berr"))
         keyed = batched.join(slots, (F.col("batch_id") == F.col("_b")) & (F.col("batch_pos") == F.col("_i")), "left")
     e, err = F.col("_elem"), F.col("_berr")
-    cols = {}
-    for k, d in DEFAULTS.items():
-        failed = FAILED_REASON if k == "reasoning" else d
-        cols[k] = (
-            F.when(err.isNotNull(), F.lit(d if k != "reasoning" else None))
-            .when(e.isNotNull(), _field(e, k, d))
-            .otherwise(F.lit(failed))
-        )
-    out = keyed.withColumns(cols)
-    out = out.withColumn(
-        "reasoning", F.when(err.isNotNull(), F.concat(F.lit(ERROR_PREFIX), err)).otherwise(F.col("reasoning"))
-    )
-    return out.drop("_b", "_b2", "_i", "_elem", "_rid", "_berr", "_bok")
-
-
-def _tags_variant(elem: Column) -> Column:
-    return F.try_variant_get(F.try_parse_json(elem), "$.tags", "variant")
+    failed = {**DEFAULTS, "reasoning": FAILED_REASON}
+    cols = {
+        k: F.when(err.isNotNull(), F.concat(F.lit(ERROR_PREFIX), err) if k == "reasoning" else F.lit(d))
+        .when(e.isNotNull(), e[k]).otherwise(F.lit(failed[k]))
+        for k, d in DEFAULTS.items()
+    }
+    return keyed.withColumns(cols).drop("_b", "_b2", "_i", "_elem", "_berr")
 
 
 def apply_tag_replies(batched: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -125,24 +155,9 @@ def apply_tag_replies(batched: DataFrame, parsed: DataFrame) -> DataFrame:
     ``tags`` is null or not a list of strings (a join over it would raise).
     Absent ``tags`` gives ``""``; a string ``"abc"`` joins letter by letter.
     """
-    def valid(x):
-        tv = _tags_variant(x)
-        ty = F.schema_of_variant(tv)
-        return tv.isNull() | ty.isin("ARRAY<STRING>", "STRING") | (
-            (ty == "ARRAY<VOID>") & (F.size(F.variant_get(tv, "$", "array<variant>")) == 0)
-        )
-
-    p = parsed.withColumn("ok", F.col("ok") & F.coalesce(F.forall("items", valid), F.lit(False)))
-    elems = p.filter(F.col("ok")).select(F.col("batch_id").alias("_b"), F.posexplode("items").alias("_i", "_elem"))
-    j = batched.join(elems, (F.col("batch_id") == F.col("_b")) & (F.col("batch_pos") == F.col("_i")), "left")
-    tv = _tags_variant(F.col("_elem"))
-    ty = F.schema_of_variant(tv)
-    joined = (
-        F.when(tv.isNull(), F.lit(""))
-        .when(ty == "STRING", F.array_join(F.split(F.variant_get(tv, "$", "string"), ""), " | "))
-        .otherwise(F.array_join(F.variant_get(tv, "$", "array<string>"), " | "))
-    )
-    return j.withColumn("multi_tags", F.when(F.col("_elem").isNotNull(), joined).otherwise(F.lit(""))).drop("_b", "_i", "_elem")
+    usable = F.when(F.forall("items", lambda x: x["multi_tags"].isNotNull()), F.col("items"))
+    j = batched.join(_slots(parsed, usable), (F.col("batch_id") == F.col("_b")) & (F.col("batch_pos") == F.col("_i")), "left")
+    return j.withColumn("multi_tags", F.coalesce(F.col("_elem")["multi_tags"], F.lit(""))).drop("_b", "_i", "_elem")
 
 
 def parse_review(raw: Column | str) -> Column:
@@ -153,7 +168,7 @@ def parse_review(raw: Column | str) -> Column:
         "merge_flags array<string>, uncategorised_analysis array<string>"
     )
     clean = strip_fences(raw)
-    parsed = F.from_json(F.when(F.schema_of_variant(_one_json(clean)).startswith("OBJECT"), clean), schema)
+    parsed = F.from_json(F.when(F.schema_of_variant(one_json(clean)).startswith("OBJECT"), clean), schema)
     return F.struct(
         parsed["narrative"].alias("narrative"),
         F.coalesce(parsed["category_summaries"], F.create_map().cast("map<string,string>")).alias("category_summaries"),
@@ -167,7 +182,7 @@ def parse_name_list(raw: Column | str) -> Column:
     """PAR5: a JSON array of names; anything else → [].  Falsy *values* (null,
     false, 0, "", [] and {}) go before the strip, so ``"0"`` stays and ``"  "``
     survives as ``""``; other values keep their JSON text."""
-    items = F.try_variant_get(_one_json(strip_fences(raw)), "$", "array<variant>")
+    items = F.try_variant_get(one_json(strip_fences(raw)), "$", "array<variant>")
 
     def text(v: Column) -> Column:
         return F.variant_get(v, "$", "string")
@@ -180,30 +195,3 @@ def parse_name_list(raw: Column | str) -> Column:
             number, ~text(v).isin("[]", "{}"))
 
     return F.coalesce(F.transform(F.filter(items, truthy), lambda v: ustrip(text(v))), F.array().cast("array<string>"))
-
-
-# ----------------------------------------------------------- strict path ----
-
-@F.pandas_udf(T.StringType())
-def strict_items(clean: pd.Series, n: pd.Series) -> pd.Series:
-    """The objects of an unfenced reply that is exactly a JSON array of ``n``
-    objects, each encoded again as a string; null for any other reply."""
-    def objects(text, size):
-        try:
-            value = json.loads(text)
-        except (TypeError, ValueError, RecursionError):
-            return None
-        fits = isinstance(value, list) and len(value) == size and all(isinstance(v, dict) for v in value)
-        return json.dumps([json.dumps(v) for v in value]) if fits else None
-
-    return pd.Series([objects(t, int(k)) for t, k in zip(clean, n)], dtype=object)
-
-
-def parse_replies_strict(responses: DataFrame, requests: DataFrame) -> DataFrame:
-    """PAR2 with exact JSON strictness (trailing text, single quotes and the
-    like fail, as in Python); same output shape as ``parse_replies``."""
-    j = requests.select("batch_id", "n_tickets").join(responses, "batch_id", "left")
-    enc = strict_items(strip_fences(F.col("raw")), F.col("n_tickets"))
-    j = j.withColumn("_enc", F.when(F.col("error").isNull(), enc))
-    j = j.withColumn("items", F.from_json(F.col("_enc"), "array<string>")).drop("_enc")
-    return j.withColumn("ok", F.col("error").isNull() & F.col("items").isNotNull())

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import materialize
 from .normalise import UNCATEGORISED
 
 # --- fixed values -----------------------------------------------------------
@@ -155,6 +156,32 @@ def fold_small(labelled: DataFrame, small: list[str], cat: str = "new_category")
     return labelled.withColumn(cat, F.when(F.col(cat).isin(small), F.lit(UNCATEGORISED)).otherwise(F.col(cat)))
 
 
+def low_to_uncategorised(labelled: DataFrame, cat: str = "new_category") -> DataFrame:
+    """Rows of low confidence leave their category (an option of a run)."""
+    return labelled.withColumn(cat, F.when((F.col("confidence") == "Low") & F.col(cat).isNotNull(), F.lit(UNCATEGORISED)).otherwise(F.col(cat)))
+
+
+def fold_small_table(labelled: DataFrame, min_bucket: int = MIN_BUCKET, min_fraction: float = 0.0,
+                     cat: str = "new_category", order_col: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """AGG2 with the counts as a written table, for any number of categories:
+    the labels after the threshold and their count table ``(category, n, first_pos)``.
+
+    The small names join from the written table, so Spark decides by its bytes
+    whether to broadcast it; ``labelled`` should be a written table (read twice)."""
+    counts = materialize(category_counts(labelled, cat, order_col), "counts")
+    k = min_bucket
+    if min_fraction:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        k = max(k, int(-(-min_fraction * total // 1)))
+    is_small = (F.col("n") < k) & (F.col("category") != UNCATEGORISED)
+    small = counts.where(is_small).select(F.col("category").alias("_cat"))
+    folded = labelled.join(small, F.col(cat) == F.col("_cat"), "left")
+    folded = folded.withColumn(cat, F.when(F.col("_cat").isNotNull(), F.lit(UNCATEGORISED)).otherwise(F.col(cat))).drop("_cat")
+    kept = counts.withColumn("category", F.when(is_small, F.lit(UNCATEGORISED)).otherwise(F.col("category")))
+    kept = kept.groupBy("category").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
+    return folded, materialize(kept, "counts")
+
+
 def fold_counts(counts: dict, small: list[str]) -> dict:
     """The count table after ``fold_small`` (computed on the driver)."""
     out: dict = {}

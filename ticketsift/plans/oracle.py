@@ -454,5 +454,6 @@ FROM tickets"""
 
 def build_all() -> dict[str, str]:
     from .oracle_extra import build as build_extra
+    from .oracle_more import build as build_more
 
-    return {**build(), **build_extra()}
+    return {**build(), **build_extra(), **build_more()}

@@ -25,8 +25,9 @@ model and later rounds read files instead of recomputing lineage.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,20 +35,24 @@ from pyspark.sql.types import IntegralType
 
 from ..operators import consolidate as cns
 from ..operators.deciders import call_requests, label_lexical, replay_requests
+from ..operators.merges import MERGE_SCHEMA, MergeTables, apply_merge_map
+from ..operators.name_table import NameTable, ranked, seed_names, unseen
 from ..operators.normalise import UNCATEGORISED, TicketError, check_auto_mode, check_context, check_manual_list, clean_category_list
 from ..operators.ordering import BATCH_SIZE, assign_batches, assign_positions
 from ..operators.prompts import categorise_requests, review_request, suggest_request, tag_requests
 from ..operators.reports import category_samples, uncategorised_head
 from ..operators.responses import (
-    apply_replies, apply_tag_replies, parse_name_list, parse_replies, parse_replies_strict, parse_review,
+    apply_replies, apply_tag_replies, parse_name_list, parse_replies, parse_review,
 )
 from ..operators.taxonomy import (
-    MIN_BUCKET, Category, Taxonomy, first_seen, fold_counts, fold_small, sample_size, small_categories, suggest_terms,
-    suggestion_sample,
+    MIN_BUCKET, Category, Taxonomy, fold_counts, fold_small, fold_small_table, low_to_uncategorised, sample_size,
+    small_categories, suggest_terms, suggestion_sample,
 )
 from ..operators.ordering import bucket_of
 from ..operators.themes import join_tags
+from ..operators.totals import observed
 from ..session import materialize, scratch_scope
+from ..sources.files import export_csv, write_run
 
 RESULT_COLUMNS = ("new_category", "confidence", "reasoning", "multi_tags")
 INTERNAL_COLUMNS = ("_row", "pos")        # order keys added by the reader and by normalise
@@ -61,7 +66,6 @@ class RunConfig:
     min_fraction: float = 0.0
     round_batches: int | None = None      # None: geometric rounds 1, 2, 4, ...
     align: str = "position"
-    strict_json: bool = False
     keep_target_summary: bool = False
     order_key: str = "pos"
     discover_terms: int = 10              # lexical discovery: categories from top terms
@@ -69,19 +73,25 @@ class RunConfig:
     flag_similarity: float = 0.5          # lexical review: flag names at this Jaccard
     uncategorised_terms: int = 3          # lexical review: terms named for the Uncategorised rows
     collapse_copies: bool = False         # model deciders: one request slot per exact copy group
+    low_to_uncategorised: bool = False    # rows of low confidence leave their category before the threshold
     concurrency: int | None = None        # model deciders: parallel calls (default: cluster parallelism)
 
 
 @dataclass
 class RunResult:
     labelled: DataFrame
-    taxonomy: Taxonomy
+    names: NameTable | Taxonomy
     merges: cns.MergePlan
     review: dict = field(default_factory=dict)
     themed: DataFrame | None = None
     scratch: str | None = None            # folder of the run's written intermediate tables
     columns: list[str] = field(default_factory=list)   # the caller's columns, in order
 
+    @property
+    def taxonomy(self) -> Taxonomy:
+        """The category list of the run (read from its table when asked for)."""
+        return self.names if isinstance(self.names, Taxonomy) else self.names.taxonomy()
+
     @property
     def export(self) -> DataFrame:
         """The caller's columns and the four result columns, nothing internal."""
@@ -90,6 +100,19 @@ class RunResult:
         return out.select(*[F.col(f"`{c}`") for c in [*self.columns, *results]])
 
 
+    def save_csv(self, path: str) -> dict:
+        """Write the export and return its totals, taken while it was written."""
+        rows, seen = observed(self.export)
+        export_csv(rows, path)
+        return seen.get
+
+    def save_run(self, path: str, run_id: str) -> dict:
+        """Save the export as a run (a rerun replaces itself) and return its totals."""
+        rows, seen = observed(self.export)
+        write_run(rows, path, run_id)
+        return seen.get
+
+
 # ----------------------------------------------------------------- helpers --
 
 def _rounds(n_batches: int, round_batches: int | None) -> list[tuple[int, int]]:
@@ -115,22 +138,6 @@ def _decide(requests: DataFrame, decider: str, responses: DataFrame | None, call
     raise TicketError([f"unknown decider: {decider}"])
 
 
-def _new_names(labels: DataFrame, known: list[str], limit: int = 100_000) -> list[str]:
-    """Unseen, non-empty, non-Uncategorised names in first-seen order (one row
-    per name; refuses an unbounded list)."""
-    fresh = (
-        labels.filter(F.col("new_category").isNotNull() & ~F.col("new_category").isin(known + [UNCATEGORISED, ""]))
-        .groupBy("new_category")
-        .agg(F.min("pos").alias("first"))
-        .orderBy("first", "new_category")
-        .limit(limit + 1)
-        .collect()
-    )
-    if len(fresh) > limit:
-        raise TicketError([f"more than {limit} new category names in one round"])
-    return [r["new_category"] for r in fresh]
-
-
 def name_words(name: str) -> tuple[str, ...]:
     """Keywords of a bare category name: its lower-case ASCII words."""
     import re
@@ -271,6 +278,8 @@ def _run(
         # projection of the source, recomputed by each reader or retried task
         # instead of writing a second copy of every text
         labels = label_lexical(batched, tax, with_tags=(depth == "full"))
+        if cfg.low_to_uncategorised:
+            labels = low_to_uncategorised(labels)
         # one pass over the texts gives the aggregated (category, term) table
         # with one null-term row per category holding its ticket count: the
         # threshold is decided on those rows and the summaries come from the
@@ -280,40 +289,39 @@ def _run(
         if len(rows) > len(tax.categories) + 2:
             raise TicketError(["the lexical decider produced names outside its taxonomy"])
         raw_counts = {r["category"]: r["df"] for r in rows}
-    elif cfg.collapse_copies:
-        tax, labels = _collapsed_rounds(batched, context, mode, seed, decider, responses, call_factory, cfg)
-        raw_counts = cns.collect_counts(labels, limit=len(tax.categories) + 2)
-    else:
-        tax, labels = _model_rounds(batched, context, mode, seed, decider, responses, call_factory, cfg)
-        raw_counts = cns.collect_counts(labels, limit=len(tax.categories) + 2)
-
-    # AGG2 on the count table: every label is a taxonomy name, '' or
-    # Uncategorised (new names joined the taxonomy round by round), so the
-    # table is bounded by the taxonomy; the decision is applied as a literal
-    # fold over the labels (no join, no second write of the texts)
-    small = small_categories(raw_counts, cfg.min_bucket, cfg.min_fraction)
-    labelled = fold_small(labels, small)
-    counts = fold_counts(raw_counts, small)
-    if decider == "lexical":
-        review, plan = _lexical_review(terms, small, counts, cfg)
+        # AGG2 on the count table: every label is a name of the caller's
+        # taxonomy or Uncategorised; the decision is applied as a literal fold
+        # over the labels (no join, no second write of the texts)
+        small = small_categories(raw_counts, cfg.min_bucket, cfg.min_fraction)
+        labelled = fold_small(labels, small)
+        review, plan = _lexical_review(terms, small, fold_counts(raw_counts, small), cfg)
+        labelled = cns.apply_mapping(labelled, plan.mapping)
     else:
+        # a model may name a category per ticket, so names, counts, threshold and
+        # merges stay tables; the labels of the rounds are written already
+        rounds = _collapsed_rounds if cfg.collapse_copies else _model_rounds
+        tax, labels = rounds(batched, context, mode, seed, decider, responses, call_factory, cfg)
+        if cfg.low_to_uncategorised:
+            labels = low_to_uncategorised(labels)
+        labelled, counts = fold_small_table(labels, cfg.min_bucket, cfg.min_fraction)
         review, plan = _consolidate(labelled, context, decider, review_response, call_factory, cfg, counts)
-    labelled = cns.apply_mapping(labelled, plan.mapping)
+        if plan.table is not None:
+            labelled = apply_merge_map(labelled, plan.table)
 
     themed = None
     if depth == "full":
         if decider == "lexical":
             themed = join_tags(labelled)
         else:
-            names = [r["category"] for r in first_seen(labelled, order_col="pos").orderBy("ordinal").collect()]
+            names = materialize(ranked(unseen(labelled, seed_names(tickets.sparkSession, Taxonomy([]))), 0), "themes")
             if cfg.collapse_copies:
                 themed = _collapsed_tags(labelled, context, names, decider, tag_responses, call_factory, cfg)
             else:
                 req = tag_requests(labelled, context, names)
                 resp = materialize(_decide(req, decider, tag_responses, call_factory, cfg.concurrency), "tag_replies")
-                parsed = (parse_replies_strict if cfg.strict_json else parse_replies)(resp, req)
+                parsed = parse_replies(resp, req)
                 themed = apply_tag_replies(labelled, parsed)
-    return RunResult(labelled=labelled, taxonomy=tax, merges=plan, review=review, themed=themed, columns=columns)
+    return RunResult(labelled=labelled, names=tax, merges=plan, review=review, themed=themed, columns=columns)
 
 
 ROUND_COL = "acc_round"
@@ -330,8 +338,9 @@ def _round_of(batch_id, rounds: list[tuple[int, int]], round_batches: int | None
 def _model_rounds(batched, context, mode, seed, decider, responses, call_factory, cfg):
     last = batched.agg(F.max("batch_id")).first()[0]
     n_batches = 0 if last is None else last + 1
+    names = NameTable(batched.sparkSession, seed)
     if not n_batches:
-        return Taxonomy(list(seed.categories)), batched.withColumns(
+        return names, batched.withColumns(
             {c: F.lit(None).cast("string") for c in ("new_category", "confidence", "reasoning")})
     rounds = _rounds(n_batches, cfg.round_batches)
     # the positioned tickets are written once, one folder per round: a round
@@ -345,22 +354,21 @@ def _model_rounds(batched, context, mode, seed, decider, responses, call_factory
     if responses is not None:
         recorded = materialize(responses.withColumn(ROUND_COL, _round_of(F.col("batch_id"), rounds, cfg.round_batches)),
                                "recorded", partition_by=ROUND_COL)
-    tax = Taxonomy(list(seed.categories))
     parts = []
     for i, (lo, hi) in enumerate(rounds):
         part = staged.filter(F.col(ROUND_COL) == i).drop(ROUND_COL)
-        req = categorise_requests(part, context, mode, tax.names)
+        req = categorise_requests(part, context, mode, names.table)
         mine = recorded.filter(F.col(ROUND_COL) == i).drop(ROUND_COL) if recorded is not None else None
         resp = _decide(req, decider, mine, call_factory, cfg.concurrency)
         resp = materialize(resp, "replies")          # the record: retries never re-call the model
-        parsed = (parse_replies_strict if cfg.strict_json else parse_replies)(resp, req)
+        parsed = parse_replies(resp, req)
         applied = materialize(apply_replies(part, parsed, cfg.align), "round")
         parts.append(applied)
-        tax = tax.append(_new_names(applied, tax.names))
+        names.add(applied)
     labels = parts[0]
     for p in parts[1:]:
         labels = labels.unionByName(p)
-    return tax, labels
+    return names, labels
 
 
 def _collapsed_rounds(batched, context, mode, seed, decider, responses, call_factory, cfg):
@@ -377,10 +385,10 @@ def _collapsed_rounds(batched, context, mode, seed, decider, responses, call_fac
     rep_batches = assign_batches(
         assign_positions(reps.withColumnRenamed("pos", "_first_pos"), "_first_pos", "pos", written=True), cfg.batch_size
     )
-    tax, rep_labels = _model_rounds(rep_batches, context, mode, seed, decider, responses, call_factory, cfg)
+    names, rep_labels = _model_rounds(rep_batches, context, mode, seed, decider, responses, call_factory, cfg)
     decided = rep_labels.select(cp.COPY_KEY, "new_category", "confidence", "reasoning")
     rows = assign_batches(keyed, cfg.batch_size)
-    return tax, materialize(cp.spread_back(rows, decided, hot, parts).drop(cp.COPY_KEY), "labels")
+    return names, materialize(cp.spread_back(rows, decided, hot, parts).drop(cp.COPY_KEY), "labels")
 
 
 def _collapsed_tags(labelled, context, names, decider, tag_responses, call_factory, cfg):
@@ -398,7 +406,7 @@ def _collapsed_tags(labelled, context, names, decider, tag_responses, call_facto
     )
     req = tag_requests(rep_batches, context, names)
     resp = materialize(_decide(req, decider, tag_responses, call_factory, cfg.concurrency), "tag_replies")
-    parsed = (parse_replies_strict if cfg.strict_json else parse_replies)(resp, req)
+    parsed = parse_replies(resp, req)
     tags = apply_tag_replies(rep_batches, parsed).select(cp.COPY_KEY, "multi_tags")
     return cp.spread_back(keyed, tags, hot, parts).drop(cp.COPY_KEY)
 
@@ -461,19 +469,39 @@ def suggest_categories(tickets: DataFrame, context: str, decider: str = "lexical
     return list(got.select(parse_name_list(F.coalesce("raw", F.lit(""))).alias("names")).first()["names"])
 
 
+class BlankSummaries(Mapping):
+    """An empty summary for every category of a count table, which is read only
+    when somebody looks at them."""
+
+    def __init__(self, counts: DataFrame):
+        self.counts = counts
+
+    @cached_property
+    def _names(self) -> dict:
+        return {r["category"]: "" for r in self.counts.select("category").collect()}
+
+    def __getitem__(self, name):
+        return self._names[name]
+
+    def __iter__(self):
+        return iter(self._names)
+
+    def __len__(self):
+        return len(self._names)
+
+
 def _consolidate(labelled: DataFrame, context: str, decider: str, review_response, call_factory, cfg,
-                 counts: dict | None = None):
-    """CNS0: counts (CNS1; counted here unless passed in), first samples per
-    category and first Uncategorised rows (CNS2), one review request, then the
-    merge fold.  A failed call gives no merges, empty summaries and one
-    "unavailable" note (CNS3); malformed merge entries parse to empty sources
-    and are skipped (CNS4)."""
+                 counts: DataFrame | None = None):
+    """CNS0: counts (CNS1; counted here unless passed in as a table), first samples
+    per category and first Uncategorised rows (CNS2), one review request, then the
+    merges as tables (``operators.merges``).  A failed call gives no merges, empty
+    summaries and one "unavailable" note (CNS3); malformed merge entries parse to
+    empty sources and are skipped (CNS4)."""
     if counts is None:
-        counts = cns.collect_counts(labelled)
-    cnt = cns_counts_df(labelled)
+        counts = materialize(cns_counts_df(labelled), "counts")
     samples = category_samples(labelled, 3, order_col="pos")
     unc = uncategorised_head(labelled, 10, order_col="pos").select("pos", "issue_description")
-    req = review_request(cnt, samples, unc, context).withColumn("batch_id", F.lit(0).cast("long"))
+    req = review_request(counts, samples, unc, context).withColumn("batch_id", F.lit(0).cast("long"))
     if decider == "replay":
         if review_response is None:
             resp = req.select("batch_id", F.lit(None).cast("string").alias("raw"), F.lit("no recorded response").alias("error"))
@@ -483,12 +511,22 @@ def _consolidate(labelled: DataFrame, context: str, decider: str, review_respons
         resp = call_requests(req, call_factory, cfg.concurrency)
     row = resp.select("error", parse_review(F.coalesce(F.col("raw"), F.lit(""))).alias("v")).first()
     if row["error"] is not None:
-        review = {"category_summaries": {c: "" for c in counts}, "merge_flags": [],
+        blank = BlankSummaries(counts)
+        review = {"category_summaries": blank, "merge_flags": [],
                   "uncategorised_analysis": [cns.UNAVAILABLE.format(error=row["error"])]}
-        return review, cns.MergePlan(summaries=review["category_summaries"], counts=dict(counts))
+        return review, cns.MergePlan(summaries=blank)
     v = row["v"]
-    merges = [(tuple(m["merge_these"] or ()), m["into"] or "") for m in (v["auto_merges"] or [])]
-    plan = cns.fold_merges(counts, merges, dict(v["category_summaries"] or {}), cfg.keep_target_summary)
+    plan = cns.MergePlan(summaries=dict(v["category_summaries"] or {}))
+    # the merges of one reply
+    merges = [(no, list(m["merge_these"] or ()), m["into"] or "") for no, m in enumerate(v["auto_merges"] or [], start=1)]
+    if merges:
+        tables = MergeTables(counts.select("category", "n"), labelled.sparkSession.createDataFrame(merges, MERGE_SCHEMA))
+        plan.table = tables.mapping
+        for r in tables.log().orderBy("merge_no").collect():
+            _, sources, target = merges[r["merge_no"] - 1]
+            plan.log.append(r["log"])
+            plan.applied.append((r["merge_no"], r["tickets"]))
+            plan.summaries = cns.summaries_after(plan.summaries, sources, target, cfg.keep_target_summary)
     review = {
         "narrative": v["narrative"],
         "category_summaries": plan.summaries,

@@ -59,11 +59,11 @@ def check_suffixes(paths) -> None:
 def listed_files(spark: SparkSession, paths: list[str]) -> list[str]:
     """The files behind the caller's paths (folders, globs and URIs of any file
     system), as Spark lists them, in the order of the paths, then by name."""
-    out: list[str] = []
+    out: dict[str, None] = {}  # in the order they were met, each once
     for p in paths:
         names = spark.read.format("binaryFile").load(p).select("path").collect()
-        out += [f for f in sorted(r["path"] for r in names) if f not in out]
-    return out
+        out.update(dict.fromkeys(sorted(r["path"] for r in names)))
+    return list(out)
 
 
 def non_utf8_files(spark: SparkSession, files: list[str]) -> list[str]:
@@ -123,13 +123,14 @@ def read_files(spark: SparkSession, paths, na_tokens=NA_TOKENS, strict: bool = F
         raise TicketError(["one read takes files of one kind: .csv or .txt"])
     sep = seps.pop()
     legacy = non_utf8_files(spark, files) if sep == "," else []
+    other = set(legacy)
     parts = []
-    for own, encoding in (([f for f in files if f not in legacy], "UTF-8"), (legacy, "ISO-8859-1")):
+    for own, encoding in (([f for f in files if f not in other], "UTF-8"), (legacy, "ISO-8859-1")):
         if own:
             names = [_literal(f) for f in own]
             part = _strip_bom(_reader(spark, sep, encoding, _header_schema(spark, names, sep, encoding), multiline).csv(names))
             columns = [c for c in part.columns if c != CORRUPT]
-            row = part.select("*", _row_key(files).alias("_row"), _surplus(len(columns), sep).alias("_long"))
+            row = with_row_key(part.withColumn("_long", _surplus(len(columns), sep)), files)
             if encoding != "UTF-8":
                 row = row.withColumns({c: _windows(F.col(f"`{c}`")) for c in [*columns, CORRUPT]})
             parts.append(row.toDF(*[_windows_text(c) if encoding != "UTF-8" else c for c in row.columns]))
@@ -148,13 +149,17 @@ def read_files(spark: SparkSession, paths, na_tokens=NA_TOKENS, strict: bool = F
     return out
 
 
-def _row_key(files: list[str]):
-    """File order as a sortable text: place of the file in the caller's list,
-    start of the block, row inside the task (which reads a block in order)."""
+def with_row_key(scan: DataFrame, files: list[str]) -> DataFrame:
+    """A file scan with its file order in ``_row``, a sortable text: place of the file
+    in the caller's list, start of the block, row inside the task (which reads a
+    block in order).  The places are a table joined by file name, so the plan does
+    not grow with the number of files; Spark decides by its size how to join it."""
     name = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-z]+:/+", "/")
-    place = F.array_position(F.array(*[F.lit(_plain(f)) for f in files]), name)
-    return F.concat_ws("-", F.lpad(place.cast("string"), 10, "0"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0"),
-                       F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0"))
+    places = scan.sparkSession.createDataFrame([(_plain(f), k + 1) for k, f in enumerate(files)], "_file string, _place long")
+    at = scan.select("*", name.alias("_name"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    key = F.concat_ws("-", F.lpad(F.col("_place").cast("string"), 10, "0"), F.lpad(F.col("_block").cast("string"), 19, "0"),
+                      F.lpad(F.col("_line").cast("string"), 19, "0"))
+    return at.join(places, F.col("_name") == F.col("_file"), "left").withColumn("_row", key).drop("_name", "_file", "_place", "_block", "_line")
 
 
 def _surplus(fields: int, sep: str):
@@ -203,5 +208,22 @@ def write_template(spark: SparkSession, path: str) -> None:
 
 
 def write_run(df: DataFrame, path: str, run_id: str) -> None:
-    """SNK3 (saved runs): partitioned parquet by run and category."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id", "new_category").parquet(path)
+    """SNK3 (saved runs): one folder per run, rows sorted by category inside it; a
+    rerun of the same id replaces its folder and touches no other."""
+    tagged = df.withColumn("run_id", F.lit(run_id)).sortWithinPartitions("new_category")
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def read_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """The rows of a saved run (only its folder is read)."""
+    return spark.read.parquet(path).where(F.col("run_id") == run_id).drop("run_id")
+
+
+def run_diff(spark: SparkSession, path: str, before: str, after: str, id_col: str = "ticket_id") -> DataFrame:
+    """Tickets whose category differs between two saved runs: id, ``before``,
+    ``after``, ``change`` (moved, added, removed).  A full outer join on the id, of
+    ids and categories only."""
+    old, new = (read_run(spark, path, r).select(F.col(id_col).alias(f"_{k}"), F.col("new_category").alias(k)) for k, r in (("before", before), ("after", after)))
+    both = old.join(new, F.col("_before") == F.col("_after"), "full_outer")
+    change = F.when(F.col("_before").isNull(), "added").when(F.col("_after").isNull(), "removed").when(~F.col("before").eqNullSafe(F.col("after")), "moved")
+    return both.select(F.coalesce("_before", "_after").alias(id_col), "before", "after", change.alias("change")).where(F.col("change").isNotNull())

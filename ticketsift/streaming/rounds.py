@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from ..operators.deciders import label_lexical
-from ..operators.normalise import UNCATEGORISED, clean_known, drop_blank
-from ..operators.taxonomy import Category, Taxonomy
+from ..operators.name_table import ranked, seed_names, unseen
+from ..operators.normalise import clean_known, drop_blank
+from ..operators.taxonomy import Taxonomy
 from ..session import ensure_checkpoint_dir
 
 
-MAX_NEW_NAMES = 100_000
-TAXONOMY_SCHEMA = "ordinal int, category string, source string, keywords array<string>, weight int"
+TAXONOMY_SCHEMA = "ordinal long, category string, source string"
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -51,23 +51,13 @@ def _tickets_from_docs(df: DataFrame) -> DataFrame:
     return clean_known(drop_blank(raw))
 
 
-def _read_taxonomy(spark: SparkSession, path: str, seed: Taxonomy, before: int | None = None) -> Taxonomy:
-    """Seed plus the names appended by earlier rounds (a small table; the
-    folder may live on a shared file system, so it is probed through Spark).
-    Only rounds below ``before`` count, so a replayed micro-batch sees exactly
-    the taxonomy its first attempt saw, not the names it appended itself."""
-    try:
-        tab = spark.read.parquet(path)
-        if before is not None:
-            tab = tab.filter(F.col("round") < before)
-        rows = tab.orderBy("round", "ordinal").collect()
-    except AnalysisException:  # no round has written names yet
-        return seed
-    tax = Taxonomy(list(seed.categories))
-    for r in rows:
-        if r["category"] not in tax.names:
-            tax.categories.append(Category(r["category"], tuple(r["keywords"] or ()), r["weight"], r["source"]))
-    return tax
+def _known_names(spark: SparkSession, path: str, seed: Taxonomy, before: int) -> DataFrame:
+    """Seed plus the names appended by rounds below ``before``, as a table, so a
+    replayed micro-batch sees exactly the taxonomy its first attempt saw, not the
+    names it appended itself."""
+    seeded = seed_names(spark, seed)
+    found = spark.read.schema(f"{TAXONOMY_SCHEMA}, round int").parquet(path).where(F.col("round") < before).drop("round")
+    return seeded.unionByName(found.join(seeded.select("category"), "category", "left_anti").select(*seeded.columns))
 
 
 def _file_stream(spark: SparkSession, folder: str, pattern: str, max_files: int | None = None) -> DataFrame:
@@ -108,9 +98,9 @@ def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_file
     # exists before the first round appends to it
     spark.createDataFrame([], TAXONOMY_SCHEMA).write.mode("overwrite").parquet(os.path.join(tax_path, "round=-1"))
 
-    def decide(tickets: DataFrame, tax: Taxonomy, round_id: int) -> DataFrame:
+    def decide(tickets: DataFrame, known: DataFrame, round_id: int) -> DataFrame:
         if decider == "lexical":
-            return label_lexical(tickets, tax)
+            return label_lexical(tickets, seed)  # names without keywords match nothing
         if not ((decider == "callable" and call_factory is not None) or (decider == "replay" and responses is not None)):
             raise ValueError("streaming rounds take decider='lexical', 'callable' with call_factory, "
                              "or 'replay' with responses")
@@ -120,7 +110,7 @@ def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_file
         from ..operators.responses import apply_replies, parse_replies
 
         b = assign_batches(assign_positions(tickets, "doc_id"))
-        req = categorise_requests(b, context, mode, tax.names)
+        req = categorise_requests(b, context, mode, known)
         if decider == "callable":
             got = call_requests(req, call_factory, concurrency)
         else:
@@ -132,25 +122,15 @@ def stream_categorise(spark: SparkSession, sf_dir: str, seed: Taxonomy, max_file
 
     def round_(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        tax = _read_taxonomy(session, tax_path, seed, before=batch_id)
-        out = decide(_tickets_from_docs(batch), tax, batch_id).select(
+        known = _known_names(session, tax_path, seed, before=batch_id)
+        out = decide(_tickets_from_docs(batch), known, batch_id).select(
             "ticket_id", "doc_id", "new_category", "confidence", "reasoning")
         here = os.path.join(labels_path, f"round={batch_id}")
         out.write.mode("overwrite").parquet(here)
-        # new names in first-seen order (one row per category), read from the
-        # labels just written; a decider that invents a name per ticket is
-        # refused, not collected
-        firsts = (
-            session.read.parquet(here)
-            .filter(~F.col("new_category").isin(tax.names + [UNCATEGORISED, ""]))
-            .groupBy("new_category").agg(F.min("doc_id").alias("first"))
-            .orderBy("first", "new_category").limit(MAX_NEW_NAMES + 1).collect()
-        )
-        if len(firsts) > MAX_NEW_NAMES:
-            raise ValueError(f"more than {MAX_NEW_NAMES} new category names in one micro-batch")
-        start = len(tax.categories)
-        rows = [(start + i, r["new_category"], "discovered", [], 1) for i, r in enumerate(firsts)]
-        session.createDataFrame(rows, TAXONOMY_SCHEMA).write.mode("overwrite").parquet(os.path.join(tax_path, f"round={batch_id}"))
+        # new names in first-seen order, read from the labels just written: an
+        # anti join against the names so far, appended as one more part
+        fresh = ranked(unseen(session.read.parquet(here), known, "doc_id"), known.count())
+        fresh.write.mode("overwrite").parquet(os.path.join(tax_path, f"round={batch_id}"))
 
     q = stream.writeStream.foreachBatch(round_).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
