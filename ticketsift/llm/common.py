@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,32 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
             spark.conf.set(key, str(most))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+_held: dict = {}
+
+
+def hold(key: tuple, build: Callable[[], Any]) -> Any:
+    """A large object that a reused Python worker keeps between tasks.  A worker keeps
+    one: another operator's next task drops it (``release``), so what the stages of a
+    pipeline keep does not add up."""
+    if key not in _held:
+        release()
+        _held[key] = build()
+    return _held[key]
+
+
+def release() -> None:
+    """Drop what earlier tasks of this worker have kept."""
+    _held.clear()
+
+
 def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; a table stored in fewer splits than there are task
     slots keeps them (a round-robin deal would move whole texts)."""
