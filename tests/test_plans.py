@@ -37,10 +37,10 @@ def test_run_threshold_is_a_projection(spark):
     assert "Join" not in plan
 
 
-def test_reports_read_narrow_labels_and_aggregate_before_the_exchange(spark):
-    for name in ("category_distribution", "confidence_mix", "run_facts"):
+def test_reports_read_the_texts_once_and_aggregate_before_the_exchange(spark):
+    for name in ("category_distribution", "confidence_mix", "run_facts", "grouping_accuracy"):
         plan = _plan(QUERIES[name](spark, SF_SMALL))
-        assert "documents.parquet" not in plan         # the written labels, never the texts again
+        assert plan.count("documents.parquet") == 1    # one scan, no label row is written
         assert "partial_count" in plan                 # map-side combine of hot categories
 
 

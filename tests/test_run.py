@@ -159,7 +159,7 @@ def test_lexical_summaries_from_the_term_table_equal_summaries_of_the_labels(spa
 
     res = run(document_tickets(spark, SF_SMALL), CTX, "manual_list", taxonomy=Taxonomy.starter(), depth="full",
               config=RunConfig(order_key="doc_id"))
-    direct = {r["category"]: r["summary"] for r in cns.term_summaries(res.labelled).collect()}
+    direct = {r["category"]: r["summary"] for r in cns.summaries_from_terms(cns.term_table(res.labelled)).collect()}
     assert res.merges.summaries == direct and direct
 
 

@@ -115,29 +115,6 @@ def merge_log_rows(plan: MergePlan) -> list[tuple[int, str, int]]:
 
 # ------------------------------------------------------------ DEC6 / DEC7 ---
 
-def term_summaries(labelled: DataFrame, k: int = 3, min_len: int = 4, col: str = "new_category",
-                   text: str = "issue_description", stop_words=STOP_WORDS) -> DataFrame:
-    """DEC6 (extractive): per category the ``k`` terms found in most of its
-    tickets (ties by term) → ``(category, summary)``.
-
-    explode(distinct tokens) → partial/final aggregate on (category, term) →
-    top-k per category (WindowGroupLimit runs before the exchange, so a hot
-    category never reaches one task whole) → tiny ordered string aggregate.
-    """
-    terms = (
-        labelled.filter(F.col(col).isNotNull())
-        .select(F.col(col).alias("category"), F.explode(F.array_distinct(tokens(text))).alias("term"))
-        .filter((F.length("term") >= min_len) & ~F.col("term").isin(list(stop_words)))
-        .groupBy("category", "term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    w = Window.partitionBy("category").orderBy(F.desc("df"), F.asc("term"))
-    top = terms.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
-    return top.groupBy("category").agg(
-        F.concat(F.lit(SUMMARY_PREFIX), F.expr("listagg(term, ', ') WITHIN GROUP (ORDER BY rn)")).alias("summary")
-    )
-
-
 def term_table(labelled: DataFrame, min_len: int = 4, col: str = "new_category",
                text: str = "issue_description", stop_words=STOP_WORDS) -> DataFrame:
     """Per (category, term) the number of tickets containing the term, plus one
@@ -182,11 +159,28 @@ def run_facts(labelled: DataFrame, col: str = "new_category", order_col: str = "
     """RPT9 / DEC7 facts: total, named categories, dominant named category and
     its share, Uncategorised and Low counts.  Category counts first (tiny),
     then one global aggregate over them."""
-    per = labelled.groupBy(F.col(col).alias("category")).agg(
+    return facts_of_counts(category_facts(labelled, col, order_col), merges)
+
+
+def category_facts(labelled: DataFrame, col: str = "new_category", order_col: str = "pos") -> DataFrame:
+    """Per category its tickets, first position and Low tickets: what reports of one
+    row need, so that they read the texts once and write no rows."""
+    return labelled.groupBy(F.col(col).alias("category")).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(order_col).alias("first_pos"),
         F.count_if(F.col("confidence") == "Low").alias("low"),
     )
+
+
+def fold_facts(per: DataFrame, min_bucket: int) -> DataFrame:
+    """AGG2 on that table: named categories below the bucket size join Uncategorised."""
+    small = (F.col("n") < min_bucket) & (F.col("category") != UNCATEGORISED)
+    return per.withColumn("category", F.when(small, F.lit(UNCATEGORISED)).otherwise(F.col("category"))).groupBy("category").agg(
+        F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"), F.sum("low").alias("low"))
+
+
+def facts_of_counts(per: DataFrame, merges: int = 0) -> DataFrame:
+    """RPT9 / DEC7 facts from the table of ``category_facts``."""
     named = F.col("category").isNotNull() & (F.col("category") != UNCATEGORISED)
     facts = per.agg(
         F.sum("n").alias("total"),

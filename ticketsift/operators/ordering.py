@@ -193,14 +193,3 @@ def assign_batches_unordered(df: DataFrame, size: int = BATCH_SIZE, spread: int
         .withColumn("batch_pos", (F.col("_rn") % size).cast("int"))
         .drop("_grp", "_rn")
     )
-
-
-def top_by_count(counts: DataFrame, n: int | None = None, count_col: str = "n", tie: str = "first_pos") -> DataFrame:
-    """ORD4: sort by count desc, ties by first appearance; optional top-n."""
-    out = counts.orderBy(F.desc(count_col), F.asc(tie))
-    return out.limit(n) if n is not None else out
-
-
-def batch_count(rows: int, size: int = BATCH_SIZE) -> int:
-    """Number of batches: ``ceil(rows / size)``."""
-    return (rows + size - 1) // size

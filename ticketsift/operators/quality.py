@@ -16,9 +16,12 @@ def grouping_purity(labelled: DataFrame, expected: str, col: str = "new_category
     tickets (ties: smaller label) and the share it covers.  A name variant
     that groups the right tickets therefore still counts as a match.
     Contingency table first (one row per pair), then a tiny window."""
-    cont = labelled.groupBy(F.col(col).alias("category"), F.col(expected).cast("string").alias("expected")).agg(
-        F.count(F.lit(1)).alias("k")
-    )
+    return purity_of_counts(labelled.groupBy(F.col(col).alias("category"), F.col(expected).cast("string").alias("expected")).agg(
+        F.count(F.lit(1)).alias("k")))
+
+
+def purity_of_counts(cont: DataFrame) -> DataFrame:
+    """QLT1 from a contingency table ``(category, expected, k)``."""
     w = Window.partitionBy("category").orderBy(F.desc("k"), "expected")
     top = cont.withColumn("rn", F.row_number().over(w))
     per = top.groupBy("category").agg(
@@ -71,9 +74,10 @@ def accuracy_summary(labelled: DataFrame, expected: str, col: str = "new_categor
     return per_name.unionByName(overall)
 
 
-def uncategorised_rate(labelled: DataFrame, col: str = "new_category", target_pct: int = 15) -> DataFrame:
-    """QLT2: share of Uncategorised rows against the <15 % target."""
-    agg = labelled.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(col) == UNCATEGORISED).alias("uncategorised"))
+def uncategorised_rate(counts: DataFrame, target_pct: int = 15) -> DataFrame:
+    """QLT2 from a count table ``(category, n)``: share of Uncategorised rows against the <15 % target."""
+    own = F.sum(F.when(F.col("category") == UNCATEGORISED, F.col("n")))
+    agg = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(own, F.lit(0)).alias("uncategorised"))
     return agg.withColumn("rate_pct", pct_half_even("uncategorised", "rows")).withColumn(
         "meets_target", F.col("uncategorised") * 100 < F.col("rows") * target_pct
     )

@@ -21,7 +21,11 @@ def distribution(labelled: DataFrame, col: str = "new_category", order_col: str
     """AGG3 / RPT2: ``(rank, category, n, pct, label)``; total = sum of counts
     (null categories excluded); label ``"n (p%)"`` with half-even percent;
     rank by count desc, ties by first appearance (ORD4)."""
-    c = category_counts(labelled, col, order_col)
+    return distribution_of_counts(category_counts(labelled, col, order_col))
+
+
+def distribution_of_counts(c: DataFrame) -> DataFrame:
+    """AGG3 / RPT2 from a count table ``(category, n, first_pos)``."""
     # both windows run on the aggregated table (one row per category)
     ranked = c.withColumn("_total", F.sum("n").over(Window.partitionBy())).withColumn(
         "rank", F.row_number().over(Window.orderBy(F.desc("n"), "first_pos"))
@@ -87,16 +91,10 @@ def running_categories(labelled: DataFrame, col: str = "new_category", batch: st
     return running_total(per_batch, "batch_id", "new_categories", "categories_so_far", written=True)
 
 
-def breakdown(summaries: DataFrame, labelled: DataFrame, col: str = "new_category") -> DataFrame:
-    """JON6 / RPT4: one row per summarised category (Uncategorised skipped):
-    tickets (0 when none), share of *all* rows, summary.  Categories without a
-    summary are not listed.  Both sides have one row per category."""
-    counts = labelled.groupBy(F.col(col).alias("_cat")).agg(F.count(F.lit(1)).alias("n"))
-    return breakdown_from_counts(summaries, counts)
-
-
 def breakdown_from_counts(summaries: DataFrame, counts: DataFrame) -> DataFrame:
-    """JON6 / RPT4 over a ``(_cat, n)`` count table (one row per category)."""
+    """JON6 / RPT4 over a ``(_cat, n)`` count table: one row per summarised category
+    (Uncategorised skipped): tickets (0 when none), share of *all* rows, summary.
+    Categories without a summary are not listed.  Both sides have one row per category."""
     named = summaries.filter(F.col("category") != UNCATEGORISED)
     # both inputs have one row per category: stack them and aggregate by
     # category (no join); the row total is a window over that small result
@@ -124,11 +122,10 @@ def results_table(labelled: DataFrame, low_only: bool = False) -> DataFrame:
     )
 
 
-def uncategorised_panel(labelled: DataFrame, col: str = "new_category") -> DataFrame:
-    """AGG7 / RPT6: the Uncategorised count and whether the bucket is empty."""
-    return labelled.agg(F.count_if(F.col(col) == UNCATEGORISED).alias("uncategorised")).withColumn(
-        "all_categorised", F.col("uncategorised") == 0
-    )
+def uncategorised_panel(counts: DataFrame) -> DataFrame:
+    """AGG7 / RPT6 from a count table: the Uncategorised count and whether the bucket is empty."""
+    n = F.coalesce(F.sum(F.when(F.col("category") == UNCATEGORISED, F.col("n"))), F.lit(0))
+    return counts.agg(n.alias("uncategorised")).withColumn("all_categorised", F.col("uncategorised") == 0)
 
 
 def batch_metrics(labelled: DataFrame, col: str = "new_category", batch: str = "batch_id") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cut
@@ -91,6 +91,12 @@ def narrow(spark: SparkSession, d: str, tags: bool = False) -> DataFrame:
     return fold(lab, fold_list(lab))
 
 
+def facts_table(spark: SparkSession, d: str) -> DataFrame:
+    """Per category after the threshold: tickets, first position, Low tickets.  Scan,
+    label, aggregate, and the threshold on the count table: no row is written."""
+    return cns.fold_facts(cns.category_facts(lexical(spark, d), order_col=ORDER), MIN_BUCKET)
+
+
 def shown(lab: DataFrame) -> DataFrame:
     """The narrow labels with the description head in the description's place
     (for the display and prompt cuts only)."""
@@ -166,7 +172,7 @@ def q_threshold_labels(spark, d):
 
 
 def q_category_distribution(spark, d):
-    return rpt.distribution(narrow(spark, d), order_col=ORDER)
+    return rpt.distribution_of_counts(facts_table(spark, d).where(F.col("category").isNotNull()))
 
 
 def q_event_distribution(spark, d):
@@ -205,7 +211,8 @@ def q_taxonomy_first_seen(spark, d):
 
 
 def _themed(spark, d):
-    return thm.join_tags(narrow(spark, d, tags=True))
+    """Tags do not depend on the threshold: a projection of the scan."""
+    return thm.join_tags(lexical(spark, d, tags=True).select("ticket_id", ORDER, "tags"))
 
 
 def q_multi_tags(spark, d):
@@ -417,23 +424,27 @@ def q_merge_decisions(spark, d):
 
 
 def q_grouping_accuracy(spark, d):
-    lab = narrow(spark, d).select("doc_id", "new_category")
-    gold = table(spark, d, "labels").select("doc_id", F.concat(F.lit("quality="), F.col("quality").cast("string")).alias("expected"))
-    return qlt.grouping_purity(lab.join(gold, "doc_id"), "expected").select(
-        "category", "tickets", "majority", "majority_n", "purity_pct"
-    )
+    """QLT1: one contingency table over all tickets (a null label counts towards the
+    threshold only), folded, then the labelled pairs."""
+    gold = table(spark, d, "labels").select("doc_id", F.concat(F.lit("quality="), F.col("quality").cast("string")).alias("expected"), F.lit(1).alias("_in"))
+    lab = lexical(spark, d).select("doc_id", "new_category").join(gold, "doc_id", "left")
+    cont = lab.groupBy(F.col("new_category").alias("category"), "expected", "_in").agg(F.count(F.lit(1)).alias("k"))
+    small = (F.sum("k").over(Window.partitionBy("category")) < MIN_BUCKET) & (F.col("category") != UNCATEGORISED)
+    folded = cont.withColumn("category", F.when(small, F.lit(UNCATEGORISED)).otherwise(F.col("category"))).where("_in = 1")
+    cont = folded.groupBy("category", "expected").agg(F.sum("k").alias("k"))
+    return qlt.purity_of_counts(cont).select("category", "tickets", "majority", "majority_n", "purity_pct")
 
 
 def q_run_facts(spark, d):
-    return cns.run_facts(narrow(spark, d), order_col=ORDER)
+    return cns.facts_of_counts(facts_table(spark, d))
 
 
 def q_uncategorised_rate(spark, d):
-    return qlt.uncategorised_rate(narrow(spark, d)).select("rows", "uncategorised", "rate_pct", "meets_target")
+    return qlt.uncategorised_rate(facts_table(spark, d)).select("rows", "uncategorised", "rate_pct", "meets_target")
 
 
 def q_confidence_mix(spark, d):
-    return qlt.confidence_mix(narrow(spark, d))
+    return qlt.confidence_mix(lexical(spark, d))
 
 
 def q_trend_by_day(spark, d):
@@ -577,7 +588,7 @@ def q_merged_facts(spark, d):
 
 
 def q_uncategorised_panel(spark, d):
-    return rpt.uncategorised_panel(narrow(spark, d))
+    return rpt.uncategorised_panel(facts_table(spark, d))
 
 
 # --- fixed values -----------------------------------------------------------
@@ -597,7 +608,7 @@ def q_taxonomy_gaps(spark, d):
 
 def q_run_narrative(spark, d):
     """DEC7: the facts briefing line (extractive stand-in for the model's prose)."""
-    return cns.narrative(cns.run_facts(narrow(spark, d), order_col=ORDER))
+    return cns.narrative(cns.facts_of_counts(facts_table(spark, d)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
