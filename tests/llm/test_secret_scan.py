@@ -58,3 +58,52 @@ def test_empty(spark, model):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ss.scan(df, model).count() == 0 and ss.redact(df, model).count() == 0
     assert max(ss.train(spark.createDataFrame([], "token string, random int"))) == 0.0
+
+
+def plain_spans(t, table):
+    """Base spans and the added ones, by plain Python."""
+    own = base(t)
+    out = list(own)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+        ratio = sum(table[128 * ord(a) + ord(b)] for a, b in zip(m[0], m[0][1:]))
+        if ratio >= ss.MIN_LLR and not any(a < m.end() and m.start() < b for a, _, b in own):
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def plain_redaction(t, spans):
+    out, at = "", 0
+    for a, _, b in spans:
+        if a >= at:
+            out += t[at:a] + ss.REDACTED
+        at = max(at, b)
+    return out + t[at:]
+
+
+def test_added_spans_and_redaction_match_plain_python(spark, model):
+    rng = random.Random(11)
+    more = ["ghpAaB3dE5fG7hI9jK1lM2nO4pQ6rS8tU0", "getUserAccountBalanceFromDatabase", "x" * 30, "Q7w" * 12, " plain words ", "\n"]
+    texts = ["".join(rng.choice(PIECES + more) for _ in range(rng.randint(0, 60))) for _ in range(250)]
+    texts += ["é" * 4095 + "0123456789abcdef" + "🙂" * 4090 + "token=abcdefghijklmnop" + "z " * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["_spans"]] for r in ss.scan(df, model).collect()}
+    want = {k: plain_spans(t, model) for k, t in enumerate(texts)}
+    assert got == want and sum(k == 3 for s in want.values() for _, k, _ in s) > 50
+    red = {r["doc_id"]: r["text"] for r in ss.redact(df, model).collect()}
+    assert red == {k: plain_redaction(t, want[k]) for k, t in enumerate(texts)}
+
+
+def test_many_matches_in_one_text(spark, model):
+    n = 100_000
+    text = " ".join(f"0123456789abcdef{k:x}" for k in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = ss.scan(df, model).select(F.size("_spans").alias("n"), F.element_at("_spans", -1).alias("last")).first()
+    assert r["n"] == n and r["last"]["end"] == len(text)
+    assert ss.redact(df, model).first()["text"] == " ".join([ss.REDACTED] * n)
+
+
+def test_columns_of_clashing_names_are_kept(spark, model):
+    names = ["_text", "_assign", "_access", "_hex", "_base", "_spans", "__spans"]
+    df = spark.createDataFrame([(1, "password=abcdefghijklmnop", *names)], ["doc_id", "text", *names])
+    out = ss.redact(df, model)
+    assert out.columns == df.columns and list(out.first())[1:] == [ss.REDACTED, *names]

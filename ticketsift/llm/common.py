@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +59,31 @@ def release() -> None:
     _held.clear()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a reused Python worker that waits for its
+    next task otherwise holds as much as its largest one needed, and the stages of a
+    pipeline leave several such workers behind on an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(task: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """A ``mapInPandas`` function that starts without what other operators have kept
+    (unless it ``keeps`` something itself) and gives its memory back at its end."""
+
+    def run(batches: Iterator) -> Iterator:
+        if not keeps:
+            release()
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; a table stored in fewer splits than there are task
     slots keeps them (a round-robin deal would move whole texts)."""

@@ -18,10 +18,13 @@ preference (no token reaches ``MIN_LLR``).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 # --- fixed values: the base kinds, in their order ------------------------------
 KINDS = ("assign", "access", "hex", "markov")
 KEY_WORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -39,6 +42,8 @@ NAME_WEIGHT = 8
 ALPHABET = [chr(c) for c in range(33, 127)]
 SMOOTHING = 0.5
 REDACTED = "[SECRET]"
+#: Places that are summed up one by one, and code points of a block that a text is cut into.
+WIDTH, PIECE = 32, 4096
 
 
 def either_case(word: str) -> str:
@@ -49,19 +54,65 @@ ASSIGN = f"({'|'.join(map(either_case, KEY_WORDS))})[\"']?\\x20*[:=]\\x20*[\"']?
 
 
 def _total(lengths: Column) -> Column:
-    return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
+    return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once (a name in a lambda: what is
+    written out inside a lambda is computed for every element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def before(values: Column, joined: Callable[[Column], Column], add: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """Per place of a non-empty array (a lambda's name) the joined values of all places
+    before it.  Blocks of WIDTH are joined first and the same is done with their
+    results, so the work is about WIDTH / 2 steps a place and not one for each pair;
+    ``joined`` of an empty array must be neutral to ``add``."""
+    if not levels:
+        return F.transform(values, lambda _, i: joined(F.slice(values, 1, i)))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / WIDTH).cast("int"))
+    whole = F.transform(blocks, lambda k: joined(F.slice(values, k * WIDTH + 1, WIDTH)))
+    place = lambda up: F.transform(values, lambda _, i: add(F.get(up, F.floor(i / WIDTH).cast("int")), joined(F.slice(values, i - i % WIDTH + 1, i % WIDTH))))
+    return let(whole, lambda w: let(before(w, joined, add, levels - 1), place))
+
+
+def sums_before(values: Column) -> Column:
+    return before(values, _total, lambda a, b: a + b)
+
+
+SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
 def match_spans(text: Column, pattern: str, kind: int) -> Column:
     """All leftmost non-overlapping matches as ``array<struct<start, kind, end>>``."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    between = F.transform(F.split(text, pattern, -1), F.length)
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m).cast("long"))
+    between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p).cast("long"))
 
-    def at(size: Column, i: Column) -> Column:
-        start = _total(F.slice(between, 1, i + 1)) + _total(F.slice(found, 1, i))
-        return F.struct(start.cast("long").alias("start"), F.lit(kind).alias("kind"), (start + size).cast("long").alias("end"))
+    def placed(f: Column, g: Column) -> Column:
+        span = lambda sums: F.transform(f, lambda size, i: F.struct((F.get(sums, i) + F.get(g, i)).alias("start"), F.lit(kind).alias("kind"), (F.get(sums, i) + F.get(g, i) + size).alias("end")))
+        return let(F.zip_with(f, F.slice(g, 1, F.size(f)), lambda x, y: x + y), lambda steps: let(sums_before(steps), span))
 
-    return F.when(text.rlike(pattern), F.transform(found, at)).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
+    some = let(found, lambda f: let(between, lambda g: F.when(F.size(f) > 0, placed(f, g))))
+    return F.coalesce(F.when(text.rlike(pattern), some), F.array().cast(SPANS))
+
+
+def overlapping(spans: Column, base: Column) -> Column:
+    """Per span (two lambda names, neither empty) how many of ``base`` it overlaps: those that
+    start before its end, less those that end by its start; both counted by running
+    sums over one sorted list of places."""
+
+    def counted(own: str, other: str, base_first: bool) -> Column:
+        asked = F.transform(spans, lambda s, i: F.struct(s[own].alias("at"), F.lit(int(base_first)).alias("order"), i.cast("long").alias("of"), F.lit(0).cast("long").alias("one")))
+        there = F.transform(base, lambda s: F.struct(s[other].alias("at"), F.lit(int(not base_first)).alias("order"), F.lit(-1).cast("long").alias("of"), F.lit(1).cast("long").alias("one")))
+        places = F.array_sort(F.concat(asked, there))
+
+        def answers(p: Column) -> Column:
+            return let(F.transform(p, lambda x: x["one"]), lambda ones: let(sums_before(ones), lambda n: F.array_sort(F.filter(
+                F.transform(p, lambda x, i: F.struct(x["of"].alias("of"), F.get(n, i).alias("n"))), lambda x: x["of"] >= 0))))
+
+        return let(places, answers)
+
+    return F.zip_with(counted("end", "start", False), counted("start", "end", True), lambda x, y: x["n"] - y["n"])
 
 
 def base_spans(text: Column) -> tuple[Column, Column, Column]:
@@ -122,22 +173,21 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return random.unionAll(plain).unionAll(names).unionAll(made)
 
 
-def scan(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
-    """``docs`` with two more columns: ``_base`` and ``_spans`` (base and added
-    ones), each ``array<struct<start, kind, end>>`` in order of start and kind."""
+def scan(docs: DataFrame, model: list[float], text_col: str = "text", base_col: str = "_base", spans_col: str = "_spans") -> DataFrame:
+    """``docs`` with two more columns (of names that it does not have): ``_base`` and
+    ``_spans`` (base and added ones), each ``array<struct<start, kind, end>>`` in order of start and kind."""
     weights = F.from_json(F.lit(str(model)), "array<double>")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    assign, access, hexes = base_spans(F.col("_text"))
-    out = docs.withColumn("_text", text).withColumns({"_assign": assign, "_access": access, "_hex": hexes})
-    out = out.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
+    assign, access, hexes = base_spans(text)
+    out = docs.withColumn(base_col, F.array_sort(F.concat(assign, access, hexes)))
 
-    tokens = F.regexp_extract_all("_text", F.lit(f"({CANDIDATE})"), F.lit(1))
+    tokens = F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1))
     ratio = lambda t: F.aggregate(_pairs(t), F.lit(0.0), lambda a, p: a + F.element_at(weights, p + 1))
-    spans = F.zip_with(match_spans(F.col("_text"), CANDIDATE, 3), F.when(F.col("_text").rlike(CANDIDATE), tokens), lambda s, t: F.when(ratio(t) >= MIN_LLR, s))
-    free = lambda s: s.isNotNull() & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.coalesce(F.filter(spans, free), F.filter("_base", lambda s: F.lit(False)))
-    out = out.withColumn("_spans", F.array_sort(F.concat("_base", added)))
-    return out.drop("_text", "_assign", "_access", "_hex")
+    judged = F.zip_with(match_spans(text, CANDIDATE, 3), F.when(text.rlike(CANDIDATE), tokens), lambda s, t: F.when(ratio(t) >= MIN_LLR, s))
+    likely = F.coalesce(F.filter(judged, lambda s: s.isNotNull()), F.array().cast(SPANS))
+    free = lambda s, b: F.transform(F.filter(F.arrays_zip(s.alias("s"), overlapping(s, b).alias("n")), lambda x: x["n"] == 0), lambda x: x["s"])
+    added = let(likely, lambda s: let(F.col(base_col), lambda b: F.when((F.size(s) > 0) & (F.size(b) > 0), free(s, b)).otherwise(s)))
+    return out.withColumn(spans_col, F.array_sort(F.concat(F.col(base_col), added)))
 
 
 def written(spans: Column) -> Column:
@@ -153,13 +203,24 @@ def count_kind(spans: Column, kind: str) -> Column:
 def redact(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
     """``docs`` with every found span replaced by ``REDACTED`` (overlapping spans
     by one); rows without spans, null texts included, are unchanged."""
+    base_col, spans_col = free_name(docs.columns, "_base"), free_name(docs.columns, "_spans")
     text = F.col(text_col)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("pos"))
+    # the text in blocks, so that a piece is cut out without counting from the text's beginning
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda k: F.substring(text, k * PIECE + 1, F.lit(PIECE)))
+    furthest = lambda ends: F.coalesce(F.array_max(ends), F.lit(0).cast("long"))
+
+    def part(cut: Column, a: Column, b: Column) -> Column:
+        """Code points ``a .. b`` of the text."""
+        block = F.sequence(F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int"))
+        return F.array_join(F.transform(block, lambda k: F.substring(F.get(cut, k), F.greatest(a - k * PIECE, F.lit(0)).cast("int") + 1, (F.least(b - k * PIECE, F.lit(PIECE)) - F.greatest(a - k * PIECE, F.lit(0))).cast("int"))), "")
+
+    def whole(cut: Column, spans: Column, ends: Column) -> Column:
+        def joined(done: Column) -> Column:
+            piece = F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(done, i), F.concat(part(cut, F.get(done, i), s["start"]), F.lit(REDACTED))).otherwise(""))
+            return F.concat(F.array_join(piece, ""), part(cut, furthest(ends), F.length(text).cast("long")))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["pos"]
-        piece = F.when(new, F.concat(text.substr((acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int")), F.lit(REDACTED))).otherwise("")
-        return F.struct(F.concat(acc["out"], piece).alias("out"), F.greatest(acc["pos"], s["end"]).alias("pos"))
+        return let(before(ends, furthest, F.greatest), joined)
 
-    whole = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], text.substr((acc["pos"] + 1).cast("int"), F.length(text))))
-    return scan(docs, model, text_col).withColumn(text_col, F.when(F.size("_spans") > 0, whole).otherwise(text)).drop("_base", "_spans")
+    redacted = let(F.col(spans_col), lambda s: let(F.transform(s, lambda x: x["end"]), lambda e: let(blocks, lambda cut: whole(cut, s, e))))
+    found = scan(docs, model, text_col, base_col, spans_col)
+    return found.withColumn(text_col, F.when(F.size(spans_col) > 0, redacted).otherwise(text)).drop(base_col, spans_col)
