@@ -41,3 +41,27 @@ def test_odd_rows_pass(spark, tmp):
     got = cp.run(spark, tmp).collect()
     assert {None, 7000, 7001} <= {r["doc_id"] for r in got}
     assert len([r for r in got if r["doc_id"] == 7001 and r["start"] == 0]) == 1
+
+
+def test_columns_of_clashing_names_come_through(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(30)
+    names = ["_score", "_spans", "_judged", "_base", "_node", "_low", "_h1", "_h2"]
+    odd = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for name, stage in cp.STAGES[:-1]:
+        odd = cp.materialize(stage(spark, odd, SF_SMALL), name)
+        assert odd.columns == [*docs.columns, *names]
+    rows = odd.collect()
+    assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+
+
+def test_wordless_texts_alone_in_a_partition(spark):
+    schema = spark.read.parquet(f"{SF_SMALL}/documents.parquet").schema
+    rows = [(9000, None, None, None, None), (9001, "", "en", "s", 0), (9002, "?! ...", "en", "s", 6)]
+    docs = spark.createDataFrame(rows[:1], schema)
+    for r in rows[1:]:
+        docs = docs.unionAll(spark.createDataFrame([r], schema))
+    for name, stage in cp.STAGES[:-1]:
+        docs = cp.materialize(stage(spark, docs, SF_SMALL), name)
+        assert docs.count() == 3
+    pieces = cp.STAGES[-1][1](spark, docs, SF_SMALL).collect()
+    assert {r["doc_id"] for r in pieces} == {9000, 9001, 9002}

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import small_batches
+from .common import lean, small_batches
 from .whitening import decode, decode_rows, encode, integers
 
 #: Rows that are returned per window, and the window's lower end in per cent of the positive's score.
@@ -265,7 +265,7 @@ def searched(pairs: DataFrame, same: bool, slots: int, id_type: str) -> DataFram
                     best.learn(anchor, slot, slots, kth)
                     yield pd.DataFrame({"anchor": anchor[r], "slot": slot, "id": ids[c], "score": s[r, c].astype(np.int64)})
 
-    return pairs.mapInPandas(compare, "anchor long, slot int, id long, score long")
+    return pairs.mapInPandas(lean(compare), "anchor long, slot int, id long, score long")
 
 
 def first_of(found: DataFrame) -> DataFrame:
@@ -315,7 +315,7 @@ def groups_of(anchors: DataFrame, tree, slots: int, own_leaf: bool) -> DataFrame
                 if out:
                     yield pd.DataFrame(out, columns=columns)
 
-    return anchors.mapInPandas(deal, "leaf long, anchor binary, alabel binary, ax binary, least binary, most binary")
+    return anchors.mapInPandas(lean(deal), "leaf long, anchor binary, alabel binary, ax binary, least binary, most binary")
 
 
 def search(anchors: DataFrame, blocks: DataFrame, tree, same: bool, slots: int) -> DataFrame:
@@ -351,7 +351,7 @@ def mine(vectors: DataFrame, anchor: Column, id_col: str = "vec_id", vec_col: st
 
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.coalesce(anchor, F.lit(False)).alias("anchor"), F.col(vec_col).cast("array<double>").alias("v"))
     known = source.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull())
-    rows = materialize(known.mapInPandas(prepare, "id long, label long, anchor boolean, dim int, norm double, x binary"), "negatives_rows")
+    rows = materialize(known.mapInPandas(lean(prepare), "id long, label long, anchor boolean, dim int, norm double, x binary"), "negatives_rows")
     copies = Window.partitionBy("dim", "label", "x").orderBy("id")
     single = rows.select("dim", "norm", "label", "x", "id").withColumn("copy", F.dense_rank().over(copies)).where(F.col("copy") <= K + 1)
     single = materialize(single.drop("copy").distinct(), "negatives_index")
@@ -385,7 +385,7 @@ def with_ranges(root: Node | None, leaves: int, routed: DataFrame, top: float) -
         if out:
             yield pd.DataFrame(out, columns=["node", "branch", "point", "low", "high"])
 
-    found = routed.select("leaf", "x").mapInPandas(ranges, "node long, branch long, point long, low double, high double")
+    found = routed.select("leaf", "x").mapInPandas(lean(ranges), "node long, branch long, point long, low double, high double")
     found = found.groupBy("node", "branch", "point").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     for r in found.orderBy("node", "branch", "point").collect():  # at most FANOUT numbers per split point of the bounded tree
         low.setdefault((r["node"], r["branch"]), []).append(r["low"])
@@ -405,11 +405,11 @@ def _mine(anchors: DataFrame, index: DataFrame, n: int, top: float) -> DataFrame
                 yield b[["id", "label", "x", "leaf"]]
 
     schema = "id long, label long, x binary, leaf long"
-    placed = materialize(index.select("id", "label", "x").mapInPandas(leaves, schema), "negatives_leaves")
+    placed = materialize(index.select("id", "label", "x").mapInPandas(lean(leaves), schema), "negatives_leaves")
     tree = spark.sparkContext.broadcast(with_ranges(root, n_leaves, placed, top))  # as bounded
     blocks = materialize(leaf_blocks(placed), "negatives_blocks")
     # neighbours in one group: they need the same leaves
-    routed = anchors.select("id", "label", "x").mapInPandas(leaves, schema)
+    routed = anchors.select("id", "label", "x").mapInPandas(lean(leaves), schema)
     routed = materialize(routed.repartitionByRange("leaf", "id").sortWithinPartitions("leaf", "id"), "negatives_anchors")
     open_end = routed.withColumns({"least": F.array(F.lit(float("-inf"))), "most": F.array(F.lit(float("inf")))})
     positives = search(open_end, blocks, tree, True, 1)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import components, join_list, small_batches
+from .common import components, free_name, join_list, lean, small_batches
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 26 bands of 5 registers: a pair at the threshold is found with probability 0.99997.
@@ -155,7 +155,7 @@ def sign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sig = signatures(shingles(lists))
             yield pd.DataFrame({"i": b["i"], "node": [digest(ws) for ws in lists], "sig": [s.tobytes() if ws else None for s, ws in zip(sig, lists, strict=True)]})
 
-    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(rows, f"i {id_type}, node binary, sig binary")
+    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(lean(rows), f"i {id_type}, node binary, sig binary")
 
 
 def _registers(column: pd.Series) -> np.ndarray:
@@ -173,7 +173,7 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 same = (_registers(p["sa"]) == _registers(p["sb"])).mean(axis=1)
                 yield p.loc[same >= LIKELY, ["a", "b"]]
 
-    return with_sigs.mapInPandas(keep, "a binary, b binary")
+    return with_sigs.mapInPandas(lean(keep), "a binary, b binary")
 
 
 def shingle_sets(ends: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -188,7 +188,7 @@ def shingle_sets(ends: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str
             rows = [(n, *stored(s)) for n, ws, s in zip(b["node"], lists, shingles(lists), strict=True) if digest(ws) == n]
             yield pd.DataFrame(rows, columns=["node", "h", "c"])
 
-    return materialize(texts.mapInPandas(sets, "node binary, h binary, c binary").dropDuplicates(["node"]), "minhash_sets")
+    return materialize(texts.mapInPandas(lean(sets), "node binary, h binary, c binary").dropDuplicates(["node"]), "minhash_sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = [similarity(restored(ha, ca), restored(hb, cb)) >= THRESHOLD for ha, ca, hb, cb in zip(p["ha"], p["ca"], p["hb"], p["cb"], strict=True)]
             yield p.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
-    return materialize(pairs.join(left, "a").join(right, "b").mapInPandas(reach, "a binary, b binary"), "minhash_links")
+    return materialize(pairs.join(left, "a").join(right, "b").mapInPandas(lean(reach), "a binary, b binary"), "minhash_links")
 
 
 def across_classes(g: pd.DataFrame) -> pd.DataFrame:
@@ -292,19 +292,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     per_node = members.where("node is not null").groupBy("node").agg(F.min("i").alias("low"))
     tagged = per_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("low").isNull(), "low", "node")
-    winners = materialize(tagged.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.node").alias("_node"), F.col("w.low").alias("_low")), "minhash_kept")
+    own, low = free_name(docs.columns, "_node"), free_name([*docs.columns, id_col], "_low")
+    winners = materialize(tagged.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.node").alias(own), F.col("w.low").alias(low)), "minhash_kept")
 
     @F.pandas_udf("binary")
     def node_of(texts: pd.Series) -> pd.Series:
         return pd.Series([digest(words_of(t)) for t in texts], dtype=object)
 
-    marked = docs.withColumn("_node", node_of(F.col(text_col)))
-    named = winners.where("_low is not null").withColumnRenamed("_low", id_col)
-    first = join_list(marked.where(F.col(id_col).isNotNull()), named, [id_col, "_node"])
+    marked = docs.withColumn(own, node_of(F.col(text_col)))
+    named = winners.where(F.col(low).isNotNull()).withColumnRenamed(low, id_col)
+    first = join_list(marked.where(F.col(id_col).isNotNull()), named, [id_col, own])
     if not members.where("i is not null and node is not null").groupBy("i", "node").count().where("count > 1").isEmpty():
-        first = first.dropDuplicates([id_col, "_node"])
-    nameless = marked.where(F.col(id_col).isNull()).join(winners.where("_low is null").select("_node"), "_node").dropDuplicates(["_node"])
+        first = first.dropDuplicates([id_col, own])
+    nameless = marked.where(F.col(id_col).isNull()).join(winners.where(F.col(low).isNull()).select(own), own).dropDuplicates([own])
     # texts without words: only those without a plain letter or digit can be
-    alone = docs.where(F.col(text_col).isNull() | ~F.col(text_col).rlike("[A-Za-z0-9]")).withColumn("_node", node_of(F.col(text_col))).where("_node is null")
+    alone = docs.where(F.col(text_col).isNull() | ~F.col(text_col).rlike("[A-Za-z0-9]")).withColumn(own, node_of(F.col(text_col))).where(F.col(own).isNull())
     parts = [p.select(*docs.columns) for p in (first, nameless, alone)]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])

@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import materialize
-from .common import small_batches
+from .common import hold, lean, small_batches
 
 WINDOW = 4096
 #: Tokens of a shard (one index), and of a partition of shards.
@@ -89,9 +88,8 @@ class WordEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return hold(("word encoder", path), lambda: WordEncoder(path))
 
 
 def route(ids: np.ndarray) -> int:
@@ -117,7 +115,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
             keys = [route(np.frombuffer(x, dtype=enc.kind)) for x in ids]
             yield pd.DataFrame({"i": b["i"], "ids": ids, "n": [len(x) // enc.kind.itemsize for x in ids], "route": keys})
 
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(rows, f"i {id_type}, ids binary, n long, route long")
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(lean(rows, keeps=True), f"i {id_type}, ids binary, n long, route long")
 
 
 def document_frequencies(tokens: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
@@ -132,7 +130,7 @@ def document_frequencies(tokens: DataFrame, kind: np.dtype, size: int) -> np.nda
         at = np.flatnonzero(df)
         yield pd.DataFrame({"id": at, "df": df[at]})
 
-    total = tokens.select("ids").mapInPandas(rows, "id long, df long").groupBy("id").agg(F.sum("df").alias("df"))
+    total = tokens.select("ids").mapInPandas(lean(rows, keeps=True), "id long, df long").groupBy("id").agg(F.sum("df").alias("df"))
     out = np.zeros(size, dtype=np.int64)
     for r in total.collect():
         out[r["id"]] = r["df"]
@@ -262,7 +260,7 @@ def pack(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_c
 
     dealt = tokens.select("i", "ids", "route").repartitionByRange(parts, "route", F.xxhash64("i")).sortWithinPartitions("route", "i")
     schema = f"i {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return dealt.select("i", "ids").mapInPandas(sequences, schema).withColumnRenamed("i", id_col)
+    return dealt.select("i", "ids").mapInPandas(lean(sequences), schema).withColumnRenamed("i", id_col)
 
 
 def powers_of_two(window: list[tuple]) -> list[list[tuple]]:

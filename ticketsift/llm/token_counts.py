@@ -21,7 +21,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import small_batches
+from .common import hold, small_batches
 
 #: Pre-tokens whose steps a worker remembers at most; beyond it the memory starts anew.
 CACHE_WORDS = 500_000
@@ -231,9 +230,8 @@ class PrefixCounter:
         return np.concatenate(pieces)
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    return hold(("prefix counter", path), lambda: PrefixCounter(path))
 
 
 def pack_steps(steps: np.ndarray) -> bytes:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import small_batches
+from .common import free_name, lean, small_batches
 
 #: Bounds of the rows that the model is fitted on.
 TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 1500, 3000, 20_000
@@ -342,18 +342,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pd.DataFrame({"model": [fit(got["_t"].tolist(), got["_y"].astype(int).tolist(), shares).to_json()]})
 
     # the bounded sample is fitted in one task, away from the driver's memory
-    model = rows.join(sample, "_id").repartition(1).mapInPandas(fitted, "model string").collect()
+    model = rows.join(sample, "_id").repartition(1).mapInPandas(lean(fitted), "model string").collect()
     return ToxicModel.from_json(model[0]["model"]) if model else fit([], [], shares)
 
 
-def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", spans: bool = True) -> DataFrame:
-    """``docs`` with ``_score`` and, with ``spans``, ``_spans``: start and end (code
-    points, end exclusive) of each word whose marginal is 0.5 or more."""
+def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", spans: bool = True, score_col: str = "_score", spans_col: str = "_spans") -> DataFrame:
+    """``docs`` with ``_score`` and, with ``spans``, ``_spans`` (names that it does not
+    have): start and end (code points, end exclusive) of each word whose marginal is 0.5 or more."""
     small_batches(docs.sparkSession)
     kind = "struct<score: double, spans: array<array<int>>>" if spans else "struct<score: double>"
 
-    @F.pandas_udf(kind)
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judged_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             texts = [t or "" for t in texts]
             lists = [words_of(t) for t in texts]
@@ -367,6 +366,11 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", spans: boo
                 out["spans"] = found
             yield out
 
-    judged = docs.withColumn("_judged", judge(F.col(text_col)))
-    cols = {"_score": F.col("_judged.score")} | ({"_spans": F.col("_judged.spans")} if spans else {})
-    return judged.withColumns(cols).drop("_judged")
+    @F.pandas_udf(kind)
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from lean(judged_batches)(batches)
+
+    own = free_name([*docs.columns, score_col, spans_col], "_judged")
+    judged = docs.withColumn(own, judge(F.col(text_col)))
+    cols = {score_col: F.col(own)["score"]} | ({spans_col: F.col(own)["spans"]} if spans else {})
+    return judged.withColumns(cols).drop(own)

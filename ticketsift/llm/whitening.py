@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import small_batches
+from .common import lean, small_batches
 
 #: Components that are returned, and the factor before the floor.
 COMPONENTS, SCALE = 4, 256
@@ -102,7 +102,7 @@ def exact_sums(rows: DataFrame, partial, width: int) -> list[int]:
             yield pd.DataFrame(out, columns=["k", "place", "v"])
 
     sums = [0] * width
-    per_limb = rows.select("x").mapInPandas(task, "k long, place long, v long").groupBy("k", "place").agg(F.sum("v").alias("v"))
+    per_limb = rows.select("x").mapInPandas(lean(task), "k long, place long, v long").groupBy("k", "place").agg(F.sum("v").alias("v"))
     for r in per_limb.collect():  # a few limbs for each of the `width` sums, however many rows
         sums[r["k"]] += r["v"] << LIMB * r["place"]
     return sums
@@ -186,7 +186,7 @@ def identity_error(distinct: DataFrame, model: Fit) -> float | None:
         yield pd.DataFrame({"k": range(len(total)), "v": total})
 
     got = np.zeros(k * k + k)
-    for r in distinct.select("x").mapInPandas(task, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+    for r in distinct.select("x").mapInPandas(lean(task), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         got[r["k"]] = r["v"] / model.n
     mean = got[k * k :]
     return float(np.abs(got[: k * k].reshape(k, k) - np.outer(mean, mean) - np.eye(k)).max())
@@ -207,7 +207,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
             yield b[["id", "dim", "x"]][b["dim"] > 0]
 
     source = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    rows = materialize(source.mapInPandas(prepare, f"id {id_type}, dim int, x binary"), "whitening_rows")
+    rows = materialize(source.mapInPandas(lean(prepare), f"id {id_type}, dim int, x binary"), "whitening_rows")
     distinct = materialize(rows.select("dim", "x").distinct(), "whitening_list")
     columns = f"{id_col} {id_type}, component int, n long, deviation long, whitened double, explained double, identity_error double, deviation_exact decimal(38,0)"
     out = spark.createDataFrame([], columns)
@@ -240,4 +240,4 @@ def _project(rows: DataFrame, model: Fit, error: float | None, id_col: str, colu
             out["deviation_exact"] = [Decimal(v) if v < 10**38 else None for v in exact]
             yield out
 
-    return rows.select("id", "x").mapInPandas(project, columns)
+    return rows.select("id", "x").mapInPandas(lean(project), columns)
