@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketsift.llm import decontaminate, minhash, packing, secret_scan, toxicity
-from ticketsift.llm.common import rows_of
+from ticketsift.llm.common import free_name, rows_of
 from ticketsift.session import materialize
 
 #: Documents scored so high or higher are rejected.
@@ -30,7 +30,8 @@ END_ID = 2
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold."""
     model = toxicity.train(docs, rows_of(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, spans=False).where(F.col("_score") < TOXIC).select(*docs.columns)
+    score = free_name(docs.columns, "_score")
+    return toxicity.score(docs, model, spans=False, score_col=score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: Models and retrieval are beyond SQL; the tests compare with a brute-force pipeline.
+#: Models and retrieval are beyond SQL; the tests check each stage's decisions on its own input.
 ORACLE_SQL = None
 
 
