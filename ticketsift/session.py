@@ -55,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 _SCOPE_KEY = "ticketsift.scratch.scope"
+#: Row groups of intermediate tables.
+ROW_GROUP_BYTES = 16 << 20
 
 
 @contextmanager
@@ -86,7 +88,8 @@ def materialize(df: DataFrame, name: str = "stage", partition_by: str | None = N
     spark = df.sparkSession
     base = spark.conf.get(_SCOPE_KEY, None) or os.path.join(ensure_checkpoint_dir(spark), "ticketsift")
     path = os.path.join(base, f"{name}-{uuid.uuid4().hex}")
-    w = df.write.mode("overwrite")
+    # a writer holds a row group on the heap; small ones keep many wide tables apart
+    w = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
