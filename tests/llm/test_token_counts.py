@@ -48,3 +48,16 @@ def test_rows(spark, library):
         assert (r["n_bytes"], r["n_tokens"]) == (len(t.encode()), len(library.encode(t, add_special_tokens=False).ids))
         assert tc.unpack_counts(r["prefix"])[-1] == r["n_tokens"] and r["cut_chars"] <= len(t)
     assert tc.prefix_counts(df.where("false"), PATH, 10).count() == 0
+
+
+def test_one_store_answers_every_limit(spark, library):
+    texts = ["the quick  brown fox\n\n jumps's over " * k for k in (0, 1, 7, 60)] + ["a" * 3000 + "\n" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    store = tc.count_store(df, PATH)
+    assert all(f.endswith(".parquet") for f in store.inputFiles())  # a written table, not a plan over the texts
+    for limit in (0, 3, 50, 10**6):
+        for r in tc.answers(store, limit).collect():
+            t = texts[r["doc_id"]]
+            fits = [p for p in range(len(t) + 1) if len(library.encode(t[:p], add_special_tokens=False).ids) <= limit] if limit < 10**6 else [len(t)]
+            assert r["cut_chars"] == fits[-1], (limit, t[:20])
+            assert r["n_tokens"] == len(library.encode(t, add_special_tokens=False).ids)

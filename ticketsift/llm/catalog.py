@@ -29,9 +29,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token count of every document, read off its stored prefix counts."""
+    """Token count of every document, read off the written prefix counts."""
     docs = rows_of(spark, sf_dir, "documents")
-    out = token_counts.prefix_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT, store=False)
+    store = token_counts.count_store(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    out = token_counts.answers(store, TOKEN_LIMIT)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "cut_chars")
 
 

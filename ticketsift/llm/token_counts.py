@@ -6,8 +6,9 @@ pre-token the encoding of a prefix is fixed by its last token: the encoding of
 ``j`` at which the two tokens stay apart when encoded together.  So one
 left-to-right dynamic program over a pre-token gives the count of each of its
 prefixes.  A document's counts are the running sum of its pre-tokens' steps,
-stored as one small integer per character: the number of tokens of any prefix,
-or the longest prefix within a budget, is then read off without encoding again.
+written as one small integer per character, compressed: the number of tokens of
+any prefix, or the longest prefix within a budget, is then read off that table
+without encoding again (``count_store`` writes it, ``answers`` reads it).
 
 Rows: a null text counts as empty (0 bytes, 0 tokens); a null id stays null;
 repeated rows each give a row; extra columns are not read.  An empty table gives
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import hold, small_batches
+from ..session import materialize
+from .common import hold, lean, small_batches
 
 #: Pre-tokens whose steps a worker remembers at most; beyond it the memory starts anew.
 CACHE_WORDS = 500_000
@@ -240,7 +242,10 @@ def pack_steps(steps: np.ndarray) -> bytes:
 
 def unpack_counts(store: bytes) -> np.ndarray:
     """Token counts of the prefixes of 0, 1, 2 ... characters."""
-    return np.concatenate([[0], np.cumsum(np.frombuffer(zlib.decompress(store), dtype="<i2"), dtype=np.int64)])
+    steps = np.frombuffer(zlib.decompress(store), dtype="<i2")
+    counts = np.zeros(len(steps) + 1, dtype=np.int64)
+    np.cumsum(steps, out=counts[1:])
+    return counts
 
 
 def tokens_at(store: bytes, chars: int) -> int:
@@ -254,28 +259,40 @@ def chars_within(store: bytes, budget: int) -> int:
     return int(np.flatnonzero(unpack_counts(store) <= max(budget, 0))[-1])
 
 
-def prefix_counts(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text", store: bool = True) -> DataFrame:
-    """Per row: ``n_bytes``, ``n_tokens``, ``cut_chars`` (longest prefix of at most
-    ``limit`` tokens) and, with ``store``, ``prefix`` (see ``unpack_counts``)."""
-    spark = df.sparkSession
-    small_batches(spark)
+def count_store(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The written store: per row its id, ``n_bytes`` and ``prefix`` (the count at
+    every prefix, see ``unpack_counts``).  Texts are encoded here and never again."""
+    small_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = counter(path)
         for b in batches:
-            rows = []
-            for text in b["t"]:
-                text = text or ""
-                steps = c.steps(text)
-                total = np.cumsum(steps, dtype=np.int64)
-                n = int(total[-1]) if len(total) else 0
-                cut = len(total) if n <= limit and (not len(total) or total.max() <= limit) else int(np.flatnonzero(np.concatenate([[0], total]) <= limit)[-1])
-                rows.append((len(text.encode("utf-8", "replace")), n, cut, pack_steps(steps) if store else None))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_tokens", "cut_chars", "prefix"])
-            out.insert(0, "i", b["i"].to_numpy())
-            yield out if store else out.drop(columns="prefix")
-
-    schema = f"i {id_type}, n_bytes long, n_tokens long, cut_chars long" + (", prefix binary" if store else "")
-    out = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(count, schema)
-    return out.withColumnRenamed("i", id_col)
+            texts = [t or "" for t in b["t"]]
+            sizes = [len(t.encode("utf-8", "replace")) for t in texts]
+            yield pd.DataFrame({"i": b["i"], "n_bytes": sizes, "prefix": [pack_steps(c.steps(t)) for t in texts]})
+
+    rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    store = materialize(rows.mapInPandas(lean(count, keeps=True), f"i {id_type}, n_bytes long, prefix binary"), "prefix_counts")
+    return store.withColumnRenamed("i", id_col)
+
+
+def answers(store: DataFrame, limit: int) -> DataFrame:
+    """Both questions, read off a store: ``n_tokens`` (of the whole text) and
+    ``cut_chars`` (its longest prefix of at most ``limit`` tokens)."""
+
+    @F.pandas_udf("n_tokens long, cut_chars long")
+    def read(prefix: pd.Series) -> pd.DataFrame:
+        out = []
+        for p in prefix:
+            counts = unpack_counts(p)
+            within = len(counts) - 1 if counts[-1] <= limit else int(np.flatnonzero(counts <= limit)[-1])
+            out.append((int(counts[-1]), within))
+        return pd.DataFrame(out, columns=["n_tokens", "cut_chars"])
+
+    return store.select("*", read("prefix").alias("_read")).select(*store.columns, "_read.n_tokens", "_read.cut_chars")
+
+
+def prefix_counts(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``n_bytes``, ``prefix``, ``n_tokens`` and ``cut_chars`` (see ``answers``)."""
+    return answers(count_store(df, path, id_col, text_col), limit)
