@@ -32,7 +32,8 @@ from tokenizers import Tokenizer
 from ..session import materialize
 from .common import hold, lean, small_batches
 
-#: Pre-tokens whose steps a worker remembers at most; beyond it the memory starts anew.
+#: Pre-tokens whose steps a worker remembers in each of two generations: when the young one
+#: is full it becomes the old one, and what is met again moves to the next young one.
 CACHE_WORDS = 500_000
 #: Word beginnings whose last token and count a worker remembers at most.
 STATES = 800_000
@@ -71,7 +72,6 @@ class PrefixCounter:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {m: k for k, m in enumerate(merges)}
         self.vocab = set(model["vocab"])
-        self.longest = max(map(len, self.vocab))
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.findall = re.compile(PRETOKEN).findall
@@ -82,6 +82,11 @@ class PrefixCounter:
         self.states: dict[str, tuple[int, str]] = {}
         self.apart: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        #: length of the longest token by its last two characters
+        self.reach: dict[str, int] = {}
+        for token in self.vocab:
+            self.reach[token[-2:]] = max(len(token), self.reach.get(token[-2:], 1))
 
     def _spines(self, token: str) -> tuple[list, list] | None:
         """How plain byte-pair encoding builds a token: the parts at its right
@@ -137,7 +142,7 @@ class PrefixCounter:
 
     def prefix_counts(self, mapped: str) -> list[int]:
         """Token count of ``mapped[:i]`` for i = 0 .. len, by the prefix program."""
-        n, vocab, known, apart, longest, states = len(mapped), self.vocab, self.apart.get, self._stay_apart, self.longest, self.states
+        n, vocab, known, apart, reach, states = len(mapped), self.vocab, self.apart.get, self._stay_apart, self.reach.get, self.states
         count, last = [0] * (n + 1), [""] * (n + 1)
         if len(states) > STATES:
             states.clear()
@@ -146,7 +151,8 @@ class PrefixCounter:
             if (seen := states.get(prefix)) is not None:  # another pre-token began like this
                 count[i], last[i] = seen
                 continue
-            for j in range(i - longest if i > longest else 0, i):
+            most = reach(mapped[i - 2 : i], 1) if i > 1 else 1
+            for j in range(i - most if i > most else 0, i):
                 token = mapped[j:i]
                 if token in vocab:
                     pair = (last[j], token)
@@ -163,6 +169,11 @@ class PrefixCounter:
 
     def _steps(self, word: str) -> bytes:
         """Per character of a pre-token: by how much its prefix count changes."""
+        if len(self.cache) >= CACHE_WORDS:
+            self.cache, self.old = {}, self.cache
+        if (out := self.cache.get(word) or self.old.get(word)) is not None:
+            self.cache[word] = out
+            return out
         raw = word.encode("utf-8", "replace")
         mapped = raw.decode("latin-1").translate(self.alphabet)
         count = self.prefix_counts(mapped)
@@ -174,8 +185,6 @@ class PrefixCounter:
         else:
             at = [0, *[count[i] for i in range(1, len(raw)) if raw[i] & 0xC0 != 0x80], count[-1]]
         out = array("h", [b - a for a, b in zip(at, at[1:], strict=False)]).tobytes()
-        if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
         if len(word) <= 64:
             self.cache[word] = out
         return out
