@@ -2,7 +2,7 @@
 
 Documents become token ids once (written as 16- or 32-bit ids), with corpus-wide
 document frequencies of the vocabulary's ids.  A routing key, the smallest hash
-of a document's rarer token triples, brings likely neighbours together: the ids
+of a document's token triples, brings likely neighbours together: the ids
 are range-partitioned and sorted by it, so any number of equal documents spreads
 over partitions.  Each partition is read in shards of about ``SHARD_TOKENS``
 tokens.  A shard has a BM25 inverted index; a seed document opens a window, the
