@@ -1,6 +1,7 @@
 """Operator 7: retrieval and checks against brute force on planted passages."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -121,3 +122,43 @@ def test_texts_without_words_alone_in_a_partition(spark):
         docs = spark.createDataFrame([(1, odd)], schema).unionAll(spark.createDataFrame([(2, "he said seven words that nobody would ever write")], schema))
         assert [(r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, bench).collect()] == [(2, 1)]
         assert [r["doc_id"] for r in dc.drop_contaminated(docs, bench).collect()] == [1]
+
+
+def test_counts_and_space_cover_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(dc, "CORPUS_DOCS", 40, raising=False)
+    monkeypatch.setattr(dc, "SAMPLE_DOCS", 40, raising=False)
+    monkeypatch.setattr(dc, "VOCABULARY", 600)
+    docs, items, hit = corpus()
+    seen = []
+    build = dc.latent_space
+    monkeypatch.setattr(dc, "latent_space", lambda rows, *a: seen.append(rows.count()) or build(rows, *a))
+    words = []
+    number = dc.Vocabulary.__init__
+    monkeypatch.setattr(dc.Vocabulary, "__init__", lambda self, ws: words.append(ws) or number(self, ws))
+    found = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), spark.createDataFrame(items, "item_id long, text string")).collect()
+    count = Counter(w for _, t in docs for w in set(dc.words_of(t)))
+    top = sorted(count, key=lambda w: (-count[w], w))[:600]
+    own = sorted({w for _, t in items for w in dc.words_of(t)})
+    assert words == [own + [w for w in top if w not in own][: max(0, 600 - len(own))]]
+    assert seen == [len(docs)]
+    assert {(r["doc_id"], r["item_id"]) for r in found} == hit
+
+
+def test_words_are_counted_once_a_document(spark, monkeypatch):
+    monkeypatch.setattr(dc, "COUNTED_WORDS", 3)
+    texts = ["A b, a! (b) c_d", None, "", "b\x1cB e\x85f", "x" * 100 + " b", "?!"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    want = Counter(w for t in texts for w in set(dc.words_of(t)))
+    assert {r["w"]: r["n"] for r in dc.word_counts(rows).collect()} == want
+    v = dc.Vocabulary(["b", "e"])
+    for t in texts:
+        assert np.frombuffer(v.writer()(t), dtype=v.kind).tolist() == [v.at.get(w, 0) for w in dc.words_of(t)]
+
+
+def test_segment_sums():
+    rng = np.random.default_rng(3)
+    table = rng.standard_normal((30, 5))
+    for sizes in ([1], [16, 17, 1, 300, 2], rng.integers(1, 40, 50).tolist()):
+        rows = rng.integers(0, 30, sum(sizes))
+        starts = np.cumsum([0, *sizes[:-1]])
+        assert np.allclose(dc.segment_sums(table, rows, starts), np.add.reduceat(table[rows], starts, axis=0))

@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval (operator 7).
 
 Documents become numbers of a vocabulary (all words of the benchmark, filled up
-with the words most documents of a sample share) and are cut into overlapping
-passages.  A randomised singular value decomposition of TF-IDF passages, its
-products summed over Spark partitions, gives a latent space; benchmark passages
+with the words most documents share) and are cut into overlapping passages.  A
+randomised singular value decomposition of the TF-IDF passages of all documents,
+its products summed over Spark partitions, gives a latent space; benchmark passages
 and those of all documents are projected into it and compared by cosine.  Of
 each candidate a longest common subsequence with the benchmark item is taken,
 over stretches not much longer than the item; a document contains the item if
@@ -17,8 +17,10 @@ enough words of such an item is compared, so none is missed however often it
 occurs (its ``cosine`` is null).
 
 The benchmark is the query set: it is taken in blocks of ``ITEM_BLOCK`` items,
-each against all documents.  The decomposition is fitted on the block and about
-``SAMPLE_DOCS`` documents; document frequencies and the search cover all.
+each against all documents.  The decomposition is fitted on the block and all
+documents (which together weigh as much as ``CORPUS_DOCS`` of them, so the space
+does not drift from the items as the corpus grows); document frequencies and the
+search cover all as well.
 
 Rows: null texts and texts without words match nothing, nor do items without
 words; a null document id gives rows with a null id; repeated documents give
@@ -29,7 +31,9 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -43,10 +47,10 @@ from .minhash import words_of
 #: A passage is two steps of words; the next one starts a step later.
 STEP = 16
 DIMENSIONS, EXTRA, POWERS = 192, 24, 2
-VOCABULARY, SAMPLE_DOCS = 12_000, 3000
+VOCABULARY, CORPUS_DOCS = 12_000, 3000
 #: Words of more documents than this share (and a few) say nothing about a passage.
 COMMON, COMMON_DOCS = 0.1, 25
-#: Benchmark passages weigh so much more than sampled ones in the decomposition,
+#: Benchmark passages weigh so much more than the documents' in the decomposition,
 #: so that the space is spanned by them and shaped by the corpus.
 ITEM_WEIGHT = 30.0
 ITEM_BLOCK = 400
@@ -58,8 +62,11 @@ LCS_SHARE, PARAPHRASE_SHARE, ANSWER_SHARE = 0.7, 0.55, 0.8
 #: a passage can press its part of the length below this share (RELATIVE and a margin).
 LIVE_SHARE, VISIBLE = 0.5, 0.5
 SLACK = 1.25
-#: Rows of a summed product that travel as one value, and partitions of the sample.
-SUM_ROWS, SAMPLE_PARTS = 2048, 4
+#: Rows of a summed product that travel as one value; each of its partial sums is over
+#: about so many words, in SUM_PARTS partitions at least.
+SUM_ROWS, SUM_WORDS, SUM_PARTS = 2048, 1 << 24, 4
+#: Words that a task counts before it passes the counts on.
+COUNTED_WORDS = 200_000
 
 
 class Vocabulary:
@@ -70,13 +77,40 @@ class Vocabulary:
         self.size = len(words) + 1
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
 
-    def numbers(self, text: str | None) -> np.ndarray:
-        ws, get = words_of(text), self.at.get
-        return np.fromiter([get(w, 0) for w in ws], dtype=self.kind, count=len(ws))
+    def writer(self) -> Callable[[str | None], bytes]:
+        """A function that gives a text's numbers as bytes of ``kind``."""
+        other, *own = (np.array([k], dtype=self.kind).tobytes() for k in range(self.size))
+        get = dict(zip(self.at, own, strict=True)).get
+        return lambda text: b"".join(map(get, words_of(text), repeat(other)))
 
 
 #: Words whose vectors are added up at once.
-GROUP_WORDS = 1 << 14
+GROUP_WORDS = 1 << 16
+#: Rows of a segment that are added one by one, before segments of its parts are summed
+#: again, and segments that are added up at once.
+SEGMENT, AT_ONCE = 16, 512
+
+
+def segment_sums(table: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the table's ``rows`` over the segments that begin at ``starts`` (none empty):
+    whole rows are added to many segments at once, the first ones, the second ones and so on."""
+    sizes = np.diff(starts, append=len(rows))
+    if len(sizes) and sizes.max() > SEGMENT:  # long segments in pieces, whose sums are summed
+        pieces = -(-sizes // SEGMENT)
+        ends = np.cumsum(pieces)
+        place = np.arange(ends[-1]) - np.repeat(ends - pieces, pieces)
+        return segment_sums(segment_sums(table, rows, np.repeat(starts, pieces) + place * SEGMENT), np.arange(ends[-1]), ends - pieces)
+    out = np.empty((len(starts), table.shape[1]), dtype=table.dtype)
+    order = np.argsort(-sizes, kind="stable")
+    for a in range(0, len(order), AT_ONCE):
+        own = order[a : a + AT_ONCE]
+        begin, size = starts[own], sizes[own]
+        sums = np.take(table, rows[begin], axis=0)
+        for k in range(1, size[0]):
+            n = np.searchsorted(-size, -k, side="left")  # segments of more than k rows come first
+            sums[:n] += np.take(table, rows[begin[:n] + k], axis=0)
+        out[own] = sums
+    return out
 
 
 class Passages:
@@ -113,13 +147,20 @@ class Passages:
             part = at[k : k + GROUP_WORDS]
             step = self.step[part]
             first = np.flatnonzero(np.diff(step, prepend=-1))
-            sums[step[first]] += np.add.reduceat(table[self.ids[part]], first, axis=0)
+            sums[step[first]] += segment_sums(table, self.ids[part], first)
         return self._both(sums)
 
     def lengths(self, squares: np.ndarray) -> np.ndarray:
         """Square root of the sums of one number a word over the passages."""
         return np.sqrt(self._both(np.bincount(self.step, weights=squares[self.ids], minlength=self.n_steps)))
 
+    def spread(self, rows: np.ndarray) -> np.ndarray:
+        """Per step the sum of the rows of the passages that hold it."""
+        out = np.zeros((self.n_steps, rows.shape[1]), dtype=rows.dtype)
+        out[self.first] = rows
+        out[self.first[self.paired] + 1] += rows[self.paired]
+        return out
+
 
 def grouped(texts: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The texts in groups of about GROUP_WORDS words, with the place of the first one."""
@@ -151,63 +192,65 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def gram_product(ids: np.ndarray, weight: float, tables: tuple[np.ndarray, np.ndarray, np.ndarray], out: np.ndarray) -> None:
-    """Add ``A' A q`` of one text's TF-IDF passages (unit rows, weighted) to ``out``;
-    tables: idf, its square (a column) and the rows of ``q`` times idf."""
-    if not len(ids):
-        return
+def gram_product(texts: list[np.ndarray] | np.ndarray, weight: float, tables: tuple[np.ndarray, np.ndarray, np.ndarray], out: np.ndarray) -> None:
+    """Add ``A' A q`` of texts' (or one text's) TF-IDF passages (unit rows, weighted) to
+    ``out``; tables: idf, its square (a column) and the rows of ``q`` times idf."""
     idf, squares, weighted = tables
-    norm = passage_vectors(ids, squares, idf > 0)
-    y = np.divide(passage_vectors(ids, weighted, idf > 0), norm, out=np.zeros((len(norm), weighted.shape[1]), dtype=np.float32), where=norm > 0) * np.float32(weight**2)
-    steps = max(1, -(-len(ids) // STEP))
-    per_step = np.zeros((steps, weighted.shape[1]), dtype=np.float32)
-    if steps == 1:
-        per_step += y
-    else:
-        per_step[:-1] += y
-        per_step[1:] += y
-    order = np.argsort(ids, kind="stable")
-    found, first = np.unique(ids[order], return_index=True)
-    out[found] += np.add.reduceat(per_step[order // STEP], first, axis=0) * idf[found][:, None]
-
-
-def gram(sample: DataFrame, items: list[np.ndarray], idf: np.ndarray, q: np.ndarray, kind: np.dtype) -> np.ndarray:
-    """``A' A q`` over the sampled documents (summed by Spark) and the items."""
+    live = idf > 0
+    for _, group in grouped([texts] if isinstance(texts, np.ndarray) else texts):
+        own = Passages(group)
+        at = np.flatnonzero(live[own.ids])
+        if not len(at):
+            continue
+        size = own.lengths(squares[:, 0]) ** 2
+        share = np.divide(weight**2, size, out=np.zeros_like(size), where=size > 0)
+        per_step = own.spread(own.vectors(weighted, live) * share[:, None].astype(np.float32))
+        ids = own.ids[at]
+        order = np.argsort(ids, kind="stable")
+        found, first = np.unique(ids[order], return_index=True)
+        out[found] += segment_sums(per_step, own.step[at[order]], first) * idf[found][:, None]
+
+
+def gram(docs: DataFrame, weight: float, items: list[np.ndarray], idf: np.ndarray, q: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """``A' A q`` over all documents (summed by Spark) and the items."""
     tables = (idf, (idf**2)[:, None], q * idf[:, None])
-    shared = sample.sparkSession.sparkContext.broadcast(tables)  # vocabulary x dimensions, both fixed
+    shared = docs.sparkSession.sparkContext.broadcast(tables)  # vocabulary x dimensions, both fixed
     size = q.shape
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = shared.value
         out = np.zeros(size, dtype=np.float32)
         for b in batches:
-            for x in b["w"]:
-                gram_product(np.frombuffer(x, dtype=kind).astype(np.int64), 1.0, tables, out)
+            gram_product([np.frombuffer(x, dtype=kind) for x in b["w"]], weight, tables, out)
         for k in range(0, size[0], SUM_ROWS):
             yield pd.DataFrame({"at": [k], "v": [out[k : k + SUM_ROWS].tobytes()]})
 
-    def total(g: pd.DataFrame) -> pd.DataFrame:
-        v = sum(np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in g["v"])
-        return pd.DataFrame({"at": g["at"].iloc[:1], "v": [v.astype(np.float32).tobytes()]})
+    def total(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for g in groups:
+            for k, x in zip(g["at"], g["v"], strict=True):
+                v = np.frombuffer(x, dtype=np.float32)
+                sums[k] = sums[k] + v if k in sums else v.astype(np.float64)
+        for k, v in sums.items():
+            yield pd.DataFrame({"at": [k], "v": [v.astype(np.float32).tobytes()]})
 
     out = np.zeros(size, dtype=np.float32)
-    for r in sample.select("w").mapInPandas(lean(partial), "at long, v binary").groupBy("at").applyInPandas(total, "at long, v binary").collect():
+    for r in docs.select("w").mapInPandas(lean(partial), "at long, v binary").repartition("at").mapInPandas(lean(total), "at long, v binary").collect():
         v = np.frombuffer(r["v"], dtype=np.float32).reshape(-1, size[1])
         out[r["at"] : r["at"] + len(v)] = v
-    shared.unpersist()
-    for ids in items:
-        gram_product(ids, ITEM_WEIGHT, tables, out)
+    shared.destroy()
+    gram_product(items, ITEM_WEIGHT, tables, out)
     return out
 
 
-def latent_space(sample: DataFrame, items: list[np.ndarray], idf: np.ndarray, kind: np.dtype) -> np.ndarray:
+def latent_space(docs: DataFrame, weight: float, items: list[np.ndarray], idf: np.ndarray, kind: np.dtype) -> np.ndarray:
     """IDF-weighted right singular vectors, a row per vocabulary number (randomised
     SVD: a random start, POWERS products with orthogonalisation, a small exact one)."""
     width = min(DIMENSIONS + EXTRA, len(idf))
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((len(idf), width), dtype=np.float32))[0]
     for _ in range(POWERS):
-        q = np.linalg.qr(gram(sample, items, idf, q, kind))[0].astype(np.float32)
-    inner = q.T @ gram(sample, items, idf, q, kind)
+        q = np.linalg.qr(gram(docs, weight, items, idf, q, kind))[0].astype(np.float32)
+    inner = q.T @ gram(docs, weight, items, idf, q, kind)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     best = np.argsort(-values)[:DIMENSIONS]
     return (q @ vectors[:, best].astype(np.float32)) * idf[:, None]
@@ -270,16 +313,18 @@ class HiddenItems:
         for c, k in enumerate(which):
             np.add.at(self.times[:, c], items[k], 1)
         self.holds = np.ascontiguousarray(self.times.T > 0)
+        self.some = self.holds.any(axis=0)
 
     def regions(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Items and the regions (first word, end) in which stretches hold enough of their words."""
         if not self.which or not len(ids):
             return
-        for c in np.flatnonzero(self.times[np.unique(ids)].sum(axis=0) >= self.need).tolist():
-            hit, size = self.holds[c][ids], self.stretch[c]
-            before = np.concatenate([[0], np.cumsum(hit)])
-            end = np.minimum(np.arange(len(ids)) + size, len(ids))
-            at = np.flatnonzero(hit & (before[end] - before[:-1] >= self.need[c]))
+        place = np.flatnonzero(self.some[ids])
+        words = ids[place]
+        for c in np.flatnonzero(self.times[np.unique(words)].sum(axis=0) >= self.need).tolist():
+            hit, size, others = place[self.holds[c][words]], self.stretch[c], max(0, int(self.need[c]) - 1)
+            first, last = hit[: max(0, len(hit) - others)], hit[others:]
+            at = first[last - first < size]  # the last word that is needed stands in the stretch as well
             if len(at):
                 cuts = np.flatnonzero(np.diff(at) > size) + 1
                 for part in np.split(at, cuts):
@@ -381,33 +426,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.withColumnRenamed("i", id_col).withColumnRenamed("item_id", item_col)
 
 
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``w, n``: in how many of all texts ``t`` each word occurs."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count: Counter = Counter()
+        for b in batches:
+            for t in b["t"]:
+                count.update(set(words_of(t)))
+                if len(count) > COUNTED_WORDS:
+                    yield pd.DataFrame({"w": list(count), "n": list(count.values())})
+                    count.clear()
+        if count:  # a column without values has no type that Arrow could turn into strings
+            yield pd.DataFrame({"w": list(count), "n": list(count.values())})
+
+    counted = texts.select("t").mapInPandas(lean(rows), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return materialize(counted, "word_counts")
+
+
 def search(texts: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     """Matches of the texts ``t``, with their columns ``keep``."""
     spark = texts.sparkSession
     n_items, n_docs = benchmark.count(), texts.count()
     blocks = max(1, -(-n_items // ITEM_BLOCK))
-    share = min(1.0, SAMPLE_DOCS / max(n_docs, 1))
-    picked = F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000) + 1
     types = dict(texts.dtypes) | dict(benchmark.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in keep) + f", item_id {types['item_id']}, cosine double, lcs_share double, answer_share double, first_word long, last_word long"
     out = spark.createDataFrame([], schema)
-
-    def sample_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            words = [w for t in b["t"] for w in set(words_of(t))]
-            if words:  # a column without values has no type that Arrow could turn into strings
-                yield pd.DataFrame({"w": words})
-
-    common = texts.where(picked).select("t").mapInPandas(lean(sample_words), "w string").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    common = [r["w"] for r in common.orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()]
+    counts = word_counts(texts)
+    common = {r["w"]: r["n"] for r in counts.orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()}
     for block in range(blocks):
         rows = item_rows(benchmark, "item_id", "t", block, blocks)
         if rows:
-            out = out.unionAll(_search_block(texts, rows, common, picked, n_docs, keep, schema))
+            out = out.unionAll(_search_block(texts, rows, counts, common, n_docs, keep, schema))
     return out
 
 
-def _search_block(texts: DataFrame, rows: list[tuple[int, list[str], list[str]]], common: list[str], picked, n_docs: int, keep: list[str], schema: str) -> DataFrame:
+def _search_block(texts: DataFrame, rows: list[tuple[int, list[str], list[str]]], counts: DataFrame, common: dict[str, int], n_docs: int, keep: list[str], schema: str) -> DataFrame:
     spark = texts.sparkSession
     own = sorted({w for _, ws, _ in rows for w in ws})
     known = set(own)
@@ -416,34 +470,30 @@ def _search_block(texts: DataFrame, rows: list[tuple[int, list[str], list[str]]]
     shared = spark.sparkContext.broadcast(vocabulary)  # the block's words and VOCABULARY more at most
 
     def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = shared.value
+        numbers_of = shared.value.writer()
         for b in batches:
-            b["w"] = [v.numbers(t).tobytes() for t in b["t"]]
-            yield b[[*keep, "w", "picked"]]
+            b["w"] = [numbers_of(t) for t in b["t"]]
+            yield b[[*keep, "w"]]
 
     types = dict(texts.dtypes)
     head = ", ".join(f"{c} {types[c]}" for c in keep)
-    docs = materialize(texts.select(*keep, "t", picked.alias("picked")).mapInPandas(lean(numbers), f"{head}, w binary, picked boolean"), "latent_words")
-    shared.unpersist()
-
-    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(size, dtype=np.int64)
-        for b in batches:
-            for x in b["w"]:
-                df[np.unique(np.frombuffer(x, dtype=kind))] += 1
-        at = np.flatnonzero(df)
-        yield pd.DataFrame({"k": at, "df": df[at]})
-
+    docs = materialize(texts.select(*keep, "t").mapInPandas(lean(numbers), f"{head}, w binary"), "latent_words")
+    shared.destroy()
+    # the vocabulary's document frequencies, in all documents
+    df = common | {r["w"]: r["n"] for r in counts.join(F.broadcast(spark.createDataFrame([(w,) for w in own], "w string")), "w").collect()}
     idf = np.full(size, np.log1p(n_docs), dtype=np.float32)
-    for r in docs.select("w").mapInPandas(lean(frequencies), "k long, df long").groupBy("k").agg(F.sum("df").alias("df")).collect():
-        idf[r["k"]] = np.log((n_docs + 1) / (r["df"] + 1)) + 1e-3
+    for w, k in vocabulary.at.items():
+        if w in df:
+            idf[k] = np.log((n_docs + 1) / (df[w] + 1)) + 1e-3
     idf[idf < np.log((n_docs + 1) / (COMMON * n_docs + COMMON_DOCS))] = 0.0
     idf[0] = 0.0  # other words have no place in the space
     items = [np.array([vocabulary.at[w] for w in ws], dtype=np.int64) for _, ws, _ in rows]
     answers = [np.array([vocabulary.at[w] for w in ws], dtype=np.int64) for _, _, ws in rows]
-    # the bounded sample in few partitions: each sends one dense product
-    sample = materialize(docs.where("picked").select("w").coalesce(SAMPLE_PARTS), "latent_sample")
-    space = Space(latent_space(sample, items, idf, kind), idf, float(np.log(n_docs + 1)), items)
+    # all documents in partitions of many words: each sends one dense product
+    words = docs.agg(F.coalesce(F.sum(F.octet_length("w")), F.lit(0))).first()[0] // kind.itemsize
+    parts = docs.select("w").coalesce(max(SUM_PARTS, -(-words // SUM_WORDS)))
+    weight = min(1.0, CORPUS_DOCS / max(n_docs, 1)) ** 0.5
+    space = Space(latent_space(parts, weight, items, idf, kind), idf, float(np.log(n_docs + 1)), items)
     names = [i for i, _, _ in rows]
     model = spark.sparkContext.broadcast((space, items, answers, names))  # bounded by the block and the vocabulary
 
