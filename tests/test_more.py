@@ -17,6 +17,7 @@ from ticketsift.operators.discovery import discover_by_label
 from ticketsift.operators.normalise import TicketError, normalise
 from ticketsift.operators.responses import apply_replies, apply_tag_replies, parse_replies
 from ticketsift.operators.taxonomy import Taxonomy, low_to_uncategorised
+from ticketsift.plans import catalog_more as more
 from ticketsift.plans.run import RunConfig, run
 from ticketsift.sources.files import read_files, read_run, run_diff, write_run
 from ticketsift.sources.json_tickets import LAYOUTS, detect_layout, from_layout, read_json_tickets
@@ -214,3 +215,19 @@ def test_state_survives_a_restart(spark, tmp):
     again = {r["category"]: (r["first_doc"], r["n"]) for r in stream_category_state(spark, f"{tmp}/in", Taxonomy.starter(), out_dir=out).collect()}
     assert sum(n for _, n in again.values()) == 200 and min(f for f, _ in again.values()) == 0
     assert os.path.isdir(f"{out}/_checkpoint/state")
+
+
+def test_files_of_the_document_stream_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(more, "STREAM_FILE_BYTES", 50_000, raising=False)
+    seen = []
+    run = more.stream_category_state
+    monkeypatch.setattr(more, "stream_category_state", lambda s, folder, seed, **kw: seen.append((folder, kw)) or run(s, folder, seed, **kw))
+    got = {r["category"]: (r["first_doc"], r["n"]) for r in more.QUERIES["stream_category_state"](spark, SF_SMALL).collect()}
+    (folder, kw), = seen
+    size = sum(len((r["text"] or "").encode()) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect())
+    files = [f for f in os.listdir(f"{folder}/documents.parquet") if f.endswith(".parquet")]
+    assert len(files) > 3 and abs(len(files) - size / 50_000) <= 2
+    assert kw["max_files"] == -(-max(3, -(-size // 50_000)) // 3)  # three rounds
+    monkeypatch.setattr(more, "STREAM_FILE_BYTES", 1 << 40, raising=False)
+    again = {r["category"]: (r["first_doc"], r["n"]) for r in more.QUERIES["stream_category_state"](spark, SF_SMALL).collect()}
+    assert got == again

@@ -38,6 +38,7 @@ GHOST_EVERY = 11          # every so many customers' merge also names a category
 LABEL_OVERLAP = 0.15      # Jaccard of two labels' vocabularies reported as an overlap
 LABEL_TERMS = 3           # terms per label of the table function
 RUN_THRESHOLDS = (5, 50)  # bucket thresholds of the two saved runs
+STREAM_ROUNDS, STREAM_FILE_BYTES = 3, 64 << 20   # micro-batches of the document stream, text bytes of one of its files
 REPEAT_EVERY, LATE_EVERY = 3, 5   # events of the last hour sent again, events of the first days sent late
 # names of the starter categories in the review query, so that one pair is
 # similar enough to merge and one to be flagged
@@ -304,11 +305,15 @@ def q_distinct_sketches(spark, d):
 # ----------------------------------------------------------------- streams --
 
 def q_stream_category_state(spark, d):
-    """STR1 / STR2 with state of its own, over the documents in several files."""
+    """STR1 / STR2 with state of its own, over the documents in several files, a third
+    of them a round; a file holds about STREAM_FILE_BYTES, so no task writes more."""
     folder = scratch_folder(spark, "stream_docs")
     docs = table(spark, d, "documents")
-    docs.repartitionByRange(3, "doc_id").write.parquet(os.path.join(folder, "documents.parquet"))
-    return stream_category_state(spark, folder, taxonomy())
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    files = max(STREAM_ROUNDS, -(-size // STREAM_FILE_BYTES))
+    # rows that share an id or have none are told apart by their text
+    docs.repartitionByRange(files, "doc_id", F.xxhash64("text")).write.parquet(os.path.join(folder, "documents.parquet"))
+    return stream_category_state(spark, folder, taxonomy(), max_files=-(-files // STREAM_ROUNDS))
 
 
 def q_stream_unique_windows(spark, d):
