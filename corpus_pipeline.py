@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketsift.llm import decontaminate, minhash, packing, secret_scan, toxicity
-from ticketsift.llm.common import free_name, rows_of
+from ticketsift.llm.common import free_name, give_back, rows_of
 from ticketsift.session import materialize
 
 #: Documents scored so high or higher are rejected.
@@ -76,4 +76,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rows_of(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        give_back()  # what a stage held on the driver does not add to the next one's
     return docs

@@ -65,3 +65,11 @@ def test_wordless_texts_alone_in_a_partition(spark):
         assert docs.count() == 3
     pieces = cp.STAGES[-1][1](spark, docs, SF_SMALL).collect()
     assert {r["doc_id"] for r in pieces} == {9000, 9001, 9002}
+
+
+def test_the_driver_gives_memory_back_after_each_stage(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(cp, "give_back", lambda: done.append("back"), raising=False)
+    monkeypatch.setattr(cp, "STAGES", [(n, lambda s, docs, d, n=n: done.append(n) or docs.limit(2)) for n in ("one", "two")])
+    assert cp.run(spark, SF_SMALL).count() == 2
+    assert done == ["one", "back", "two", "back"]
