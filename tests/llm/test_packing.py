@@ -85,3 +85,27 @@ def test_repeated_and_nameless_rows_and_empty(spark):
     got = pk.pack(df, PATH, 2, with_ids=False).collect()
     assert Counter(r["doc_id"] for r in got if r["start"] == 0) == {1: 2, None: 1}
     assert pk.pack(df.where("false"), PATH, 2).count() == 0
+
+
+def test_words_beyond_the_cache(monkeypatch):
+    monkeypatch.setattr(pk, "CACHE_WORDS", 6)
+    enc = pk.WordEncoder(PATH)
+    batches = [["one two three", "two four", ""], ["five two six seven one", "<|endoftext|> one"], ["one two", "eight"]]
+    for texts in batches:
+        got = [np.frombuffer(x, dtype=enc.kind).astype("<u4").tolist() for x in enc.encode(texts)]
+        assert got == [ids.tolist() for ids in library_ids(texts)]
+        assert len(enc.cache) <= 6
+
+
+def test_document_frequencies_count_an_id_once_a_document(spark):
+    docs = [[1, 2, 2, 3, 1], [2], [9, 9, 9], [3, 0, 3], []]
+    rows = spark.createDataFrame([(bytearray(np.array(d, dtype="<u2").tobytes()),) for d in docs], "ids binary")
+    want = Counter(t for d in docs for t in set(d))
+    assert pk.document_frequencies(rows, np.dtype("<u2"), 10).tolist() == [want[t] for t in range(10)]
+
+
+def test_index_lists_documents_by_term():
+    docs = [np.array(x, dtype="<u2") for x in ([65535, 2, 2], [2, 65535], [], [7])]
+    index = pk.Index(docs, np.ones(65536), 2.0)
+    assert index.doc.tolist() == [0, 1, 3, 0, 1]
+    assert index.ends[[2, 3, 7, 8, 65535, 65536]].tolist() == [0, 2, 2, 3, 3, 5]

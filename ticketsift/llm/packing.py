@@ -21,6 +21,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -61,17 +63,19 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian numbers of ``kind``."""
-        cut, whole, new = {}, [], set()
+        cut, whole, missing = {}, [], {}
         for k, t in enumerate(texts):
             if not t.isascii() and self.rare(t) or any(s in t for s in self.specials):
                 whole.append(k)
             else:
-                cut[k] = ws = self.words(t.lower())
-                new |= set(ws).difference(self.cache)
+                ws = self.words(t.lower())
+                cut[k] = got = list(map(self.cache.get, ws))
+                if None in got:
+                    places = list(compress(range(len(got)), map(not_, got)))  # no word comes to no ids
+                    missing[k] = places, [ws[j] for j in places]
+        new = list({w for _, own in missing.values() for w in own})
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
-            new = {w for ws in cut.values() for w in ws}
-        new = list(new)
         # the new words as one text: each ends with the one token that ends a word
         ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype=self.kind)
         cuts = np.flatnonzero(self.ends_word[ids]) + 1
@@ -81,8 +85,12 @@ class WordEncoder:
         for w, a, b in zip(new, [0, *cuts.tolist()], cuts.tolist(), strict=False):
             self.cache[w] = raw[a * size : b * size]
         out = [b""] * len(texts)
-        for k, ws in cut.items():
-            out[k] = b"".join(map(self.cache.__getitem__, ws))
+        for k, (places, own) in missing.items():
+            got = cut[k]
+            for j, w in zip(places, own, strict=True):
+                got[j] = self.cache[w]
+        for k, got in cut.items():
+            out[k] = b"".join(got)
         for k, e in zip(whole, self.library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, dtype=self.kind).tobytes()
         return out
@@ -123,10 +131,13 @@ def document_frequencies(tokens: DataFrame, kind: np.dtype, size: int) -> np.nda
     one number for each id of the vocabulary."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(size, dtype=np.int64)
+        df, last = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
         for b in batches:
             for x in b["ids"]:
-                df[np.unique(np.frombuffer(x, dtype=kind))] += 1
+                ids = np.frombuffer(x, dtype=kind)
+                place = np.arange(len(ids))
+                last[ids] = place
+                df[ids[last[ids] == place]] += 1  # each id where it stands last
         at = np.flatnonzero(df)
         yield pd.DataFrame({"id": at, "df": df[at]})
 
@@ -142,14 +153,13 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         size = len(idf)
-        sets = [np.unique(d, return_counts=True) for d in docs]
-        term = np.concatenate([s[0] for s in sets]).astype(np.int64)
-        tf = np.concatenate([s[1] for s in sets])
-        doc = np.repeat(np.arange(len(docs)), [len(s[0]) for s in sets])
-        norm = K1 * (1 - B + B * np.array([len(d) for d in docs]) / mean)
-        impact = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        by_term = np.argsort(term, kind="stable")
-        self.doc, self.impact = doc[by_term], impact[by_term].astype(np.float32)
+        lengths = np.array([len(d) for d in docs])
+        key = np.sort(np.concatenate(docs).astype(np.int64) * len(docs) + np.repeat(np.arange(len(docs)), lengths))
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        tf = np.diff(first, append=len(key))
+        term, doc = np.divmod(key[first], len(docs))
+        norm = K1 * (1 - B + B * lengths / mean)
+        self.doc, self.impact = doc, (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
         self.ends = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=size))])
         self.n = len(docs)
 
