@@ -109,3 +109,20 @@ def test_index_lists_documents_by_term():
     index = pk.Index(docs, np.ones(65536), 2.0)
     assert index.doc.tolist() == [0, 1, 3, 0, 1]
     assert index.ends[[2, 3, 7, 8, 65535, 65536]].tolist() == [0, 2, 2, 3, 3, 5]
+
+
+def test_a_word_is_looked_up_once_a_batch():
+    class Counting(dict):
+        asked = Counter()
+
+        def get(self, w, *rest):
+            self.asked[w] += 1
+            return super().get(w, *rest)
+
+    enc = pk.WordEncoder(PATH)
+    enc.cache = Counting()
+    texts = ["the end, the END.", " the\x1cend\r\n'll 's ''s 12", "", "\n", "Ünd the end,", "the 日本 the"] * 20
+    got = [np.frombuffer(x, dtype=enc.kind).astype("<u4").tolist() for x in enc.encode(texts)]
+    assert got == [ids.tolist() for ids in library_ids(texts)]
+    assert enc.cache.asked["end"] and set(enc.cache.asked.values()) == {1}
+    assert [enc.encode(x) for x in ([], [""], [" "], ["日"])] == [[], [b""], [b""], [library_ids(["日"])[0].astype(enc.kind).tobytes()]]

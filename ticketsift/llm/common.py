@@ -9,7 +9,9 @@ from contextlib import suppress
 from pathlib import Path
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,32 @@ def lean(task: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[
     return run
 
 
+def distinct_pieces(texts: list[str], find: Callable[[str], list[str]]) -> tuple[list[str], tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The texts' words (none reaches over ASCII white space), each once; the numbers of
+    the words of every distinct piece between such spaces, and where each piece's begin
+    (and the last one's end); the same for the pieces of every text.  ``find``: the words
+    of a text, and its line ends."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, type=pa.large_string()))
+    pieces = lists.flatten().dictionary_encode()
+    # a line end after each piece tells where its words end
+    found = pa.array(find("\n".join(["", *pieces.dictionary.to_numpy(zero_copy_only=False), ""])), type=pa.large_string()).dictionary_encode()
+    words, codes = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+    if not len(pieces.dictionary):
+        return [], (codes[:0], np.zeros(1, dtype=np.int64)), (pieces.indices.to_numpy(), lists.offsets.to_numpy())
+    ends = np.flatnonzero(codes == 0)  # the first that is found is a line end
+    own = codes[codes != 0] - 1
+    return words[1:], (own, ends - np.arange(len(ends))), (pieces.indices.to_numpy(), lists.offsets.to_numpy())
+
+
+def expand(values: np.ndarray, starts: np.ndarray, places: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What stands at the places, as of ``distinct_pieces``: number ``k`` stands for the
+    ``values`` from ``starts[k]`` to the next start."""
+    codes, offsets = places
+    size = np.diff(starts)[codes]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return values[np.repeat(starts[codes] - ends[:-1], size) + np.arange(ends[-1])], ends[offsets]
+
+
 def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; a table stored in fewer splits than there are task
     slots keeps them (a round-robin deal would move whole texts)."""

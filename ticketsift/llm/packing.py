@@ -21,8 +21,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -32,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import materialize
-from .common import hold, lean, small_batches
+from .common import distinct_pieces, expand, hold, lean, small_batches
 
 WINDOW = 4096
 #: Tokens of a shard (one index), and of a partition of shards.
@@ -41,8 +39,9 @@ K1, B = 1.2, 0.75
 CACHE_WORDS = 700_000
 #: Characters that Python and the library treat alike in case, class and composition.
 PLAIN = r"[^\x00-\x7e¡-©«-±¶-¸»¿-ÿ]"
-#: The vocabulary's words (a fixed value of the file) in such a text, in lower case.
-WORD = r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \t-\ra-z0-9ß-öø-ÿ]+"
+#: The vocabulary's words (a fixed value of the file) in such a text, in lower case,
+#: and its line ends.
+WORD = r"\n|[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \t-\ra-z0-9ß-öø-ÿ]+"
 
 
 class WordEncoder:
@@ -63,36 +62,36 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian numbers of ``kind``."""
-        cut, whole, missing = {}, [], {}
+        cut, whole = [], []
         for k, t in enumerate(texts):
-            if not t.isascii() and self.rare(t) or any(s in t for s in self.specials):
-                whole.append(k)
-            else:
-                ws = self.words(t.lower())
-                cut[k] = got = list(map(self.cache.get, ws))
-                if None in got:
-                    places = list(compress(range(len(got)), map(not_, got)))  # no word comes to no ids
-                    missing[k] = places, [ws[j] for j in places]
-        new = list({w for _, own in missing.values() for w in own})
+            (whole if not t.isascii() and self.rare(t) or any(s in t for s in self.specials) else cut).append(k)
+        out = [b""] * len(texts)
+        words, places, texts_of = distinct_pieces([texts[k].lower() for k in cut], self.words)
+        own = self.known(words)
+        starts = np.cumsum([0, *map(len, own)]) // self.kind.itemsize
+        ids, ends = expand(*expand(np.frombuffer(b"".join(own), dtype=self.kind), starts, places), texts_of)
+        raw, ends = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+        for k, a, b in zip(cut, ends, ends[1:], strict=False):
+            out[k] = raw[a:b]
+        for k, e in zip(whole, self.library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, dtype=self.kind).tobytes()
+        return out
+
+    def known(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; what is new is encoded as one text, in which each word
+        ends with the one token that ends a word."""
+        out = list(map(self.cache.get, words))
+        places = [k for k, x in enumerate(out) if x is None]
+        new = [words[k] for k in places]
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
-        # the new words as one text: each ends with the one token that ends a word
         ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype=self.kind)
         cuts = np.flatnonzero(self.ends_word[ids]) + 1
         if len(cuts) != len(new):
             raise ValueError("the vocabulary's word ends don't match its words")
-        raw, size = ids.tobytes(), self.kind.itemsize
-        for w, a, b in zip(new, [0, *cuts.tolist()], cuts.tolist(), strict=False):
-            self.cache[w] = raw[a * size : b * size]
-        out = [b""] * len(texts)
-        for k, (places, own) in missing.items():
-            got = cut[k]
-            for j, w in zip(places, own, strict=True):
-                got[j] = self.cache[w]
-        for k, got in cut.items():
-            out[k] = b"".join(got)
-        for k, e in zip(whole, self.library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, dtype=self.kind).tobytes()
+        raw, cuts = ids.tobytes(), (cuts * self.kind.itemsize).tolist()
+        for k, w, a, b in zip(places, new, [0, *cuts], cuts, strict=False):
+            self.cache[w] = out[k] = raw[a:b]
         return out
 
 
