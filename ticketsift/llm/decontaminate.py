@@ -31,12 +31,13 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +68,61 @@ SLACK = 1.25
 SUM_ROWS, SUM_WORDS, SUM_PARTS = 2048, 1 << 24, 4
 #: Words that a task counts before it passes the counts on.
 COUNTED_WORDS = 200_000
+#: Characters whose words are hashed at once, and the odd base of the hash.
+GROUP_CHARS, BASE = 1 << 20, 0x9E3779B97F4A7C15
+
+
+@cache
+def letters() -> np.ndarray:
+    """Which characters stand in words (those of ``words_of``)."""
+    return np.fromiter(map(str.isalnum, map(chr, range(0x110000))), bool, 0x110000)
+
+
+@cache
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2^64."""
+    both = [np.cumprod(np.full(size, b, dtype=np.uint64)) for b in (BASE, pow(BASE, -1, 1 << 64))]
+    return both[0], both[1]
+
+
+class HashedWords:
+    """The words of several texts by 64-bit polynomial hashes, computed for all characters
+    at once: word ``k`` is ``joined[starts[k] : ends[k]]``, text ``t`` has the words from
+    ``offsets[t]`` to the next offset."""
+
+    def __init__(self, texts: list[str | None]):
+        lower = [(t or "").lower() for t in texts]
+        self.joined = "\n".join(["", *lower, ""])
+        points = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        inside = letters()[points]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        self.starts, self.ends = edges[::2], edges[1::2]
+        up, down = powers(1 << max(20, len(points).bit_length()))
+        sums = np.cumsum(points * up[: len(points)])
+        self.hashes = (sums[self.ends - 1] - sums[self.starts - 1]) * down[self.starts]
+        self.offsets = np.searchsorted(self.starts, np.cumsum([1, *(len(t) + 1 for t in lower)]))
+
+    def document_counts(self) -> pa.Table:
+        """``w, n``: the words, and in how many of the texts each occurs."""
+        found = pa.array(self.hashes).dictionary_encode()
+        codes, size = found.indices.to_numpy(), len(found.dictionary)
+        count, last, place = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), np.arange(len(codes))
+        for a, b in zip(self.offsets.tolist(), self.offsets[1:].tolist(), strict=False):
+            own, at = codes[a:b], place[a:b]
+            last[own] = at
+            count[own[last[own] == at]] += 1  # each word where it stands last
+        words = [self.joined[a:b] for a, b in zip(self.starts[last].tolist(), self.ends[last].tolist(), strict=True)]
+        return pa.table({"w": pa.array(words, type=pa.string()), "n": count})
+
+
+def hashed(texts: list[str | None]) -> Iterator[HashedWords]:
+    """The words of the texts, in groups of texts of about GROUP_CHARS characters."""
+    at, chars = 0, 0
+    for k, t in enumerate(texts):
+        chars += len(t or "") + 1
+        if chars >= GROUP_CHARS or k == len(texts) - 1:
+            yield HashedWords(texts[at : k + 1])
+            at, chars = k + 1, 0
 
 
 class Vocabulary:
@@ -76,12 +132,20 @@ class Vocabulary:
         self.at = {w: k + 1 for k, w in enumerate(words)}
         self.size = len(words) + 1
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.hashes = HashedWords(words).hashes
+
+    def numbers(self, texts: list[str | None]) -> list[bytes]:
+        """The texts' numbers as bytes of ``kind``."""
+        out, own = [], pa.array(self.hashes)
+        for group in hashed(texts):
+            at = pc.fill_null(pc.index_in(pa.array(group.hashes), value_set=own), -1).to_numpy()
+            raw, offsets = (at + 1).astype(self.kind).tobytes(), (group.offsets * self.kind.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+        return out
 
     def writer(self) -> Callable[[str | None], bytes]:
-        """A function that gives a text's numbers as bytes of ``kind``."""
-        other, *own = (np.array([k], dtype=self.kind).tobytes() for k in range(self.size))
-        get = dict(zip(self.at, own, strict=True)).get
-        return lambda text: b"".join(map(get, words_of(text), repeat(other)))
+        """A function that gives one text's numbers."""
+        return lambda text: self.numbers([text])[0]
 
 
 #: Words whose vectors are added up at once.
@@ -139,8 +203,30 @@ class Passages:
         out[self.paired] += sums[self.first[self.paired] + 1]
         return out
 
+    def gram_steps(self, table: np.ndarray, live: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """``spread`` of the ``vectors`` times ``share``."""
+        weight = np.zeros((self.n_steps, 1), dtype=table.dtype)  # nothing where no passage begins
+        weight[self.first, 0] = share
+        out = self.step_sums(table, live)
+        alone = np.ones(self.n_steps, dtype=bool)
+        alone[self.first[self.paired]] = False
+        ends = np.flatnonzero(alone)
+        own = out[ends]
+        out[:-1] += out[1:]
+        out[ends] = own
+        out *= weight
+        own = out[ends]
+        out[ends] = 0  # no other step holds these
+        out[1:] += out[:-1].copy()
+        out[ends] += own
+        return out
+
     def vectors(self, table: np.ndarray, live: np.ndarray) -> np.ndarray:
         """Sums of the table's rows over the passages; ``live`` tells which have one."""
+        return self._both(self.step_sums(table, live))
+
+    def step_sums(self, table: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """The same over the steps."""
         sums = np.zeros((self.n_steps, table.shape[1]), dtype=table.dtype)
         at = np.flatnonzero(live[self.ids])
         for k in range(0, len(at), GROUP_WORDS):
@@ -148,7 +234,7 @@ class Passages:
             step = self.step[part]
             first = np.flatnonzero(np.diff(step, prepend=-1))
             sums[step[first]] += segment_sums(table, self.ids[part], first)
-        return self._both(sums)
+        return sums
 
     def lengths(self, squares: np.ndarray) -> np.ndarray:
         """Square root of the sums of one number a word over the passages."""
@@ -204,24 +290,36 @@ def gram_product(texts: list[np.ndarray] | np.ndarray, weight: float, tables: tu
             continue
         size = own.lengths(squares[:, 0]) ** 2
         share = np.divide(weight**2, size, out=np.zeros_like(size), where=size > 0)
-        per_step = own.spread(own.vectors(weighted, live) * share[:, None].astype(np.float32))
+        per_step = own.gram_steps(weighted, live, share)
         ids = own.ids[at]
         order = np.argsort(ids, kind="stable")
         found, first = np.unique(ids[order], return_index=True)
         out[found] += segment_sums(per_step, own.step[at[order]], first) * idf[found][:, None]
 
 
-def gram(docs: DataFrame, weight: float, items: list[np.ndarray], idf: np.ndarray, q: np.ndarray, kind: np.dtype) -> np.ndarray:
-    """``A' A q`` over all documents (summed by Spark) and the items."""
+def inner_product(texts: list[np.ndarray], weight: float, tables: tuple[np.ndarray, np.ndarray, np.ndarray], out: np.ndarray) -> None:
+    """Add ``q' A' A q`` to ``out``, arguments as of ``gram_product``: the products of the
+    passages' own vectors, so nothing is spread over the vocabulary."""
+    idf, squares, weighted = tables
+    for _, group in grouped(texts):
+        own = Passages(group)
+        size = own.lengths(squares[:, 0])
+        share = np.divide(weight, size, out=np.zeros_like(size), where=size > 0)
+        rows = own.vectors(weighted, idf > 0) * share[:, None].astype(np.float32)
+        out += rows.T @ rows
+
+
+def gram(docs: DataFrame, weight: float, items: list[np.ndarray], idf: np.ndarray, q: np.ndarray, kind: np.dtype, product: Callable = gram_product) -> np.ndarray:
+    """``A' A q`` (or the other ``product``) over all documents (summed by Spark) and the items."""
     tables = (idf, (idf**2)[:, None], q * idf[:, None])
     shared = docs.sparkSession.sparkContext.broadcast(tables)  # vocabulary x dimensions, both fixed
-    size = q.shape
+    size = q.shape if product is gram_product else (q.shape[1], q.shape[1])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = shared.value
         out = np.zeros(size, dtype=np.float32)
         for b in batches:
-            gram_product([np.frombuffer(x, dtype=kind) for x in b["w"]], weight, tables, out)
+            product([np.frombuffer(x, dtype=kind) for x in b["w"]], weight, tables, out)
         for k in range(0, size[0], SUM_ROWS):
             yield pd.DataFrame({"at": [k], "v": [out[k : k + SUM_ROWS].tobytes()]})
 
@@ -239,7 +337,7 @@ def gram(docs: DataFrame, weight: float, items: list[np.ndarray], idf: np.ndarra
         v = np.frombuffer(r["v"], dtype=np.float32).reshape(-1, size[1])
         out[r["at"] : r["at"] + len(v)] = v
     shared.destroy()
-    gram_product(items, ITEM_WEIGHT, tables, out)
+    product(items, ITEM_WEIGHT, tables, out)
     return out
 
 
@@ -250,7 +348,7 @@ def latent_space(docs: DataFrame, weight: float, items: list[np.ndarray], idf: n
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((len(idf), width), dtype=np.float32))[0]
     for _ in range(POWERS):
         q = np.linalg.qr(gram(docs, weight, items, idf, q, kind))[0].astype(np.float32)
-    inner = q.T @ gram(docs, weight, items, idf, q, kind)
+    inner = gram(docs, weight, items, idf, q, kind, inner_product)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     best = np.argsort(-values)[:DIMENSIONS]
     return (q @ vectors[:, best].astype(np.float32)) * idf[:, None]
@@ -308,27 +406,42 @@ class HiddenItems:
     def __init__(self, which: list[int], items: list[np.ndarray], size: int):
         self.which = which
         self.need = np.array([-(-int(PARAPHRASE_SHARE * 1000) * len(items[k]) // 1000) for k in which])
-        self.stretch = [stretch_words(items[k]) for k in which]
-        self.times = np.zeros((size, len(which)), dtype=np.uint32)  # occurrences of a word in an item
+        self.stretch = np.array([stretch_words(items[k]) for k in which])
+        self.times = np.zeros((size, len(which)), dtype=np.float32)  # occurrences of a word in an item
         for c, k in enumerate(which):
             np.add.at(self.times[:, c], items[k], 1)
+        self.some = self.times.any(axis=1)
+        self.own = np.cumsum(self.some) - 1  # the items' words, numbered anew
+        self.times = self.times[self.some]
         self.holds = np.ascontiguousarray(self.times.T > 0)
-        self.some = self.holds.any(axis=0)
 
-    def regions(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Items and the regions (first word, end) in which stretches hold enough of their words."""
-        if not self.which or not len(ids):
+    def likely(self, texts: list[np.ndarray]) -> Iterator[tuple[int, list[int]]]:
+        """Texts that hold enough of the words of some items, with the places of these in ``which``."""
+        for base in range(0, len(texts) if self.which else 0, AT_ONCE):
+            group = texts[base : base + AT_ONCE]
+            ids, text = np.concatenate(group), np.repeat(np.arange(len(group)), list(map(len, group)))
+            some = self.some[ids]
+            present = np.zeros((len(group), len(self.times)), dtype=np.float32)
+            present[text[some], self.own[ids[some]]] = 1
+            enough = present @ self.times >= self.need  # whole numbers, far below those that lose digits
+            for k in np.flatnonzero(enough.any(axis=1)).tolist():
+                yield base + k, np.flatnonzero(enough[k]).tolist()
+
+    def regions(self, ids: np.ndarray, likely: list[int]) -> Iterator[tuple[int, int, int]]:
+        """Items and the regions (first word, end) in which stretches hold enough of their
+        words; ``likely``: the items that the text may hold."""
+        if not likely:
             return
         place = np.flatnonzero(self.some[ids])
-        words = ids[place]
-        for c in np.flatnonzero(self.times[np.unique(words)].sum(axis=0) >= self.need).tolist():
-            hit, size, others = place[self.holds[c][words]], self.stretch[c], max(0, int(self.need[c]) - 1)
-            first, last = hit[: max(0, len(hit) - others)], hit[others:]
-            at = first[last - first < size]  # the last word that is needed stands in the stretch as well
-            if len(at):
-                cuts = np.flatnonzero(np.diff(at) > size) + 1
-                for part in np.split(at, cuts):
-                    yield self.which[c], int(part[0]), int(part[-1]) + size
+        item, at = np.nonzero(self.holds[likely][:, self.own[ids[place]]])
+        hit, size = place[at], self.stretch[likely]
+        last = np.arange(len(hit)) + np.maximum(0, self.need[likely] - 1)[item]
+        first = np.flatnonzero(last < np.searchsorted(item, np.arange(len(likely)), side="right")[item])
+        first = first[hit[last[first]] - hit[first] < size[item[first]]]  # the last word that is needed stands in the stretch as well
+        for c in np.unique(item[first]).tolist():
+            at = hit[first[item[first] == c]]
+            for part in np.split(at, np.flatnonzero(np.diff(at) > size[c]) + 1):
+                yield self.which[likely[c]], int(part[0]), int(part[-1]) + int(size[c])
 
 
 class Space:
@@ -371,10 +484,10 @@ class Space:
         return out
 
 
-def matches(ids: np.ndarray, near: list[tuple[int, int, float]], space: Space, items: list[np.ndarray], answers: list[np.ndarray]) -> list[tuple[int, float | None, float, float, int, int]]:
+def matches(ids: np.ndarray, near: list[tuple[int, int, float]], likely: list[int], space: Space, items: list[np.ndarray], answers: list[np.ndarray]) -> list[tuple[int, float | None, float, float, int, int]]:
     """Items that a text contains: item, cosine, LCS share, answer share, first and last
-    word; ``near``: its candidates from the latent space."""
-    hidden = list(space.hidden.regions(ids))
+    word; ``near``: its candidates from the latent space; ``likely``: hidden items that it may hold."""
+    hidden = list(space.hidden.regions(ids, likely))
     if not near and not hidden:
         return []
     found, text = [], ids.tolist()
@@ -426,21 +539,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.withColumnRenamed("i", id_col).withColumnRenamed("item_id", item_col)
 
 
+def added(tables: list[pa.Table]) -> pa.Table:
+    """Counts ``w, n``, added up by word."""
+    out = pa.concat_tables(tables).group_by("w", use_threads=False).aggregate([("n", "sum")])
+    return pa.table({"w": out["w"], "n": out["n_sum"]})
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """``w, n``: in how many of all texts ``t`` each word occurs."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count: Counter = Counter()
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for b in batches:
-            for t in b["t"]:
-                count.update(set(words_of(t)))
-                if len(count) > COUNTED_WORDS:
-                    yield pd.DataFrame({"w": list(count), "n": list(count.values())})
-                    count.clear()
-        if count:  # a column without values has no type that Arrow could turn into strings
-            yield pd.DataFrame({"w": list(count), "n": list(count.values())})
-
-    counted = texts.select("t").mapInPandas(lean(rows), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+            held += [group.document_counts() for group in hashed(b.column(0).to_pylist())]
+            if sum(map(len, held)) > 4 * COUNTED_WORDS:
+                held = [added(held)]
+                if len(held[0]) > COUNTED_WORDS:
+                    yield from held.pop().to_batches(COUNTED_WORDS)
+        if held:
+            yield from added(held).to_batches(COUNTED_WORDS)
+
+    counted = texts.select("t").mapInArrow(lean(rows), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     return materialize(counted, "word_counts")
 
 
@@ -470,9 +589,8 @@ def _search_block(texts: DataFrame, rows: list[tuple[int, list[str], list[str]]]
     shared = spark.sparkContext.broadcast(vocabulary)  # the block's words and VOCABULARY more at most
 
     def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers_of = shared.value.writer()
         for b in batches:
-            b["w"] = [numbers_of(t) for t in b["t"]]
+            b["w"] = shared.value.numbers(b["t"].tolist())
             yield b[[*keep, "w"]]
 
     types = dict(texts.dtypes)
@@ -505,8 +623,9 @@ def _search_block(texts: DataFrame, rows: list[tuple[int, list[str], list[str]]]
             texts = [np.frombuffer(x, dtype=kind) for x in b["w"]]
             keys = list(b[keep].itertuples(index=False, name=None))
             near = space.candidates(texts)
-            for k in near if not space.hidden.which else range(len(texts)):
-                for i, *rest in matches(texts[k], near.get(k, []), space, items, answers):
+            likely = dict(space.hidden.likely(texts))
+            for k in sorted(near.keys() | likely.keys()):
+                for i, *rest in matches(texts[k], near.get(k, []), likely.get(k, []), space, items, answers):
                     got.append((*(None if pd.isna(v) else v for v in keys[k]), names[i], *rest))
             if got:
                 yield pd.DataFrame(got, columns=columns).astype({"cosine": "float64"})
