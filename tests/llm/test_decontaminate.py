@@ -162,3 +162,56 @@ def test_segment_sums():
         rows = rng.integers(0, 30, sum(sizes))
         starts = np.cumsum([0, *sizes[:-1]])
         assert np.allclose(dc.segment_sums(table, rows, starts), np.add.reduceat(table[rows], starts, axis=0))
+
+
+def test_inner_product_is_that_of_the_gram_product():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 50, n) for n in (5, 0, 16, 17, 40, 1, 100)]
+    idf = rng.random(50).astype(np.float32) + 0.5
+    idf[[0, 3]] = 0
+    q = rng.standard_normal((50, 7)).astype(np.float32)
+    tables = (idf, (idf**2)[:, None], q * idf[:, None])
+    want, got = np.zeros((50, 7), dtype=np.float32), np.zeros((7, 7), dtype=np.float32)
+    dc.gram_product(texts, 0.5, tables, want)
+    dc.inner_product(texts, 0.5, tables, got)
+    assert np.allclose(got, q.T @ want, rtol=1e-3, atol=1e-3)
+
+
+def test_words_by_hash_are_those_of_words_of(monkeypatch):
+    rng = random.Random(6)
+    pieces = ["a", "B", " ", "\n", "\x1c", "_", "É", "ß", "İ", "ΑΣ", "日本", "½", "²", "12", "'s", "-", "x" * 70, "🙂", "\x00", "\ud800"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 20))) for _ in range(400)] + [None, "", "\n"]
+    for chars in (1, 100, 1 << 20):
+        monkeypatch.setattr(dc, "GROUP_CHARS", chars)
+        found = [[g.joined[a:b] for a, b in zip(g.starts[s:e], g.ends[s:e], strict=True)] for g in dc.hashed(texts) for s, e in zip(g.offsets, g.offsets[1:], strict=False)]
+        assert found == [dc.words_of(t) for t in texts]
+        by_hash = {h: g.joined[a:b] for g in dc.hashed(texts) for h, a, b in zip(g.hashes.tolist(), g.starts, g.ends, strict=True)}
+        words = {w for t in texts for w in dc.words_of(t)}
+        assert set(by_hash.values()) == words and len(by_hash) == len(words)
+        v = dc.Vocabulary(sorted(words)[::2])
+        assert [np.frombuffer(x, dtype=v.kind).tolist() for x in v.numbers(texts)] == [[v.at.get(w, 0) for w in dc.words_of(t)] for t in texts]
+
+
+def test_regions_of_hidden_items():
+    rng = np.random.default_rng(5)
+    items = [rng.integers(1, 12, n) for n in (1, 6, 9, 20)]
+    texts = [rng.integers(0, 30, n) for n in [*rng.integers(0, 60, 80).tolist(), 400]]
+    hidden = dc.HiddenItems([0, 1, 3], items, 30)
+    want = {}
+    for k, ids in enumerate(texts):
+        for i in hidden.which:
+            need, size = -(-550 * len(items[i]) // 1000), dc.stretch_words(items[i])
+            if sum(w in set(ids.tolist()) for w in items[i].tolist()) < need:
+                continue
+            at = np.flatnonzero(np.isin(ids, items[i]))
+            at = [a for a, b in zip(at.tolist(), at[need - 1 :].tolist(), strict=False) if b - a < size]
+            parts = []
+            for a in at:
+                if parts and a - parts[-1][1] <= size:
+                    parts[-1][1] = a
+                else:
+                    parts.append([a, a])
+            for a, b in parts:
+                want.setdefault(k, []).append((i, a, b + size))
+    assert hidden.regions(texts) == want and len(want) > 20
+    assert hidden.regions([]) == {} == dc.HiddenItems([], items, 30).regions(texts)

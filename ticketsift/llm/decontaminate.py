@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -78,7 +78,7 @@ def letters() -> np.ndarray:
     return np.fromiter(map(str.isalnum, map(chr, range(0x110000))), bool, 0x110000)
 
 
-@cache
+@lru_cache(2)
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse, modulo 2^64."""
     both = [np.cumprod(np.full(size, b, dtype=np.uint64)) for b in (BASE, pow(BASE, -1, 1 << 64))]
@@ -97,9 +97,14 @@ class HashedWords:
         inside = letters()[points]
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.starts, self.ends = edges[::2], edges[1::2]
-        up, down = powers(1 << max(20, len(points).bit_length()))
-        sums = np.cumsum(points * up[: len(points)])
-        self.hashes = (sums[self.ends - 1] - sums[self.starts - 1]) * down[self.starts]
+        self.hashes = np.empty(len(self.starts), dtype=np.uint64)
+        cuts = [*np.flatnonzero(np.diff(self.starts // GROUP_CHARS, prepend=-1)).tolist(), len(self.starts)]  # a long text in parts
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            low, high = int(self.starts[a]) - 1, int(self.ends[b - 1])
+            up, down = powers(1 << max(20, (high - low).bit_length()))
+            sums = np.cumsum(points[low:high] * up[: high - low])
+            starts = self.starts[a:b] - low
+            self.hashes[a:b] = (sums[self.ends[a:b] - low - 1] - sums[starts - 1]) * down[starts]
         self.offsets = np.searchsorted(self.starts, np.cumsum([1, *(len(t) + 1 for t in lower)]))
 
     def document_counts(self) -> pa.Table:
@@ -149,7 +154,9 @@ class Vocabulary:
 
 
 #: Words whose vectors are added up at once.
-GROUP_WORDS = 1 << 16
+GROUP_WORDS = 1 << 17
+#: Passages that are compared with the items at once.
+NEAR_ROWS = 1 << 12
 #: Rows of a segment that are added one by one, before segments of its parts are summed
 #: again, and segments that are added up at once.
 SEGMENT, AT_ONCE = 16, 512
@@ -199,13 +206,18 @@ class Passages:
         self.within = self.first - (ends - steps)[self.text]  # number of the passage in its text
 
     def _both(self, sums: np.ndarray) -> np.ndarray:
-        out = sums[self.first]
-        out[self.paired] += sums[self.first[self.paired] + 1]
-        return out
-
-    def gram_steps(self, table: np.ndarray, live: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """``spread`` of the ``vectors`` times ``share``."""
-        weight = np.zeros((self.n_steps, 1), dtype=table.dtype)  # nothing where no passage begins
+        """Of the steps' sums those of the passages (``sums`` is used up)."""
+        alone = np.ones(self.n_steps, dtype=bool)
+        alone[self.first[self.paired]] = False
+        own = sums[alone]
+        sums[:-1] += sums[1:]
+        sums[alone] = own
+        return sums[self.first]
+
+    def weighted(self, table: np.ndarray, live: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ``vectors`` times ``share``, each at the step where it begins (zeros where none
+        does), and the steps that are no passage's first of two."""
+        weight = np.zeros((self.n_steps, 1), dtype=table.dtype)
         weight[self.first, 0] = share
         out = self.step_sums(table, live)
         alone = np.ones(self.n_steps, dtype=bool)
@@ -215,11 +227,17 @@ class Passages:
         out[:-1] += out[1:]
         out[ends] = own
         out *= weight
+        return out, ends
+
+    def gram_steps(self, table: np.ndarray, live: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """``spread`` of the ``vectors`` times ``share``."""
+        out, ends = self.weighted(table, live, share)
         own = out[ends]
         out[ends] = 0  # no other step holds these
-        out[1:] += out[:-1].copy()
-        out[ends] += own
-        return out
+        both = out.copy()
+        both[1:] += out[:-1]
+        both[ends] += own
+        return both
 
     def vectors(self, table: np.ndarray, live: np.ndarray) -> np.ndarray:
         """Sums of the table's rows over the passages; ``live`` tells which have one."""
@@ -305,7 +323,7 @@ def inner_product(texts: list[np.ndarray], weight: float, tables: tuple[np.ndarr
         own = Passages(group)
         size = own.lengths(squares[:, 0])
         share = np.divide(weight, size, out=np.zeros_like(size), where=size > 0)
-        rows = own.vectors(weighted, idf > 0) * share[:, None].astype(np.float32)
+        rows = own.weighted(weighted, idf > 0, share)[0]
         out += rows.T @ rows
 
 
@@ -415,33 +433,31 @@ class HiddenItems:
         self.times = self.times[self.some]
         self.holds = np.ascontiguousarray(self.times.T > 0)
 
-    def likely(self, texts: list[np.ndarray]) -> Iterator[tuple[int, list[int]]]:
-        """Texts that hold enough of the words of some items, with the places of these in ``which``."""
-        for base in range(0, len(texts) if self.which else 0, AT_ONCE):
-            group = texts[base : base + AT_ONCE]
-            ids, text = np.concatenate(group), np.repeat(np.arange(len(group)), list(map(len, group)))
-            some = self.some[ids]
-            present = np.zeros((len(group), len(self.times)), dtype=np.float32)
-            present[text[some], self.own[ids[some]]] = 1
-            enough = present @ self.times >= self.need  # whole numbers, far below those that lose digits
-            for k in np.flatnonzero(enough.any(axis=1)).tolist():
-                yield base + k, np.flatnonzero(enough[k]).tolist()
-
-    def regions(self, ids: np.ndarray, likely: list[int]) -> Iterator[tuple[int, int, int]]:
-        """Items and the regions (first word, end) in which stretches hold enough of their
-        words; ``likely``: the items that the text may hold."""
-        if not likely:
-            return
-        place = np.flatnonzero(self.some[ids])
-        item, at = np.nonzero(self.holds[likely][:, self.own[ids[place]]])
-        hit, size = place[at], self.stretch[likely]
-        last = np.arange(len(hit)) + np.maximum(0, self.need[likely] - 1)[item]
-        first = np.flatnonzero(last < np.searchsorted(item, np.arange(len(likely)), side="right")[item])
-        first = first[hit[last[first]] - hit[first] < size[item[first]]]  # the last word that is needed stands in the stretch as well
-        for c in np.unique(item[first]).tolist():
-            at = hit[first[item[first] == c]]
-            for part in np.split(at, np.flatnonzero(np.diff(at) > size[c]) + 1):
-                yield self.which[likely[c]], int(part[0]), int(part[-1]) + int(size[c])
+    def regions(self, texts: list[np.ndarray]) -> dict[int, list[tuple[int, int, int]]]:
+        """Per text that may hold items: items and the regions (first word, end) in which
+        stretches hold enough of their words."""
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        if not self.which or not texts:
+            return out
+        lengths, ids = np.array(list(map(len, texts))), np.concatenate(texts)
+        some = np.flatnonzero(self.some[ids])
+        text, word = np.repeat(np.arange(len(texts)), lengths)[some], self.own[ids[some]]
+        present = np.zeros((len(texts), len(self.times)), dtype=np.float32)
+        present[text, word] = 1
+        enough = present @ self.times >= self.need  # whole numbers, far below those that lose digits
+        # the texts one after the other, so far apart that no stretch reaches over two
+        gap = int(self.stretch.max())
+        begin, place = np.cumsum(lengths + gap) - lengths - gap, some + text * gap
+        for c in np.flatnonzero(enough.any(axis=0)).tolist():
+            hit = np.flatnonzero(self.holds[c][word])
+            at, size, others = place[hit], int(self.stretch[c]), max(0, int(self.need[c]) - 1)
+            first = hit[np.flatnonzero(at[others:] - at[: max(0, len(at) - others)] < size)]  # the last word that is needed stands in the stretch as well
+            first = first[enough[text[first], c]]
+            if len(first):
+                for part in np.split(first, np.flatnonzero(np.diff(place[first]) > size) + 1):
+                    k = int(text[part[0]])
+                    out.setdefault(k, []).append((self.which[c], int(place[part[0]] - begin[k]), int(place[part[-1]] - begin[k]) + size))
+        return out
 
 
 class Space:
@@ -473,8 +489,8 @@ class Space:
             whole, size = own.lengths(self.squares[:, 0]), np.linalg.norm(latent, axis=1)
             ratio = np.divide(size, whole, out=np.zeros_like(size), where=whole > 0)
             near = np.flatnonzero((ratio >= RELATIVE * self.captured.min()) & (ratio > 0))  # others cannot reach RELATIVE
-            for a in range(0, len(near), GROUP_WORDS // STEP):
-                part = near[a : a + GROUP_WORDS // STEP]
+            for a in range(0, len(near), NEAR_ROWS):
+                part = near[a : a + NEAR_ROWS]
                 cosine = (latent[part] / size[part, None]) @ self.queries.T
                 k, q = np.nonzero(cosine >= COSINE)
                 c = cosine[k, q]
@@ -484,10 +500,9 @@ class Space:
         return out
 
 
-def matches(ids: np.ndarray, near: list[tuple[int, int, float]], likely: list[int], space: Space, items: list[np.ndarray], answers: list[np.ndarray]) -> list[tuple[int, float | None, float, float, int, int]]:
+def matches(ids: np.ndarray, near: list[tuple[int, int, float]], hidden: list[tuple[int, int, int]], space: Space, items: list[np.ndarray], answers: list[np.ndarray]) -> list[tuple[int, float | None, float, float, int, int]]:
     """Items that a text contains: item, cosine, LCS share, answer share, first and last
-    word; ``near``: its candidates from the latent space; ``likely``: hidden items that it may hold."""
-    hidden = list(space.hidden.regions(ids, likely))
+    word; ``near``: its candidates from the latent space; ``hidden``: the regions of hidden items."""
     if not near and not hidden:
         return []
     found, text = [], ids.tolist()
@@ -623,9 +638,9 @@ def _search_block(texts: DataFrame, rows: list[tuple[int, list[str], list[str]]]
             texts = [np.frombuffer(x, dtype=kind) for x in b["w"]]
             keys = list(b[keep].itertuples(index=False, name=None))
             near = space.candidates(texts)
-            likely = dict(space.hidden.likely(texts))
-            for k in sorted(near.keys() | likely.keys()):
-                for i, *rest in matches(texts[k], near.get(k, []), likely.get(k, []), space, items, answers):
+            hidden = space.hidden.regions(texts)
+            for k in sorted(near.keys() | hidden.keys()):
+                for i, *rest in matches(texts[k], near.get(k, []), hidden.get(k, []), space, items, answers):
                     got.append((*(None if pd.isna(v) else v for v in keys[k]), names[i], *rest))
             if got:
                 yield pd.DataFrame(got, columns=columns).astype({"cosine": "float64"})
