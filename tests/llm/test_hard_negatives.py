@@ -93,3 +93,40 @@ def test_tree_eliminates_siblings_and_loses_none():
 def test_shifted_label(spark):
     df = spark.createDataFrame([(7, 9), (14, 3), (8, 9), (0, None)], "i long, l int")
     assert [r[0] for r in df.select(hn.shifted_label(F.col("l"), F.col("i"))).collect()] == [0, 4, 9, None]
+
+
+def test_groups_of_anchors_are_not_broadcast(spark, monkeypatch):
+    """Spark takes them for as small as the anchors, and they hold these once per leaf."""
+    for name, value in (("LEAF_ROWS", 12), ("FANOUT", 4)):
+        monkeypatch.setattr(hn, name, value)
+    written, plans = hn.materialize, {}
+
+    def spied(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(hn, "materialize", spied)
+    rows = clusters(200, 3, 8, 1, 0.05)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        assert mined(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    for plan in plans["negatives_home"] + plans["negatives_found"]:
+        assert "Join [leaf" in plan and "BroadcastHashJoin [leaf" not in plan
+
+
+@pytest.mark.parametrize("wide", [1, 1 << 13])
+def test_first_rows_of_many_and_few_cells(wide):
+    rng = np.random.default_rng(7)
+    q, x = rng.integers(-9, 10, (6, 5)) * wide, rng.integers(-9, 10, (300, 5)) * wide
+    s, ids = hn.scores(q, x), rng.permutation(300)
+    assert s.astype(np.int64).tolist() == (q @ x.T).tolist()
+    for share in (0.01, 0.1, 0.9):
+        r, c = np.nonzero(rng.random(s.shape) < share)
+        row, column, score, kth = hn.first_rows(r, c, s[r, c], ids, 6, 5)
+        for k in range(6):
+            own = sorted((-s[k, j], ids[j]) for j in c[r == k])
+            assert list(zip(-score[row == k], ids[column[row == k]], strict=True)) == own[:5]
+            assert kth[k] == (-own[4][0] if len(own) > 4 else -np.inf)

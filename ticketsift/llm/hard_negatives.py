@@ -59,6 +59,10 @@ DEPTH = 8
 MARGIN = 1e-6
 #: Scores saturate here (they are exact below 2**53).
 WIDEST = 2.0**62
+#: Below this, sums of integers are exact in single precision.
+SINGLE = 2.0**24
+#: With more cells a row than this, those below its K-th score are left out before the others are sorted.
+MANY = 64
 
 
 @dataclass
@@ -201,20 +205,29 @@ class Gnat:
 
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products, as doubles."""
-    return np.clip(q.astype(np.float64) @ x.T.astype(np.float64), -WIDEST, WIDEST)
-
-
-def first_rows(s: np.ndarray, ok: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row of ``s`` its first ``k`` columns among ``ok`` by falling score and
-    rising id: rows, columns, and per row the k-th score (-inf if there are fewer)."""
-    masked = np.where(ok, s, -np.inf)
-    kth = np.partition(masked, masked.shape[1] - k, axis=1)[:, -k] if masked.shape[1] >= k else np.full(len(s), -np.inf)
-    r, c = np.nonzero(ok & (masked >= kth[:, None]))
-    order = np.lexsort((ids[c], -masked[r, c], r))
-    r, c = r[order], c[order]
+    """Integer inner products, as floats."""
+    a, b = q.astype(np.float64), x.astype(np.float64)
+    norms = [np.sqrt((m**2).sum(axis=1).max(initial=0.0)) for m in (a, b)]
+    if norms[0] * norms[1] < SINGLE:  # it bounds every partial sum
+        return a.astype(np.float32) @ b.astype(np.float32).T
+    s = a @ b.T
+    return np.clip(s, -WIDEST, WIDEST, out=s)
+
+
+def first_rows(r: np.ndarray, c: np.ndarray, s: np.ndarray, ids: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of cells (row, column, score) the first ``k`` of each row by falling score and
+    rising id, and per row the k-th score (-inf if there are fewer)."""
+    if len(r) > MANY * rows:  # those below a row's k-th need no sorting
+        masked = np.full((rows, len(ids)), -np.inf, dtype=s.dtype)
+        masked[r, c] = s
+        keep = s >= np.partition(masked, len(ids) - k, axis=1)[r, -k]
+        r, c, s = r[keep], c[keep], s[keep]
+    order = np.lexsort((ids[c], -s, r))
+    r, c, s = r[order], c[order], s[order]
     rank = np.arange(len(r)) - np.searchsorted(r, r)
-    return r[rank < k], c[rank < k], kth
+    kth = np.full(rows, -np.inf)
+    kth[r[rank == k - 1]] = s[rank == k - 1]
+    return r[rank < k], c[rank < k], s[rank < k], kth
 
 
 class Best:
@@ -255,15 +268,19 @@ def searched(pairs: DataFrame, same: bool, slots: int, id_type: str) -> DataFram
                 most = np.frombuffer(g.most, dtype=np.float64).reshape(len(anchor), slots)
                 ids, labels = np.frombuffer(g.ids, dtype=np.int64), np.frombuffer(g.labels, dtype=np.int64)
                 s = scores(q, decode(g.x).reshape(len(ids), -1))
-                fit = (label[:, None] == labels[None, :]) == same
-                fit &= anchor[:, None] != ids[None, :]
+                # few cells lie in a window: the slots go over these only
+                low, high = least.min(axis=1).astype(s.dtype), most.max(axis=1).astype(s.dtype)
+                r, c = np.divmod(np.flatnonzero((s >= low[:, None]) & (s <= high[:, None])), len(ids))
+                fit = ((label[r] == labels[c]) == same) & (anchor[r] != ids[c])
+                r, c = r[fit], c[fit]
+                s = s[r, c]
                 for slot in range(slots):
-                    ok = fit & (s >= least[:, slot : slot + 1]) & (s <= most[:, slot : slot + 1])
+                    ok = (s >= least[r, slot]) & (s <= most[r, slot])
                     if not ok.any():
                         continue
-                    r, c, kth = first_rows(s, ok, ids, K)
+                    row, column, score, kth = first_rows(r[ok], c[ok], s[ok], ids, len(anchor), K)
                     best.learn(anchor, slot, slots, kth)
-                    yield pd.DataFrame({"anchor": anchor[r], "slot": slot, "id": ids[c], "score": s[r, c].astype(np.int64)})
+                    yield pd.DataFrame({"anchor": anchor[row], "slot": slot, "id": ids[column], "score": score.astype(np.int64)})
 
     return pairs.mapInPandas(lean(compare), "anchor long, slot int, id long, score long")
 
@@ -318,15 +335,21 @@ def groups_of(anchors: DataFrame, tree, slots: int, own_leaf: bool) -> DataFrame
     return anchors.mapInPandas(lean(deal), "leaf long, anchor binary, alabel binary, ax binary, least binary, most binary")
 
 
+def paired(groups: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Groups with the blocks of the leaf they need.  A merge join: Spark judges the groups by
+    the size of the anchors, which are in them once per leaf, and would broadcast them."""
+    return groups.join(blocks.hint("merge"), "leaf")
+
+
 def search(anchors: DataFrame, blocks: DataFrame, tree, same: bool, slots: int) -> DataFrame:
     """The first K rows of each anchor and slot: first in the anchor's own leaf,
     then, with the bounds found there, in every leaf that is not eliminated."""
-    home = materialize(first_of(searched(groups_of(anchors, tree, slots, True).join(blocks, "leaf"), same, slots, "long")), "negatives_home")
+    home = materialize(first_of(searched(paired(groups_of(anchors, tree, slots, True), blocks), same, slots, "long")), "negatives_home")
     bounds = home.where(F.col("rank") == K).groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("slot", "score"))).alias("kth"))  # at most `slots` entries
     raised = anchors.join(bounds, anchors["id"] == bounds["anchor"], "left").drop("anchor")
     slot_numbers = F.array(*[F.lit(k) for k in range(slots)])
     least = F.transform(slot_numbers, lambda k: F.greatest(F.get("least", k), F.coalesce(F.element_at("kth", k).cast("double"), F.lit(float("-inf")))))
-    rest = searched(groups_of(raised.withColumn("least", least).drop("kth"), tree, slots, False).join(blocks, "leaf"), same, slots, "long")
+    rest = searched(paired(groups_of(raised.withColumn("least", least).drop("kth"), tree, slots, False), blocks), same, slots, "long")
     return materialize(first_of(home.drop("rank").unionByName(rest)), "negatives_found")
 
 
