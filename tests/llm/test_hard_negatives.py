@@ -96,16 +96,23 @@ def test_shifted_label(spark):
 
 
 def test_groups_of_anchors_are_not_broadcast(spark, monkeypatch):
-    """Spark takes them for as small as the anchors, and they hold these once per leaf."""
-    for name, value in (("LEAF_ROWS", 12), ("FANOUT", 4)):
+    """Spark takes them for as small as the anchors, and they hold these once per tile, not per leaf."""
+    for name, value in (("LEAF_ROWS", 12), ("FANOUT", 4), ("TILES", 5), ("MANY", 3)):
         monkeypatch.setattr(hn, name, value)
-    written, plans = hn.materialize, {}
+    written, plans, dealt = hn.materialize, {}, hn.groups_of
+    copies = []
 
     def spied(df, name):
         plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
         return written(df, name)
 
+    def counted(anchors, tree, slots, own_leaf):
+        groups = dealt(anchors, tree, slots, own_leaf)
+        copies.append((tree.value.leaves, groups.select("tile").distinct().count()))
+        return groups
+
     monkeypatch.setattr(hn, "materialize", spied)
+    monkeypatch.setattr(hn, "groups_of", counted)
     rows = clusters(200, 3, 8, 1, 0.05)
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
@@ -114,7 +121,8 @@ def test_groups_of_anchors_are_not_broadcast(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     for plan in plans["negatives_home"] + plans["negatives_found"]:
-        assert "Join [leaf" in plan and "BroadcastHashJoin [leaf" not in plan
+        assert "SortMergeJoin [tile" in plan and "BroadcastHashJoin [tile" not in plan
+    assert copies and all(leaves > 10 and 1 < tiles <= 5 for leaves, tiles in copies)
 
 
 @pytest.mark.parametrize("wide", [1, 1 << 13])

@@ -53,6 +53,8 @@ K, LOW = 5, 80
 FANOUT, SAMPLE, LEAF_ROWS = 16, 16_384, 2000
 #: A leaf is compared in blocks of about so many rows, and anchors in groups of so many.
 BLOCK, ANCHORS = 2000, 256
+#: Neighbouring leaves share a tile, of which there are so many: anchors are sent to tiles, so they are not copied more often in a larger tree.
+TILES = 256
 #: Nodes of the tree lie at most so deep.
 DEPTH = 8
 #: Distances are compared with this share of the largest norms to spare, so rounding eliminates nothing.
@@ -169,6 +171,7 @@ class Gnat:
 
     def __init__(self, root: Node | None, leaves: int, top: float, low: dict, high: dict):
         self.root, self.leaves, self.top, self.low, self.high = root, leaves, top, low, high
+        self.width = -(-leaves // TILES)  # leaves of a tile, which has the number of its first one
 
     def visits(self, q: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Which anchors (rows) need which leaves (columns): windows of scores
@@ -262,10 +265,12 @@ def searched(pairs: DataFrame, same: bool, slots: int, id_type: str) -> DataFram
         best = Best()
         for b in batches:
             for g in b.itertuples(index=False):
-                anchor, label = np.frombuffer(g.anchor, dtype=np.int64), np.frombuffer(g.alabel, dtype=np.int64)
-                q = decode(g.ax).reshape(len(anchor), -1)
-                least = best.raise_(anchor, np.frombuffer(g.least, dtype=np.float64).reshape(len(anchor), slots))
-                most = np.frombuffer(g.most, dtype=np.float64).reshape(len(anchor), slots)
+                k = np.flatnonzero(np.frombuffer(g.need, dtype=bool).reshape(-1, len(g.leaves))[:, np.searchsorted(g.leaves, g.leaf)])
+                anchor, label = (np.frombuffer(v, dtype=np.int64) for v in (g.anchor, g.alabel))
+                q = decode(g.ax).reshape(len(anchor), -1)[k]
+                anchor, label = anchor[k], label[k]
+                least, most = (np.frombuffer(v, dtype=np.float64).reshape(-1, slots)[k] for v in (g.least, g.most))
+                least = best.raise_(anchor, least)
                 ids, labels = np.frombuffer(g.ids, dtype=np.int64), np.frombuffer(g.labels, dtype=np.int64)
                 s = scores(q, decode(g.x).reshape(len(ids), -1))
                 # few cells lie in a window: the slots go over these only
@@ -304,9 +309,10 @@ def leaf_blocks(rows: DataFrame) -> DataFrame:
 
 
 def groups_of(anchors: DataFrame, tree, slots: int, own_leaf: bool) -> DataFrame:
-    """Anchors ``(id, label, x, leaf, least, most)`` in groups of at most ANCHORS, once per
-    leaf that they need: their own leaf, or all others that their windows leave over."""
-    columns = ["leaf", "anchor", "alabel", "ax", "least", "most"]
+    """Anchors ``(id, label, x, leaf, least, most)`` in groups of at most ANCHORS, once per tile
+    with a leaf that they need (``need``: anchors x ``leaves`` of the tile): their own leaf, or
+    all others that their windows leave over."""
+    columns = ["tile", "leaves", "need", "anchor", "alabel", "ax", "least", "most"]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gnat = tree.value
@@ -323,22 +329,24 @@ def groups_of(anchors: DataFrame, tree, slots: int, own_leaf: bool) -> DataFrame
                     need = gnat.visits(q, least, most)
                     need[np.arange(len(part)), home] = False
                 out = []
-                for leaf in np.flatnonzero(need.any(axis=0)).tolist():
-                    k = np.flatnonzero(need[:, leaf])
-                    out.append((leaf, ids[k].tobytes(), labels[k].tobytes(), encode(q[k].ravel()), least[k].tobytes(), most[k].tobytes()))
+                used = np.flatnonzero(need.any(axis=0))
+                for leaves in np.split(used, np.flatnonzero(np.diff(used // gnat.width)) + 1) if len(used) else []:
+                    own = need[:, leaves]
+                    k = np.flatnonzero(own.any(axis=1))
+                    out.append((leaves[0] - leaves[0] % gnat.width, leaves, own[k].tobytes(), ids[k].tobytes(), labels[k].tobytes(), encode(q[k].ravel()), least[k].tobytes(), most[k].tobytes()))
                     if len(out) == 64:
                         yield pd.DataFrame(out, columns=columns)
                         out = []
                 if out:
                     yield pd.DataFrame(out, columns=columns)
 
-    return anchors.mapInPandas(lean(deal), "leaf long, anchor binary, alabel binary, ax binary, least binary, most binary")
+    return anchors.mapInPandas(lean(deal), "tile long, leaves array<long>, need binary, anchor binary, alabel binary, ax binary, least binary, most binary")
 
 
 def paired(groups: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Groups with the blocks of the leaf they need.  A merge join: Spark judges the groups by
-    the size of the anchors, which are in them once per leaf, and would broadcast them."""
-    return groups.join(blocks.hint("merge"), "leaf")
+    """Groups with the blocks of the leaves they need.  A merge join: Spark judges the groups by
+    the size of the anchors, which are in them once per tile, and would broadcast them."""
+    return groups.join(blocks.hint("merge"), "tile").where(F.array_contains("leaves", F.col("leaf")))
 
 
 def search(anchors: DataFrame, blocks: DataFrame, tree, same: bool, slots: int) -> DataFrame:
@@ -429,8 +437,9 @@ def _mine(anchors: DataFrame, index: DataFrame, n: int, top: float) -> DataFrame
 
     schema = "id long, label long, x binary, leaf long"
     placed = materialize(index.select("id", "label", "x").mapInPandas(lean(leaves), schema), "negatives_leaves")
-    tree = spark.sparkContext.broadcast(with_ranges(root, n_leaves, placed, top))  # as bounded
-    blocks = materialize(leaf_blocks(placed), "negatives_blocks")
+    gnat = with_ranges(root, n_leaves, placed, top)
+    tree = spark.sparkContext.broadcast(gnat)  # as bounded
+    blocks = materialize(leaf_blocks(placed), "negatives_blocks").withColumn("tile", F.col("leaf") - F.col("leaf") % gnat.width)
     # neighbours in one group: they need the same leaves
     routed = anchors.select("id", "label", "x").mapInPandas(lean(leaves), schema)
     routed = materialize(routed.repartitionByRange("leaf", "id").sortWithinPartitions("leaf", "id"), "negatives_anchors")
